@@ -6,7 +6,7 @@ WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 OP6 = f"""
 with recursive w as (select doc_id, {WORDS} as w from documents),
 s as (select distinct doc_id, g from (
-  select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))
+  select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
                              when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w)),
 n as (select doc_id, count(*) as n from s group by 1),
 shared as (select g from s group by 1 having count(*) > 1),
