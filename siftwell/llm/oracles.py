@@ -17,4 +17,25 @@ select w.doc_id, coalesce(n.n, 0) as n_shingles, min(r.b) as component_id
 from w join reach r on r.a = w.doc_id left join n on n.doc_id = w.doc_id group by 1, 2
 """
 
-ORACLES: dict[str, str] = {"op6_ngram_jaccard_join": OP6}
+OP8 = rf"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+t as (select source, sum(size)::bigint as source_size from d group by 1),
+r as (select *, row_number() over (order by source is null, source) - 1 as rank from t),
+f as (select *, [5, 2, 1][rank % 3 + 1] as weight, 3.0::double * source_size / [5, 2, 1][rank % 3 + 1] as fill from r),
+p as (select *, row_number() over (order by fill, rank) as place,
+  ((sum(source_size) over ())::bigint - coalesce(sum(3 * source_size) over (order by fill, rank rows between unbounded preceding and 1 preceding), 0)::bigint)::double
+  / (sum(weight) over (order by fill, rank rows between current row and unbounded following))::double as own_level from f),
+l as (select *, (select arg_min(own_level, place) from p where fill >= own_level) as level from p),
+g as (select source, source_size, least(3.0::double * source_size, weight * level) as target from l),
+q as (select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from g),
+c as (select d.*, q.source_size, q.target, floor(q.rate)::bigint as copies, q.rate - floor(q.rate) as fraction from d join q on d.source is not distinct from q.source),
+u as (select *, coalesce(doc_id::varchar, 'null') as k from c),
+s as (select source, seed, abs(sum(size * (copies + (('0x' || substr(md5(k || ':' || seed), 1, 8))::ubigint / 4294967296.0::double < fraction)::int)) - any_value(target)) as off
+  from u, range(16) x(seed) group by 1, 2),
+b as (select source, arg_min(seed, (off, seed)) as seed from s group by 1)
+select doc_id, size, source_size, target,
+  size * (copies + (('0x' || substr(md5(k || ':' || seed), 1, 8))::ubigint / 4294967296.0::double < fraction)::int) as taken
+from u join b on u.source is not distinct from b.source
+"""
+
+ORACLES: dict[str, str] = {"op6_ngram_jaccard_join": OP6, "op8_source_mix": OP8}

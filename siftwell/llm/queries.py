@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import ngram_join
+from siftwell.llm import mixing, ngram_join, packing, quality
 from siftwell.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,20 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op3_packing, op6_ngram_jaccard_join, op7_quality_classifier, op8_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
