@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import mixing, ngram_join, packing, quality
+from siftwell.llm import mixing, ngram_join, packing, quality, substring_dedup
 from siftwell.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_packing, op6_ngram_jaccard_join, op7_quality_classifier, op8_source_mix)}
+    return {f.__name__: f for f in (op3_packing, op6_ngram_jaccard_join, op7_quality_classifier, op8_source_mix, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
