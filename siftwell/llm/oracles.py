@@ -38,4 +38,12 @@ select doc_id, size, source_size, target,
 from u join b on u.source is not distinct from b.source
 """
 
-ORACLES: dict[str, str] = {"op6_ngram_jaccard_join": OP6, "op8_source_mix": OP8}
+OP2 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_exact_topk": OP2, "op6_ngram_jaccard_join": OP6, "op8_source_mix": OP8}
