@@ -11,8 +11,8 @@ Rare-first prefix filtering.  Three packed exchanges replace one row per shingle
    shingles has no partner and leaves here.
 
 Prefixes are joined on their shingles with length and positional filters.  A shingle's
-holders are first paired with one holder each (two rounds, another holder each time),
-components are taken, and the last round pairs whatever holders of a shingle still lie in
+holders are first paired with one holder each (two rounds: the holder with the fewest shingles of
+its own, which is the middle of a group of edited copies, then another), components are taken, and the last round pairs whatever holders of a shingle still lie in
 different components.  So a group of n copies costs about n pairs, and no link that would
 change a component is lost.  A pair is verified once: suffix filter, then exact overlap.
 
@@ -218,9 +218,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _filters(percent: int) -> str:
-    """Length and positional filters on two prefix entries of one shingle."""
+    """Length and positional filters on two prefix entries of one shingle; nor can an overlap exceed
+    what either set shares with any other."""
     least = f"ceil({percent} * (l.n + r.n) / {100 + percent}.0)"
-    return f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and 1 + least(l.n - l.pos, r.n - r.pos) - 1 >= {least}"
+    return f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and least(l.n - l.pos, r.n - r.pos) >= {least} and least(l.shared, r.shared) >= {least}"
 
 
 def link_components(sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -231,7 +232,7 @@ def link_components(sets: DataFrame, percent: int = 80) -> DataFrame:
     copies = sets.where("n > 0 and twin <> doc").select(F.col("twin").alias("a"), F.col("doc").alias("b"))
     found = materialize(copies.union(twins.where("doc <> rep").select("rep", "doc")), "copies")
     prefix = held.selectExpr("doc", "n", "own", "slice(tokens, 1, cast(n - ceil({0} * n / 100.0) + 1 - own as int)) as prefix".format(percent)).where("size(prefix) > 0")
-    entries = prefix.selectExpr("doc", "n", "own", "posexplode(prefix) as (at, token)").selectExpr("token", "doc", "n", "own + at as pos")
+    entries = prefix.selectExpr("doc", "n", "own", "posexplode(prefix) as (at, token)").selectExpr("token", "doc", "n", "own + at as pos", "n - own as shared")
     reps = twins.where("doc = rep").select("doc")
     entries = entries.join(reps, "doc", "left_semi")
     entries = materialize(entries, "prefixes")
@@ -245,8 +246,8 @@ def link_components(sets: DataFrame, percent: int = 80) -> DataFrame:
                 break
             entries = e.drop("comp")
         if step < STAR_ROUNDS:
-            lead = e.groupBy("token").agg(F.min_by(F.struct("doc", "n", "pos", "comp"), F.xxhash64("doc", F.lit(step))).alias("lead"))
-            right = lead.selectExpr("token", "lead.doc as doc", "lead.n as n", "lead.pos as pos", "lead.comp as comp")
+            lead = e.groupBy("token").agg(F.min_by(F.struct("doc", "n", "pos", "shared", "comp"), F.struct(F.lit(0) if step else F.col("n") - F.col("shared"), F.xxhash64("doc", F.lit(step)))).alias("lead"))
+            right = lead.select("token", "lead.*")
             met = e.alias("l").join(right.alias("r"), "token").where("l.comp <> r.comp")
         else:
             met = e.alias("l").join(e.alias("r"), "token").where("l.comp < r.comp")
