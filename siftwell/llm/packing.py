@@ -7,7 +7,7 @@ The cheapest cuts minimise padding plus a penalty per cut inside a document:
     cost[j] = penalty[j] + min over i of cost[i] + padding(at[j] - at[i]),   at[j] - at[i] <= capacity
 
 Padding is capacity - length, so cost[i] + at[i] has a sliding minimum, kept in a monotone queue;
-a window whose length is a power of two has no padding and is a transition of its own.
+a window whose length is a power of two (from capacity / SHORTEST) has no padding and is a transition of its own.
 
 Nothing is shuffled: each partition is packed by itself in chunks of CHUNK_IDS ids that end with a
 document, so memory is bounded by a chunk or the longest document.  A chunk wastes at most one
@@ -37,22 +37,22 @@ CHUNK_IDS = 1 << 20
 HARD_EVERY = 128
 SENTENCE_PENALTY = 2.0
 HARD_PENALTY = 32.0
+SHORTEST = 16  # windows of a power of two count as full from capacity / SHORTEST
 
 _PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, hard_every: int = HARD_EVERY) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, ascending, and the penalty of each."""
-    soft = np.flatnonzero(ends_sentence[ids]) + 1
-    known = np.union1d(soft, doc_ends)
+    kind = np.zeros(len(ids) + 1, np.uint8)
+    kind[1:][ends_sentence[ids]] = 1
+    kind[doc_ends] = 2
+    known = np.flatnonzero(kind)
     starts = np.concatenate([[0], known[:-1]])
-    wide = np.flatnonzero(known - starts > hard_every)
-    hard = [np.arange(starts[i] + hard_every, known[i], hard_every) for i in wide]
-    at = np.union1d(known, np.concatenate(hard)) if hard else known
-    penalty = np.full(len(at), HARD_PENALTY)
-    penalty[np.isin(at, soft, assume_unique=True)] = SENTENCE_PENALTY
-    penalty[np.isin(at, doc_ends, assume_unique=True)] = 0.0
-    return at, penalty
+    for i in np.flatnonzero(known - starts > hard_every):
+        kind[starts[i] + hard_every : known[i] : hard_every] = 3
+    at = np.flatnonzero(kind)
+    return at, np.array([0.0, SENTENCE_PENALTY, 0.0, HARD_PENALTY])[kind[at]]
 
 
 def best_windows(at: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY) -> list[int]:
@@ -60,7 +60,7 @@ def best_windows(at: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY)
     places = [0, *at.tolist()]
     extra = [0.0, *penalty.tolist()]
     index = {p: i for i, p in enumerate(places)}
-    powers = [1 << k for k in range(capacity.bit_length() - 1)]
+    powers = [w for w in (1 << k for k in range(capacity.bit_length() - 1)) if w * SHORTEST >= capacity]
     cost, back = [0.0] * len(places), [0] * len(places)
     queue: deque[int] = deque([0])
     level = [0.0] * len(places)  # cost[i] + places[i]

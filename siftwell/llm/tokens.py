@@ -1,24 +1,19 @@
-"""Token ids of a public byte-level BPE file, by units between spaces.
+"""Token ids of a public byte-level BPE file.
 
-No pre-token crosses the place before a space that follows and precedes other text, so a text is
-encoded unit by unit and units met before come from a bounded cache.  Texts that hold the string of
-a special token go to the tokenizers library whole, as it reads those strings as one id.
+The file's vocabulary is read as ranks by tiktoken, which is several times as fast as the tokenizers
+library and gives the same ids.  A text that holds the string of a special token goes to the tokenizers
+library, as it reads such a string as one id.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
 
-CACHE_UNITS = 300_000
-CACHED_LENGTH = 48
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_UNEVEN = re.compile(r"\s |  | \s|^\s|\s$")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 def default_path() -> str:
@@ -34,19 +29,6 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class _Units(dict):
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = array("I", self.encode(unit)).tobytes()
-        if len(unit) <= CACHED_LENGTH:
-            if len(self) >= CACHE_UNITS:
-                self.clear()
-            self[unit] = ids
-        return ids
-
-
 class Encoder:
     def __init__(self, path: str):
         import tiktoken
@@ -57,22 +39,20 @@ class Encoder:
         chars = _byte_characters()
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
-        self.fast = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(path)
-        self.units = _Units(self.fast.encode_ordinary)
-        self.size = max(ranks.values()) + 1
-        self.ends_sentence = np.zeros(self.size + len(self.special) + 1, bool)
+        self.ends_sentence = np.zeros(max(ranks.values()) + len(self.special) + 2, bool)
         for token, i in ranks.items():
             self.ends_sentence[i] = token.rstrip(b"\"')")[-1:] in (b".", b"!", b"?")
 
+    def ids(self, text: str) -> list[int]:
+        if any(s in text for s in self.special):
+            return self.whole.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
     def packed(self, text: str) -> bytes:
         """Ids as unsigned 32-bit little-endian bytes."""
-        if any(s in text for s in self.special):
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        if _UNEVEN.search(text):
-            return b"".join(map(self.units.__getitem__, _CUT.split(text)))
-        first, *rest = text.split(" ")
-        return b"".join(map(self.units.__getitem__, [first, *[" " + u for u in rest]]))
+        return array("I", self.ids(text)).tobytes()
 
 
 @lru_cache(maxsize=1)
