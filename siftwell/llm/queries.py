@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import fingerprints, mixing, ngram_join, packing, ppm, quality, substring_dedup, topk
+from siftwell.llm import edit_counts, fingerprints, html_text, mixing, ngram_join, packing, ppm, quality, substring_dedup, topk
 from siftwell.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,8 +49,16 @@ def op5_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op9_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.count_after_edits(edit_counts.three_edits(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_exact_topk, op3_packing, op5_ppm_scoring, op6_ngram_jaccard_join, op7_quality_classifier, op8_source_mix, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_exact_topk, op3_packing, op4_html_extraction, op5_ppm_scoring, op6_ngram_jaccard_join, op7_quality_classifier, op8_source_mix, op9_edit_token_counts, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
