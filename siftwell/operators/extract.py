@@ -74,7 +74,7 @@ def page_people(pages: DataFrame, paths: DataFrame, most: int = 5) -> DataFrame:
     micro, cards = microdata_people(p, "_page", "html").withColumn("_kind", F.lit(0)), card_people(p, "_page", "html").withColumn("_kind", F.lit(1))
     found = micro.unionByName(cards).join(p.select("_page", "domain", "priority"), "_page")
     best = F.min(F.struct("priority", "_kind")).over(Window.partitionBy("domain"))
-    found = found.where(F.struct("priority", "_kind") == best)
+    found = found.withColumn("_best", best).where(F.struct("priority", "_kind") == F.col("_best"))
     firsts = first_wins(found.withColumn("_low", F.lower("name")), ["domain", "_low"], ["pos"])
     return first_n(firsts, ["domain"], ["pos"], most).select("domain", "name", "title")
 

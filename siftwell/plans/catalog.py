@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.plans import web_queries  # noqa: F401
+from siftwell.plans import table_queries, text_queries, web_queries  # noqa: F401
 from siftwell.plans.base import QUERIES
 
 

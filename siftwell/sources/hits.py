@@ -40,12 +40,12 @@ def response_status(http: Column, n_results: Column, engine_notes: Column) -> Co
     return F.when(http.isNull(), "down").when(http.isin(429, 503), "blocked").when(http >= 400, "error").when(n_results > 0, "ok").when(refused, "blocked").otherwise("empty")
 
 
-def parse_run_log(lines: DataFrame, column: str = "value") -> DataFrame:
+def parse_run_log(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
     """kind (TERM, RATE, RUN START, RUN STOP), query, raw and kept of log lines; others go."""
     c = F.col(column)
     kind = F.regexp_extract(c, r"\b(TERM|RATE|RUN START|RUN STOP)\b", 1)
     num = lambda p: F.nullif(F.regexp_extract(c, p, 1), F.lit("")).cast("long")
-    return lines.select(kind.alias("kind"), F.regexp_extract(c, r"TERM '([^']*)'", 1).alias("query"), num(r"(\d+) results").alias("raw"), num(r"(\d+) kept").alias("kept")).where("kind <> ''")
+    return lines.select(*(keep or []), kind.alias("kind"), F.regexp_extract(c, r"TERM '([^']*)'", 1).alias("query"), num(r"(\d+) results").alias("raw"), num(r"(\d+) kept").alias("kept")).where("kind <> ''")
 
 
 def recent(logs: DataFrame, ts: str, now: Column, days: int = 7) -> DataFrame:
