@@ -63,9 +63,9 @@ def source_rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
 
 
 def _with_copies(rows: DataFrame, id_col: str, source_col: str, rates: DataFrame) -> DataFrame:
-    r = rates.select(*[F.col(c).alias(f"_mix_{c}") for c in rates.columns])
-    out = rows.join(r, rows[source_col].eqNullSafe(r["_mix_source"]))
-    return out.withColumn("_mix_n", F.col("_mix_copies") + (draw(id_col, F.col("_mix_seed")) < F.col("_mix_fraction")).cast("long"))
+    r = rates.select(*[F.col(c).alias(f"__mix_{c}") for c in rates.columns])
+    out = rows.join(r, rows[source_col].eqNullSafe(r["__mix_source"]))
+    return out.withColumn("__mix_n", F.col("__mix_copies") + (draw(id_col, F.col("__mix_seed")) < F.col("__mix_fraction")).cast("long"))
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -80,7 +80,7 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     sized = materialize(sizes(docs), "sizes")
     rates = source_rates(sized, weights, cap)
     return _with_copies(sized, "id", "source", rates).select(
-        F.col("id").alias("doc_id"), "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("size") * F.col("_mix_n")).alias("taken")
+        F.col("id").alias("doc_id"), "size", F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (F.col("size") * F.col("__mix_n")).alias("taken")
     )
 
 
@@ -88,4 +88,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     """The mixed rows themselves: docs with each row as often as the mix takes it, columns unchanged."""
     rates = source_rates(materialize(sizes(docs), "sizes"), weights, cap)
     out = _with_copies(docs, "doc_id", "source", rates)
-    return out.withColumn("_mix_k", F.explode(F.array_repeat(F.lit(1), F.col("_mix_n").cast("int")))).select(*docs.columns)
+    return out.withColumn("__mix_k", F.explode(F.array_repeat(F.lit(1), F.col("__mix_n").cast("int")))).select(*docs.columns)

@@ -192,25 +192,25 @@ def _fit_rows(rows: pd.DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """docs' columns in keep, with score (0 to 1) and predicted (1 if score >= THRESHOLD)."""
+    """docs' columns in keep, then __score (0 to 1) and __predicted (1 if the score is THRESHOLD or more)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = np.concatenate([held.value.score(slice_features(s)) for s in word_slices(b.column("_text"))] or [np.zeros(0)])
+            q = np.concatenate([held.value.score(slice_features(s)) for s in word_slices(b.column(len(keep)))] or [np.zeros(0)])
             cols = [b.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(q, pa.float64()), pa.array((q >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(q, pa.float64()), pa.array((q >= THRESHOLD).astype(np.int32))], [*keep, "__score", "__predicted"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{ddl}, score double, predicted int")
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{ddl}, __score double, __predicted int")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every document; held_out is null where the id is."""
     out = score(docs.select("doc_id", "text"), fit(docs, labels, fit_rows), ["doc_id"])
-    return out.select("doc_id", (_fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", (_fold("doc_id") == 0).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that the classifier does not reject, columns unchanged."""
-    return score(docs, fit(docs, labels, fit_rows), docs.columns).where("predicted = 1").select(*docs.columns)
+    return score(docs, fit(docs, labels, fit_rows), docs.columns).where("__predicted = 1").select(*docs.columns)
