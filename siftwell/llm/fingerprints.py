@@ -28,6 +28,8 @@ from siftwell.llm.textkit import U64, mix64, seeded, shingle_sets
 PERMUTATIONS = 128
 BAND_ROWS = 4  # 32 bands: a pair of similarity 0.8 shares one with probability 0.99999993
 PERCENT = 80
+STAR_ROUNDS = 2
+MAX_RANGES = 20_000
 EMPTY = 0xFFFFFFFF
 _A, _B = seeded(PERMUTATIONS, 201) | U64(1), seeded(PERMUTATIONS, 202)
 _NO_ID = -(1 << 63)
@@ -72,10 +74,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id (smallest doc_id reachable by links) of documents that have a near duplicate.
 
-    Bands of signatures are joined on their value: each holder of a band is paired with the band's
-    smallest id, so a band of n holders makes n pairs; the pairs' Jaccard similarity is then taken
-    exactly on their shingle sets.  Holders that fail with the smallest id are paired with the
-    smallest of those that failed, again and again, until none is left.
+    Bands of signatures are joined on their value.  In STAR_ROUNDS rounds each holder of a band is paired with
+    one of its holders, another in each round, so a band of n holders makes n pairs; the pairs' Jaccard
+    similarity is taken exactly on their shingle sets, and components are formed.  The last round pairs
+    whatever holders of a band still lie in different components: no link that changes a class is lost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,22 +103,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     slim = slim.dropDuplicates(["doc"])
     held = materialize(slim.mapInArrow(run, "doc long, band long"), "bands")
-    found = tried = None
-    while True:
-        lead = held.groupBy("band").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).where("a <> last").select("band", "a")
-        met = materialize(held.join(lead, "band").where("doc <> a").selectExpr("band", "a", "doc as b"), "met")
-        pairs = met.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        text = lambda x: slim.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}"))
-        good = materialize(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "linked")
-        found = good if found is None else found.union(good)
-        tried = pairs if tried is None else tried.union(pairs)
-        held = materialize(met.join(found, ["a", "b"], "left_anti").selectExpr("b as doc", "band"), "bands")
-        if not held.limit(1).count():
+    text = lambda x: slim.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}"))
+    found = tried = labels = None
+    for step in range(STAR_ROUNDS + 1):
+        e = held.withColumn("comp", F.col("doc")) if labels is None else held.join(labels, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+        mixed = e.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
+        e = materialize(e.join(mixed, "band", "left_semi"), "mixed")
+        if step and not e.limit(1).count():
             break
-    return connected_components(found, "a", "b").selectExpr("node as doc_id", "component as class_id")
+        held = e.drop("comp")
+        if step < STAR_ROUNDS:
+            lead = e.groupBy("band").agg(F.min_by(F.struct("doc", "comp"), F.xxhash64("doc", F.lit(step))).alias("lead")).select("band", "lead.*")
+            met = e.alias("l").join(lead.alias("r"), "band").where("l.comp <> r.comp")
+        else:
+            met = e.alias("l").join(e.alias("r"), "band").where("l.comp < r.comp")
+        pairs = met.selectExpr("least(l.doc, r.doc) as a", "greatest(l.doc, r.doc) as b").distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        good = materialize(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "linked")
+        found, tried = (good, pairs) if found is None else (found.union(good), tried.union(pairs))
+        labels = connected_components(found, "a", "b").withColumnRenamed("node", "doc")
+    return labels.selectExpr("doc as doc_id", "component as class_id")
 
 
 def _splits(ids: DataFrame, n: int) -> list[int]:
@@ -130,37 +136,52 @@ def _splits(ids: DataFrame, n: int) -> list[int]:
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compare_with_next(table: pa.Table) -> pa.Table:
-    """One range of ids, with the first row of the next lower range as halo: every row against its next one."""
-    ids = table.column("id").to_numpy()
-    own = table.column("own").to_numpy(zero_copy_only=False)
-    texts = table.column("text").to_pylist()
-    # the halo stands after all own rows: it is of a lower range, or the table's first row where this is the last
-    order = sorted(range(len(ids)), key=lambda i: (not own[i], -int(ids[i]), texts[i]))
-    n = int(own.sum())
-    order = order[: n + 1] if len(order) > n else [*order, order[0]]
-    ids, texts = ids[order], [texts[i] for i in order]
-    edited = []
-    for a, b in zip(texts[:-1], texts[1:], strict=True):
-        k = len(a) // 3
-        edited.append(a[: len(a) - k] + b[:k])
-    sig, sig_edited = signatures(pa.array(texts, pa.large_string())), signatures(pa.array(edited, pa.large_string()))
-    cols = [
-        pa.array([None if i == _NO_ID else int(i) for i in ids[:-1]], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), pa.array([encode(s) for s in sig[:-1]], pa.string()),
-        pa.array([encode(s) for s in sig_edited], pa.string()), pa.array(likeness(sig[:-1], sig_edited)), pa.array(likeness(sig[:-1], sig[1:])),
-    ]
-    return pa.Table.from_arrays(cols, [c.split()[0] for c in _EDITED.split(", ")])
-
-
-def fingerprints_and_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def _compare_with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges in order, each by descending id with its halo last: every own row against the row after it.
+
+    One row is carried from batch to batch, so memory is bounded by a batch.  A range without halo is the whole
+    table; its last row is followed by its first.
+    """
+    held = first = None  # (part, id, text, signature)
+
+    def emit(pairs: list) -> pa.RecordBatch:
+        edited = []
+        for (_, _, a, _), (_, _, b, _) in pairs:
+            k = len(a) // 3
+            edited.append(a[: len(a) - k] + b[:k])
+        sig, nxt = (np.array([p[side][3] for p in pairs], np.uint32).reshape(-1, PERMUTATIONS) for side in (0, 1))
+        changed = signatures(pa.array(edited, pa.large_string()))
+        cols = [
+            pa.array([None if p[1] == _NO_ID else p[1] for p, _ in pairs], pa.int64()), pa.array([len(p[2]) for p, _ in pairs], pa.int64()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), pa.array([encode(x) for x in sig], pa.string()),
+            pa.array([encode(x) for x in changed], pa.string()), pa.array(likeness(sig, changed)), pa.array(likeness(sig, nxt)),
+        ]
+        return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _EDITED.split(", ")])
+
+    for b in batches:
+        sig = signatures(b.column("text"))
+        pairs = []
+        for i, (part, own, id_, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "own", "id", "text")), strict=True)):
+            row = (part, id_, text, sig[i])
+            if held is not None and held[0] == part:
+                pairs.append((held, row))
+            held = row if own else None if held is None or held[0] == part else held
+            first = row if first is None else first
+        if pairs:
+            yield emit(pairs)
+    if held is not None:
+        yield emit([(held, first)])
+
+
+def fingerprints_and_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last floor(n_chars / 3) code points replaced by as
     many first ones of the next document by descending id (after the last, the first).
 
-    The table is dealt once, by ranges of ids; the row that follows a range is sent to it as well.
+    The table is dealt once, by ranges of ids, and sorted within them by Spark, which spills; the row that
+    follows a range is sent to it as well.
     """
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    splits = np.array(_splits(slim.select("id"), block_count(docs, block_bytes)), np.int64)
+    splits = np.array(_splits(slim.select("id"), min(block_count(docs, block_bytes), MAX_RANGES)), np.int64)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most: dict[int, int] = {}
@@ -188,4 +209,5 @@ def fingerprints_and_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 h = b.take(pa.array(halo))
                 yield pa.RecordBatch.from_arrays([pa.array(to[at[halo]]), pa.array(np.zeros(len(halo), bool)), h.column(0), h.column(1)], ["part", "own", "id", "text"])
 
-    return slim.mapInArrow(deal, "part int, own boolean, id long, text string").groupBy("part").applyInArrow(_compare_with_next, _EDITED)
+    dealt = slim.mapInArrow(deal, "part int, own boolean, id long, text string").repartition(max(len(full), 1), "part")
+    return dealt.sortWithinPartitions("part", F.desc("own"), F.desc("id"), "text").mapInArrow(_compare_with_next, _EDITED)

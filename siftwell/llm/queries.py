@@ -40,6 +40,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints_and_edits(_table(spark, sf_dir, "documents"))
 
 
+def fingerprint_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first operator's band join: documents with a near duplicate, and their classes."""
+    return fingerprints.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -58,7 +63,7 @@ def op9_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_exact_topk, op3_packing, op4_html_extraction, op5_ppm_scoring, op6_ngram_jaccard_join, op7_quality_classifier, op8_source_mix, op9_edit_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_exact_topk, op3_packing, op4_html_extraction, op5_ppm_scoring, op6_ngram_jaccard_join, op7_quality_classifier, op8_source_mix, op9_edit_token_counts, op10_substring_dedup, fingerprint_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
