@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,32 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             discard(links)
             return labels.select("node", "component")
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+
+
+def link_in_rounds(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+    """(node, component) of nodes that verified links join, links being sought among the holders of a bucket.
+
+    entries: bucket, node.  verify takes pairs (a, b), a < b, and keeps the true ones.  In each of the first
+    rounds every holder of a bucket is paired with one of its holders, another each time, so a bucket of n holders
+    makes n pairs; the last round pairs whatever holders of a bucket still lie in different components.  Buckets that
+    lie in one component drop out, and no pair is verified twice.
+    """
+    found = tried = labels = None
+    for step in range(rounds + 1):
+        e = entries.withColumn("comp", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        mixed = e.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
+        e = materialize(e.join(mixed, "bucket", "left_semi"), "mixed")
+        if step and not e.limit(1).count():
+            break
+        entries = e.drop("comp")
+        if step < rounds:
+            lead = e.groupBy("bucket").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(step))).alias("lead")).select("bucket", "lead.*")
+            met = e.alias("l").join(lead.alias("r"), "bucket").where("l.comp <> r.comp")
+        else:
+            met = e.alias("l").join(e.alias("r"), "bucket").where("l.comp < r.comp")
+        pairs = met.selectExpr("least(l.node, r.node) as a", "greatest(l.node, r.node) as b").distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        good = materialize(verify(pairs), "linked")
+        found, tried = (good, pairs) if found is None else (found.union(good), tried.union(pairs))
+        labels = connected_components(found, "a", "b")
+    return labels

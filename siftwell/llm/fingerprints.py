@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.components import connected_components
+from siftwell.llm.components import link_in_rounds
 from siftwell.llm.runtime import block_count, materialize
 from siftwell.llm.textkit import U64, mix64, seeded, shingle_sets
 
 PERMUTATIONS = 128
 BAND_ROWS = 4  # 32 bands: a pair of similarity 0.8 shares one with probability 0.99999993
 PERCENT = 80
-STAR_ROUNDS = 2
 MAX_RANGES = 20_000
 EMPTY = 0xFFFFFFFF
 _A, _B = seeded(PERMUTATIONS, 201) | U64(1), seeded(PERMUTATIONS, 202)
@@ -74,10 +73,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id (smallest doc_id reachable by links) of documents that have a near duplicate.
 
-    Bands of signatures are joined on their value.  In STAR_ROUNDS rounds each holder of a band is paired with
-    one of its holders, another in each round, so a band of n holders makes n pairs; the pairs' Jaccard
-    similarity is taken exactly on their shingle sets, and components are formed.  The last round pairs
-    whatever holders of a band still lie in different components: no link that changes a class is lost.
+    Bands of signatures are joined on their value (see link_in_rounds); a pair's Jaccard similarity is taken
+    exactly on the shingle sets of its texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +89,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
                     keys.append(key.astype(np.int64))
                     owner.append(ids[row])
             n = [len(k) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(owner, np.int64), n)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["doc", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(owner, np.int64), n)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["node", "bucket"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,27 +99,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     slim = slim.dropDuplicates(["doc"])
-    held = materialize(slim.mapInArrow(run, "doc long, band long"), "bands")
+    held = materialize(slim.mapInArrow(run, "node long, bucket long"), "bands")
     text = lambda x: slim.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}"))
-    found = tried = labels = None
-    for step in range(STAR_ROUNDS + 1):
-        e = held.withColumn("comp", F.col("doc")) if labels is None else held.join(labels, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-        mixed = e.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
-        e = materialize(e.join(mixed, "band", "left_semi"), "mixed")
-        if step and not e.limit(1).count():
-            break
-        held = e.drop("comp")
-        if step < STAR_ROUNDS:
-            lead = e.groupBy("band").agg(F.min_by(F.struct("doc", "comp"), F.xxhash64("doc", F.lit(step))).alias("lead")).select("band", "lead.*")
-            met = e.alias("l").join(lead.alias("r"), "band").where("l.comp <> r.comp")
-        else:
-            met = e.alias("l").join(e.alias("r"), "band").where("l.comp < r.comp")
-        pairs = met.selectExpr("least(l.doc, r.doc) as a", "greatest(l.doc, r.doc) as b").distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        good = materialize(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "linked")
-        found, tried = (good, pairs) if found is None else (found.union(good), tried.union(pairs))
-        labels = connected_components(found, "a", "b").withColumnRenamed("node", "doc")
-    return labels.selectExpr("doc as doc_id", "component as class_id")
+    verify = lambda pairs: pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    return link_in_rounds(held, verify).selectExpr("node as doc_id", "component as class_id")
 
 
 def _splits(ids: DataFrame, n: int) -> list[int]:

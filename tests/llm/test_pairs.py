@@ -129,3 +129,14 @@ def test_banded_near_duplicates(spark):
     assert got == {i: c for i, c in want.items() if size[c] > 1 and not (i == 16 and size[c] == 1)}
     fp = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(docs(spark)).collect()}
     assert fp[1] == fp[2] == fp[16] != fp[5]
+
+
+def test_near_paragraphs_behind_a_different_first_one(spark):
+    """Three lines in a chain: the ends are near the middle only, and the first of all is near nobody's end."""
+    w = base_text(100, 60).split()
+    edit = lambda at: " ".join(f"x{i}" if i in at else v for i, v in enumerate(w))
+    lines = [edit(set()), edit({10, 30}), edit({10, 30, 50}), edit({10, 30, 50, 70}), edit({90, 10, 20}), edit({90, 10, 20, 40})]
+    texts = [(n, t) for n, t in enumerate(lines)] + [(9, lines[3]), (10, lines[3]), (11, base_text(100, 61))]
+    spans = substring_dedup.repeats(docs(spark, texts)).where("kind = 'line'").collect()
+    want = dict.fromkeys([0, 1, 2, 3, 4, 5, 9, 10], 0)  # by Jaccard or five words in a hundred
+    assert {r["doc_id"]: r["component_id"] for r in spans} == want and sum(r["kept"] for r in spans) == len(set(want.values()))
