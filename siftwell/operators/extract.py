@@ -42,6 +42,13 @@ def directory_companies(rows: DataFrame, key: str, url: str, html: str, skip_hos
     return first_n(firsts.select(key, "pos", "name", F.col("href").alias("link")), [key], ["pos"], most)
 
 
+def scraped_companies(listed: DataFrame, linked: DataFrame, key: str, most: int = 40) -> DataFrame:
+    """key, name, link of a directory: its listed names, then its anchors, first of each name in any case."""
+    rows = listed.select(key, "pos", "name", F.lit("").alias("link"), F.lit(0).alias("_part")).unionByName(linked.select(key, "pos", "name", "link", F.lit(1).alias("_part")))
+    firsts = first_wins(rows.withColumn("_low", F.lower("name")), [key, "_low"], ["_part", "pos"])
+    return first_n(firsts, [key], ["_part", "pos"], most).select(key, "name", "link")
+
+
 def microdata_people(rows: DataFrame, key: str, html: str) -> DataFrame:
     """key, pos, name, title from schema.org Person items."""
     blocks = F.regexp_extract_all(text(F.col(html)), F.lit(r"(?is)(itemtype=[\"']https?://schema\.org/Person[\"'].*?)(?=itemtype=|</body|\z)"), F.lit(1))

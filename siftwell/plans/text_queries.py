@@ -148,7 +148,7 @@ _ITEMS = r"string_split_regex(regexp_replace('1. ' || replace(trim(regexp_replac
 
 
 @query("e01_listed_names", f"with i as (select doc_id, {_ITEMS} as items from documents), u as (select doc_id, unnest(items) as name, unnest(range(0, len(items))) as pos from i), c as (select doc_id, pos::int as pos, trim(regexp_replace(name, '\\s+', ' ', 'g')) as name from u where pos > 0), v as (select * from c where length(name) between 2 and 120), f as (select doc_id, arg_min(name, pos) as name, min(pos) as pos from v group by doc_id, lower(name)), r as (select *, row_number() over (partition by doc_id order by pos) as rn from f) select doc_id, pos, name from r where rn <= 50")
-def _(spark, sf):
+def e01(spark, sf):
     d = table(spark, sf, "documents")
     line = F.replace(F.trim(F.regexp_replace(F.get(F.split("text", "\n"), F.lit(0)), r"[0-9.·•●)]", "")), F.lit(","), F.lit(" 2. "))
     return extract.listed_names(d.withColumn("body", F.concat(F.lit("1. "), line)), "doc_id", "body")
@@ -158,12 +158,22 @@ def _(spark, sf):
 @query("e02_directory_companies", f"""with a as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) as href, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) as label, unnest(range(0, len(regexp_extract_all(html, '(?is)<a\\b[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)))) as pos from pages),
 v as (select page_id, pos::int as pos, trim(regexp_replace(regexp_replace(label, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) as name, 'https://' || lower(substr(href, 2)) || '.example.info' as link from a where length(href) > 1),
 k as (select * from v where length(name) between 2 and 120 and not regexp_matches(name, '(?i)^(profile|contact|directions|call|email|share|compare|website)$')), f as (select page_id, arg_min(name, pos) as name, min(pos) as pos, arg_min(link, pos) as link from k group by page_id, lower(name)) select page_id, pos, name, link from f""")
-def _(spark, sf):
+def e02(spark, sf):
     p = table(spark, sf, "pages").withColumn("html", F.regexp_replace("html", 'href="/([^"]+)"', 'href="https://$1.example.info"'))
     out = extract.directory_companies(p, "page_id", "url", "html", [])
     return out.select("page_id", "pos", "name", F.lower("link").alias("link"))
 
 
+from siftwell.plans.base import QUERIES  # noqa: E402
+
+_E01, _E02 = QUERIES["e01_listed_names"][1], QUERIES["e02_directory_companies"][1]
+
+
+@query("e03_scraped_companies", f"with a as ({_E01}), b as ({_E02}), u as (select doc_id as id, name, '' as link, 0 as part, pos from a union all select page_id, name, link, 1, pos from b), f as (select id, arg_min(name, (part, pos)) as name, arg_min(link, (part, pos)) as link, min((part, pos)) as place from u group by id, lower(name)), r as (select *, row_number() over (partition by id order by place) as rn from f) select id, name, link from r where rn <= 40")
+def _(spark, sf):
+    return extract.scraped_companies(e01(spark, sf).withColumnRenamed("doc_id", "id"), e02(spark, sf).withColumnRenamed("page_id", "id"), "id")
+
+
 @query("e04_microdata_people", f"with {PARTS} select person, upper(first_name[1]) || first_name[2:] || ' ' || upper(last_name[1]) || last_name[2:] as name, lower(p_type) as title from parts")
 def _(spark, sf):
     html = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Person"><span itemprop="name">'), F.initcap("p_name"), F.lit('</span><span itemprop="jobTitle">'), F.lower("p_type"), F.lit("</span></div></body>"))
@@ -338,12 +348,14 @@ def _(spark, sf):
     return emails.leads(people, layers).select("person", "domain", "email", "layer")
 
 
-@query("o02_find_people", f"with {PARTS}, k as (select domain, min(person) as person from parts where {sql_any('p_type', ['standard', 'promo'])} group by domain, lower(p_name)), r as (select k.domain, k.person, row_number() over (partition by k.domain order by k.person) as rn from k) select domain, person from r where rn <= 10")
+@query("o02_find_people", f"with {PARTS}, k as (select domain, arg_min(person, (person % 2, person)) as person, arg_min(p_type, (person % 2, person)) as p_type from parts group by domain, lower(p_name)), r as (select domain, person, row_number() over (partition by domain order by person % 2, person) as rn from k where {sql_any('p_type', ['standard', 'promo'])}) select domain, person, case person % 2 when 0 then 'xray' else 'Website' end as people_source from r where rn <= 10")
 def _(spark, sf):
-    from siftwell.operators.dedupe import merge_people
+    from siftwell.operators.people import find_people
 
-    p = parts(spark, sf).where(contacts.title_passes(F.col("p_type"), ["standard", "promo"])).select("domain", F.col("person").alias("seq"), F.col("p_name").alias("full_name"), F.lit("").alias("linkedin_url"), F.lit(0).alias("source_rank"))
-    return first_n(merge_people(p), ["domain"], ["seq"], 10).select("domain", F.col("seq").alias("person"))
+    rows = parts(spark, sf).select("domain", F.col("person").alias("seq"), F.col("p_name").alias("full_name"), F.col("p_type").alias("title"), F.lit("").alias("linkedin_url"))
+    small, large = rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1")
+    found = find_people(rows.select("domain").distinct(), [("xray", lambda c: small.join(c, "domain", "left_semi")), ("Website", lambda c: large.join(c, "domain", "left_semi"))], ["standard", "promo"])
+    return found.select("domain", F.col("seq").alias("person"), "people_source")
 
 
 @query("g02_hits_by_domain", f"with {HITS}, h as (select run, pos, {sql_domain('link')} as domain, case source when 'web' then 1 else 0 end as panel from hits), f as (select run, domain, min(panel * 1000000 + pos) as place from h group by 1, 2), r as (select *, row_number() over (partition by run order by place) as rn from f) select run, domain, rn::int as rank from r where rn <= 20")
