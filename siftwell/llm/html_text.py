@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.runtime import hash_sample
+
 TRAIN_PAGES = 60
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -282,7 +284,8 @@ def fit(pages: list[str], steps: int = 200, rate: float = 0.1, decay: float = 0.
 
 def extract(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    sample = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).select("html").collect()
+    ids = [r["page_id"] for r in hash_sample(pages.where("html is not null and page_id is not null").select("page_id"), "page_id", train_pages).collect()]
+    sample = pages.where(F.col("page_id").isin(ids) & F.col("html").isNotNull()).select("page_id", "html").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()  # train_pages rows at most
     model = pages.sparkSession.sparkContext.broadcast(fit([r["html"] for r in sample]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.runtime import hash_sample
 from siftwell.llm.textkit import U64, Slice, mix64, shingle_hashes, word_slices
 
 FIT_ROWS = 8_000
@@ -159,9 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     taught = known.where(_fold("doc_id") != 0)
     ids = docs.where("doc_id is not null").select("doc_id").distinct()
-    first = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    labelled = first(taught.join(ids, "doc_id", "left_semi"))
-    free = first(ids.where(_fold("doc_id") != 0).join(known, "doc_id", "left_anti")).withColumn("y", F.lit(-1))
+    labelled = hash_sample(taught.join(ids, "doc_id", "left_semi"), "doc_id", fit_rows)
+    free = hash_sample(ids.where(_fold("doc_id") != 0).join(known, "doc_id", "left_anti"), "doc_id", fit_rows).withColumn("y", F.lit(-1))
     picked = labelled.union(free)  # at most 2 * fit_rows rows of 12 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.runtime import materialize
+from siftwell.llm.runtime import hash_sample, materialize
 
 K = 10
 SCALE = 1024
@@ -93,7 +93,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     asked_n, asked_w = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     width = max(facts["w"] or 1, asked_w or 1)
     row_blocks, query_blocks = -(-facts["n"] // ROW_BLOCK) or 1, -(-asked_n // QUERY_BLOCK) or 1
-    picked = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(PIVOTS).collect()  # at most PIVOTS rows
+    picked = hash_sample(rows, "id", PIVOTS, 7).collect()  # at most PIVOTS rows
     pivots = np.zeros((max(len(picked), 1), width))
     for i, r in enumerate(picked):
         pivots[i, : len(r["v"])] = r["v"]
