@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.scratch import materialize
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the first by order.  Null keys are a key."""
@@ -29,7 +31,8 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "row_no") ->
     """Rows numbered from 1 in a global order, without one task that sorts all of them: ranges are sorted apart,
     numbered within, and shifted by the sizes of the ranges before (one row per range)."""
     ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    # written once: ranges come from a sample, and two reads of the plan could draw different ones
+    local = materialize(ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*order))), "ranges")
     sizes = local.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(before.select("_range", "_before"), "_range").withColumn(name, F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
