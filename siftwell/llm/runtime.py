@@ -1,34 +1,15 @@
-"""Scratch tables in the cluster's shared folder, and sizes of block partitions."""
+"""Sizes of block partitions, bounded samples, and clean-up of scratch tables."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_INPUT_BYTES = 12 << 20
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where unset (tests), a folder set once for the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from siftwell.scratch import materialize, scratch_dir  # noqa: F401
 
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there,
-    and an executor that is lost later takes nothing with it."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
+BLOCK_INPUT_BYTES = 12 << 20
 
 
 def discard(df: DataFrame) -> None:
