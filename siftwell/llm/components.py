@@ -41,26 +41,29 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
-def link_in_rounds(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, complete: bool = True) -> DataFrame:
+def link_in_rounds(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of nodes that verified links join, links being sought among the holders of a bucket.
 
     entries: bucket, node.  verify takes pairs (a, b), a < b, and keeps the true ones.  In each of the first
     rounds every holder of a bucket is paired with one of its holders (first the one that meets most others in its
     buckets, the middle of a group of edited copies; then another), so a bucket of n holders makes n pairs; the last round pairs whatever holders of a bucket still lie in different components.  Buckets that
-    lie in one component drop out, and no pair is verified twice.  Without `complete` there is no last round: its pairs
-    grow with the square of a group of copies whose edits keep them just short of the threshold.
+    lie in one component drop out, and no pair is verified twice.  The pairs of the last round grow with the square of a
+    group of copies whose edits keep them just short of the threshold; `last`, where given, makes that round without a row
+    per pair: it takes (bucket, node, comp) and gives true links (a, b) that join what can be joined within each bucket.
     """
     found = tried = labels = None
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("met"))
     met_by = entries.join(sizes, "bucket").groupBy("node").agg(F.sum("met").alias("met"))
     entries = materialize(entries.join(met_by, "node"), "entries")
-    for step in range(rounds + complete):
+    for step in range(rounds + 1):
         e = entries.withColumn("comp", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         mixed = e.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
         e = materialize(e.join(mixed, "bucket", "left_semi"), "mixed")
         if step and not e.limit(1).count():
             break
         entries = e.drop("comp")
+        if step == rounds and last:
+            return connected_components(found.union(materialize(last(e.select("bucket", "node", "comp")), "linked")), "a", "b")
         if step < rounds:
             lead = e.groupBy("bucket").agg(F.min_by(F.struct("node", "comp"), F.struct(F.lit(0) if step else -F.col("met"), F.xxhash64("node", F.lit(step)))).alias("lead")).select("bucket", "lead.*")
             met = e.alias("l").join(lead.alias("r"), "bucket").where("l.comp <> r.comp")

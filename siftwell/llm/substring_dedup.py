@@ -5,7 +5,9 @@ shingles, cut into BANDS bands of ROWS rows: at Jaccard 0.8 a pair shares a band
 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9997, so recall is what the bands are tuned for and the exact check
 does the rest.  Paragraphs of equal shingle sets are one; different sets that share a band are paired in
 ROUNDS rounds (see link_in_rounds: in each, a band held by n sets costs n pairs at most, first with the set that
-meets most others, then with others; every set meets up to ROUNDS * BANDS of them) and checked by exact Jaccard or, where that fails, by edit distance over words.  Removals are clustered by connected components:
+meets most others, then with others) and checked by exact Jaccard or, where that fails, by edit distance over words.  What
+the rounds leave apart meets whole: every two sets of a band that lie in different clusters are compared, a group of
+up to 2 * CROWD sets at a time (see _links), which gives links and no row per pair.  Removals are clustered by connected components:
 the first paragraph (smallest doc_id, then position) of a component stays.
 
 A passage set into a longer line has no line of its own.  Runs of RUN_WORDS words that start at an
@@ -35,6 +37,8 @@ BANDS, ROWS = 12, 3
 RUN_WORDS = 24
 ANCHOR = 6
 ROUNDS = 3
+CROWD = 512
+GROUP_ROWS = 8192
 PARA_BITS = 24  # a paragraph's number within its document
 SEND_DOCS = 4000
 _A, _B = seeded(BANDS * ROWS, 101) | U64(1), seeded(BANDS * ROWS, 102)
@@ -237,6 +241,131 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], most: int) -> np.ndarray:
+    """Edit distance over words of each pair, most + 1 where it is more: word_edit_distance for many pairs at once."""
+    la, lb = (np.array([len(p[c]) for p in pairs]) for c in (0, 1))
+    n, width, step = len(pairs), 2 * most + 1, np.arange(2 * most + 1, dtype=np.int32)
+    # column d of the band at row i is word i + d - most of b; words beyond either end equal nothing that counts
+    b = np.zeros((n, max(int(la.max()), int(lb.max())) + width + 1), U64)
+    a = np.zeros((n, int(la.max())), U64)
+    for i, (x, y) in enumerate(pairs):
+        a[i, : len(x)] = x
+        b[i, most : most + len(y)] = y
+    row = np.tile(np.abs(step - most), (n, 1)).astype(np.int32)
+    row[:, :most] = most + 1
+    out = np.full(n, most + 1, np.int32)
+    at = np.clip(lb - la + most, 0, width - 1)
+    fits = np.abs(lb - la) <= most
+    for i in range(1, a.shape[1] + 1):
+        new = row + (b[:, i - 1 : i - 1 + width] != a[:, i - 1 : i])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        if i <= most:
+            new[:, : most - i] = most + 1
+            new[:, most - i] = i
+        row = np.minimum.accumulate(new - step, axis=1) + step
+        if i <= most:
+            row[:, : most - i] = most + 1
+        done = np.flatnonzero((la == i) & fits)
+        out[done] = row[done, at[done]]
+    return np.minimum(out, most + 1)
+
+
+def _common(grams: list[np.ndarray]) -> np.ndarray:
+    """Size of what each two sets share."""
+    n = len(grams)
+    owner = np.repeat(np.arange(n), [len(g) for g in grams])
+    _, col, held = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    number = np.cumsum(held > 1) - 1
+    shared = held[col] > 1
+    owner, col = owner[shared], number[col[shared]]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    out = np.zeros((n, n), np.float32)
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        i, j = np.searchsorted(col, [c, c + 4096])
+        m = np.zeros((n, min(4096, int(col[-1]) + 1 - c)), np.float32)
+        m[owner[i:j], col[i:j] - c] = 1
+        out += m @ m.T
+    return out
+
+
+def _group_links(words: list[np.ndarray], grams: list[np.ndarray], comp: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+    """True links that join all that true links of the group join.  Where there is a second part, pairs lie across the parts."""
+    _, comp = np.unique(comp, return_inverse=True)
+    if not comp.any():
+        return []
+    both, size, n_words = _common(grams), np.array([len(g) for g in grams]), np.array([len(w) for w in words])
+    a, b = np.nonzero(np.triu(comp[:, None] != comp[None, :]) & ((second[:, None] != second[None, :]) if second.any() else True))
+    both = both[a, b]
+    out: list[tuple[int, int]] = []
+
+    def join(i: int, j: int) -> None:
+        if comp[i] != comp[j]:
+            out.append((i, j))
+            comp[comp == comp[j]] = comp[i]
+
+    same = 100 * both >= PERCENT * (size[a] + size[b] - both)
+    for i, j in zip(a[same].tolist(), b[same].tolist(), strict=True):
+        join(i, j)
+    # an edit takes SHINGLE_WORDS shingles from either set at most
+    longest = np.maximum(n_words[a], n_words[b])
+    most = longest * (100 - PERCENT) // 400
+    may = np.flatnonzero(~same & (np.abs(n_words[a] - n_words[b]) <= most) & (np.maximum(size[a], size[b]) - both <= SHINGLE_WORDS * most))
+    may = may[np.argsort(longest[may], kind="stable")]
+    at = 0
+    while at < len(may):
+        k = may[at : at + 1024]
+        at += len(k)
+        k = k[comp[a[k]] != comp[b[k]]]
+        if len(k):
+            d = edit_distances([(words[a[i]], words[b[i]]) for i in k.tolist()], int(most[k].max()))
+            for i in k[d <= most[k]].tolist():
+                join(int(a[i]), int(b[i]))
+    return out
+
+
+def _links(table: pa.Table) -> pa.Table:
+    """Links of a block of groups."""
+    t = table.combine_chunks()
+    bucket, p, q, second, node, comp = (t.column(c).to_numpy() for c in ("bucket", "p", "q", "second", "node", "comp"))
+    lists = t.column("words").chunk(0)
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
+    order = np.lexsort((node, q, p, bucket))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (bucket, p, q)], axis=0)
+    cuts = np.append(np.flatnonzero(new), len(order))
+    known: dict[int, np.ndarray] = {}
+    a, b = [], []
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        rows = order[x:y]
+        words = [flat[offsets[r] : offsets[r + 1]] for r in rows.tolist()]
+        for r, w in zip(rows.tolist(), words, strict=True):
+            if node[r] not in known:
+                known[node[r]] = np.unique(shingle_hashes(w))
+        for i, j in _group_links(words, [known[node[r]] for r in rows], comp[rows], second[rows]):
+            a.append(min(node[rows[i]], node[rows[j]]))
+            b.append(max(node[rows[i]], node[rows[j]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _whole_round(left: DataFrame, words: DataFrame) -> DataFrame:
+    """Links between all sets of a band; left: bucket, node, comp.
+
+    A band of many sets is cut into parts of about CROWD by hash, and every two parts meet in a group of their own.
+    Bands of two sets were compared in the first round; of bands that hold the same sets, one is enough.
+    """
+    h = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    sizes = left.groupBy("bucket").agg(F.count("*").alias("n"), h(1).alias("x"), h(2).alias("y")).where("n > 2")
+    sizes = sizes.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+    e = left.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    e = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    e = e.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("second"), "node", "comp")
+    e = materialize(e, "groups")
+    blocks = max(1, -(-e.count() // GROUP_ROWS))
+    e = e.join(words.withColumnRenamed("key", "node"), "node").withColumn("block", F.pmod(F.xxhash64("bucket", "p", "q"), F.lit(blocks)))
+    return e.groupBy("block").applyInArrow(_links, "a long, b long")
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -256,7 +385,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     words = materialize(_paragraphs_of(d, wanted).dropDuplicates(["key"]), "paragraphs")
     side = lambda x: words.selectExpr(f"key as {x}", f"words as w{x}")
     verify = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(_check, "a long, b long")
-    groups = link_in_rounds(sets.select("bucket", F.col("key").alias("node")).distinct(), verify, ROUNDS, complete=False)
+    groups = link_in_rounds(sets.select("bucket", F.col("key").alias("node")).distinct(), verify, ROUNDS, lambda left: _whole_round(left, words))
     places = linked.selectExpr("doc", "no", "key").union(linked.selectExpr("other_doc", "other_no", "other_key")).union(sets.select("doc", "no", "key")).distinct()
     places = places.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("cluster", F.coalesce("component", "key"))
     lead = places.groupBy("cluster").agg(F.min(F.struct("doc", "no")).alias("lead"), F.count("*").alias("n")).where("n > 1")

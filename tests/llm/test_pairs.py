@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from siftwell.llm import components, fingerprints, ngram_join, substring_dedup
+from siftwell.llm import components, fingerprints, ngram_join, substring_dedup, textkit
 from tests.compare import connect, same
 from tests.llm.cases import TEXTS, base_text, docs, empty, shingles
 
@@ -140,3 +140,35 @@ def test_near_paragraphs_behind_a_different_first_one(spark):
     spans = substring_dedup.repeats(docs(spark, texts)).where("kind = 'line'").collect()
     want = dict.fromkeys([0, 1, 2, 3, 4, 5, 9, 10], 0)  # by Jaccard or five words in a hundred
     assert {r["doc_id"]: r["component_id"] for r in spans} == want and sum(r["kept"] for r in spans) == len(set(want.values()))
+
+
+def test_pairs_of_a_template_group_that_shares_all_bands(spark, monkeypatch):
+    """Lines of one template meet in every band and stay below the threshold but for pairs; the pairs are found all the same."""
+    monkeypatch.setattr(substring_dedup, "CROWD", 16, raising=False)
+    base, lines, serial = base_text(60, 70).split(), [], 0
+    bands = lambda w: substring_dedup.bands(substring_dedup.signature(next(iter(textkit.shingle_sets(pa.array([" ".join(w)]))))[1])).tolist()
+    want = bands(base)
+    while len(lines) < 60:
+        serial += 1
+        line = [*base, *(f"p{serial}q{i}" for i in range(8))] if len(lines) % 2 == 0 else [*lines[-1][:-1], f"r{serial}"]
+        if bands(line) == want:
+            lines.append(line)
+    texts = [(n, " ".join(w)) for n, w in enumerate(lines)]
+    sets = [shingles(t) for _, t in texts]
+    assert all((10 * len(a & b) >= 8 * len(a | b)) == (i // 2 == j // 2) for i, a in enumerate(sets) for j, b in enumerate(sets))
+    spans = substring_dedup.repeats(docs(spark, texts)).where("kind = 'line'").collect()
+    assert {r["doc_id"]: r["component_id"] for r in spans} == {i: i - i % 2 for i in range(60)}
+
+
+def test_edit_distances_of_many_pairs():
+    rng = np.random.default_rng(7)
+    pairs = []
+    for _ in range(300):
+        a = rng.integers(1, 9, rng.integers(1, 30)).astype(np.uint64)
+        b = a.tolist()
+        for _ in range(rng.integers(0, 8)):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 2))] = rng.integers(1, 9, rng.integers(0, 2)).tolist()
+        pairs.append((a, np.array(b, np.uint64)))
+    for most in (1, 3, 6):
+        assert substring_dedup.edit_distances(pairs, most).tolist() == [min(substring_dedup.word_edit_distance(a, b, most), most + 1) for a, b in pairs]
