@@ -10,10 +10,10 @@ the rounds leave apart meets whole: every two sets of a band that lie in differe
 up to 2 * CROWD sets at a time (see _links), which gives links and no row per pair.  Removals are clustered by connected components:
 the first paragraph (smallest doc_id, then position) of a component stays.
 
-A passage set into a longer line has no line of its own.  Runs of RUN_WORDS words that start at an
-anchor (a word triple whose hash is a multiple of ANCHOR) are therefore paragraphs too; as they are
-short, they are compared word for word.  A passage of 50 words holds an anchored run with probability
-above 0.99, and overlapping runs join into one span.
+A passage set into a longer line has no line of its own.  Every run of RUN_WORDS words that stands in two documents is
+therefore a repeat too, and overlapping runs join into one span, the whole common passage.  A run's seed is the
+SEED_WORDS words from its least word triple on (the first of equal ones, among those where a seed fits in the run), so equal
+runs have equal seeds.  Seeds meet first; then all runs of the seeds that two documents hold, word for word.
 
 Exchanges carry packed blocks per hash block (see ngram_join), not one row per paragraph and band.
 """
@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.components import link_in_rounds
 from siftwell.llm.runtime import block_count, materialize
-from siftwell.llm.textkit import SHINGLE_WORDS, U64, Slice, mix64, seeded, set_key, shingle_hashes, word_slices
+from siftwell.llm.textkit import SHINGLE_WORDS, U64, Slice, _power_tables, mix64, seeded, set_key, shingle_hashes, word_slices
 
 MIN_WORDS = 25
 PERCENT = 80
 BANDS, ROWS = 12, 3
 RUN_WORDS = 24
-ANCHOR = 6
+SEED_WORDS = 14
 ROUNDS = 3
 CROWD = 512
 GROUP_ROWS = 8192
@@ -70,7 +70,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 _SENT = "to long, kind int, ids binary, keys binary, hashes binary"
 _SENT_ARROW = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("hashes", pa.binary())])
-_LINE, _RUN, _BAND = 0, 1, 2
+_LINE, _SEED, _BAND, _RUN = 0, 1, 2, 3
 
 
 def _first_only(hashes: np.ndarray, order_by: np.ndarray) -> np.ndarray:
@@ -111,33 +111,100 @@ def _send_piece(piece: pa.RecordBatch, n_blocks: int) -> Iterator[pa.RecordBatch
             line_band.append(known[key])
         line_doc.append(ids[s.first + doc[wide]])
         line_no.append(number[wide])
-        if len(s.hashes) >= RUN_WORDS:
-            three = shingle_hashes(s.hashes, 3)[: len(s.hashes) - RUN_WORDS + 1]
-            pick = np.flatnonzero(three % U64(ANCHOR) == 0)
-            owner = np.searchsorted(s.word_from, pick, "right") - 1
-            inside = pick + RUN_WORDS <= s.word_from[owner + 1]
-            pick, owner = pick[inside], owner[inside]
-            with np.errstate(over="ignore"):
-                power = np.full(len(s.hashes) + 1, U64(0x9E3779B97F4A7C55))
-                power[0] = 1
-                power = np.cumprod(power, dtype=U64)
-                sums = np.concatenate([np.zeros(1, U64), np.cumsum(s.hashes * power[:-1], dtype=U64)])
-                inv = np.full(len(s.hashes) + 1, U64(pow(0x9E3779B97F4A7C55, -1, 1 << 64)))
-                inv[0] = 1
-                inv = np.cumprod(inv, dtype=U64)
-                run_hash.append(mix64((sums[pick + RUN_WORDS] - sums[pick]) * inv[pick]))
-            run_doc.append(ids[s.first + owner])
-            run_at.append(pick - s.word_from[owner])
+        _, pick = run_starts(s)
+        pick = np.unique(pick)
+        run_hash.append(_hash_of(s.hashes, pick, SEED_WORDS))
+        owner = np.searchsorted(s.word_from, pick, "right") - 1
+        run_doc.append(ids[s.first + owner])
+        run_at.append(pick - s.word_from[owner])
     if line_key:
         doc, no, key = np.concatenate(line_doc), np.concatenate(line_no), np.array(line_key, np.int64)
         yield from _deal(_LINE, np.repeat(doc, BANDS), np.repeat(no, BANDS), np.repeat(key, BANDS), np.concatenate(line_band), n_blocks)
     if run_hash:
         doc, at, h = np.concatenate(run_doc), np.concatenate(run_at), np.concatenate(run_hash)
-        yield from _deal(_RUN, doc, at, None, h, n_blocks)
+        yield from _deal(_SEED, doc, at, None, h, n_blocks)
+
+
+def run_starts(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """First word of every run of RUN_WORDS words within a document, and of the run's seed."""
+    if len(s.hashes) < RUN_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    three = shingle_hashes(s.hashes, 3)
+    least = lambda a, b: np.where(three[a] <= three[b], a, b)
+    places, width = RUN_WORDS - SEED_WORDS + 1, 1
+    seed = np.arange(len(s.hashes) - SEED_WORDS + 1)
+    while width * 2 <= places:
+        seed = least(seed[:-width], seed[width:])
+        width *= 2
+    if width < places:
+        seed = least(seed[: width - places], seed[places - width :])
+    start = np.arange(len(seed))
+    inside = start + RUN_WORDS <= s.word_from[np.searchsorted(s.word_from, start, "right")]
+    return start[inside], seed[inside]
+
+
+def _hash_of(hashes: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each start on."""
+    up, down = _power_tables(len(hashes) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * up[: len(hashes)], dtype=U64)])
+        return mix64((sums[start + n] - sums[start]) * down[start])
+
+
+def _send_runs(n_blocks: int):
+    """All runs of the wanted seeds; runs of one seed go to one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SEND_DOCS):
+                piece = batch.slice(at, SEND_DOCS)
+                ids, seeds = piece.column(0).to_numpy(zero_copy_only=False), piece.column(2).to_pylist()
+                parts = []
+                for s in word_slices(piece.column(1)):
+                    wanted = np.zeros(len(s.hashes) + 1, bool)
+                    for d in range(s.n_docs):
+                        no = np.array(seeds[s.first + d], np.int64) + s.word_from[d]
+                        wanted[no[no < s.word_from[d + 1]]] = True
+                    start, seed = run_starts(s)
+                    start, seed = start[wanted[seed]], seed[wanted[seed]]
+                    owner = np.searchsorted(s.word_from, start, "right") - 1
+                    parts.append((ids[s.first + owner], start - s.word_from[owner], _hash_of(s.hashes, start, RUN_WORDS), _hash_of(s.hashes, seed, SEED_WORDS)))
+                if parts:
+                    doc, no, h, by = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    yield from _deal(_RUN, doc, no, None, h, n_blocks, by)
 
+    return run
 
-def _deal(kind: int, doc: np.ndarray, no: np.ndarray, key: np.ndarray | None, h: np.ndarray, n_blocks: int) -> Iterator[pa.RecordBatch]:
-    to = (h >> U64(40)) % U64(n_blocks)
+
+_RUNS = "doc long, no int, n_words int, lead long, kept boolean"
+
+
+def _meet_runs(table: pa.Table) -> pa.Table:
+    """One block of runs: those that several documents hold, consecutive ones in one row; the first holder keeps its own."""
+    ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), [("doc", "<i8"), ("no", "<u4")])
+    h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), U64)
+    order = np.lexsort((ids["no"], ids["doc"], h))
+    h, doc, no = h[order], ids["doc"][order], ids["no"][order].astype(np.int64)
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    at = np.cumsum(new) - 1
+    lead = doc[first][at]
+    other = doc != lead
+    take = np.bincount(at, other, len(first))[at] > 0
+    doc, no, lead, kept = doc[take], no[take], lead[take], ~other[take]
+    order = np.lexsort((no, kept, lead, doc))
+    doc, no, lead, kept = doc[order], no[order], lead[order], kept[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1]) | (kept[1:] != kept[:-1]) | (no[1:] > no[:-1] + 1)
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(doc)) - 1
+    cols = [pa.array(doc[a]), pa.array(no[a].astype(np.int32)), pa.array((no[b] - no[a] + RUN_WORDS).astype(np.int32)), pa.array(lead[a]), pa.array(kept[a])]
+    return pa.table(cols, names=["doc", "no", "n_words", "lead", "kept"])
+
+
+def _deal(kind: int, doc: np.ndarray, no: np.ndarray, key: np.ndarray | None, h: np.ndarray, n_blocks: int, by: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    to = ((h if by is None else by) >> U64(40)) % U64(n_blocks)
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(n_blocks + 1, dtype=U64))
     out = []
@@ -161,10 +228,10 @@ _FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("no", pa.i
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One hash block: link every holder of a hash and set to the first one (none within one document's runs).
+    """One hash block: link every holder of a hash and set to the first one; of seeds, the places if several documents hold one.
     For lines, also the sets of each band that different sets hold: doc and no give a place of the set, other_key the band."""
     out = []
-    for kind in (_LINE, _RUN):
+    for kind in (_LINE, _SEED):
         t = table.filter(pa.array(table.column("kind").to_numpy() == kind))
         if not t.num_rows:
             continue
@@ -182,8 +249,12 @@ def _meet(table: pa.Table) -> pa.Table:
             at = np.cumsum(bucket) - 1
             i = np.flatnonzero(new & (np.bincount(at, new)[at] > 1))
             out.append([np.full(len(i), _BAND), ids["doc"][i], ids["no"][i], ids["doc"][i], ids["no"][i], key[i], h[i].astype(np.int64)])
-        other = ~new & ((ids["doc"] != ids["doc"][lead]) | (kind == _LINE))
-        a, b = np.flatnonzero(other), lead[other]
+        else:
+            at = np.cumsum(bucket) - 1
+            i = np.flatnonzero(np.bincount(at, ids["doc"] != ids["doc"][lead])[at] > 0)
+            out.append([np.full(len(i), kind), ids["doc"][i], ids["no"][i], *[np.zeros(len(i), np.int64)] * 4])
+            continue
+        a, b = np.flatnonzero(~new), lead[~new]
         out.append([np.full(len(a), kind), ids["doc"][a], ids["no"][a], ids["doc"][b], ids["no"][b], key[a], key[b]])
     cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 7
     return pa.Table.from_arrays([pa.array(c.astype(np.int64)).cast(f.type) for c, f in zip(cols, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
@@ -393,9 +464,10 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.col("doc").alias("doc_id"), F.lit("line").alias("kind"), "no", F.lit(0).alias("n_words"), F.col("lead.doc").alias("component_id"),
         (F.struct("doc", "no") == F.col("lead")).alias("kept"),
     )
-    r = found.where(f"kind = {_RUN}")
-    runs = r.selectExpr("doc", "no", "other_doc as lead", "false as kept").union(r.selectExpr("other_doc", "other_no", "other_doc", "true")).groupBy("doc", "no").agg(F.min("lead").alias("lead"), F.min("kept").alias("kept"))
-    out = out.union(runs.select("doc", F.lit("run"), "no", F.lit(RUN_WORDS), "lead", "kept"))
+    seeds = found.where(f"kind = {_SEED}").groupBy("doc").agg(F.collect_list("no").alias("seeds"))
+    held = d.join(seeds, d["_id"] == seeds["doc"]).select("_id", "text", "seeds")
+    runs = held.mapInArrow(_send_runs(block_count(docs)), _SENT).groupBy("to").applyInArrow(_meet_runs, _RUNS)
+    out = out.union(runs.select("doc", F.lit("run"), "no", "n_words", "lead", "kept"))
     return materialize(out, "passages")
 
 

@@ -172,3 +172,17 @@ def test_edit_distances_of_many_pairs():
         pairs.append((a, np.array(b, np.uint64)))
     for most in (1, 3, 6):
         assert substring_dedup.edit_distances(pairs, most).tolist() == [min(substring_dedup.word_edit_distance(a, b, most), most + 1) for a, b in pairs]
+
+
+def test_passages_inside_lines_are_found_whole(spark):
+    """Passages of 24 words or more amid other words: none is missed, and no word of one is left over."""
+    text = lambda tag, n: [f"{tag}x{i}" for i in range(n)]
+    sizes = {k: 24 + k % 12 for k in range(48)} | {48: 23, 49: 60}
+    passage = {k: text(f"p{k}", n) for k, n in sizes.items()}
+    passage[47] = ["la", "la", "li"] * 10  # few distinct triples
+    parts = lambda k, n: (text(f"a{k}n{n}", 40 + k), passage[k], text(f"b{k}n{n}", 30))
+    texts = [(100 * n + k, " ".join(sum(parts(k, n), []))) for k in sizes for n in (0, 1)]
+    got = {(r["doc_id"], r["n_words"], r["component_id"], r["kept"]) for r in substring_dedup.repeated_spans(docs(spark, texts)).collect()}
+    assert got == {(100 * n + k, len(passage[k]), k, n == 0) for k in sizes if k != 48 for n in (0, 1)}
+    out = {r["doc_id"]: r["text"].split() for r in substring_dedup.remove_repeats(docs(spark, texts)).collect()}
+    assert all(out[100 + k] == parts(k, 1)[0] + (passage[k] if k == 48 else []) + parts(k, 1)[2] for k in sizes)
