@@ -1,27 +1,27 @@
-"""Document scores by prediction by partial matching (PPM) over bytes, pretrained on the corpus.
-
-The lower-cased text is a sequence of units: a word (possibly empty) and the one separator byte, or the
-end, that follows it.  Inside a unit, a byte is predicted from up to ORDER preceding symbols (a start mark
-is one) with escapes by method D and symbol exclusion: in the longest context that the trie knows, a symbol
-seen c of n times among d distinct ones has probability (2c - 1) / 2n and the escape d / 2n; after an escape,
-n and d of the next shorter context leave out the symbols of the one before; below order 0, all symbols not
-seen there are equally likely.  So the probabilities of all texts sum to at most one.
-
-A document's start mark tells its class: the commonest of the 64 byte values 0x80-0xBF in it, or none,
-which sets scripts and languages apart.  The class is sent ahead at log10(CLASSES) a document, so the cost
-stays that of a code for whole texts.
-
-Contexts do not cross units, so a unit's code length depends on the unit alone and is taken once per block
-of documents and distinct unit, then summed per document.
-
-Trie counts come from every training document: each task adds up its distinct units, and packed blocks of
-(context, symbol) counts are added up by context.  The trie that scoring broadcasts holds MAX_ENTRIES
-entries at most (a bound on the model, not on the data): the least count that fits is found from a
-histogram and rarer entries are left out of every order alike.
-
-The baseline counts words over the training documents exactly.  Each block of documents sends (word,
-times) pairs in packed form to hash blocks, which answer with the training count of each.  Words are told
-apart by log2(hash blocks) + 40 bits of a 64-bit hash.
+"""Document scores by prediction by partial matching (PPM) over bytes, pretrained on the whole corpus.
+
+A document is its bytes with A-Z lower-cased, after START marks, and one END.  Each byte is predicted from the ORDER
+bytes before it, whatever they are (spaces and earlier words too), with escapes by method D and symbol exclusion: in
+the longest context that training saw, a symbol seen c of n times among d distinct ones has probability
+(2c - 1) / 2n and the escape d / 2n; after an escape, n and d of the next shorter context leave out the symbols of
+the one before; below order 0, all symbols not seen there are equally likely.
+
+At an anchor a context of LONG bytes comes first, if training saw one continuation only (a deterministic context, as
+in PPM*).  An anchor follows a separator whose last ORDER + 1 bytes hash to a multiple of ANCHOR, so equal passages
+have equal anchors wherever they stand; the bytes up to the next anchor are a unit.  Where training saw c times the
+unit u and nothing else after the LONG bytes, each byte of u costs log10((2c - 1) / 2c), and a document that goes on
+otherwise escapes at the anchor by log10(1 / 2c) and spells its unit by the shorter contexts.  The probabilities of
+all texts sum to at most one.
+
+The model has every context of every training document and grows with them; none is pruned and nothing of it passes
+through the driver or a broadcast.  Documents are written once in pieces of PIECE_BYTES.  A piece sends its distinct
+(context, byte) keys, long contexts and words with their training counts to hash blocks, one entry a key, so that a
+key of a third of all rows arrives as one entry a piece.  A block adds up and answers with costs and counts.  Keys that
+training never saw (in held-out documents) get their escapes by joins of the counts of orders ORDER to 0, one level at
+a time over distinct keys: at most 256 rows meet in one key there.  The piece's own block sums up its documents.
+
+Long contexts and words are told apart by log2(hash blocks) + 40 bits of a 64-bit hash, units by 32 bits beside their
+context.  The baseline counts words exactly otherwise.
 
 Null texts are empty: one end token.  Null ids hash as empty text and come back null.  Rows that repeat an
 id are scored and counted each.  An empty table gives no rows.
@@ -29,7 +29,7 @@ id are scored and counted each.  An empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,395 +42,360 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.ngram_join import _pack40, _unpack40
 from siftwell.llm.runtime import block_count, materialize
-from siftwell.llm.textkit import _LOWER, _LOWER_BYTE, _SPACE, U64, _power_tables, _string_buffers, mix64, word_slices
+from siftwell.llm.textkit import _BYTE, _LOWER, _SPACE, U64, _power_tables, _string_buffers, mix64
 
-ORDER = 5
-MAX_ENTRIES = 1_000_000
+ORDER = 4
+LONG = 16
+ANCHOR = 4
 HOLD_OUT = 10
-BLOCK_DOCS = 4_000
-BLOCK_BYTES = 5 << 20
-UNIT_SLICE = 1 << 19
-END, START = 256, 257  # symbols beside the 256 bytes; start marks of the document classes follow START
-SYMBOLS = 257  # that can be predicted
-CLASSES = 65
-_BITS = 9
-_ORDER_SHIFT = _BITS * (ORDER + 1)
-_END_MARK = 0x5851F42D4C957F2D
+PIECE_DOCS = 4_000
+PIECE_BYTES = 5 << 20
+HASH_BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 1 << 19
+START, END = 0xFF, 0xFE  # bytes that UTF-8 never uses
+SYMBOLS = 255  # that can be predicted: all but START
+_LOW40 = U64((1 << 40) - 1)
 
 
 @dataclass
-class Units:
-    """Distinct units of some documents: flat symbols (END included), where each starts, its start mark, how
-    often it stands, and the unit of every place with the document it is in."""
-
-    symbols: np.ndarray
-    bounds: np.ndarray
-    start: np.ndarray
-    counts: np.ndarray
-    place: np.ndarray
-    owner: np.ndarray
-
-
-def document_classes(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """0 for documents without bytes 0x80-0xBF, else 1 + the commonest (the smallest of those)."""
-    n = len(bounds) - 1
-    at = np.flatnonzero((raw >= 0x80) & (raw < 0xC0))
-    who = np.searchsorted(bounds, at, "right") - 1
-    table = np.bincount(who * 64 + (raw[at] & 0x3F), minlength=n * 64).reshape(n, 64)
-    return np.where(table.any(axis=1), table.argmax(axis=1) + 1, 0)
-
-
-def units_of(texts: pa.Array, weights: np.ndarray | None = None) -> Units:
-    """weights: 0 or 1 per document; places of documents of weight 0 do not count."""
-    offsets, data = _string_buffers(texts)
-    hashes, starts, sizes, ends, owners, marks = [], [], [], [], [], []
-    i, n = 0, len(offsets) - 1
+class Parts:
+    """Symbols, units and words of a piece of documents."""
+
+    key: np.ndarray  #: of every symbol: the ORDER symbols before it and itself, a byte each
+    doc: np.ndarray  #: its document
+    long: np.ndarray  #: hash of the LONG symbols before each unit (first units of documents are left out)
+    unit: np.ndarray  #: 32-bit hash of the unit
+    begin: np.ndarray  #: its symbols
+    end: np.ndarray
+    unit_doc: np.ndarray
+    word: np.ndarray  #: hash of every word
+    word_doc: np.ndarray
+
+
+def parts_of(raw: np.ndarray, bounds: np.ndarray) -> Parts:
+    """raw: lower-cased bytes of all documents; bounds: where each begins, with the end appended."""
+    out: list[list[np.ndarray]] = [[] for _ in range(9)]
+    at, i, n = 0, 0, len(bounds) - 1
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + UNIT_SLICE, "right")) - 1
+        j = int(np.searchsorted(bounds, bounds[i] + SLICE_BYTES, "right")) - 1
         j = min(max(j, i + 1), n)
-        raw = data[offsets[i] : offsets[j]]
-        bounds = offsets[i : j + 1] - offsets[i]
-        stop = np.flatnonzero(_SPACE[raw]) + 1
-        done = np.concatenate([np.zeros(len(stop), bool), np.ones(j - i, bool)])
-        # units in text order: every separator ends one, every document ends one
-        stop_all = np.concatenate([stop, bounds[1:]])
-        who = np.concatenate([np.searchsorted(bounds, stop - 1, "right") - 1, np.arange(j - i)])
-        order = np.lexsort((done, stop_all, who))
-        stop_all, done, who = stop_all[order], done[order], who[order]
-        first = np.empty(len(who), bool)
-        first[0] = True
-        np.not_equal(who[1:], who[:-1], out=first[1:])
-        begin = np.where(first, bounds[who], np.concatenate([[0], stop_all[:-1]]))
-        up, down = _power_tables(len(raw) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.empty(len(raw) + 1, U64)
-            sums[0] = 0
-            np.cumsum(_LOWER_BYTE[raw] * up[: len(raw)], dtype=U64, out=sums[1:])
-            mark = document_classes(raw, bounds)[who] + START
-            h = mix64((sums[stop_all] - sums[begin]) * down[begin] + (stop_all - begin).astype(U64) + done.astype(U64) * U64(_END_MARK))
-            h = mix64(h + mark.astype(U64) * U64(0x9E3779B97F4A7C15))
-        hashes.append(h)
-        starts.append(begin + offsets[i])
-        sizes.append((stop_all - begin).astype(np.int32))
-        ends.append(done)
-        marks.append(mark.astype(np.int16))
-        owners.append((who + i).astype(np.int32))
+        for c, x in zip(out, _slice_parts(raw, bounds, i, j, at), strict=True):
+            c.append(x)
+        at += len(out[0][-1])
         i = j
-    if not hashes:
-        z = np.zeros(0, np.int64)
-        return Units(z, np.zeros(1, np.int64), z, z, z, z)
-    _, at, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    del hashes
-    place = place.astype(np.int32)
-    start, size, end, mark = (np.concatenate(x)[at] for x in (starts, sizes, ends, marks))
-    del starts, sizes, ends, marks
-    owner = np.concatenate(owners)
-    counts = np.bincount(place, None if weights is None else weights[owner], minlength=len(at)).astype(np.int64)
-    size = size.astype(np.int64)
-    total = size + end
-    bounds = np.concatenate([[0], np.cumsum(total)])
-    inner = np.arange(bounds[-1]) - np.repeat(bounds[:-1], total)
-    source = np.repeat(start, total) + inner
-    is_end = inner >= np.repeat(size, total)
-    source[is_end] = 0
-    symbols = _LOWER[data[source]].astype(np.int64) if len(data) else np.zeros(len(source), np.int64)
-    symbols[is_end] = END
-    return Units(symbols, bounds, mark.astype(np.int64), counts, place, owner)
-
-
-def context_keys(symbols: np.ndarray, bounds: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(order, positions, keys) from ORDER down to 0: key packs the order, the context and the symbol."""
-    mark = np.repeat(start, np.diff(bounds))
-    depth = np.arange(len(symbols)) - np.repeat(bounds[:-1], np.diff(bounds)) + 1  # symbols before it, start mark included
-    for k in range(ORDER, -1, -1):
-        at = np.flatnonzero(depth >= k)
-        key = symbols[at] | k << _ORDER_SHIFT
-        for i in range(1, k + 1):
-            before = np.where(depth[at] > i, symbols[np.maximum(at - i, 0)], mark[at])
-            key |= before << (_BITS * i)
-        yield k, at, key
-
-
-def entry_counts(u: Units) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (context, symbol) keys and their counts."""
-    used = u.counts > 0
-    size = np.diff(u.bounds)
-    weight = np.repeat(u.counts, size)
-    if not used.all():
-        keep = np.repeat(used, size)
-        u = Units(u.symbols[keep], np.concatenate([[0], np.cumsum(size[used])]), u.start[used], u.counts[used], u.place, u.owner)
-        weight = weight[keep]
-    keys, counts = [], []
-    for _, at, key in context_keys(u.symbols, u.bounds, u.start):
-        a, b = _add_up(key, weight[at])
-        keys.append(a)
-        counts.append(b)
-    return np.concatenate(keys), np.concatenate(counts)
-
-
-def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    new = np.empty(len(keys), bool)
-    new[:1] = True
-    np.not_equal(keys[1:], keys[:-1], out=new[1:])
-    at = np.flatnonzero(new)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
-
-
-class Trie:
-    """Log10 costs by context, from sorted (context, symbol) keys and counts."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, c = keys[order], counts[order].astype(np.float64)
-        ctx = self.keys >> _BITS
-        new = np.empty(len(ctx), bool)
-        new[:1] = True
-        np.not_equal(ctx[1:], ctx[:-1], out=new[1:])
-        at = np.flatnonzero(new)
-        self.contexts = ctx[at]
-        owner = np.cumsum(new) - 1
-        n = np.add.reduceat(c, at) if len(at) else np.zeros(0)
-        d = np.diff(np.append(at, len(ctx))).astype(np.float64)
-        k = self.contexts >> (_ORDER_SHIFT - _BITS)
-        # the next shorter context drops the oldest symbol
-        keep = (np.int64(1) << (_BITS * np.maximum(k - 1, 0))) - 1
-        parent = (np.maximum(k - 1, 0) << (_ORDER_SHIFT - _BITS)) | (self.contexts & keep)
-        p = np.minimum(np.searchsorted(self.contexts, parent), max(len(self.contexts) - 1, 0))
-        in_parent = (parent[owner] << _BITS) | (self.keys & ((1 << _BITS) - 1))
-        e = np.minimum(np.searchsorted(self.keys, in_parent), max(len(self.keys) - 1, 0))
-        covered = np.bincount(owner, c[e], minlength=len(n)) if len(c) else np.zeros(0)
-        n_ex, d_ex = np.maximum(n[p] - covered, 0), d[p] - d
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.hit_first = np.log10((2 * c - 1) / (2 * n[owner]))  # symbol in the longest known context
-            self.hit = np.log10(2 * c - 1)  # less norm of the context escaped from
-            self.escape_first = np.log10(d / (2 * n))
-            self.norm = np.log10(2 * n_ex)
-            self.escape_next = np.where(d_ex > 0, np.log10(d_ex) - self.norm, 0.0)
-        root = np.searchsorted(self.contexts, 0)
-        seen = d[root] if len(d) and self.contexts[root] == 0 else 0.0
-        self.unseen = -np.log10(max(SYMBOLS - seen, 1.0))
-
-    def unit_costs(self, symbols: np.ndarray, bounds: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Log10 probability of each unit."""
-        total = np.zeros(len(symbols))
-        above = np.full(len(symbols), -1)  # context escaped from, -1 before the first known one
-        open_ = np.ones(len(symbols), bool)
-        for _, at, key in context_keys(symbols, bounds, start):
-            live = open_[at]
-            at, key = at[live], key[live]
-            if not len(self.keys):
-                break
-            e = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[e] == key
-            h, up = at[hit], above[at[hit]]
-            total[h] += np.where(up < 0, self.hit_first[e[hit]], self.hit[e[hit]] - self.norm[up])
-            open_[h] = False
-            miss, mk = at[~hit], key[~hit] >> _BITS
-            c = np.minimum(np.searchsorted(self.contexts, mk), len(self.contexts) - 1)
-            known = self.contexts[c] == mk
-            m, c = miss[known], c[known]
-            up = above[m]
-            total[m] += np.where(up < 0, self.escape_first[c], self.escape_next[up])
-            above[m] = c
-        total[open_] += self.unseen
-        sums = np.concatenate([[0.0], np.cumsum(total)])
-        return sums[bounds[1:]] - sums[bounds[:-1]]
-
-    def text_costs(self, texts: pa.Array) -> np.ndarray:
-        u = units_of(texts)
-        if not len(u.place):
-            return np.zeros(0)
-        return np.bincount(u.owner, self.unit_costs(u.symbols, u.bounds, u.start)[u.place], minlength=len(texts)) - np.log10(CLASSES)
+    kinds = (U64, np.int32, U64, np.uint32, np.int64, np.int64, np.int32, U64, np.int32)
+    return Parts(*(np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds, strict=True)))
+
+
+def _slice_parts(raw: np.ndarray, bounds: np.ndarray, i: int, j: int, at: int) -> tuple[np.ndarray, ...]:
+    n, size = j - i, np.diff(bounds[i : j + 1])
+    first = np.arange(n) * (LONG + 1) + LONG + (bounds[i:j] - bounds[i])  # of each document in the padded bytes
+    buf = np.full(int(size.sum()) + n * (LONG + 1), START, np.uint8)
+    for d in range(n):
+        buf[first[d] : first[d] + size[d]] = raw[bounds[i + d] : bounds[i + d + 1]]
+    stop = first + size
+    buf[stop] = END
+    wide = buf.astype(U64)
+    key = wide.copy()
+    for k in range(1, ORDER + 1):
+        key[k:] |= wide[:-k] << U64(8 * k)
+    real = buf != START
+    doc = np.repeat(np.arange(i, j, dtype=np.int32), size + 1)
+    up, down = _power_tables(len(buf) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.empty(len(buf) + 1, U64)
+        sums[0] = 0
+        np.cumsum(_BYTE[buf] * up[: len(buf)], dtype=U64, out=sums[1:])
+        space = _SPACE[buf]
+        gap = np.flatnonzero(space)
+        anchor = gap[mix64(key[gap]) % U64(ANCHOR) == 0] + 1
+        edge = np.sort(np.concatenate([first, anchor]))
+        owner = np.searchsorted(first, edge, "right") - 1
+        end = np.minimum(np.append(edge[1:], len(buf)), stop[owner] + 1)
+        inner = edge != first[owner]
+        edge, end, owner = edge[inner], end[inner], owner[inner]
+        long = mix64((sums[edge] - sums[edge - LONG]) * down[edge - LONG])
+        unit = (mix64((sums[end] - sums[edge]) * down[edge] + (end - edge).astype(U64)) >> U64(32)).astype(np.uint32)
+        solid = ~space & (buf < END)
+        word = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+        word_end = np.flatnonzero(solid & ~np.concatenate([solid[1:], [False]])) + 1
+        hashes = mix64((sums[word_end] - sums[word]) * down[word] + (word_end - word).astype(U64))
+    shift = at - (owner + 1) * LONG  # padded places to numbers of symbols
+    return key[real], doc, long, unit, edge + shift, end + shift, (owner + i).astype(np.int32), hashes, (np.searchsorted(first, word, "right") - 1 + i).astype(np.int32)
 
 
 def _held_out(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % HOLD_OUT == 0 for i in ids.to_pylist()], bool)
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of bounded rows and bytes (a longer document is one by itself)."""
-    offsets, _ = _string_buffers(batch.column(1))
-    i, n = 0, batch.num_rows
-    while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + BLOCK_BYTES, "right")) - 1
-        j = min(max(j, i + 1), i + BLOCK_DOCS, n)
-        yield batch.slice(i, j - i)
-        i = j
-
+_PIECE_DDL = "block long, docs binary, size long, text binary"
+
+
+def _write_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of bounded rows and bytes (a longer document is one by itself): ids, flags and lengths, and compressed text."""
+    part, serial, codec = TaskContext.get().partitionId(), 0, pa.Codec("zstd")
+    for batch in batches:
+        offsets, data = _string_buffers(batch.column(1))
+        held = _held_out(batch.column(0))
+        ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+        missing = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        i, n = 0, batch.num_rows
+        while i < n:
+            j = int(np.searchsorted(offsets, offsets[i] + PIECE_BYTES, "right")) - 1
+            j = min(max(j, i + 1), i + PIECE_DOCS, n)
+            docs = np.column_stack([ids[i:j], held[i:j], missing[i:j], np.diff(offsets[i : j + 1])]).astype(np.int64)
+            raw = _LOWER[data[offsets[i] : offsets[j]]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(part << 24) + serial]), pa.array([docs.tobytes()], pa.binary()), pa.array([len(raw)]), pa.array([codec.compress(raw.tobytes(), asbytes=True)], pa.binary())],
+                ["block", "docs", "size", "text"],
+            )
+            serial += 1
+            i = j
+
+
+def _read_piece(docs: bytes, size: int, text: bytes) -> tuple[np.ndarray, Parts]:
+    d = np.frombuffer(docs, np.int64).reshape(-1, 4)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(text, size, asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+    return d, parts_of(raw, np.concatenate([[0], np.cumsum(d[:, 3])]))
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often each stands (a plain sort is several times as fast as np.unique here)."""
+    x = np.sort(x)
+    cut = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[cut], np.diff(np.append(cut, len(x)))
+
+
+def _found(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and which of them each value is."""
+    coded = pa.array(x).dictionary_encode()
+    values = coded.dictionary.to_numpy()
+    order = np.argsort(values)
+    place = np.empty(len(values), np.int32)
+    place[order] = np.arange(len(values), dtype=np.int32)
+    return values[order], place[coded.indices.to_numpy()]
+
+
+def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each stands in training documents."""
+    seen, times = _distinct(keys[train])
+    every, _ = _distinct(np.concatenate([seen, _distinct(keys[~train])[0]]))
+    count = np.zeros(len(every), "<u4")
+    count[np.searchsorted(every, seen)] = times
+    return every, count
+
+
+def _longs(p: Parts, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct long contexts, sorted; the unit that training documents have after each and how often (0: none).
+    Contexts with more than one are given the unit 0 and the count _MANY.  Last, which context each unit has."""
+    every, place = _found(p.long)
+    unit, count = np.zeros(len(every), "<u4"), np.zeros(len(every), "<u4")
+    at = place[train]
+    order = np.argsort(at, kind="stable")
+    at, u = at[order], p.unit[train][order]
+    if len(at):
+        cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        low, high, times = np.minimum.reduceat(u, cut), np.maximum.reduceat(u, cut), np.diff(np.append(cut, len(at)))
+        unit[at[cut]] = np.where(low == high, low, 0)
+        count[at[cut]] = np.where(low == high, times, _MANY)
+    return every, unit, count, place
+
+
+_MANY = (1 << 32) - 1
+_ASK_DDL = "to long, block long, keys binary, key_counts binary, longs binary, units binary, unit_counts binary, words binary, word_counts binary"
+_ASK = pa.schema([("to", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "key_counts", "longs", "units", "unit_counts", "words", "word_counts"))])
+_TOLD_DDL = "block long, from long, costs binary, novel binary, units binary, unit_counts binary, word_counts binary, trie_keys binary, trie_counts binary, n_words long, n_distinct long"
+_TOLD = pa.schema([("block", pa.int64()), ("from", pa.int64()), *((c, pa.binary()) for c in ("costs", "novel", "units", "unit_counts", "word_counts", "trie_keys", "trie_counts")), ("n_words", pa.int64()), ("n_distinct", pa.int64())])
+
+
+def _places(n_blocks: int, key: np.ndarray, long: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hash block of each key (by its context), long context and word."""
+    b = U64(n_blocks)
+    return mix64(key >> U64(8)) % b, (long >> U64(40)) % b, (word >> U64(40)) % b
+
+
+def _dealt(to: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(to, kind="stable")
+    return order, np.searchsorted(to[order], np.arange(n_blocks + 1, dtype=U64))
 
-def train(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the trie, from every training document."""
-    n_blocks = block_count(docs)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ask(n_blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in _pieces(batch):
-                keys, counts = entry_counts(units_of(piece.column(1), (~_held_out(piece.column(0))).astype(np.int64)))
-                to = (mix64((keys >> _BITS).astype(U64)) % U64(n_blocks)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(n_blocks + 1))
-                out = [(p, keys[i].tobytes(), counts[i].tobytes()) for p in range(n_blocks) if len(i := order[cuts[p] : cuts[p + 1]])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[c] for r in out], pa.binary()) for c in (1, 2))], ["to", "keys", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
-        for k, c in zip(table.column("keys"), table.column("counts"), strict=True):
-            pending.append((np.frombuffer(k.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)))
-            if sum(len(x) for x, _ in pending) > 2_000_000 + len(keys):
-                keys, counts = _add_up(np.concatenate([keys, *(x for x, _ in pending)]), np.concatenate([counts, *(y for _, y in pending)]))
-                pending = []
-        keys, counts = _add_up(np.concatenate([keys, *(x for x, _ in pending)]), np.concatenate([counts, *(y for _, y in pending)]))
-        return pa.table({"key": pa.array(keys), "times": pa.array(counts)})
-
-    slim = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    entries = materialize(slim.mapInArrow(count, "to int, keys binary, counts binary").groupBy("to").applyInArrow(add, "key long, times long"), "trie")
-    # rows by size of count, in steps of a quarter power of two: a table of bounded size
-    steps = entries.groupBy(F.floor(F.log2("times") * 4).alias("step")).count().orderBy(F.desc("step")).collect()
-    kept, least = 0, 0.0
-    for r in steps:
-        if kept + r["count"] > max_entries:
-            least = 2.0 ** ((r["step"] + 1) / 4) - 1e-9
-            break
-        kept += r["count"]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, docs, size, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                d, p = _read_piece(docs, size, text)
+                train = d[:, 1] == 0
+                key, key_count = _counted(p.key, train[p.doc])
+                word, word_count = _counted(p.word, train[p.word_doc])
+                long, unit, unit_count, _ = _longs(p, train[p.unit_doc])
+                del p
+                (ko, kc), (lo, lc), (wo, wc) = (_dealt(t, n_blocks) for t in _places(n_blocks, key, long, word))
+                out = []
+                for b in range(n_blocks):
+                    k, x, w = ko[kc[b] : kc[b + 1]], lo[lc[b] : lc[b + 1]], wo[wc[b] : wc[b + 1]]
+                    if len(k) or len(x) or len(w):
+                        out.append((b, block, _pack40(key[k]), key_count[k].tobytes(), _pack40(long[x] & _LOW40), unit[x].tobytes(), unit_count[x].tobytes(), _pack40(word[w] & _LOW40), word_count[w].tobytes()))
+                for i in range(0, len(out), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out[i : i + 64]], f.type) for c, f in enumerate(_ASK)], schema=_ASK)
+
+    return run
+
+
+def _column(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
+    """A packed column as one array, and where each row's part of it begins."""
+    parts = [_unpack40(x) if kind is None else np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
+def _sum_by(at: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, counts, n).astype(np.int64)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """One hash block: costs of keys that training saw (others: NaN), the one unit of a long context, counts of words."""
+    to, blocks = table.column("to")[0].as_py(), table.column("block").to_pylist()
+    key, kb = _column(table, "keys", None)
+    known, at = _found(key)
+    c = _sum_by(at, _column(table, "key_counts", "<u4")[0], len(known))
+    seen, seen_count = known[c > 0], c[c > 0]
+    cut = np.flatnonzero(np.append(True, (seen[1:] >> U64(8)) != (seen[:-1] >> U64(8)))) if len(seen) else np.zeros(0, np.int64)
+    n = np.repeat(np.add.reduceat(seen_count, cut), np.diff(np.append(cut, len(seen)))) if len(seen) else seen_count
+    cost = np.full(len(known), np.nan, np.float64)
+    cost[c > 0] = np.log10((2.0 * seen_count - 1) / (2.0 * n))
+    cost = cost[at]
+    long, lb = _column(table, "longs", None)
+    own, own_count = _column(table, "units", "<u4")[0], _column(table, "unit_counts", "<u4")[0].astype(np.int64)
+    names, la = _found(long)
+    many = np.bincount(la, own_count == _MANY, len(names)) > 0
+    one = (own_count > 0) & (own_count < _MANY)
+    low, high = np.full(len(names), 1 << 32, np.int64), np.full(len(names), -1, np.int64)
+    np.minimum.at(low, la[one], own[one].astype(np.int64))
+    np.maximum.at(high, la[one], own[one].astype(np.int64))
+    times = np.where(many | (low != high), 0, _sum_by(la[one], own_count[one], len(names)))[la].astype("<u8")
+    unit = np.where((times > 0) & ~one, low[la], 0).astype("<u4")  # a piece knows the unit that it sent
+    word, wb = _column(table, "words", None)
+    terms, wa = _found(word)
+    total = _sum_by(wa, _column(table, "word_counts", "<u4")[0], len(terms)).astype("<u8")
+    counts = total[wa]
+    out = []
+    for r, block in enumerate(blocks):
+        k, x, w = slice(kb[r], kb[r + 1]), slice(lb[r], lb[r + 1]), slice(wb[r], wb[r + 1])
+        mine = cost[k]
+        out.append((block, to, mine.astype("<f4").tobytes(), _pack40(key[k][np.isnan(mine)]), unit[x].tobytes(), times[x].tobytes(), counts[w].tobytes(), None, None, None, None))
+    out.append((None, to, None, None, None, None, None, seen.tobytes(), seen_count.tobytes(), int(total.sum()), int((total > 0).sum())))
+    return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_TOLD)], schema=_TOLD)
+
+
+def _rows_of(columns: str, kinds: dict):
+    """Unpack binary columns into rows; kinds: numpy kind of each, None for 40-bit keys, "" for a plain column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, counts = b.column(0).to_numpy(), b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["keys", "counts"])
-
-    parts = entries.where(F.col("times") >= least).mapInArrow(pack, "keys binary, counts binary").collect()  # max_entries entries of 16 bytes at most
-    keys, counts = (np.frombuffer(b"".join(r[c] for r in parts), np.int64) for c in ("keys", "counts"))
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-_SENT = pa.schema([("to", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("facts", pa.binary()), ("train", pa.binary()), ("counts", pa.binary()), ("times", pa.binary()), ("hashes", pa.binary())])
-_SENT_DDL = "to long, block long, ids binary, facts binary, train binary, counts binary, times binary, hashes binary"
-_BACK = pa.schema([("block", pa.int64()), ("from", pa.int64()), ("ids", pa.binary()), ("facts", pa.binary()), ("counts", pa.binary()), ("times", pa.binary()), ("known", pa.binary())])
-_BACK_DDL = "block long, from long, ids binary, facts binary, counts binary, times binary, known binary"
-_DOC = pa.schema([("row", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("raw", pa.float64()), ("score", pa.float64())])
-_DOC_DDL = "row int, doc_id long, held_out boolean, n_tokens long, n_known long, raw double, score double"
-
-
-def _word_pairs(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, word hash and times of each distinct word of each document; words per document."""
-    docs, words, times, sizes = [], [], [], np.zeros(piece.num_rows, np.int64)
-    for s in word_slices(piece.column(1)):
-        owner = np.repeat(np.arange(s.n_docs), np.diff(s.word_from))
-        sizes[s.first : s.first + s.n_docs] = np.diff(s.word_from)
-        order = np.lexsort((s.hashes, owner))
-        h, o = s.hashes[order], owner[order]
-        new = np.empty(len(h), bool)
-        new[:1] = True
-        new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-        at = np.flatnonzero(new)
-        docs.append(o[at] + s.first)
-        words.append(h[at])
-        times.append(np.diff(np.append(at, len(h))))
-    z = np.zeros(0, np.int64)
-    return np.concatenate(docs or [z]), np.concatenate(words or [z.astype(U64)]), np.concatenate(times or [z]), sizes
-
-
-def _counted(table: pa.Table) -> pa.Table:
-    """One hash block: training count of every word in it."""
-    to = table.column("to")[0].as_py()
-    if to < 0:
-        empty = pa.array([b""] * table.num_rows, pa.binary())
-        return pa.Table.from_arrays([table.column("block"), table.column("to"), table.column("ids"), table.column("facts"), empty, empty, empty], schema=_BACK)
-    hashes = [_unpack40(x.as_py()) for x in table.column("hashes")]
-    times = [np.frombuffer(x.as_py(), "<u4") for x in table.column("times")]
-    counts = [np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")]
-    train = [np.repeat(np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[: len(c)], c) for x, c in zip(table.column("train"), counts, strict=True)]
-    _, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(place, np.concatenate(times) * np.concatenate(train)).astype("<u8")
-    known, at, out = total[place], 0, []
-    for i, h in enumerate(hashes):
-        out.append((table.column("block")[i].as_py(), to, b"", b"", table.column("counts")[i].as_py(), table.column("times")[i].as_py(), known[at : at + len(h)].tobytes()))
-        at += len(h)
-    facts = np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()
-    out.append((-1 - to, to, b"", facts, b"", b"", b""))
-    return pa.Table.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(_BACK)], schema=_BACK)
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    """One block of documents: sums over its words; or a hash block's totals, as a row of its own."""
-    if table.column("block")[0].as_py() < 0:
-        n, v = np.frombuffer(table.column("facts")[0].as_py(), np.int64)
-        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip((1, None, None, int(n), int(v), None, None), _DOC, strict=True)], schema=_DOC)
-    meta = next(i for i in range(table.num_rows) if table.column("from")[i].as_py() < 0)
-    ids = np.frombuffer(table.column("ids")[meta].as_py(), np.int64).reshape(-1, 4)
-    score = np.frombuffer(table.column("facts")[meta].as_py(), np.float64)
-    raw, seen = np.zeros(len(ids)), np.zeros(len(ids))
-    parts = sorted((table.column("from")[i].as_py(), i) for i in range(table.num_rows) if i != meta)
-    for _, i in parts:
-        owner = np.repeat(np.arange(len(ids)), np.frombuffer(table.column("counts")[i].as_py(), "<u4"))
-        times = np.frombuffer(table.column("times")[i].as_py(), "<u4").astype(np.float64)
-        known = np.frombuffer(table.column("known")[i].as_py(), "<u8")
-        raw += np.bincount(owner, times * np.log10(known + 0.1), minlength=len(ids))
-        seen += np.bincount(owner, times * (known > 0), minlength=len(ids))
-    doc = pa.array(ids[:, 0], mask=ids[:, 3] != 0)
-    cols = [pa.array(np.zeros(len(ids), np.int32)), doc, pa.array(ids[:, 1] != 0), pa.array(ids[:, 2] + 1), pa.array(seen.astype(np.int64)), pa.array(raw), pa.array(score)]
-    return pa.Table.from_arrays(cols, schema=_DOC)
-
-
-_built: dict[str, Trie] = {}
-
-
-def _trie(name: str, keys: np.ndarray, counts: np.ndarray) -> Trie:
-    """The trie of a broadcast, built once per worker; one at a time is kept."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = Trie(keys, counts)
-    return _built[name]
-
-
-def scores(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
+            for r in range(b.num_rows):
+                cells = {c: b.column(c)[r].as_py() for c in kinds}
+                packed = {c: _unpack40(v) if kinds[c] is None else np.frombuffer(v, kinds[c]) for c, v in cells.items() if kinds[c] != ""}
+                n = len(next(iter(packed.values())))
+                cols = [pa.array(packed[c].astype(np.int64)) if c in packed else pa.array(np.full(n, cells[c], np.int64)) for c in kinds]
+                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in columns.split(", ")])
+
+    return run
+
+
+def escape_costs(trie: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and cost (log10) of keys that the trie lacks; trie: key, times of order ORDER."""
+    mask = lambda k: (1 << (8 * (k + 1))) - 1
+    cut = lambda c, k: F.col(c).bitwiseAND(F.lit(mask(k)))
+    context = F.shiftright("key", 8).alias("ctx")
+    seen = {ORDER: trie}
+    for k in range(ORDER - 1, -1, -1):
+        seen[k] = materialize(seen[k + 1].groupBy(cut("key", k).alias("key")).agg(F.sum("times").alias("times")), f"order{k}")
+    stats = {k: t.groupBy(context).agg(F.sum("times").alias("n"), F.count("*").alias("d")) for k, t in seen.items()}
+    steps, open_ = {}, materialize(keys.select("key").distinct(), "novel")
+    for k in range(ORDER, 0, -1):
+        # what the context of order k takes away from the next shorter one
+        wanted = open_.select(context).distinct()
+        held = seen[k].withColumn("ctx", F.shiftright("key", 8)).join(wanted, "ctx", "left_semi").select("ctx", cut("key", k - 1).alias("low"))
+        gone = held.join(seen[k - 1].selectExpr("key as low", "times"), "low").groupBy("ctx").agg(F.sum("times").alias("gone"), F.count("*").alias("gone_d"))
+        step = open_.withColumn("ctx", F.shiftright("key", 8)).withColumn("low", cut("key", k - 1)).withColumn("low_ctx", F.shiftright("low", 8))
+        step = step.join(gone, "ctx", "left").join(stats[k].selectExpr("ctx", "n as own_n", "d as own_d"), "ctx", "left")
+        step = step.join(stats[k - 1].selectExpr("ctx as low_ctx", "n", "d"), "low_ctx", "left").join(seen[k - 1].selectExpr("key as low", "times"), "low", "left")
+        n, d = F.coalesce("n", F.lit(0)) - F.coalesce("gone", F.lit(0)), F.coalesce("d", F.lit(0)) - F.coalesce("gone_d", F.lit(0))
+        first = F.when(F.col("own_n") > 0, F.log10(F.col("own_d") / (2 * F.col("own_n")))).otherwise(0.0) if k == ORDER else F.lit(0.0)
+        here = F.when(F.col("times").isNotNull(), F.log10((2 * F.col("times") - 1) / (2 * n))).when(n > 0, F.log10(d / (2 * n))).otherwise(0.0)
+        steps[k] = materialize(step.select("key", "low", (first + here).alias("cost"), F.col("times").isNull().alias("open")), f"escape{k}")
+        open_ = steps[k].where("open").select(F.col("low").alias("key")).distinct()
+    unseen = max(SYMBOLS - seen[0].count(), 1)
+    costs = open_.select("key", F.lit(-math.log10(unseen)).alias("cost"))
+    for k in range(1, ORDER + 1):
+        below = costs.select(F.col("key").alias("low"), F.col("cost").alias("rest"))
+        costs = steps[k].join(below, "low", "left").select("key", (F.col("cost") + F.when(F.col("open"), F.col("rest")).otherwise(0.0)).alias("cost"))
+    return costs
+
+
+_DOC = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("raw", pa.float64()), ("score", pa.float64())])
+_DOC_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, raw double, score double"
+
+
+def _sum_up(n_blocks: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One piece: its documents' sums, from its text, the answers of the hash blocks and the costs of novel keys."""
+        having = lambda c: table.filter(table.column(c).is_valid())
+        own = having("text").select(["docs", "size", "text"]).to_pylist()[0]
+        d, p = _read_piece(**own)
+        told = {r["from"]: r for r in having("costs").select(["from", "costs", "units", "unit_counts", "word_counts"]).to_pylist()}
+        novel = having("key")
+        (key, key_at), (word, word_at) = _found(p.key), _found(p.word)
+        train = d[:, 1] == 0
+        long, sent, sent_count, at = _longs(p, train[p.unit_doc])
+        cost, unit, times, count = np.zeros(len(key)), np.zeros(len(long), np.uint32), np.zeros(len(long), np.int64), np.zeros(len(word), np.int64)
+        (ko, kc), (lo, lc), (wo, wc) = (_dealt(t, n_blocks) for t in _places(n_blocks, key, long, word))
+        for b, r in told.items():
+            cost[ko[kc[b] : kc[b + 1]]] = np.frombuffer(r["costs"], "<f4")
+            x = lo[lc[b] : lc[b + 1]]
+            unit[x], times[x] = np.frombuffer(r["units"], "<u4"), np.frombuffer(r["unit_counts"], "<u8")
+            count[wo[wc[b] : wc[b + 1]]] = np.frombuffer(r["word_counts"], "<u8")
+        if novel.num_rows:
+            cost[np.searchsorted(key, novel.column("key").to_numpy().astype(U64))] = novel.column("cost").to_numpy()
+        unit = np.where(sent_count > 0, sent, unit)
+        n = len(d)
+        symbol = cost[key_at]
+        score = np.bincount(p.doc, symbol, n)
+        sums = np.concatenate([[0.0], np.cumsum(symbol)])
+        sure = times[at] > 0
+        at, begin, end, doc, same = at[sure], p.begin[sure], p.end[sure], p.unit_doc[sure], (unit[at] == p.unit)[sure]
+        twice = 2.0 * times[at]
+        change = np.where(same, (end - begin) * np.log10((twice - 1) / twice) - (sums[end] - sums[begin]), -np.log10(twice))
+        score += np.bincount(doc, change, n)
+        c = count[word_at]
+        words = np.bincount(p.word_doc, minlength=n)
+        cols = [
+            pa.array(d[:, 0], mask=d[:, 2] != 0), pa.array(d[:, 1] != 0), pa.array(words + 1), pa.array(np.bincount(p.word_doc, c > 0, n).astype(np.int64)),
+            pa.array(np.bincount(p.word_doc, np.log10(c + 0.1), n)), pa.array(score),
+        ]
+        return pa.Table.from_arrays(cols, schema=_DOC)
+
+    return run
+
+
+def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, *train(docs, max_entries)))
-    n_blocks = block_count(docs)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, serial, trie = TaskContext.get().partitionId(), 0, _trie(*model.value)
-        for batch in batches:
-            for piece in _pieces(batch):
-                out = _send_piece(piece, (part << 24) + serial, trie, n_blocks)
-                serial += 1
-                for i in range(0, len(out), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out[i : i + 64]], f.type) for c, f in enumerate(_SENT)], schema=_SENT)
-
+    n_blocks = max(64, block_count(docs, HASH_BLOCK_BYTES))
     slim = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sent = slim.mapInArrow(send, _SENT_DDL)
-    rows = materialize(sent.groupBy("to").applyInArrow(_counted, _BACK_DDL).groupBy("block").applyInArrow(_summed, _DOC_DDL), "scores")
-    # one row of totals: words and distinct words from the hash blocks, ends from the training documents
-    total = rows.agg(
-        F.coalesce(F.sum(F.when(F.col("row") == 1, F.col("n_tokens"))), F.lit(0)).alias("words"),
-        F.coalesce(F.sum(F.when(F.col("row") == 1, F.col("n_known"))), F.lit(0)).alias("distinct"),
-        F.coalesce(F.sum(F.when(F.col("row") == 0, (~F.col("held_out")).cast("long"))), F.lit(0)).alias("ends"),
-    ).first()
-    n, v, ends = total["words"] + total["ends"], total["distinct"] + (total["ends"] > 0), total["ends"]
+    pieces = materialize(slim.mapInArrow(_write_pieces, _PIECE_DDL), "pieces")
+    told = materialize(pieces.mapInArrow(_ask(n_blocks), _ASK_DDL).groupBy("to").applyInArrow(_answer, _TOLD_DDL), "answers")
+    answers, facts = told.where("block is not null"), told.where("block is null")
+    trie = materialize(facts.select("trie_keys", "trie_counts").mapInArrow(_rows_of("key long, times long", {"trie_keys": "<u8", "trie_counts": "<i8"}), "key long, times long"), "trie")
+    asked = materialize(answers.where("length(novel) > 0").select("block", "novel").mapInArrow(_rows_of("block long, key long", {"block": "", "novel": None}), "block long, key long"), "asked")
+    costs = asked.join(escape_costs(trie, asked), "key")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    all_rows = (
+        pieces.select("block", "docs", "size", "text", *none("long", "from"), *none("binary", "costs", "units", "unit_counts", "word_counts"), *none("long", "key"), *none("double", "cost"))
+        .union(answers.select("block", *none("binary", "docs"), *none("long", "size"), *none("binary", "text"), "from", "costs", "units", "unit_counts", "word_counts", *none("long", "key"), *none("double", "cost")))
+        .union(costs.select("block", *none("binary", "docs"), *none("long", "size"), *none("binary", "text"), *none("long", "from"), *none("binary", "costs", "units", "unit_counts", "word_counts"), "key", "cost"))
+    )
+    rows = materialize(all_rows.groupBy("block").applyInArrow(_sum_up(n_blocks), _DOC_DDL), "scores")
+    words = facts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_distinct"), F.lit(0)).alias("distinct")).first()
+    ends = rows.where("not held_out").count()
+    n, v = words["words"] + ends, words["distinct"] + (ends > 0)
     base = F.col("raw") + F.log10(F.lit(ends + 0.1)) - F.col("n_tokens") * F.log10(F.lit(n + 0.1 * (v + 1)))
-    return rows.where("row = 0").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
-    )
-
-
-def _send_piece(piece: pa.RecordBatch, block: int, trie: Trie, n_blocks: int) -> list[tuple]:
-    held = _held_out(piece.column(0))
-    doc, words, times, sizes = _word_pairs(piece)
-    ids = piece.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-    missing = piece.column(0).is_null().to_numpy(zero_copy_only=False)
-    meta = np.column_stack([ids, held, sizes, missing]).astype(np.int64)
-    out = [(-1 - block, block, meta.tobytes(), trie.text_costs(piece.column(1)).tobytes(), b"", b"", b"", b"")]
-    to = (words >> U64(40)) % U64(n_blocks)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(n_blocks + 1, dtype=U64))
-    train_bits = np.packbits(~held).tobytes()
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        i = order[cuts[p] : cuts[p + 1]]
-        counts = np.bincount(doc[i], minlength=piece.num_rows).astype("<u4")
-        out.append((p, block, b"", b"", train_bits, counts.tobytes(), times[i].astype("<u4").tobytes(), _pack40(words[i] & U64((1 << 40) - 1))))
-    return out
+    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from siftwell.llm import edit_counts, html_text, ppm, quality, tokens
-from tests.llm.cases import LOWER, TEXTS, docs, empty, words
+from tests.llm.cases import LOWER, TEXTS, base_text, docs, empty, words
 
 
 def test_quality_on_held_out_labels(spark):
@@ -50,51 +50,69 @@ def test_nnpu_separates_without_negative_labels():
     assert (g(good) > 0).mean() > 0.95 and (g(bad) < 0).mean() > 0.95
 
 
-def klass(text):
-    c = collections.Counter(b for b in text.encode() if 0x80 <= b < 0xC0)
-    return 257 if not c else 258 + min(c, key=lambda b: (-c[b], b)) - 0x80
+M64 = (1 << 64) - 1
 
 
-def units(text):
-    out, cur = [], []
-    for b in text.translate(LOWER).encode():
-        cur.append(b)
-        if b in (32, 9, 10, 11, 12, 13):
-            out.append(cur)
-            cur = []
-    return [*out, [*cur, 256]]
+def mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
 
 
-def plain_ppm(train, text):
-    c = collections.defaultdict(collections.Counter)
+def symbols(text):
+    return bytes([ppm.START]) * ppm.LONG + text.translate(LOWER).encode() + bytes([ppm.END])
+
+
+def anchors(s):
+    """Places of s where a unit begins, the first one left out."""
+    return [i + 1 for i in range(ppm.LONG, len(s)) if s[i] in b" \t\n\x0b\x0c\r" and mix(int.from_bytes(s[i - ppm.ORDER : i + 1], "big")) % ppm.ANCHOR == 0]
+
+
+def model(train):
+    c, long = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
     for t in train:
-        for u in units(t):
-            s = [klass(t), *u]
-            for j in range(1, len(s)):
-                for k in range(min(j, ppm.ORDER) + 1):
-                    c[tuple(s[j - k : j])][s[j]] += 1
-    total = -math.log10(ppm.CLASSES)
-    for u in units(text):
-        s = [klass(text), *u]
-        for j in range(1, len(s)):
-            gone = set()
-            for k in range(min(j, ppm.ORDER), -1, -1):
-                left = {x: v for x, v in c.get(tuple(s[j - k : j]), {}).items() if x not in gone}
-                n = sum(left.values())
-                if not left:
-                    continue
-                if s[j] in left:
-                    total += math.log10((2 * left[s[j]] - 1) / (2 * n))
-                    break
-                total += math.log10(len(left) / (2 * n))
-                gone |= set(left)
-            else:
-                total -= math.log10(ppm.SYMBOLS - len(gone))
+        s = symbols(t)
+        for j in range(ppm.LONG, len(s)):
+            for k in range(ppm.ORDER + 1):
+                c[s[j - k : j]][s[j]] += 1
+        a = anchors(s)
+        for x, y in zip(a, [*a[1:], len(s)]):
+            long[s[x - ppm.LONG : x]][s[x:y]] += 1
+    return c, long
+
+
+def byte_cost(c, s, j):
+    total, gone = 0.0, set()
+    for k in range(ppm.ORDER, -1, -1):
+        left = {x: v for x, v in c.get(s[j - k : j], {}).items() if x not in gone}
+        n = sum(left.values())
+        if not left:
+            continue
+        if s[j] in left:
+            return total + math.log10((2 * left[s[j]] - 1) / (2 * n))
+        total += math.log10(len(left) / (2 * n))
+        gone |= set(left)
+    return total - math.log10(max(ppm.SYMBOLS - len(gone), 1))
+
+
+def plain_ppm(trained, text):
+    c, long = trained
+    s = symbols(text)
+    cost = [0.0] * ppm.LONG + [byte_cost(c, s, j) for j in range(ppm.LONG, len(s))]
+    total = sum(cost)
+    a = anchors(s)
+    for x, y in zip(a, [*a[1:], len(s)]):
+        after = long.get(s[x - ppm.LONG : x], {})
+        if len(after) == 1:
+            (unit, n), *_ = after.items()
+            total += (y - x) * math.log10((2 * n - 1) / (2 * n)) - sum(cost[x:y]) if unit == s[x:y] else math.log10(1 / (2 * n))
     return total
 
 
 def test_ppm_against_plain_code(spark):
     texts = [(i, t if t is None or len(t) < 2000 else t[:900]) for i, t in TEXTS]
+    # ids 6 and 29 are held out; they go on as others do, and then not
+    texts += [(6, base_text(120, 1)), (29, base_text(60, 1) + " " + base_text(60, 2) + " \u0416q zzz"), (26, "aa bb " * 60)]
     rows = {}
     for r in ppm.scores(docs(spark, texts)).collect():
         rows.setdefault(r["doc_id"], []).append(r)
@@ -103,22 +121,36 @@ def test_ppm_against_plain_code(spark):
     tokens_of = lambda t: [*words(t), "\0end"]
     c = collections.Counter(w for t in train for w in tokens_of(t))
     n, v = sum(c.values()), len(c)
+    trained = model(train)
     for i, t in texts:
-        r = rows[i][0]
+        r = min(rows[i], key=lambda r: abs(r["score"] - plain_ppm(trained, t or "")))
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(tokens_of(t)), sum(c[w] > 0 for w in tokens_of(t)), n)
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens_of(t)), rel_tol=1e-9)
-        assert math.isclose(r["score"], plain_ppm(train, t or ""), rel_tol=1e-6)
+        assert math.isclose(r["score"], plain_ppm(trained, t or ""), rel_tol=1e-5)
     assert sum(map(len, rows.values())) == len(texts)
     assert ppm.scores(empty(spark)).count() == 0
 
 
 def test_ppm_is_a_distribution():
-    trie = ppm.Trie(*ppm._add_up(*ppm.entry_counts(ppm.units_of(pa.array(["ab a", "abc b", "ba"])))))
-    u = np.array([ord("a")])
-    total = 0.0
-    for s in range(ppm.SYMBOLS):
-        total += 10 ** (trie.unit_costs(np.array([ord("a"), s]), np.array([0, 2]), np.array([ppm.START]))[0] - trie.unit_costs(u, np.array([0, 1]), np.array([ppm.START]))[0])
-    assert abs(total - 1) < 1e-9
+    c, _ = model(["ab a", "abc b", "ba"])
+    for start in ("a", "ab", "zz", ""):
+        s = symbols(start)[:-1]
+        assert abs(sum(10 ** byte_cost(c, s + bytes([x]), len(s)) for x in range(ppm.SYMBOLS)) - 1) < 1e-9
+
+
+def test_ppm_sees_word_order(spark):
+    w = base_text(300, 5).split()
+    d = docs(spark, [(1, " ".join(w)), (2, base_text(300, 6)), (29, " ".join(w)), (6, " ".join(sorted(w)))])
+    r = {x["doc_id"]: x["score"] for x in ppm.scores(d).collect()}
+    assert r[29] > r[6] + 100 and abs(r[29] - r[1]) < 1e-3
+
+
+def test_ppm_tells_documents_that_occur_twice(spark):
+    texts = [(i, base_text(200, i)) for i in range(1, 60)] + [(100 + i, base_text(200, i)) for i in range(1, 10)]
+    r = {x["doc_id"]: x["score"] / x["n_tokens"] for x in ppm.scores(docs(spark, texts)).where("not held_out").collect()}
+    twice = [r[i] for i in range(1, 10) if i in r and 100 + i in r]
+    once = [r[i] for i in range(10, 60) if i in r]
+    assert len(twice) > 5 and min(twice) > max(once)
 
 
 def test_ppm_beats_the_baseline_on_held_out_text(spark):
