@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import link_in_rounds
@@ -93,7 +93,7 @@ def _send(n_blocks: int):
 
 
 def _send_piece(piece: pa.RecordBatch, n_blocks: int) -> Iterator[pa.RecordBatch]:
-    ids = piece.column(0).to_numpy(zero_copy_only=False)
+    ids, tags = (piece.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
     line_doc, line_no, line_key, line_band = [], [], [], []
     run_doc, run_at, run_hash = [], [], []
     known: dict[int, np.ndarray] = {}
@@ -109,20 +109,20 @@ def _send_piece(piece: pa.RecordBatch, n_blocks: int) -> Iterator[pa.RecordBatch
                 known[key] = bands(signature(g))
             line_key.append(key)
             line_band.append(known[key])
-        line_doc.append(ids[s.first + doc[wide]])
+        line_doc.append(s.first + doc[wide])
         line_no.append(number[wide])
         _, pick = run_starts(s)
         pick = np.unique(pick)
         run_hash.append(_hash_of(s.hashes, pick, SEED_WORDS))
         owner = np.searchsorted(s.word_from, pick, "right") - 1
-        run_doc.append(ids[s.first + owner])
+        run_doc.append(s.first + owner)
         run_at.append(pick - s.word_from[owner])
     if line_key:
-        doc, no, key = np.concatenate(line_doc), np.concatenate(line_no), np.array(line_key, np.int64)
-        yield from _deal(_LINE, np.repeat(doc, BANDS), np.repeat(no, BANDS), np.repeat(key, BANDS), np.concatenate(line_band), n_blocks)
+        row, no, key = np.repeat(np.concatenate(line_doc), BANDS), np.concatenate(line_no), np.array(line_key, np.int64)
+        yield from _deal(_LINE, ids[row], tags[row], np.repeat(no, BANDS), np.repeat(key, BANDS), np.concatenate(line_band), n_blocks)
     if run_hash:
-        doc, at, h = np.concatenate(run_doc), np.concatenate(run_at), np.concatenate(run_hash)
-        yield from _deal(_SEED, doc, at, None, h, n_blocks)
+        row, at, h = np.concatenate(run_doc), np.concatenate(run_at), np.concatenate(run_hash)
+        yield from _deal(_SEED, ids[row], tags[row], at, None, h, n_blocks)
 
 
 def run_starts(s: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,7 @@ def _send_runs(n_blocks: int):
         for batch in batches:
             for at in range(0, batch.num_rows, SEND_DOCS):
                 piece = batch.slice(at, SEND_DOCS)
-                ids, seeds = piece.column(0).to_numpy(zero_copy_only=False), piece.column(2).to_pylist()
+                ids, tags, seeds = piece.column(0).to_numpy(zero_copy_only=False), piece.column(3).to_numpy(zero_copy_only=False), piece.column(2).to_pylist()
                 parts = []
                 for s in word_slices(piece.column(1)):
                     wanted = np.zeros(len(s.hashes) + 1, bool)
@@ -168,23 +168,36 @@ def _send_runs(n_blocks: int):
                     start, seed = run_starts(s)
                     start, seed = start[wanted[seed]], seed[wanted[seed]]
                     owner = np.searchsorted(s.word_from, start, "right") - 1
-                    parts.append((ids[s.first + owner], start - s.word_from[owner], _hash_of(s.hashes, start, RUN_WORDS), _hash_of(s.hashes, seed, SEED_WORDS)))
+                    parts.append((s.first + owner, start - s.word_from[owner], _hash_of(s.hashes, start, RUN_WORDS), _hash_of(s.hashes, seed, SEED_WORDS)))
                 if parts:
-                    doc, no, h, by = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    yield from _deal(_RUN, doc, no, None, h, n_blocks, by)
+                    row, no, h, by = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    yield from _deal(_RUN, ids[row], tags[row], no, None, h, n_blocks, by)
 
     return run
 
 
-_RUNS = "doc long, no int, n_words int, lead long, kept boolean"
+_RUNS = "doc long, tag int, no int, n_words int, lead long, kept boolean"
+_ID = [("doc", "<i8"), ("tag", "<u4"), ("no", "<u4")]
+
+
+def _coded(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each place's document, in the order of (doc, tag), and doc and tag of each number."""
+    order = np.lexsort((ids["tag"], ids["doc"]))
+    doc, tag = ids["doc"][order], ids["tag"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return code, doc[new], tag[new].view(np.int32) if len(tag) else tag.astype(np.int32)
 
 
 def _meet_runs(table: pa.Table) -> pa.Table:
     """One block of runs: those that several documents hold, consecutive ones in one row; the first holder keeps its own."""
-    ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), [("doc", "<i8"), ("no", "<u4")])
+    ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), _ID)
     h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), U64)
-    order = np.lexsort((ids["no"], ids["doc"], h))
-    h, doc, no = h[order], ids["doc"][order], ids["no"][order].astype(np.int64)
+    code, docs, tags = _coded(ids)
+    order = np.lexsort((ids["no"], code, h))
+    h, doc, no = h[order], code[order], ids["no"][order].astype(np.int64)
     new = np.ones(len(h), bool)
     np.not_equal(h[1:], h[:-1], out=new[1:])
     first = np.flatnonzero(new)
@@ -199,32 +212,31 @@ def _meet_runs(table: pa.Table) -> pa.Table:
     new[1:] = (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1]) | (kept[1:] != kept[:-1]) | (no[1:] > no[:-1] + 1)
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(doc)) - 1
-    cols = [pa.array(doc[a]), pa.array(no[a].astype(np.int32)), pa.array((no[b] - no[a] + RUN_WORDS).astype(np.int32)), pa.array(lead[a]), pa.array(kept[a])]
-    return pa.table(cols, names=["doc", "no", "n_words", "lead", "kept"])
+    cols = [pa.array(docs[doc[a]]), pa.array(tags[doc[a]]), pa.array(no[a].astype(np.int32)), pa.array((no[b] - no[a] + RUN_WORDS).astype(np.int32)), pa.array(docs[lead[a]]), pa.array(kept[a])]
+    return pa.table(cols, names=["doc", "tag", "no", "n_words", "lead", "kept"])
 
 
-def _deal(kind: int, doc: np.ndarray, no: np.ndarray, key: np.ndarray | None, h: np.ndarray, n_blocks: int, by: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _deal(kind: int, doc: np.ndarray, tag: np.ndarray, no: np.ndarray, key: np.ndarray | None, h: np.ndarray, n_blocks: int, by: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     to = ((h if by is None else by) >> U64(40)) % U64(n_blocks)
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(n_blocks + 1, dtype=U64))
     out = []
     for p in np.flatnonzero(np.diff(cuts)).tolist():
         i = order[cuts[p] : cuts[p + 1]]
-        ids = np.column_stack([doc[i], no[i]]).astype(np.int64)
-        out.append((p, kind, _ids_bytes(ids), b"" if key is None else key[i].tobytes(), h[i].tobytes()))
+        out.append((p, kind, _ids_bytes(doc[i], tag[i], no[i]), b"" if key is None else key[i].tobytes(), h[i].tobytes()))
     for i in range(0, len(out), 64):
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out[i : i + 64]], f.type) for c, f in enumerate(_SENT_ARROW)], schema=_SENT_ARROW)
 
 
-def _ids_bytes(ids: np.ndarray) -> bytes:
-    """8 bytes of id and 4 of number."""
-    out = np.empty(len(ids), [("doc", "<i8"), ("no", "<u4")])
-    out["doc"], out["no"] = ids[:, 0], ids[:, 1]
+def _ids_bytes(doc: np.ndarray, tag: np.ndarray, no: np.ndarray) -> bytes:
+    """8 bytes of id, 4 of its text's tag and 4 of number."""
+    out = np.empty(len(doc), _ID)
+    out["doc"], out["tag"], out["no"] = doc, tag.view(np.uint32), no
     return out.tobytes()
 
 
-_FOUND = "kind int, doc long, no int, other_doc long, other_no int, key long, other_key long"
-_FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("no", pa.int32()), ("other_doc", pa.int64()), ("other_no", pa.int32()), ("key", pa.int64()), ("other_key", pa.int64())])
+_FOUND = "kind int, doc long, tag int, no int, other_doc long, other_tag int, other_no int, key long, other_key long"
+_FOUND_ARROW = pa.schema([(c, pa.int64() if k == "long" else pa.int32()) for c, k in (x.split() for x in _FOUND.split(", "))])
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -235,11 +247,13 @@ def _meet(table: pa.Table) -> pa.Table:
         t = table.filter(pa.array(table.column("kind").to_numpy() == kind))
         if not t.num_rows:
             continue
-        ids = np.frombuffer(b"".join(t.column("ids").to_pylist()), [("doc", "<i8"), ("no", "<u4")])
+        ids = np.frombuffer(b"".join(t.column("ids").to_pylist()), _ID)
         h = np.frombuffer(b"".join(t.column("hashes").to_pylist()), U64)
         key = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64) if kind == _LINE else np.zeros(len(h), np.int64)
-        order = np.lexsort((ids["no"], ids["doc"], key, h))
-        h, key, ids = h[order], key[order], ids[order]
+        code, docs, tags = _coded(ids)
+        order = np.lexsort((ids["no"], code, key, h))
+        h, key, code, no = h[order], key[order], code[order], ids["no"][order]
+        place = lambda i: [docs[code[i]], tags[code[i]], no[i]]  # noqa: B023, E731
         bucket = np.ones(len(h), bool)
         np.not_equal(h[1:], h[:-1], out=bucket[1:])
         new = bucket.copy()  # first place of each set of a bucket
@@ -248,15 +262,15 @@ def _meet(table: pa.Table) -> pa.Table:
         if kind == _LINE:
             at = np.cumsum(bucket) - 1
             i = np.flatnonzero(new & (np.bincount(at, new)[at] > 1))
-            out.append([np.full(len(i), _BAND), ids["doc"][i], ids["no"][i], ids["doc"][i], ids["no"][i], key[i], h[i].astype(np.int64)])
+            out.append([np.full(len(i), _BAND), *place(i), *place(i), key[i], h[i].astype(np.int64)])
         else:
             at = np.cumsum(bucket) - 1
-            i = np.flatnonzero(np.bincount(at, ids["doc"] != ids["doc"][lead])[at] > 0)
-            out.append([np.full(len(i), kind), ids["doc"][i], ids["no"][i], *[np.zeros(len(i), np.int64)] * 4])
+            i = np.flatnonzero(np.bincount(at, code != code[lead])[at] > 0)
+            out.append([np.full(len(i), kind), *place(i), *[np.zeros(len(i), np.int64)] * 5])
             continue
         a, b = np.flatnonzero(~new), lead[~new]
-        out.append([np.full(len(a), kind), ids["doc"][a], ids["no"][a], ids["doc"][b], ids["no"][b], key[a], key[b]])
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 7
+        out.append([np.full(len(a), kind), *place(a), *place(b), key[a], key[b]])
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 9
     return pa.Table.from_arrays([pa.array(c.astype(np.int64)).cast(f.type) for c, f in zip(cols, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
 
 
@@ -277,9 +291,9 @@ def word_edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
 
 
 def _paragraphs_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, words (hashes) of wanted paragraphs; wanted: doc, no, key."""
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("no", "key")).alias("want"))
-    rows = docs.join(by_doc, docs["_id"] == by_doc["doc"]).select("text", "want")
+    """key, words (hashes) of wanted paragraphs; wanted: doc, tag, no, key."""
+    by_doc = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("no", "key")).alias("want"))
+    rows = docs.join(by_doc, (docs["_id"] == by_doc["doc"]) & (docs["_tag"] == by_doc["tag"])).select("text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -438,36 +452,46 @@ def _whole_round(left: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), _text().alias("text"), _tag().alias("_tag"))
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _tag() -> Column:
+    """Tells texts under one doc_id apart."""
+    return F.shiftright(F.xxhash64(_text()), 32).cast("int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Every repeated passage: doc_id, kind ('line' or 'run'), no (line number or first word), n_words of a run
-    (0 for a line), component_id (smallest doc_id that holds it) and kept (this place keeps its copy).
+    """Every repeated passage: doc_id, tag (of the row's text), kind ('line' or 'run'), no (line number or first word),
+    n_words of a run (0 for a line), component_id (smallest doc_id that holds it) and kept (this place keeps its copy).
 
-    Rows that share a doc_id are read as one document's.  Null ids, null or empty texts and short lines give no rows.
+    Rows that share a doc_id and hold different texts are documents of their own; rows equal in both are one document.
+    Null ids, null or empty texts and short lines give no rows.
     """
     d = _prepared(docs)
     found = d.mapInArrow(_send(block_count(docs)), _SENT).groupBy("to").applyInArrow(_meet, _FOUND)
     found = materialize(found.distinct(), "repeats")
     linked = found.where(f"kind = {_LINE}")
-    sets = found.where(f"kind = {_BAND}").select("doc", "no", "key", F.col("other_key").alias("bucket"))
-    wanted = sets.groupBy("key").agg(F.min(F.struct("doc", "no")).alias("at")).selectExpr("at.doc as doc", "at.no as no", "key")
+    sets = found.where(f"kind = {_BAND}").select("doc", "tag", "no", "key", F.col("other_key").alias("bucket"))
+    wanted = sets.groupBy("key").agg(F.min(F.struct("doc", "tag", "no")).alias("at")).select("at.*", "key")
     words = materialize(_paragraphs_of(d, wanted).dropDuplicates(["key"]), "paragraphs")
     side = lambda x: words.selectExpr(f"key as {x}", f"words as w{x}")
     verify = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(_check, "a long, b long")
     groups = link_in_rounds(sets.select("bucket", F.col("key").alias("node")).distinct(), verify, ROUNDS, lambda left: _whole_round(left, words))
-    places = linked.selectExpr("doc", "no", "key").union(linked.selectExpr("other_doc", "other_no", "other_key")).union(sets.select("doc", "no", "key")).distinct()
+    places = linked.select("doc", "tag", "no", "key").union(linked.select("other_doc", "other_tag", "other_no", "other_key")).union(sets.select("doc", "tag", "no", "key")).distinct()
     places = places.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("cluster", F.coalesce("component", "key"))
-    lead = places.groupBy("cluster").agg(F.min(F.struct("doc", "no")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    lead = places.groupBy("cluster").agg(F.min(F.struct("doc", "tag", "no")).alias("lead"), F.count("*").alias("n")).where("n > 1")
     out = places.join(lead, "cluster").select(
-        F.col("doc").alias("doc_id"), F.lit("line").alias("kind"), "no", F.lit(0).alias("n_words"), F.col("lead.doc").alias("component_id"),
-        (F.struct("doc", "no") == F.col("lead")).alias("kept"),
+        F.col("doc").alias("doc_id"), "tag", F.lit("line").alias("kind"), "no", F.lit(0).alias("n_words"), F.col("lead.doc").alias("component_id"),
+        (F.struct("doc", "tag", "no") == F.col("lead")).alias("kept"),
     )
-    seeds = found.where(f"kind = {_SEED}").groupBy("doc").agg(F.collect_list("no").alias("seeds"))
-    held = d.join(seeds, d["_id"] == seeds["doc"]).select("_id", "text", "seeds")
+    seeds = found.where(f"kind = {_SEED}").groupBy("doc", "tag").agg(F.collect_list("no").alias("seeds"))
+    held = d.join(seeds, (d["_id"] == seeds["doc"]) & (d["_tag"] == seeds["tag"])).select("_id", "text", "seeds", "_tag")
     runs = held.mapInArrow(_send_runs(block_count(docs)), _SENT).groupBy("to").applyInArrow(_meet_runs, _RUNS)
-    out = out.union(runs.select("doc", F.lit("run"), "no", "n_words", "lead", "kept"))
+    out = out.union(runs.select("doc", "tag", F.lit("run"), "no", "n_words", "lead", "kept"))
     return materialize(out, "passages")
 
 
@@ -507,8 +531,10 @@ def _spans(texts: pa.Array, marks: list[list[dict]]) -> Iterator[tuple[int, np.n
 
 
 def _marked(docs: DataFrame, id_col: str, marks: DataFrame, how: str) -> DataFrame:
-    m = marks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("kind", "no", "n_words", "component_id", "kept"))).alias("__marks")).withColumnRenamed("doc_id", "__mark_id")
-    return docs.join(m, docs[id_col] == m["__mark_id"], how).drop("__mark_id")
+    """docs with its columns and __marks; each row gets the marks of its own id and text."""
+    m = marks.groupBy(F.col("doc_id").alias("__mark_id"), F.col("tag").alias("__mark_tag")).agg(F.sort_array(F.collect_list(F.struct("kind", "no", "n_words", "component_id", "kept"))).alias("__marks"))
+    tagged = docs.withColumn("__tag", _tag())
+    return tagged.join(m, (tagged[id_col] == m["__mark_id"]) & (tagged["__tag"] == m["__mark_tag"]), how).drop("__mark_id", "__mark_tag", "__tag")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -528,28 +554,29 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeated passage cut from all places but the one that keeps it; n_chars, where there is
-    such a column, counts the new text.  Documents left without a word go; untouched rows keep their bytes."""
+    such a column, counts the new text.  Documents of which nothing but white space is left go; rows of which nothing is
+    cut, empty ones too, stay as they are."""
     marked = _marked(docs, "doc_id", repeats(docs).where("not kept"), "left")
     keep = docs.columns
     at = keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = b.column(len(keep)).to_pylist()
-            if not any(marks):
-                yield b.select(keep)
-                continue
-            texts = b.column(at).to_pylist()
-            for row, raw, found in _spans(b.column(at), marks):
-                if found:
-                    mask = np.ones(len(raw), bool)
-                    for x, y, *_ in found:
-                        mask[x:y] = False
-                    texts[row] = raw[mask].tobytes().decode("utf-8").strip()
+            marks, cut = b.column(len(keep)).to_pylist(), np.zeros(b.num_rows, bool)
             cols = [b.column(i) for i in range(len(keep))]
-            cols[at] = pa.array(texts, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, keep)
+            if any(marks):
+                texts = b.column(at).to_pylist()
+                for row, raw, found in _spans(b.column(at), marks):
+                    if found:
+                        mask = np.ones(len(raw), bool)
+                        for x, y, *_ in found:
+                            mask[x:y] = False
+                        texts[row], cut[row] = raw[mask].tobytes().decode("utf-8").strip(), True
+                cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(cut)], [*keep, "__cut"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = marked.select(*keep, "__marks").mapInArrow(run, ddl).where("text is null or length(trim(text)) > 0")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in keep else out
+    out = marked.select(*keep, "__marks").mapInArrow(run, f"{ddl}, __cut boolean").where("not __cut or length(text) > 0")
+    if "n_chars" in keep:
+        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*keep)

@@ -186,3 +186,19 @@ def test_passages_inside_lines_are_found_whole(spark):
     assert got == {(100 * n + k, len(passage[k]), k, n == 0) for k in sizes if k != 48 for n in (0, 1)}
     out = {r["doc_id"]: r["text"].split() for r in substring_dedup.remove_repeats(docs(spark, texts)).collect()}
     assert all(out[100 + k] == parts(k, 1)[0] + (passage[k] if k == 48 else []) + parts(k, 1)[2] for k in sizes)
+
+
+def test_rows_that_share_an_id_and_hold_different_texts(spark):
+    """Each row is cut where its own text repeats, whatever other texts its id has."""
+    p, q = base_text(60, 80), base_text(70, 81)
+    own = lambda n: base_text(40, 90 + n)
+    texts = [(1, own(0) + "\n" + p), (1, "short"), (1, own(1) + " " + q + " " + own(2)), (2, "x\ny\n" + p), (2, q), (2, own(3)), (2, None), (2, " "), (3, own(4) + "\n" + p), (3, own(4) + "\n" + p)]
+    d = docs(spark, texts)
+    spans = substring_dedup.repeated_spans(d).collect()
+    held = {}
+    for i, t in texts:
+        held.setdefault(i, []).append(t or "")
+    assert all(any(t[r["start"] : r["start"] + r["length"]] in (p, q) for t in held[r["doc_id"]]) for r in spans)
+    assert sorted((r["doc_id"], r["n_words"], r["component_id"], r["kept"]) for r in spans) == [(1, 60, 1, True), (1, 70, 1, True), (2, 60, 1, False), (2, 70, 1, False), (3, 60, 1, False), (3, 60, 1, False)]
+    out = sorted((r["doc_id"], r["text"] or "") for r in substring_dedup.remove_repeats(d).collect())
+    assert out == sorted([(1, own(0) + "\n" + p), (1, "short"), (1, texts[2][1]), (2, "x\ny"), (2, own(3)), (2, ""), (2, " "), (3, own(4)), (3, own(4))])
