@@ -1,22 +1,30 @@
 """Quality scores by positive-unlabelled learning with a non-negative risk estimator.
 
-Trusted positives are labelled good; unlabelled rows are web text without a label.  A linear model
-g(x) on text statistics minimises, with logistic loss l and the estimated class prior p,
+Trusted positives are the rows labelled good; everything else is unlabelled web text, rows labelled bad among it with
+their labels unread: no negative label teaches anything, neither weights nor prior nor calibration.  A linear model g(x)
+on text statistics minimises, with logistic loss l and the estimated class prior p,
 
     p E_pos[l(g)] + max(0, E_unl[l(-g)] - p E_pos[l(-g)])
 
-where the second term, an estimate of the negatives' risk, may not go below zero: when it does, the
-step is taken against it.  The prior is estimated from the labelled fold.  Scores are calibrated on
-the same fold's labels, so a score is close to a probability.
-
-The fit reads FIT_ROWS labelled and FIT_ROWS unlabelled rows at most, those of smallest id hash (a
-documented bound); it uses labels only of rows with crc32(id) mod 5 other than 0.  Scoring reads
-every document whole, in one pass without a shuffle.  Features come from the text alone.
-
-Null and empty texts have the features of an empty text and get a score too.  Rows whose label or id
-is null teach nothing; an id labelled twice counts with its lower label; rows without any usable
-label on either side leave the prior at PRIOR_DEFAULT and every score at that value.  Repeated rows
-are scored each; an empty table gives no rows.
+where the second term, an estimate of the negatives' risk, may not go below zero: when it does, the step is taken
+against it.
+
+Positives are a sample of the good rows only, so rows labelled good that lie among the unlabelled would count as bad:
+the unlabelled sample is drawn from all training rows, labelled or not.  The prior is estimated from positives and
+unlabelled rows alone: a model told apart by nothing but that flag gives each row a score, and whatever the scores of
+the unlabelled rows look like, at every cut a share of p of them has to be spread as the positives are.  So p is at most
+(share of unlabelled rows above a cut) / (share of positives above it); the estimate is the least such bound over cuts
+with enough rows, on rows the flag model has not been fitted to (each half is scored by the other's model).  Scores are
+a logistic curve over g whose slope and shift minimise the same unbiased risk with the log loss.
+
+The fit reads FIT_ROWS positive and FIT_ROWS unlabelled rows at most, those of smallest id hash, one row an id (a
+documented bound), all of rows with crc32(id) mod 5 other than 0, and runs in one task on that bounded sample.  Scoring
+reads every document whole, in one pass without a shuffle.  Features come from the text alone.
+
+Null and empty texts have the features of an empty text and get a score too.  Rows whose label or id is null teach
+nothing as positives; an id labelled twice counts with its lower label; an id with several texts teaches its smallest
+one; without positives the prior is PRIOR_DEFAULT and every score that value.  Repeated rows are scored each; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +33,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,86 +115,149 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         g = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weight + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * g + self.shift, -30, 30)))
-
-
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600, rate: float = 0.02, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Full-batch Adam on the non-negative unbiased risk; returns mean, scale, weight, bias."""
-    both = np.concatenate([pos, unl]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (pos, unl))
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    loss = lambda z: np.logaddexp(0, -z)
+        z = self.slope * g + self.shift
+        return _sigmoid(np.where(np.abs(z) > 10, np.sign(z) * (10 + 20 * np.tanh((np.abs(z) - 10) / 20)), z))  # far scores keep their order
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _standardised(pos: np.ndarray, unl: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """mean and scale over both, and both in float32 by them."""
+    n = len(pos) + len(unl)
+    mean = (pos.sum(0, dtype=np.float64) + unl.sum(0, dtype=np.float64)) / n
+    var = (np.square(pos - mean).sum(0, dtype=np.float64) + np.square(unl - mean).sum(0, dtype=np.float64)) / n
+    scale = np.sqrt(var) + 1e-3
+    turn = lambda x: np.clip((x - mean) / scale, -8, 8).astype(np.float32)
+    return mean, scale, turn(pos), turn(unl)
+
+
+def _descend(gradient, width: int, steps: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
+    """Full-batch Adam over a linear model's weights and bias; gradient(w, b) gives (of w, of b)."""
+    w, b = np.zeros(width), 0.0
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
-        gp, gu = p @ w + b, u @ w + b
-        negative = loss(-gu).mean() - prior * loss(-gp).mean()
-        d_pos = -prior * (1 - sig(gp)) / len(p)  # of p E_pos[l(g)]
-        d_neg_u, d_neg_p = sig(gu) / len(u), -prior * sig(gp) / len(p)  # of the negatives' risk
-        if negative >= 0:
-            dp, du = d_pos + d_neg_p, d_neg_u
-        else:
-            dp, du = -d_neg_p, -d_neg_u
-        grad = np.append(p.T @ dp + u.T @ du + decay * w, dp.sum() + du.sum())
+        gw, gb = gradient(w, b)
+        grad = np.append(gw + decay * w, gb)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return mean, scale, w, b
-
-
-def _calibrate(g: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[float, float]:
-    """Slope and shift of a logistic curve from g to the labels, by damped Newton steps."""
-    a, b = 1.0, 0.0
-    for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(a * g + b, -30, 30)))
-        r, h = q - y, q * (1 - q) + 1e-9
-        grad = np.array([(r * g).sum() + 1e-3 * a, r.sum()])
-        hess = np.array([[(h * g * g).sum() + 1e-3, (h * g).sum()], [(h * g).sum(), h.sum() + 1e-3]])
-        move = np.linalg.solve(hess, grad)
-        a, b = a - 0.5 * move[0], b - 0.5 * move[1]
-        if np.abs(move).max() < 1e-7:
+    return w, b
+
+
+def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.02, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least non-negative unbiased risk; p, u: standardised rows."""
+
+    def gradient(w, b):
+        gp, gu = p @ w.astype(np.float32) + b, u @ w.astype(np.float32) + b
+        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        d_pos = -prior * (1 - _sigmoid(gp)) / len(p)  # of p E_pos[l(g)]
+        d_neg_u, d_neg_p = _sigmoid(gu) / len(u), -prior * _sigmoid(gp) / len(p)  # of the negatives' risk
+        dp, du = (d_pos + d_neg_p, d_neg_u) if negative >= 0 else (-d_neg_p, -d_neg_u)
+        return dp.astype(np.float32) @ p + du.astype(np.float32) @ u, dp.sum() + du.sum()
+
+    return _descend(gradient, p.shape[1], steps, rate, decay)
+
+
+def _fit_flag(p: np.ndarray, u: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic regression of positive against unlabelled, both sides of equal weight."""
+
+    def gradient(w, b):
+        dp, du = -(1 - _sigmoid(p @ w.astype(np.float32) + b)) / (2 * len(p)), _sigmoid(u @ w.astype(np.float32) + b) / (2 * len(u))
+        return dp.astype(np.float32) @ p + du.astype(np.float32) @ u, dp.sum() + du.sum()
+
+    return _descend(gradient, p.shape[1], steps, 0.05, 3e-3)
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """Share of the unlabelled rows that are spread as the positives are: the least ratio, over cuts that at least half of the positives lie above, of what lies above."""
+    if len(p) < 20 or len(u) < 20:
+        return PRIOR_DEFAULT
+    sp, su = [], []
+    for half in (0, 1):
+        w, b = _fit_flag(p[half::2], u[half::2])
+        w = w.astype(np.float32)
+        sp.append(p[1 - half :: 2] @ w + b)
+        su.append(u[1 - half :: 2] @ w + b)
+    sp, su = np.concatenate(sp), np.concatenate(su)
+    cuts = np.quantile(sp, np.linspace(0, 0.5, 101))
+    fp = np.array([(sp >= c).mean() for c in cuts])
+    fu = np.array([(su >= c).mean() for c in cuts])
+    return float(np.clip((fu / fp).min(), 0.02, 0.98))
+
+
+def _calibrate(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift of a logistic curve over g, by the unbiased log risk of positives and unlabelled rows: as
+    l(z) - l(-z) = -z, that is E_unl[log(1 + exp z)] - p E_pos[z] with z = a g + b, which is convex."""
+    a, b, high = 1.0, 0.0, gp.mean()
+    risk = lambda a, b: np.logaddexp(0, a * gu + b).mean() - prior * (a * high + b) + 3e-4 * a * a
+    for _ in range(100):
+        q = _sigmoid(a * gu + b)
+        h = q * (1 - q) + 1e-9
+        grad = np.array([(q * gu).mean() - prior * high + 6e-4 * a, q.mean() - prior])
+        hess = np.array([[(h * gu * gu).mean() + 6e-4, (h * gu).mean()], [(h * gu).mean(), h.mean() + 1e-9]])
+        move, step, now = np.linalg.solve(hess, grad), 1.0, risk(a, b)
+        while step > 1e-6 and not risk(max(a - step * move[0], 0.1), b - step * move[1]) < now:
+            step /= 2
+        if step <= 1e-6:
             break
-    return max(a, 1e-3), b
+        a, b = max(a - step * move[0], 0.1), b - step * move[1]
+    return float(a), float(b)
 
 
 def _fold(col: str) -> F.Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % HOLD_OUT
 
 
+_MODEL = "mean binary, scale binary, weight binary, bias double, slope double, shift double, prior double"
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Learn from docs and labels; at most fit_rows labelled and fit_rows unlabelled rows are read as features."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    taught = known.where(_fold("doc_id") != 0)
-    ids = docs.where("doc_id is not null").select("doc_id").distinct()
-    labelled = hash_sample(taught.join(ids, "doc_id", "left_semi"), "doc_id", fit_rows)
-    free = hash_sample(ids.where(_fold("doc_id") != 0).join(known, "doc_id", "left_anti"), "doc_id", fit_rows).withColumn("y", F.lit(-1))
-    picked = labelled.union(free)  # at most 2 * fit_rows rows of 12 bytes
+    """Learn from docs and labels; at most fit_rows positive and fit_rows unlabelled rows are read as features."""
+    taught = labels.where((_fold("doc_id") != 0) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y")).where("y = 1").select("doc_id")
+    ids = docs.where((F.col("doc_id").isNotNull()) & (_fold("doc_id") != 0)).select("doc_id").distinct()
+    good = hash_sample(taught.join(ids, "doc_id", "left_semi"), "doc_id", fit_rows).withColumn("y", F.lit(1))
+    free = hash_sample(ids, "doc_id", fit_rows, 1).withColumn("y", F.lit(0))
+    picked = good.union(free)  # at most 2 * fit_rows rows of 12 bytes
+    text = F.col("text").cast("string")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(picked), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([r.tobytes() for r in x], pa.binary()), b.column("doc_id")], ["y", "x", "doc_id"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = chosen.select("doc_id", "y", "text").mapInArrow(run, "y int, x binary, doc_id long").toPandas().sort_values(["doc_id", "x"])
-    return _fit_rows(rows)
-
-
-def _fit_rows(rows: pd.DataFrame) -> Model:
-    width = features(pa.array([""])).shape[1]
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, width) if len(rows) else np.zeros((0, width), np.float32)
-    y = rows["y"].to_numpy() if len(rows) else np.zeros(0, int)
-    pos, unl, lab = x[y == 1], x[y == -1], x[y >= 0]
-    if not len(pos) or not len(lab):
-        p = PRIOR_DEFAULT
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, float(np.log(p / (1 - p))), p)
-    if not len(unl):  # every document is labelled: the labelled rows, labels hidden, stand for web text
-        unl = lab
-    prior = float(np.clip((len(pos) + 1) / (len(lab) + 2), 0.02, 0.98))
-    mean, scale, w, b = fit_nnpu(pos, unl, prior)
-    g = np.clip((lab - mean) / scale, -8, 8) @ w + b
-    slope, shift = _calibrate(g, (y[y >= 0] == 1).astype(float))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("size"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "size", "x"])
+
+    rows = chosen.select("doc_id", "y", F.length("text").alias("size"), "text").mapInArrow(run, "doc_id long, y int, size int, x binary")
+    one = rows.groupBy("y", "doc_id").agg(F.min(F.struct(F.coalesce("size", F.lit(0)), "x")).alias("least")).select("y", "doc_id", F.col("least.x").alias("x"))
+    # one group of at most 2 * fit_rows rows of 2 kB
+    found = one.groupBy(F.lit(0).alias("all")).applyInArrow(_fit_rows, _MODEL).first()
+    if found is None:
+        return _plain_model()
+    return Model(*(np.frombuffer(found[c], np.float64) for c in ("mean", "scale", "weight")), found["bias"], found["slope"], found["shift"], found["prior"])
+
+
+def _plain_model() -> Model:
+    width, p = features(pa.array([""])).shape[1], PRIOR_DEFAULT
+    return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, float(np.log(p / (1 - p))), p)
+
+
+def _fit_rows(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("y", "ascending"), ("doc_id", "ascending")])
+    y = rows.column("y").to_numpy()
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(len(y), -1)
+    m = _learn(x[y == 1], x[y == 0])
+    kinds = ((m.mean.tobytes(), pa.binary()), (m.scale.tobytes(), pa.binary()), (m.weight.tobytes(), pa.binary()), (m.bias, pa.float64()), (m.slope, pa.float64()), (m.shift, pa.float64()), (m.prior, pa.float64()))
+    return pa.Table.from_arrays([pa.array([v], k) for v, k in kinds], [c.split()[0] for c in _MODEL.split(", ")])
+
+
+def _learn(pos: np.ndarray, unl: np.ndarray) -> Model:
+    if not len(pos):
+        return _plain_model()
+    mean, scale, p, u = _standardised(pos, unl if len(unl) else pos)
+    prior = estimate_prior(p, u)
+    w, b = fit_nnpu(p, u, prior)
+    slope, shift = _calibrate(p @ w.astype(np.float32) + b, u @ w.astype(np.float32) + b, prior)
     return Model(mean, scale, w, b, slope, shift, prior)
 
 

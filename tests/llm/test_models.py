@@ -31,6 +31,13 @@ def test_held_out_labels_teach_nothing(spark):
     assert a == b
 
 
+def test_negative_labels_teach_nothing(spark):
+    folder = "/root/testdata/sf0.001"
+    d, l = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")  # noqa: E741
+    a, b = (dict(quality.quality_scores(d, x).select("doc_id", "score").collect()) for x in (l, l.where("quality = 1")))
+    assert a == b
+
+
 def test_quality_hard_cases(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (5, 0, 0), (5, 1, 0), (None, 1, 0), (9, None, 0), (77, 1, 1)], "doc_id long, quality int, toxic int")
     d = docs(spark)
@@ -45,7 +52,9 @@ def test_quality_hard_cases(spark):
 def test_nnpu_separates_without_negative_labels():
     rng = np.random.default_rng(2)
     pos, good, bad = rng.normal(1.5, 1, (400, 5)), rng.normal(1.5, 1, (600, 5)), rng.normal(-1.5, 1, (400, 5))
-    mean, scale, w, b = quality.fit_nnpu(pos, np.concatenate([good, bad]), 0.6)
+    mean, scale, p, u = quality._standardised(pos, np.concatenate([good, bad]))
+    assert 0.5 < quality.estimate_prior(p, u) < 0.72
+    w, b = quality.fit_nnpu(p, u, 0.6)
     g = lambda x: (x - mean) / scale @ w + b
     assert (g(good) > 0).mean() > 0.95 and (g(bad) < 0).mean() > 0.95
 
