@@ -63,12 +63,54 @@ TLD_COUNTRY = {
 }
 #: country: (dialling code, name forms, cities); a user's table of the same shape adds others.
 COUNTRY_GEO = {
+    "Argentina": ("+54", ["argentina", "argentine", "argentinian"], ["buenos aires", "córdoba", "cordoba", "rosario"]),
+    "Australia": ("+61", ["australia", "australian"], ["sydney", "melbourne", "brisbane", "perth", "canberra"]),
+    "Austria": ("+43", ["austria", "austrian", "österreich"], ["vienna", "wien", "graz", "linz", "salzburg"]),
+    "Belgium": ("+32", ["belgium", "belgian", "belgië", "belgique"], ["brussels", "bruxelles", "antwerp", "antwerpen", "ghent", "gent"]),
+    "Brazil": ("+55", ["brazil", "brazilian", "brasil"], ["são paulo", "sao paulo", "rio de janeiro", "brasília", "brasilia"]),
+    "Canada": ("+1", ["canada", "canadian"], ["toronto", "vancouver", "montreal", "montréal", "ottawa", "calgary"]),
+    "Chile": ("+56", ["chile", "chilean"], ["santiago", "valparaíso", "valparaiso", "concepción", "concepcion"]),
+    "China": ("+86", ["china", "chinese"], ["shanghai", "beijing", "shenzhen", "guangzhou"]),
+    "Colombia": ("+57", ["colombia", "colombian"], ["bogotá", "bogota", "medellín", "medellin", "cali"]),
+    "Czech Republic": ("+420", ["czech", "czechia", "česká"], ["prague", "praha", "brno", "ostrava"]),
+    "Denmark": ("+45", ["denmark", "danish", "danmark"], ["copenhagen", "københavn", "kobenhavn", "aarhus", "odense"]),
     "Egypt": ("+20", ["egypt", "egyptian"], ["cairo", "alexandria", "giza", "nasr city", "maadi", "heliopolis", "new cairo", "6th of october", "zamalek", "mansoura"]),
-    "Germany": ("+49", ["germany", "german", "deutschland"], ["berlin", "munich", "münchen", "munchen", "hamburg", "frankfurt", "cologne", "köln"]),
+    "Finland": ("+358", ["finland", "finnish", "suomi"], ["helsinki", "espoo", "tampere", "vantaa"]),
     "France": ("+33", ["france", "french", "française", "francaise"], ["paris", "lyon", "marseille", "toulouse", "lille"]),
-    "Spain": ("+34", ["spain", "spanish", "españa", "espana"], ["madrid", "barcelona", "valencia", "seville", "sevilla", "málaga", "malaga"]),
+    "Germany": ("+49", ["germany", "german", "deutschland"], ["berlin", "munich", "münchen", "munchen", "hamburg", "frankfurt", "cologne", "köln"]),
+    "Greece": ("+30", ["greece", "greek", "ελλάδα"], ["athens", "thessaloniki", "patras", "piraeus"]),
+    "Hungary": ("+36", ["hungary", "hungarian", "magyarország"], ["budapest", "debrecen", "szeged"]),
+    "India": ("+91", ["india", "indian"], ["mumbai", "delhi", "new delhi", "bangalore", "bengaluru", "hyderabad", "chennai", "pune", "noida", "gurgaon", "gurugram"]),
+    "Indonesia": ("+62", ["indonesia", "indonesian"], ["jakarta", "surabaya", "bandung", "medan"]),
+    "Ireland": ("+353", ["ireland", "irish", "éire"], ["dublin", "cork", "galway", "limerick"]),
+    "Israel": ("+972", ["israel", "israeli"], ["tel aviv", "jerusalem", "haifa", "herzliya"]),
+    "Italy": ("+39", ["italy", "italian", "italia"], ["milan", "milano", "rome", "roma", "turin", "torino", "naples", "napoli"]),
+    "Japan": ("+81", ["japan", "japanese"], ["tokyo", "osaka", "yokohama", "nagoya", "kyoto"]),
+    "Kenya": ("+254", ["kenya", "kenyan"], ["nairobi", "mombasa", "kisumu"]),
+    "Malaysia": ("+60", ["malaysia", "malaysian"], ["kuala lumpur", "george town", "johor bahru", "petaling jaya"]),
+    "Mexico": ("+52", ["mexico", "mexican", "méxico"], ["mexico city", "ciudad de méxico", "guadalajara", "monterrey"]),
+    "Netherlands": ("+31", ["netherlands", "dutch", "holland", "nederland"], ["amsterdam", "rotterdam", "the hague", "den haag", "utrecht", "eindhoven"]),
+    "New Zealand": ("+64", ["new zealand"], ["auckland", "wellington", "christchurch"]),
+    "Nigeria": ("+234", ["nigeria", "nigerian"], ["lagos", "abuja", "kano", "ibadan"]),
+    "Norway": ("+47", ["norway", "norwegian", "norge"], ["oslo", "bergen", "trondheim", "stavanger"]),
+    "Pakistan": ("+92", ["pakistan", "pakistani"], ["karachi", "lahore", "islamabad", "rawalpindi"]),
     "Peru": ("+51", ["peru", "peruvian", "perú"], ["lima", "arequipa", "trujillo"]),
+    "Philippines": ("+63", ["philippines", "filipino", "philippine"], ["manila", "quezon city", "cebu", "makati", "taguig"]),
+    "Poland": ("+48", ["poland", "polish", "polska"], ["warsaw", "warszawa", "kraków", "krakow", "wrocław", "wroclaw", "gdańsk", "gdansk"]),
+    "Portugal": ("+351", ["portugal", "portuguese"], ["lisbon", "lisboa", "porto", "braga"]),
+    "Romania": ("+40", ["romania", "romanian", "românia"], ["bucharest", "bucurești", "bucuresti", "cluj-napoca", "cluj", "timișoara", "timisoara"]),
+    "Russia": ("+7", ["russia", "russian"], ["moscow", "saint petersburg", "st petersburg", "novosibirsk"]),
+    "Saudi Arabia": ("+966", ["saudi arabia", "saudi", "ksa"], ["riyadh", "jeddah", "dammam", "mecca", "medina", "khobar"]),
+    "Singapore": ("+65", ["singapore", "singaporean"], ["singapore"]),
+    "South Africa": ("+27", ["south africa", "south african"], ["johannesburg", "cape town", "durban", "pretoria"]),
+    "South Korea": ("+82", ["south korea", "korea", "korean"], ["seoul", "busan", "incheon", "daegu"]),
+    "Spain": ("+34", ["spain", "spanish", "españa", "espana"], ["madrid", "barcelona", "valencia", "seville", "sevilla", "málaga", "malaga"]),
+    "Sweden": ("+46", ["sweden", "swedish", "sverige"], ["stockholm", "gothenburg", "göteborg", "goteborg", "malmö", "malmo"]),
+    "Switzerland": ("+41", ["switzerland", "swiss", "schweiz", "suisse"], ["zurich", "zürich", "geneva", "genève", "geneve", "basel", "bern", "lausanne"]),
+    "Thailand": ("+66", ["thailand", "thai"], ["bangkok", "chiang mai", "phuket", "nonthaburi"]),
+    "Turkey": ("+90", ["turkey", "turkish", "türkiye", "turkiye"], ["istanbul", "ankara", "izmir", "bursa", "antalya"]),
     "UAE": ("+971", ["united arab emirates", "emirati", "emirates", "uae"], ["dubai", "abu dhabi", "sharjah", "ajman"]),
+    "Ukraine": ("+380", ["ukraine", "ukrainian"], ["kyiv", "kiev", "kharkiv", "odesa", "odessa", "lviv", "dnipro"]),
     "United Kingdom": ("+44", ["united kingdom", "britain", "british", "england", "scotland", "wales"], ["london", "manchester", "birmingham", "leeds", "glasgow", "edinburgh", "bristol", "liverpool"]),
     "United States": ("+1", ["united states", "u.s.a", "america", "american"], ["new york", "los angeles", "chicago", "houston", "san francisco", "boston", "seattle", "atlanta", "miami", "washington"]),
 }
@@ -140,12 +182,28 @@ NOT_NAME_WORDS = [
 NAME_SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "phd", "mba", "ma", "ba", "msc"]
 EMAIL_PATTERNS = ["first.last", "f.last", "first.l", "first_last", "firstlast", "flast", "last.first", "lastfirst", "last_first", "last", "first"]
 EMAIL_TOKENS = ["{first}.{last}", "{f}.{last}", "{first}.{l}", "{first}_{last}", "{first}{last}", "{f}{last}", "{last}.{first}", "{last}{first}", "{last}_{first}", "{last}", "{first}"]
+LIST_SIGNALS = ["top ", "best ", "list of", "directory", "rankings", "companies in", "agencies in", "firms in", "companies list", "agency list"]
+LIST_TITLES = ["companies in", "agencies in", "firms in", "list of ", "directory of"]
+CALL_TO_ACTION = r"(?i)^(visit(\s+website)?|website|view\s+(profile|website|site)|see\s+(more|profile)|learn\s+more|read\s+more|profile|contact|directions|call|email|share|compare)$"
+LISTED_NAME_NOISE = ["http", "www.", "companies are listed", "showing ", "database", "reviews", "rankings", "get access"]
+SOCIAL_LINKS = ["facebook.com", "linkedin.com", "twitter.com", "youtube.com"]
+LOCAL_PHONE = r"(?<!\d)(?:\+|00)\s*{digits}[\s\-./()]*(?:\d[\s\-./()]*){{7,}}"
+FORMER = r"(?i)\b(former|previously|ex-|past employee|alumni|alumna|retired|used to work)\b"
+CREDENTIALS = r"(?i),?\s+(?:PMP|MBA|PhD|MSc|BSc|CPA|CELTA|DELTA|MA|BA|JD|MD|MCIL|MITI|ITI|FCIL|Cert\.?\s*\w*)\b.*$"
+CORPORATE_SUFFIX = r"(?i)[,\s]+(inc|llc|ltd|gmbh|sa|sas|sarl|co|corp|corporation|incorporated|limited|company|group|holding|holdings|sl|srl|sp\.?\s*z\s*o\.?o\.?|kft|pvt|ag|kg|nv|bv)\.?\s*$"
+SITE_ENDING = r"(?i)\.(com|org|net|io|co|ai|app|dev|me|uk|us|de|fr|es|it|nl|be|ch|at|se|no|dk|fi|pl|cz|ru|jp|cn|kr|in|au|nz|br|mx|cl|ar|za|ae|sg|hk|tw|tr|gr|pt|ie|ro|hu|ua)\b"
+BAD_NAME_TOKENS = ["undefined", "null", "n/a", "jr", "sr", "ii", "iii", "iv", "phd", "mba", "ma", "linkedin", "member"]
 EXAMPLE_FIRST = ["john", "jane", "james", "william", "michael"]
 EXAMPLE_LAST = ["smith", "doe", "jones", "williams", "brown", "taylor", "davis", "miller", "wilson", "moore", "anderson", "white"]
 VERIFIED_TAGS = {"ai_overview": "ai_overview_verified", "local_pack": "local_pack_verified", "directory": "directory_verified", "serp_summary": "serp_summary_verified"}
 STATUSES = ["qualified", "rejected", "failed", "unreachable", "discovered"]
 
 
+def industry_keywords(slug: str | None) -> list[str]:
+    """Keywords of an industry; those of language services where it is not listed or not named."""
+    return INDUSTRY_KEYWORDS.get((slug or "").strip().lower()) or RELEVANCE_KEYWORDS
+
+
 def is_strong(term: str, markers: list[str] = STRONG_MARKERS, ambiguous: list[str] = AMBIGUOUS_TERMS) -> bool:
     """A term that shows the industry by itself: not ambiguous, and a marker lies in it or it in a marker."""
     return term not in ambiguous and any(m in term or term in m for m in markers)

@@ -12,30 +12,38 @@ from siftwell.functions.web import contains_any, lit_array, text
 
 
 def _fold() -> tuple[str, str]:
-    """Letters of Latin-1 to Latin Extended-B that decompose to one ASCII letter, with that letter."""
-    pairs = [(c, d[0]) for c in map(chr, range(0xC0, 0x250)) if (d := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) and len(d) == 1]
+    """Characters that decompose to one ASCII letter, with that letter."""
+    pairs = [(c, d) for c in map(chr, range(0x80, 0x10000)) if (d := unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) and len(d) == 1 and d.isalpha()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 FOLD_FROM, FOLD_TO = _fold()
+#: ligatures, which decompose to several letters
+LIGATURES = [(c, unicodedata.normalize("NFKD", c)) for c in map(chr, range(0xFB00, 0xFB05))]
 
 
 def norm_name(c: Column) -> Column:
-    """a-z of a name, accents folded."""
-    return F.regexp_replace(F.lower(F.translate(F.lower(text(c)), FOLD_FROM, FOLD_TO)), "[^a-z]", "")
+    """a-z of a name, accents and ligatures folded."""
+    low = F.lower(text(c))
+    for a, b in LIGATURES:
+        low = F.replace(low, F.lit(a), F.lit(b))
+    return F.regexp_replace(F.lower(F.translate(low, FOLD_FROM, FOLD_TO)), "[^a-z]", "")
 
 
 def words_of(c: Column) -> Column:
     return F.filter(F.split(F.trim(text(c)), r"\s+"), lambda w: w != "")
 
 
-def first_name(full: Column, first: Column) -> Column:
-    return F.coalesce(F.nullif(text(first), F.lit("")), F.get(words_of(full), F.lit(0)), F.lit(""))
+def first_name(full: Column, first: Column, last: Column) -> Column:
+    """The stored first name; the full name's first word where neither part is stored."""
+    none = (F.trim(text(first)) == "") & (F.trim(text(last)) == "")
+    return F.when(none, F.coalesce(F.get(words_of(full), F.lit(0)), F.lit(""))).otherwise(F.trim(text(first)))
 
 
-def last_name(full: Column, last: Column) -> Column:
-    w = words_of(full)
-    return F.coalesce(F.nullif(text(last), F.lit("")), F.when(F.size(w) > 1, F.element_at(w, -1)), F.lit(""))
+def last_name(full: Column, first: Column, last: Column) -> Column:
+    """The stored last name; the full name's last word of several where neither part is stored."""
+    w, none = words_of(full), (F.trim(text(first)) == "") & (F.trim(text(last)) == "")
+    return F.when(none, F.coalesce(F.when(F.size(w) > 1, F.element_at(w, -1)), F.lit(""))).otherwise(F.trim(text(last)))
 
 
 def clean_email(c: Column) -> Column:
@@ -53,7 +61,7 @@ def is_personal(c: Column, free: list[str] = dims.FREE_EMAIL_DOMAINS) -> Column:
 def is_generic(c: Column, prefixes: list[str] = dims.GENERIC_PREFIXES) -> Column:
     """The local part is a role word or one with at most three characters more."""
     local = F.substring_index(clean_email(c), "@", 1)
-    return F.exists(lit_array(prefixes), lambda p: F.startswith(local, p) & (F.length(local) <= F.length(p) + 3))
+    return F.contains(text(c), F.lit("@")) & F.exists(lit_array(prefixes), lambda p: F.startswith(local, p) & (F.length(local) <= F.length(p) + 3))
 
 
 def is_institutional(c: Column) -> Column:
@@ -61,21 +69,29 @@ def is_institutional(c: Column) -> Column:
 
 
 def is_former(c: Column) -> Column:
-    return F.rlike(text(c), F.lit(r"(?i)\b(former|formerly|previously|previous|ex-|alumni|alumnus|retired)"))
+    return F.rlike(text(c), F.lit(dims.FORMER))
 
 
 def clean_name(c: Column) -> Column:
     """Without pronouns, brackets and credentials."""
     x = F.regexp_replace(text(c), r"\s*\([^)]*\)", "")
-    return F.trim(F.regexp_replace(x, r"(?i),?\s+(?:PMP|MBA|PhD|MSc|BSc|CPA|CELTA|DELTA|MA|BA|JD|MD|MCIL|MITI|ITI|FCIL|Cert\.?)\b.*$", ""))
+    return F.trim(F.regexp_replace(x, dims.CREDENTIALS, ""))
 
 
 def profile_name(title: Column) -> Column:
-    """struct(name, job) from 'Name - Job at Company | Site'."""
-    core = F.trim(F.regexp_replace(text(title), r"\s*\|.*$", ""))
-    part = F.split(core, r"\s+[-–—]\s+")
-    job = F.trim(F.regexp_replace(F.coalesce(F.get(part, F.lit(1)), F.lit("")), r"(?i)\s+at\s+.*$", ""))
-    return F.struct(F.trim(F.get(part, F.lit(0))).alias("name"), job.alias("job"))
+    """struct(name, job) from 'Name - Job at Company | Site', the site's name with or without a bar."""
+    core = F.trim(F.regexp_replace(F.trim(F.regexp_replace(text(title), r"(?i)\s*\|?\s*LinkedIn\s*$", "")), r"\s*\|.*$", ""))
+    part = F.filter(F.transform(F.split(core, r"\s+[–\-]\s+"), F.trim), lambda x: x != "")
+    job = F.trim(F.regexp_replace(F.coalesce(F.get(part, F.lit(1)), F.lit("")), r"(?i)\s+at\s+.+$", ""))
+    return F.struct(F.get(part, F.lit(0)).alias("name"), job.alias("job"))
+
+
+def is_profile_name(c: Column, bad: list[str] = dims.BAD_NAME_TOKENS) -> Column:
+    """Two words at least, no digit, and neither first name nor the rest a word that profiles put there."""
+    low = F.lower(F.trim(text(c)))
+    w = words_of(low)
+    rest = F.array_join(F.slice(w, 2, 1000), " ")
+    return (F.size(w) >= 2) & ~F.rlike(low, F.lit(r"\d")) & (F.length(F.rtrim(rest, F.lit(".,;:"))) >= 2) & ~rest.isin(bad) & ~F.coalesce(F.get(w, F.lit(0)).isin(bad), F.lit(False))
 
 
 def is_valid_name(c: Column, bad: list[str] = dims.NOT_NAME_WORDS, suffixes: list[str] = dims.NAME_SUFFIXES) -> Column:
@@ -132,12 +148,15 @@ def is_confirmed(email: Column, layer: Column, verified: Column) -> Column:
     return (text(email) != "") & (layer.isin("L1-Site", "L4-Search") | ((layer == "L2-EFmt") & F.coalesce(verified, F.lit(False))))
 
 
-def search_names(name: Column, profile_slug: Column, domain: Column) -> Column:
-    """Names to search a company by, in order and without repeats: its name without corporate suffix (unless it is a
-    domain), its profile's words, the words of its domain's first label, the domain."""
-    bare = F.trim(F.regexp_replace(text(name), r"(?i)[,.]?\s+(inc|ltd|llc|gmbh|corp|co|sa|srl|bv|ag|plc|pvt|limited|company)\.?$", ""))
-    label = F.replace(F.substring_index(text(domain), ".", 1), F.lit("-"), F.lit(" "))
-    parts = F.array(F.when(~F.rlike(bare, F.lit(r"^\S+\.\S+$")), bare), F.replace(text(profile_slug), F.lit("-"), F.lit(" ")), label, text(domain))
+def search_names(name: Column, profile_url: Column, domain: Column) -> Column:
+    """Names to search a company by, in order and without repeats: its name without corporate suffix (unless it holds a
+    domain), its profile's words, the words of its domain's first label, the domain; the name where there is none."""
+    spaced = lambda c: F.trim(F.translate(c, "-_", "  "))
+    bare = F.trim(F.regexp_replace(F.trim(text(name)), dims.CORPORATE_SUFFIX, ""))
+    slug = F.regexp_extract(text(profile_url), r"/company/([^/?]*)", 1)
+    d = F.trim(text(domain))
+    parts = F.array(F.when(~F.rlike(text(name), F.lit(dims.SITE_ENDING)), bare), spaced(slug), spaced(F.substring_index(d, ".", 1)), d)
     keep = F.filter(parts, lambda s: s.isNotNull() & (s != ""))
     low = F.transform(keep, F.lower)
-    return F.filter(keep, lambda s, i: F.array_position(low, F.lower(s)) == i + 1)
+    out = F.filter(keep, lambda s, i: F.array_position(low, F.lower(s)) == i + 1)
+    return F.when((F.size(out) == 0) & (F.trim(text(name)) != ""), F.array(F.trim(name))).otherwise(out)

@@ -14,6 +14,10 @@ from siftwell import dims
 from siftwell.functions.web import any_link_has, contains_any, country_of, foreign_tld, hits, lit_array, suffixes, text
 
 
+#: words by which a state or school host stays
+STATE_EXCEPTIONS = ["translation", "localization"]
+
+
 def token_in(body: Column, needle: str) -> Column:
     """A phrase as a substring; one word only where no letter or digit touches it.  body is lower-cased."""
     return F.contains(body, F.lit(needle)) if " " in needle else F.rlike(body, F.lit(rf"(?<![a-z0-9]){re.escape(needle)}(?![a-z0-9])"))
@@ -32,7 +36,7 @@ def first_token(body: Column, needles: list[str]) -> Column:
 
 def has_local_phone(body: Column, code: str) -> Column:
     digits = code.lstrip("+").strip()
-    return F.rlike(F.lower(text(body)), F.lit(rf"(?<!\d)(?:\+|00)\s*{digits}[\s\-./()]*(?:\d[\s\-./()]*){{7,}}")) if digits else F.lit(False)
+    return F.rlike(F.lower(text(body)), F.lit(dims.LOCAL_PHONE.format(digits=digits))) if digits else F.lit(False)
 
 
 def has_bare_code(body: Column, code: str) -> Column:
@@ -55,7 +59,8 @@ def tier(score: Column) -> Column:
 
 
 def score_page(body: Column, links: Column, profile: Column, keywords: list[str], strong: list[str]) -> Column:
-    """struct(score, tier, reasons): keywords up to 50, contact page 20, about page 10, profile 10; weak without evidence."""
+    """struct(score, tier, reasons): keywords up to 50, contact page 20, about page 10, profile 10; weak without evidence.
+    A page that was not read has no reasons."""
     found = hits(body, keywords)
     n = F.size(found)
     contact, about, social = any_link_has(links, dims.CONTACT_HINTS), any_link_has(links, dims.ABOUT_HINTS), text(profile) != ""
@@ -64,7 +69,7 @@ def score_page(body: Column, links: Column, profile: Column, keywords: list[str]
     score = F.when(n == 0, 0).when(ok, raw).otherwise(F.least(F.lit(29), raw))
     reasons = F.array_compact(F.array(
         F.when(n > 0, F.concat(n.cast("string"), F.lit(" industry keywords"))), F.when((n > 0) & contact, F.lit("has contact page")), F.when((n > 0) & about, F.lit("has about/team page")),
-        F.when((n > 0) & social, F.lit("has LinkedIn")), F.when((n > 0) & ~ok, F.lit("insufficient industry evidence")), F.when(n == 0, F.lit("missing industry keywords")),
+        F.when((n > 0) & social, F.lit("has LinkedIn")), F.when((n > 0) & ~ok, F.lit("insufficient industry evidence")), F.when((n == 0) & body.isNotNull(), F.lit("missing industry keywords")),
     ))
     return F.struct(score.cast("int").alias("score"), F.when((n > 0) & ok, tier(score)).otherwise("weak").alias("tier"), reasons.alias("reasons"))
 
@@ -74,8 +79,9 @@ def is_parked(body: Column, signals: list[str] = dims.PARKING_SIGNALS) -> Column
 
 
 def location_gate(host: Column, body: Column, country: str, tld_country: dict[str, str], geo: dict[str, tuple]) -> Column:
-    """struct(ok, evidence) for one selected country: own TLD, foreign TLD, headquarters phrase, city with a local
-    phone or with the country's name, in that order."""
+    """struct(ok, evidence) for one selected country.  An own TLD passes and a foreign one fails by itself; else the
+    evidence lists the headquarters phrase, the first city and the phone, whichever there are, and passes by a phrase, or
+    a city with a local phone or with the country's name.  Signals stand outside the branches, so that each is taken once."""
     if country in ("", "All Countries"):
         return F.struct(F.lit(True).alias("ok"), F.array(F.lit("location gate off")).alias("evidence"))
     low = F.lower(text(body))
@@ -87,16 +93,17 @@ def location_gate(host: Column, body: Column, country: str, tld_country: dict[st
     if country not in geo:
         return own.when(F.contains(low, F.lit(country.lower())), res(True, F.lit(f"name '{country}'"))).otherwise(res(False, F.lit("no location signal")))
     code, adj, cities = geo[country]
-    hq = F.coalesce(*[F.when(F.contains(low, F.lit(p + a)), F.lit(f"HQ phrase '{a}'")) for a in adj for p in dims.HQ_PREFIXES])
+    hq = F.coalesce(*[F.when(F.contains(low, F.lit(p + a)), F.lit(a)) for a in adj for p in dims.HQ_PREFIXES])
     city = first_token(low, cities)
-    city_ev = F.when(city.isNotNull(), F.concat(F.lit("city '"), city, F.lit("'")))
     phone, bare, named = has_local_phone(low, code), has_bare_code(low, code), any_token(low, [country.lower(), *adj])
-    phone_ev = F.when(phone, F.lit(f"phone {code} number")).when(bare, F.lit(f"phone {code} code-only (ignored)"))
-    return (
-        own.when(hq.isNotNull(), res(True, hq)).when(city.isNotNull() & phone, res(True, city_ev, phone_ev)).when(city.isNotNull() & named, res(True, city_ev, F.lit(f"name '{country}'")))
-        .when(city.isNotNull(), res(False, phone_ev, F.lit("city alone without country/HQ (ignored)")))
-        .when(phone, res(False, phone_ev, F.lit("need city or HQ (phone alone insufficient)"))).otherwise(res(False, phone_ev, F.lit("no local address / phone / city")))
-    )
+    ok = hq.isNotNull() | (city.isNotNull() & (phone | named))
+    found = F.array_compact(F.array(
+        F.concat(F.lit("HQ phrase '"), hq, F.lit("'")), F.concat(F.lit("city '"), city, F.lit("'")),
+        F.when(phone, F.lit(f"phone {code} number")).when(bare, F.lit(f"phone {code} code-only (ignored)")),
+        F.when(~ok & city.isNotNull(), F.lit("city alone without country/HQ (ignored)")),
+        F.when(~ok & city.isNull() & bare, F.lit("need city or HQ (phone alone insufficient)")),
+    ))
+    return own.otherwise(F.struct(ok.alias("ok"), F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("no local address / phone / city"))).alias("evidence")))
 
 
 def summary_suggests_country(title: Column, snippet: Column, host: Column, country: str, tld_country: dict[str, str], geo: dict[str, tuple], require_signal: bool = False) -> Column:
@@ -121,7 +128,9 @@ def summary_suggests_industry(title: Column, snippet: Column, keywords: list[str
 def loose_screen(host: Column, title: Column, snippet: Column, blocked: Column, duplicate: Column, country: Column, tld_country: dict[str, str], junk_titles: list[str] = dims.JUNK_TITLES, pure_junk: list[str] = dims.PURE_JUNK) -> Column:
     """Reason why a hit is left out before its page is read; NULL for hits that go on."""
     both = F.concat(text(title), F.lit(" "), text(snippet))
-    state_host = F.rlike(host, F.lit(r"\.(gov|edu|ac)(\.|$)")) & ~contains_any(both, ["translation", "localization", "localisation"])
+    p = F.split(text(host), r"\.")
+    state = ["gov", "edu", "mil"]
+    state_host = (F.element_at(p, -1).isin(state) | F.coalesce(F.when(F.size(p) >= 3, F.element_at(p, -2)).isin(state), F.lit(False))) & ~contains_any(both, STATE_EXCEPTIONS)
     return (
         F.when(text(host) == "", "no_domain").when(blocked, "blocked").when(duplicate, "duplicate").when(foreign_tld(host, country, tld_country) != "", "foreign_cctld")
         .when(contains_any(title, junk_titles), "junk_title").when(contains_any(both, pure_junk) | state_host, "serp_junk")
@@ -143,7 +152,8 @@ def candidate_screen(host: Column, title: Column, blocked: Column, duplicate: Co
 def is_directory(host: Column, title: Column, hosts: list[str] = dims.DIRECTORY_HOSTS, titles: list[str] = dims.DIRECTORY_TITLES) -> Column:
     from siftwell.functions.web import equal_or_below
 
-    return equal_or_below(host, hosts) | (contains_any(title, titles) & contains_any(title, ["top ", "best ", "list", "directory"])) | contains_any(title, ["companies in ", "agencies in ", "firms in ", "list of ", "directory of "])
+    by_title = F.when(contains_any(title, titles), contains_any(title, dims.LIST_SIGNALS)).otherwise(contains_any(title, dims.LIST_TITLES))
+    return equal_or_below(host, hosts) | by_title
 
 
 def hit_priority(source: Column, directory: Column, verified: Column) -> Column:
@@ -171,4 +181,32 @@ def verdict(code: Column, has_mx: Column, catch_all: Column, email: Column) -> C
 
 
 def check_budget(target: Column) -> Column:
-    return F.when(target <= 25, 75).when(target <= 50, 200).when(target <= 100, 500).otherwise(F.least(F.lit(8000), 8 * target))
+    """Sites to check before giving up."""
+    return F.when(target <= 25, F.greatest(3 * target, F.lit(60))).when(target <= 50, 4 * target).when(target <= 100, 5 * target).otherwise(F.least(F.lit(8000), 8 * target))
+
+
+def max_pages(target: Column, page_size: int = 10) -> Column:
+    """Result pages to read per search term."""
+    return F.least(F.lit(150), F.greatest(F.lit(15), F.ceil(target / page_size) * 8))
+
+
+def meta_pages(target: Column, least: int = 10) -> Column:
+    """Result pages to read per term of a metasearch."""
+    return F.least(F.lit(25), F.greatest(F.lit(least), F.floor(target / 8)))
+
+
+def industry_match(title: Column, snippet: Column, slug: str | None, industries: dict[str, list[str]] = dims.INDUSTRY_KEYWORDS, junk_titles: list[str] = dims.JUNK_TITLES) -> Column:
+    """A result shows the industry; all do where none is selected or it is not listed."""
+    keywords = industries.get((slug or "").lower(), [])
+    return ~contains_any(title, junk_titles) & contains_any(F.concat(text(title), F.lit(" "), text(snippet)), keywords) if keywords else F.lit(True)
+
+
+def homepage_promising(body: Column, pages: Column, keywords: list[str], relevance: list[str] = dims.RELEVANCE_KEYWORDS, positive: list[str] = dims.POSITIVE_TERMS) -> Column:
+    """Not parked, and a relevance, positive or industry term or three internal pages."""
+    return body.isNotNull() & ~is_parked(body) & (contains_any(body, [*relevance, *positive, *keywords]) | (pages >= 3))
+
+
+def quality_site(body: Column, pages: Column, keywords: list[str], relevance: list[str] = dims.RELEVANCE_KEYWORDS, least_pages: int = 4) -> Column:
+    """Not parked, four internal pages at least, a relevance term, and an industry term where an industry is selected."""
+    industry = contains_any(body, keywords) if keywords else F.lit(True)
+    return body.isNotNull() & ~is_parked(body) & (pages >= least_pages) & contains_any(body, relevance) & industry

@@ -5,6 +5,8 @@ All are built-in expressions over whole columns; lists are parameters.  NULL and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,8 +68,8 @@ def foreign_tld(host: Column, country: Column, tld_country: dict[str, str]) -> C
     return F.when(~open_ & tld.isNotNull() & (F.try_element_at(table, tld) != country), tld).otherwise("")
 
 
-def is_blocked(url: Column, *, social: list[str], junk_subdomains: list[str], junk_names: list[str], blocked: list[str], translate_hosts: list[str] = ["translate.goog", "translate.google.com"]) -> Column:  # noqa: B006
-    """Hosts that are never a lead: none, IPv4, social, state and schools, junk subdomains and names, block-listed."""
+def is_blocked(url: Column, *, social: list[str], junk_subdomains: list[str], junk_names: list[str], blocked: list[str], translate: str = "translate.google") -> Column:
+    """Hosts that are never a lead: none, translators of any country, IPv4, social, state and schools, junk subdomains and names, block-listed."""
     d = domain_of(url)
     p = F.split(d, r"\.")
     last, second = F.element_at(p, -1), F.when(F.size(p) >= 3, F.element_at(p, -2))
@@ -75,29 +77,39 @@ def is_blocked(url: Column, *, social: list[str], junk_subdomains: list[str], ju
     for s in junk_subdomains:
         starts = starts | F.startswith(d, F.lit(s))
     return (
-        (d == "") | equal_or_below(d, translate_hosts) | F.rlike(d, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$")) | equal_or_below(d, social)
+        (d == "") | (d == translate) | F.startswith(d, F.lit(translate + ".")) | F.rlike(d, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$")) | equal_or_below(d, social)
         | last.isin("mil", "gov", "edu") | F.coalesce(second.isin("gov", "edu"), F.lit(False)) | starts | contains_any(F.get(p, F.lit(0)), junk_names) | equal_or_below(d, blocked)
     )
 
 
-def html_to_text(html: Column, drop: list[str] = ["script", "style", "noscript"], limit: int | None = 12_000, least: int = 80) -> Column:  # noqa: B006
-    """Visible text of a page: listed elements and tags go, white space runs become one space, the title and
-    the description come first; NULL under `least` characters.  The limit is the feature's own."""
-    x = text(html)
-    body = x
+def without(html: Column, drop: list[str]) -> Column:
+    """Markup without the listed elements."""
     for t in drop:
-        body = F.regexp_replace(body, rf"(?is)<{t}\b[^>]*>.*?</{t}>", " ")
-    body = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?s)<[^>]+>", " "), r"[ \t\r\n]+", " "))
+        html = F.regexp_replace(html, rf"(?is)<{t}[^>]*>.*?</{t}>", " ")
+    return html
+
+
+NOT_SHOWN = ["script", "style", "noscript"]
+
+
+def html_to_text(html: Column, drop: list[str] = NOT_SHOWN, limit: int | None = 12_000, least: int = 80) -> Column:
+    """Visible text of a page: listed elements and tags go, white space runs become one space, the title and
+    the description (its attributes in either order) come first, joined by a space; NULL under `least` characters.
+    The limit is the feature's own."""
+    x = without(text(html), drop)
+    body = F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", " "), r"\s+", " "))
     body = F.substring(body, 1, limit) if limit else body
-    title = F.trim(F.regexp_replace(F.regexp_extract(x, r"(?is)<title[^>]*>(.*?)</title>", 1), r"[ \t\r\n]+", " "))
-    about = F.trim(F.regexp_extract(x, r"(?is)<meta[^>]+name=[\"']description[\"'][^>]+content=[\"']([^\"']*)[\"']", 1))
-    whole = F.array_join(F.filter(F.array(title, about, body), lambda s: s != ""), "\n")
+    named, valued = r"name=[\"']description[\"']", r"content=[\"']([^\"']+)"
+    found = lambda pattern: F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
+    title = F.when(F.rlike(x, F.lit(r"(?is)<title[^>]*>.*?</title>")), F.trim(F.regexp_replace(F.regexp_extract(x, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")))
+    about = F.trim(F.coalesce(found(rf"(?i)<meta[^>]+{named}[^>]+{valued}"), found(rf"(?i)<meta[^>]+{valued}[\"'][^>]+{named}")))
+    whole = F.array_join(F.array_compact(F.array(title, about, body)), " ")
     return F.when(F.length(whole) >= least, whole)
 
 
-def links_of(html: Column, limit: int = 300) -> Column:
-    """href values: absolute ones and those from the root, in order."""
-    found = F.regexp_extract_all(text(html), F.lit(r"(?i)href=[\"']([^\"'# ]+)"), F.lit(1))
+def links_of(html: Column, limit: int = 300, drop: list[str] = NOT_SHOWN) -> Column:
+    """href values outside the dropped elements: absolute ones and those from the root, in order."""
+    found = F.regexp_extract_all(without(text(html), drop), F.lit(r"href=[\"']([^\"'#\s]+)[\"']"), F.lit(1))
     keep = F.filter(found, lambda u: F.startswith(u, F.lit("http")) | (F.startswith(u, F.lit("/")) & ~F.startswith(u, F.lit("//"))))
     return F.slice(keep, 1, limit)
 
@@ -112,20 +124,64 @@ def any_link_has(links: Column, hints: list[str]) -> Column:
     return F.coalesce(F.exists(links, one), F.lit(False))
 
 
+def absolute(link: Column, host: Column) -> Column:
+    """A link of a host's page as a URL."""
+    return (
+        F.when(F.rlike(link, F.lit("(?i)^https?://")), link).when(F.startswith(link, F.lit("//")), F.concat(F.lit("https:"), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(F.lit("https://"), host, link)).otherwise(F.concat(F.lit("https://"), host, F.lit("/"), link))
+    )
+
+
+def link_host(url: Column) -> Column:
+    """Host of an absolute URL, lower-cased, without a first www. and without port."""
+    host = F.lower(F.regexp_extract(url, r"(?i)^https?://([^/]*)", 1))
+    return F.substring_index(F.regexp_replace(host, r"^www\.", ""), ":", 1)
+
+
+def within(url: Column, host: Column) -> Column:
+    h = link_host(url)
+    return (h == host) | F.endswith(h, F.concat(F.lit("."), host))
+
+
+def is_page_link(link: Column) -> Column:
+    return (link != "") & ~F.rlike(link, F.lit(r"^(#|mailto:|tel:|javascript:)"))
+
+
+def bare_host(host: Column) -> Column:
+    return F.regexp_replace(F.lower(text(host)), r"^www\.", "")
+
+
 def internal_pages(links: Column, host: Column, assets: list[str]) -> Column:
-    """Number of different internal paths, the root included; fragments, queries, case and a last slash fold."""
-    inside = F.filter(links, lambda u: F.startswith(u, F.lit("/")) | (domain_of(u) == host) | F.endswith(domain_of(u), F.concat(F.lit("."), host)))
-    path = F.transform(inside, lambda u: F.lower(F.regexp_replace(F.regexp_replace(u, r"^[a-zA-Z][^:/?#]*://[^/?#]*", ""), r"[?#].*$", "")))
-    path = F.filter(path, lambda p: ~F.rlike(p, F.lit(r"^(mailto|tel|javascript):")) & ~F.exists(lit_array(assets), lambda a: F.endswith(p, a)))
+    """Number of different internal paths, the root included; ports, fragments, queries, case and last slashes fold."""
+    bare = bare_host(host)
+    inside = F.filter(F.transform(F.filter(links, is_page_link), lambda u: absolute(F.trim(u), bare)), lambda u: within(u, bare))
+    path = F.transform(inside, lambda u: F.lower(F.regexp_replace(F.regexp_extract(u, r"(?i)^https?://[^/]*(/.*)?$", 1), r"[?#].*$", "")))
+    path = F.filter(path, lambda p: ~F.exists(lit_array(assets), lambda a: F.endswith(p, a)))
     path = F.transform(path, lambda p: F.coalesce(F.nullif(F.rtrim(p, F.lit("/")), F.lit("")), F.lit("/")))
     return F.size(F.array_distinct(F.concat(F.array(F.lit("/")), path)))
 
 
+def high_value_urls(links: Column, host: Column, hints: list[str], limit: int = 3) -> Column:
+    """array of struct(score, url): the host's own pages by the place of the first hint in their path (100 less it), first
+    of each path, without query and fragment; ties in page order."""
+    bare = bare_host(host)
+
+    def one(u: Column, at: Column) -> Column:
+        full = absolute(u, bare)
+        path = F.lower(F.regexp_extract(full, r"(?i)^https?://[^/?#]*([^?#]*)", 1))
+        return F.struct((-high_value_rank(path, hints)).alias("order"), at.alias("at"), F.rtrim(path, F.lit("/")).alias("key"), F.regexp_replace(full, r"[?#].*$", "").alias("url"), within(full, bare).alias("inside"))
+
+    own = F.filter(F.transform(F.filter(links, is_page_link), one), lambda x: x["inside"] & (x["key"] != ""))
+    keys = F.transform(own, lambda x: x["key"])
+    firsts = F.filter(own, lambda x, i: (F.array_position(keys, x["key"]) == i + 1) & x["order"].isNotNull())
+    return F.transform(F.slice(F.array_sort(firsts), 1, limit), lambda x: F.struct((-x["order"]).alias("score"), x["url"].alias("url")))
+
+
 def profile_url(links: Column, body: Column, mark: str = "linkedin.com/company/") -> Column:
-    """First link with the company profile path, cut at '?' and without a last slash; else the first in the text."""
+    """First link with the company profile path, cut at '?' and without last slashes; else the first in the text."""
     link = F.get(F.filter(links, lambda u: F.contains(u, F.lit(mark))), F.lit(0))
-    in_text = F.regexp_extract(text(body), rf"(https?://(?:[a-z]+\.)?{mark.replace('.', chr(92) + '.')}[A-Za-z0-9_%-]+)", 1)
-    return F.coalesce(F.rtrim(F.substring_index(link, "?", 1), F.lit("/")), in_text)
+    in_text = F.regexp_extract(text(body), rf"https?://(?:www\.)?{re.escape(mark)}[^\s\)\]\"'<>]+", 0)
+    return F.rtrim(F.coalesce(F.substring_index(link, "?", 1), in_text), F.lit("/"))
 
 
 def is_seo_title(name: Column, seo_words: list[str]) -> Column:
@@ -151,9 +207,8 @@ def company_slug(name: Column) -> Column:
 
 
 def high_value_rank(url: Column, hints: list[str]) -> Column:
-    """100 less the place of the first hint in the path; NULL if none."""
-    low = F.lower(url)
+    """100 less the place of the first hint in a lower-cased path; NULL if none."""
     out = F.when(F.lit(False), F.lit(0))
     for i, h in enumerate(hints):
-        out = out.when(F.contains(low, F.lit(h)), F.lit(100 - i))
+        out = out.when(F.contains(url, F.lit(h)), F.lit(100 - i))
     return out

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell import dims
 from siftwell.functions import gates, web
-from siftwell.operators.dedupe import first_wins
+from siftwell.operators.dedupe import first_n, first_wins
 
 
 @dataclass
@@ -120,3 +120,18 @@ def classify_companies(pages: DataFrame, verdicts: DataFrame, body: str = "body"
     kind = F.when(found >= 2, "lsp").when(F.trim(web.text(F.col(body))) == "", "client").otherwise(F.coalesce("_given", F.lit("client")))
     method = F.when(found >= 2, "keywords").when(F.trim(web.text(F.col(body))) == "", "default (no homepage text)").otherwise("external")
     return j.select("domain", kind.alias("company_type"), method.alias("method"), found.alias("hits"))
+
+
+def merge_pages(pages: DataFrame, keys: list[str], order: list[str], limit: int = 24_000, most_links: int = 500) -> DataFrame:
+    """keys, body, links: a site's pages as one, bodies joined by a blank line and cut at the feature's limit, links first
+    of each.  Only pages that begin before the limit bring their bodies, and first links are ranked before they meet, so
+    that a site with very many pages stays small in one row."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before = F.coalesce(F.sum(F.length("body") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = pages.select(*keys, *order, "body").withColumn("_before", before).where(F.col("_before") < limit)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "body"))), lambda x: x["body"]), "\n\n")
+    bodies = near.groupBy(*keys).agg(F.substring(joined, 1, limit).alias("body"))
+    each = pages.select(*keys, *order, F.posexplode("links").alias("_at", "_link"))
+    firsts = first_n(first_wins(each, [*keys, "_link"], [*order, "_at"]), keys, [*order, "_at"], most_links)
+    links = firsts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, "_at", "_link"))), lambda x: x["_link"]).alias("links"))
+    return bodies.join(links, keys, "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))

@@ -92,22 +92,36 @@ def sql_foreign(h: str, country: str) -> str:
     return f"(case when {sql_tld(h)} is not null and {_TABLE}[{sql_tld(h)}] <> '{country}' then {sql_tld(h)} else '' end)"
 
 
-def sql_text(c: str) -> str:
+def sql_shown(c: str) -> str:
+    """Markup without scripts, styles and noscript."""
     x = f"coalesce({c}, '')"
     for t in ("script", "style", "noscript"):
-        x = rf"regexp_replace({x}, '<{t}\b[^>]*>.*?</{t}>', ' ', 'gis')"
-    return rf"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'gs'), '[ \t\r\n]+', ' ', 'g'))"
+        x = rf"regexp_replace({x}, '<{t}[^>]*>.*?</{t}>', ' ', 'gis')"
+    return x
 
 
 def sql_body(c: str) -> str:
     """html_to_text without its limit."""
-    title = rf"trim(regexp_replace(regexp_extract(coalesce({c}, ''), '<title[^>]*>(.*?)</title>', 1, 'is'), '[ \t\r\n]+', ' ', 'g'))"
-    whole = f"array_to_string(list_filter([{title}, {sql_text(c)}], lambda s: s <> ''), chr(10))"
+    x = sql_shown(c)
+    title = rf"case when regexp_matches({x}, '(?is)<title[^>]*>.*?</title>') then trim(regexp_replace(regexp_extract({x}, '<title[^>]*>(.*?)</title>', 1, 'is'), '\s+', ' ', 'g')) end"
+    named, valued = """name=["'']description["'']""", """content=["'']([^"'']+)"""
+    about = rf"""trim(coalesce(nullif(regexp_extract({x}, '<meta[^>]+{named}[^>]+{valued}', 1, 'i'), ''), nullif(regexp_extract({x}, '<meta[^>]+{valued}["''][^>]+{named}', 1, 'i'), '')))"""
+    body = rf"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+    whole = f"array_to_string(list_filter([{title}, {about}, {body}], lambda s: s is not null), ' ')"
     return f"(case when length({whole}) >= 80 then {whole} end)"
 
 
 def sql_links(c: str) -> str:
-    return rf"list_filter(regexp_extract_all(coalesce({c}, ''), '(?i)href=[\"'']([^\"''# ]+)', 1), lambda u: starts_with(u, 'http') or (starts_with(u, '/') and not starts_with(u, '//')))[1:300]"
+    return rf"""list_filter(regexp_extract_all({sql_shown(c)}, 'href=["'']([^"''#\s]+)["'']', 1), lambda u: starts_with(u, 'http') or (starts_with(u, '/') and not starts_with(u, '//')))[1:300]"""
+
+
+def sql_absolute(u: str, host: str) -> str:
+    return f"(case when regexp_matches({u}, '(?i)^https?://') then {u} when starts_with({u}, '//') then 'https:' || {u} when starts_with({u}, '/') then 'https://' || {host} || {u} else 'https://' || {host} || '/' || {u} end)"
+
+
+def sql_within(u: str, host: str) -> str:
+    h = f"string_split(regexp_replace(lower(regexp_extract({u}, '(?i)^https?://([^/]*)', 1)), '^www\\.', ''), ':')[1]"
+    return f"({h} = {host} or ends_with({h}, '.' || {host}))"
 
 
 def sql_blocked(h: str, m: Market = MARKET) -> str:
@@ -116,7 +130,7 @@ def sql_blocked(h: str, m: Market = MARKET) -> str:
     p = f"string_split({h}, '.')"
     subs = " or ".join(f"starts_with({h}, '{s}')" for s in dims.JUNK_SUBDOMAINS)
     return (
-        f"({h} = '' or {sql_below(h, ['translate.goog', 'translate.google.com'])} or regexp_matches({h}, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') or {sql_below(h, dims.SOCIAL_HOSTS)} or {p}[-1] in ('mil', 'gov', 'edu')"
+        f"({h} = '' or {h} = 'translate.google' or starts_with({h}, 'translate.google.') or regexp_matches({h}, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') or {sql_below(h, dims.SOCIAL_HOSTS)} or {p}[-1] in ('mil', 'gov', 'edu')"
         f" or coalesce(len({p}) >= 3 and {p}[-2] in ('gov', 'edu'), false) or {subs} or {sql_any(p + '[1]', dims.JUNK_NAME_FRAGMENTS)} or {sql_below(h, m.blocked)})"
     )
 

@@ -35,7 +35,10 @@ def mails(spark, sf):
 
 
 def _norm(c: str) -> str:
-    return f"regexp_replace(lower(translate(lower(coalesce({c}, '')), '{contacts.FOLD_FROM}', '{contacts.FOLD_TO}')), '[^a-z]', '', 'g')"
+    low = f"lower(coalesce({c}, ''))"
+    for a, b in contacts.LIGATURES:
+        low = f"replace({low}, '{a}', '{b}')"
+    return f"regexp_replace(lower(translate({low}, '{contacts.FOLD_FROM}', '{contacts.FOLD_TO}')), '[^a-z]', '', 'g')"
 
 
 @query("b21_norm_name", f"with {NAMES} select doc_id, {_norm('line')} as name from names")
@@ -46,10 +49,11 @@ def _(spark, sf):
 _W = r"list_filter(regexp_split_to_array(trim(line), '[ \t\n\r\f\v]+'), lambda w: w <> '')"
 
 
-@query("b22_split_name", f"with {NAMES} select doc_id, coalesce({_W}[1], '') as first_name, coalesce(case when len({_W}) > 1 then {_W}[-1] end, '') as last_name from names")
+@query("b22_split_name", f"with {NAMES}, s as (select *, case when doc_id % 3 = 0 then '' else 'Ann ' end as f, case when doc_id % 2 = 0 then '' else 'Lee' end as l from names) select doc_id, case when trim(f) = '' and l = '' then coalesce({_W}[1], '') else trim(f) end as first_name, case when trim(f) = '' and l = '' then coalesce(case when len({_W}) > 1 then {_W}[-1] end, '') else l end as last_name from s")
 def _(spark, sf):
-    n = names(spark, sf)
-    return n.select("doc_id", contacts.first_name(F.col("line"), F.lit("")).alias("first_name"), contacts.last_name(F.col("line"), F.lit("")).alias("last_name"))
+    n = names(spark, sf).withColumns({"f": F.when(F.col("doc_id") % 3 != 0, "Ann "), "l": F.when(F.col("doc_id") % 2 == 0, "").otherwise("Lee")})
+    stored = (F.col("line"), F.col("f"), F.col("l"))
+    return n.select("doc_id", contacts.first_name(*stored).alias("first_name"), contacts.last_name(*stored).alias("last_name"))
 
 
 @query("b23_full_name", f"with {PARTS} select person, first_name || ' ' || last_name as full_name from parts")
@@ -71,16 +75,20 @@ def _(spark, sf):
     return mails(spark, sf).select("doc_id", "raw", contacts.is_personal(c, ["mail5.example.com", "gmail.com"]).alias("personal"), contacts.is_generic(c, dims.GENERIC_PREFIXES + ["hein", "that"]).alias("generic"), contacts.is_institutional(c).alias("institutional"))
 
 
-@query("b28_search_names", f"with {PARTS} select person, list_distinct(list_filter([p_name, string_split(domain, '.')[1], domain], lambda s: s <> ''))[1] is not null as found, len(list_distinct([lower(p_name), string_split(domain, '.')[1], domain]))::int as n from parts")
+@query("b28_search_names", f"with {PARTS}, v as (select person, p_name, p_name || (['', ', Inc.', ' Group', ' corporation', ' Holding'])[p_size % 5 + 1] || case when p_size % 7 = 0 then ' .com' else '' end as name, 'https://www.linkedin.com/company/' || replace(p_name, ' ', '_') || '-x/about?y' as url, replace(domain, 'brand', 'the-brand_') as domain, p_size from parts), l as (select person, list_filter([case when p_size % 7 <> 0 then p_name end, replace(p_name, ' ', ' ') || ' x', replace(replace(string_split(domain, '.')[1], '-', ' '), '_', ' '), domain], lambda s: s is not null) as l from v) select person, array_to_string(l, '|') as names from l")
 def _(spark, sf):
-    s = contacts.search_names(F.col("p_name"), F.lit(""), F.col("domain"))
-    return parts(spark, sf).select("person", (F.size(s) > 0).alias("found"), F.size(s).alias("n"))
+    ending = F.element_at(F.array(*map(F.lit, ["", ", Inc.", " Group", " corporation", " Holding"])), (F.col("p_size") % 5 + 1).cast("int"))
+    name = F.concat("p_name", ending, F.when(F.col("p_size") % 7 == 0, " .com").otherwise(""))
+    url = F.concat(F.lit("https://www.linkedin.com/company/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("-x/about?y"))
+    s = contacts.search_names(name, url, F.replace("domain", F.lit("brand"), F.lit("the-brand_")))
+    return parts(spark, sf).select("person", F.array_join(s, "|").alias("names"))
 
 
-@query("b29_parse_profile_title", f"with {PARTS} select person, p_name as name, lower(p_type) as job from parts")
+@query("b29_parse_profile_title", f"with {PARTS} select person, p_name as name, case when p_size % 4 = 3 then '' else lower(p_type) end as job from parts")
 def _(spark, sf):
-    title = F.concat("p_name", F.lit(" - "), F.lower("p_type"), F.lit(" at "), "domain", F.lit(" | Profile"))
-    p = contacts.profile_name(title)
+    job, at = F.lower("p_type"), F.concat(F.lit(" at "), "domain")
+    forms = [F.concat(F.lit(" - "), job, at, F.lit(" | Profile")), F.concat(F.lit(" – "), job, F.lit(" – Acme | LinkedIn")), F.concat(F.lit(" - "), job, F.lit(" LinkedIn")), F.lit(" | LinkedIn")]
+    p = contacts.profile_name(F.concat("p_name", F.element_at(F.array(*forms), (F.col("p_size") % 4 + 1).cast("int"))))
     return parts(spark, sf).select("person", p["name"].alias("name"), p["job"].alias("job"))
 
 
@@ -89,7 +97,7 @@ def _(spark, sf):
     return parts(spark, sf).select("person", contacts.clean_name(F.concat("p_name", F.lit(" (she/her), PhD x"))).alias("name"))
 
 
-@query("b31_is_former", "select doc_id, regexp_matches(text, '(?i)\\b(former|formerly|previously|previous|ex-|alumni|alumnus|retired)') as former from documents")
+@query("b31_is_former", "select doc_id, regexp_matches(text, '(?i)\\b(former|previously|ex-|past employee|alumni|alumna|retired|used to work)\\b') as former from documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", contacts.is_former(F.col("text")).alias("former"))
 

@@ -9,7 +9,7 @@ from siftwell.functions import gates, web
 from siftwell.operators import qualify, suffixes
 from siftwell.operators.dedupe import first_n, first_wins
 from siftwell.plans.base import (
-    GEO, HITS, JUNK, KEYWORDS, LISTS, MARKET, STRONG, TLDS, hits, query, sql_any, sql_any_token, sql_below, sql_blocked, sql_body, sql_country, sql_domain, sql_foreign, sql_hits, sql_links, sql_list, sql_tld, sql_token, table,
+    GEO, HITS, JUNK, KEYWORDS, LISTS, MARKET, STRONG, TLDS, hits, query, sql_absolute, sql_any, sql_any_token, sql_below, sql_blocked, sql_body, sql_country, sql_domain, sql_foreign, sql_hits, sql_links, sql_list, sql_tld, sql_token, sql_within, table,
 )
 
 H = "domain"
@@ -52,10 +52,16 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", web.contains_any(F.col("text"), KEYWORDS).alias("relevant"))
 
 
-@query("b06_is_industry_match", f"with {HITS} select pos, not {sql_any('title', JUNK)} and {sql_any("title || ' ' || snippet", KEYWORDS)} as matches from hits")
+@query("b06_is_industry_match", f"with {HITS} select pos, not {sql_any('title', JUNK)} and {sql_any("title || ' ' || snippet", KEYWORDS)} as matches, true as unlisted from hits")
 def _(spark, sf):
-    both = F.concat("title", F.lit(" "), "snippet")
-    return hits(spark, sf).select("pos", (~web.contains_any(F.col("title"), JUNK) & web.contains_any(both, KEYWORDS)).alias("matches"))
+    t, s = F.col("title"), F.col("snippet")
+    return hits(spark, sf).select("pos", gates.industry_match(t, s, "Words", {"words": KEYWORDS}, JUNK).alias("matches"), gates.industry_match(t, s, "none").alias("unlisted"))
+
+
+@query("b07_keywords_of_slug", f"select doc_id, len({sql_hits('text', dims.INDUSTRY_KEYWORDS['software'])})::int as listed, len({sql_hits('text', dims.RELEVANCE_KEYWORDS)})::int as others from documents")
+def _(spark, sf):
+    n = lambda slug: F.size(web.hits(F.col("text"), dims.industry_keywords(slug)))
+    return table(spark, sf, "documents").select("doc_id", n(" Software ").alias("listed"), n("no such industry").alias("others"))
 
 
 @query("b07_keyword_hits", f"select doc_id, array_to_string({sql_hits('text', KEYWORDS)}, ',') as found, len({sql_hits('text', KEYWORDS)})::int as n from documents")
@@ -98,7 +104,10 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(web.links_of(F.col("html")), " ").alias("links"))
 
 
-_PATHS = f"list_distinct(list_append(list_transform(list_filter(links, lambda u: starts_with(u, '/')), lambda u: coalesce(nullif(rtrim(lower(regexp_replace(u, '[?#].*$', '')), '/'), ''), '/')), '/'))"
+_IN = f"list_filter(list_transform(list_filter(links, lambda u: not regexp_matches(u, '^(#|mailto:|tel:|javascript:)')), lambda u: {sql_absolute('u', 'domain')}), lambda u: {sql_within('u', 'domain')})"
+_PATH = "lower(regexp_replace(regexp_extract(u, '(?i)^https?://[^/]*(/.*)?$', 1), '[?#].*$', ''))"
+_ASSETS = "|".join(x[1:] for x in dims.ASSET_EXTENSIONS)
+_PATHS = f"list_distinct(list_append(list_transform(list_filter(list_transform({_IN}, lambda u: {_PATH}), lambda p: not regexp_matches(p, '\\.({_ASSETS})$')), lambda p: coalesce(nullif(rtrim(p, '/'), ''), '/')), '/'))"
 
 
 @query("b14_count_internal_pages", f"{WITH_PAGES} select page_id, len({_PATHS})::int as n from p")
@@ -109,24 +118,20 @@ def _(spark, sf):
 _HINTS = ["/the", "/and", "/of", "/die", "/le"]
 
 
-@query("b15_high_value_urls", f"""{WITH_PAGES}, u as (select page_id, unnest(links) as link, unnest(range(1, len(links) + 1)) as pos from p),
-r as (select page_id, link, pos, 100 - (list_position(list_transform({sql_list(_HINTS)}, lambda h: contains(lower(link), h)), true) - 1) as score from u where {sql_any('link', _HINTS)}),
-d as (select page_id, link, min(pos) as pos, any_value(score) as score from r group by 1, 2),
-k as (select *, row_number() over (partition by page_id order by score desc, pos) as rank from d)
-select page_id, link, score::int as score, rank::int as rank from k where rank <= 3""")
+@query("b15_high_value_urls", f"""{WITH_PAGES}, u as (select page_id, domain, unnest({_IN}) as link, unnest(range(1, len({_IN}) + 1)) as pos from p),
+k as (select *, lower(regexp_extract(link, '(?i)^https?://[^/?#]*([^?#]*)', 1)) as path from u), d as (select page_id, rtrim(path, '/') as key, arg_min(path, pos) as path, arg_min(regexp_replace(link, '[?#].*$', ''), pos) as url, min(pos) as pos from k group by 1, 2),
+r as (select *, 100 - (list_position(list_transform({sql_list(_HINTS)}, lambda h: contains(path, h)), true) - 1) as score from d where key <> '' and {sql_any('path', _HINTS)}),
+o as (select *, row_number() over (partition by page_id order by score desc, pos) as rank from r)
+select page_id, url, score::int as score, rank::int as rank from o where rank <= 3""")
 def _(spark, sf):
-    u = pages(spark, sf).select("page_id", F.posexplode("links").alias("at", "link")).withColumn("score", web.high_value_rank(F.col("link"), _HINTS)).where("score is not null")
-    return first_n(first_wins(u, ["page_id", "link"], ["at"]), ["page_id"], [F.desc("score"), "at"], 3, rank="rank").select("page_id", "link", "score", "rank")
+    u = pages(spark, sf).select("page_id", F.posexplode(web.high_value_urls(F.col("links"), F.col("domain"), _HINTS)).alias("at", "u"))
+    return u.select("page_id", "u.url", "u.score", (F.col("at") + 1).alias("rank"))
 
 
 @query("b16_merge_site_data", f"""{WITH_PAGES}, t as (select domain, string_agg(body, chr(10) || chr(10) order by page_id) as body, flatten(list(links order by page_id)) as links from p where body is not null group by 1)
 select domain, substr(body, 1, 24000) as body, least(len(list_distinct(links)), 500)::int as n_links from t""")
 def _(spark, sf):
-    parts = F.sort_array(F.collect_list(F.struct("page_id", "body", "links")))
-    t = pages(spark, sf).where("body is not null").groupBy("domain").agg(parts.alias("p"))
-    body = F.array_join(F.transform("p", lambda x: x["body"]), "\n\n")
-    links = F.slice(F.array_distinct(F.flatten(F.transform("p", lambda x: x["links"]))), 1, 500)
-    return t.select("domain", F.substring(body, 1, 24_000).alias("body"), F.size(links).alias("n_links"))
+    return qualify.merge_pages(pages(spark, sf).where("body is not null"), ["domain"], ["page_id"]).select("domain", "body", F.size("links").alias("n_links"))
 
 
 @query("b17_profile_url", f"{WITH_PAGES} select page_id, rtrim(string_split(list_filter(links, lambda u: contains(u, '/the'))[1], '?')[1], '/') as profile from p")
@@ -162,10 +167,10 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", s.alias("score"), gates.tier(s).alias("tier"))
 
 
-@query("b39_check_budget", "select o_orderkey, (o_orderkey % 1500)::bigint as target, (case when o_orderkey % 1500 <= 25 then 75 when o_orderkey % 1500 <= 50 then 200 when o_orderkey % 1500 <= 100 then 500 else least(8000, 8 * (o_orderkey % 1500)) end)::bigint as budget from orders")
+@query("b39_check_budget", "with t as (select o_orderkey, (o_orderkey % 1500)::bigint as target from orders) select o_orderkey, target, (case when target <= 25 then greatest(3 * target, 60) when target <= 50 then 4 * target when target <= 100 then 5 * target else least(8000, 8 * target) end)::bigint as budget, least(150, greatest(15, ((target + 9) // 10) * 8))::bigint as pages, least(25, greatest(10, target // 8))::bigint as meta_pages from t")
 def _(spark, sf):
     t = F.col("o_orderkey") % 1500
-    return table(spark, sf, "orders").select("o_orderkey", t.alias("target"), gates.check_budget(t).cast("long").alias("budget"))
+    return table(spark, sf, "orders").select("o_orderkey", t.alias("target"), gates.check_budget(t).cast("long").alias("budget"), gates.max_pages(t).cast("long").alias("pages"), gates.meta_pages(t).cast("long").alias("meta_pages"))
 
 
 @query("b41_reasons_json", f"select doc_id, to_json({sql_hits('text', KEYWORDS)})::varchar as reasons, len({sql_hits('text', KEYWORDS)})::int as n from documents")
@@ -175,7 +180,7 @@ def _(spark, sf):
 
 
 _KNOWN = f"known as (select distinct {sql_domain('url')} as domain from pages where url like '%#%')"
-_STATE = f"(regexp_matches(domain, '\\.(gov|edu|ac)(\\.|$)') and not {sql_any("title || ' ' || snippet", ['translation', 'localization', 'localisation'])})"
+_STATE = f"((list_last(string_split(domain, '.')) in ('gov', 'edu', 'mil') or (len(string_split(domain, '.')) >= 3 and string_split(domain, '.')[-2] in ('gov', 'edu', 'mil'))) and not {sql_any("title || ' ' || snippet", ['translation', 'localization'])})"
 _HYGIENE = f"when domain = '' then 'no_domain' when {sql_blocked(H)} then 'blocked' when dup then 'duplicate' when {sql_foreign(H, 'Alpha')} <> '' then 'foreign_cctld'"
 _S = f"{WITH_HITS}, {_KNOWN}, s as (select h.*, k.domain is not null as dup from h left join known k using (domain))"
 
@@ -234,25 +239,29 @@ def _(spark, sf):
 
 _LOW = "lower(coalesce(body, ''))"
 _CITY = "coalesce(" + ", ".join(f"case when {sql_token(_LOW, c)} then '{c}' end" for c in GEO["Alpha"][2]) + ")"
-_HQ = "coalesce(" + ", ".join(f"case when contains({_LOW}, '{p}{a}') then 'HQ phrase ''{a}''' end" for a in GEO["Alpha"][1] for p in dims.HQ_PREFIXES) + ")"
+_HQ = "coalesce(" + ", ".join(f"case when contains({_LOW}, '{p}{a}') then '{a}' end" for a in GEO["Alpha"][1] for p in dims.HQ_PREFIXES) + ")"
 _PHONE = rf"regexp_matches({_LOW}, '(^|[^0-9])(\+|00)\s*1[\s\-./()]*(\d[\s\-./()]*){{7,}}')"
 _BARE = sql_any("body", ["+1", "001", "(1)", "( 1 )", "+ 1"])
-_PHONE_EV = f"case when {_PHONE} then 'phone +1 number' when {_BARE} then 'phone +1 code-only (ignored)' end"
+_NAMED = sql_any_token(_LOW, ["alpha", *GEO["Alpha"][1]])
 _TLD = sql_tld(H)
-_GATE = f"""case when {sql_country(H)} = 'Alpha' then ['ok', 'ccTLD ' || {_TLD}] when {_TLD} is not null then ['no', 'foreign ccTLD ' || {_TLD} || ' -> ' || {sql_country(H)}]
- when {_HQ} is not null then ['ok', {_HQ}] when {_CITY} is not null and {_PHONE} then ['ok', 'city ''' || {_CITY} || '''', {_PHONE_EV}]
- when {_CITY} is not null and {sql_any_token(_LOW, ['alpha', *GEO['Alpha'][1]])} then ['ok', 'city ''' || {_CITY} || '''', 'name ''Alpha''']
- when {_CITY} is not null then ['no', {_PHONE_EV}, 'city alone without country/HQ (ignored)'] when {_PHONE} then ['no', {_PHONE_EV}, 'need city or HQ (phone alone insufficient)']
- else ['no', {_PHONE_EV}, 'no local address / phone / city'] end"""
 
 
-@query("c08_location_gate", f"with p as (select doc_id, 'host.example' as domain, text as body from documents), g as (select doc_id, list_filter({_GATE}, lambda x: x is not null) as g from p) select doc_id, g[1] = 'ok' as ok, array_to_string(g[2:], ',') as evidence from g")
+def sql_gated(rows: str) -> str:
+    """rows (domain, body and more) with g: 'ok' or 'no' and the evidence, as gate."""
+    quoted = lambda name: f"'{name} ''' || {'hq' if name[0] == 'H' else 'city'} || ''''"
+    return f"""sig as (select *, {sql_country(H)} as home, {_TLD} as tld, {_HQ} as hq, {_CITY} as city, {_PHONE} as phone, {_BARE} as bare, {_NAMED} as named from {rows}),
+ dec as (select *, hq is not null or (city is not null and (phone or named)) as fits from sig),
+ evi as (select *, list_filter([{quoted('HQ phrase')}, {quoted('city')}, case when phone then 'phone +1 number' when bare then 'phone +1 code-only (ignored)' end, case when not fits and city is not null then 'city alone without country/HQ (ignored)' end, case when not fits and city is null and bare then 'need city or HQ (phone alone insufficient)' end], lambda x: x is not null) as found from dec),
+ gate as (select * exclude (home, tld, hq, city, phone, bare, named, fits, found), case when home = 'Alpha' then ['ok', 'ccTLD ' || tld] when tld is not null then ['no', 'foreign ccTLD ' || tld || ' -> ' || home] else list_prepend(case when fits then 'ok' else 'no' end, case when len(found) > 0 then found else ['no local address / phone / city'] end) end as g from evi)"""
+
+
+@query("c08_location_gate", f"with p as (select doc_id, 'host.example' as domain, text as body from documents), {sql_gated('p')} select doc_id, g[1] = 'ok' as ok, array_to_string(g[2:], ',') as evidence from gate")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", gates.location_gate(F.lit("host.example"), F.col("text"), "Alpha", TLDS, GEO).alias("g"))
     return d.select("doc_id", "g.ok", F.array_join("g.evidence", ",").alias("evidence"))
 
 
-@query("c08_location_gate_pages", f"{WITH_PAGES}, g as (select page_id, list_filter({_GATE}, lambda x: x is not null) as g from p) select page_id, g[1] = 'ok' as ok, array_to_string(g[2:], ',') as evidence from g")
+@query("c08_location_gate_pages", f"{WITH_PAGES}, {sql_gated('p')} select page_id, g[1] = 'ok' as ok, array_to_string(g[2:], ',') as evidence from gate")
 def _(spark, sf):
     d = pages(spark, sf).select("page_id", gates.location_gate(F.col("domain"), F.col("body"), "Alpha", TLDS, GEO).alias("g"))
     return d.select("page_id", "g.ok", F.array_join("g.evidence", ",").alias("evidence"))
@@ -269,19 +278,22 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", gates.is_parked(F.col("text")).alias("parked"))
 
 
-@query("c11_homepage_promising", f"{WITH_PAGES} select page_id, not (length(trim(coalesce(body, ''))) < 100 or {sql_any('body', dims.PARKING_SIGNALS)}) and ({sql_any('body', KEYWORDS)} or len({_PATHS}) >= 3) as ok from p")
+_NOT_PARKED = f"not (length(trim(coalesce(body, ''))) < 100 or {sql_any('body', dims.PARKING_SIGNALS)})"
+
+
+@query("c11_homepage_promising", f"{WITH_PAGES} select page_id, body is not null and {_NOT_PARKED} and ({sql_any('body', ['thor', *dims.POSITIVE_TERMS, *STRONG])} or len({_PATHS}) >= 3) as ok from p")
 def _(spark, sf):
     n = web.internal_pages(F.col("links"), F.col("domain"), dims.ASSET_EXTENSIONS)
-    return pages(spark, sf).select("page_id", (~gates.is_parked(F.col("body")) & (web.contains_any(F.col("body"), KEYWORDS) | (n >= 3))).alias("ok"))
+    return pages(spark, sf).select("page_id", gates.homepage_promising(F.col("body"), n, STRONG, ["thor"]).alias("ok"))
 
 
-@query("c12_quality_site", f"{WITH_PAGES} select page_id, not (length(trim(coalesce(body, ''))) < 100 or {sql_any('body', dims.PARKING_SIGNALS)}) and len({_PATHS}) >= 4 and {sql_any('body', KEYWORDS)} and {sql_any('body', STRONG)} as ok from p")
+@query("c12_quality_site", f"{WITH_PAGES} select page_id, body is not null and {_NOT_PARKED} and len({_PATHS}) >= 4 and {sql_any('body', KEYWORDS)} and {sql_any('body', STRONG)} as ok from p")
 def _(spark, sf):
     n = web.internal_pages(F.col("links"), F.col("domain"), dims.ASSET_EXTENSIONS)
-    return pages(spark, sf).select("page_id", (~gates.is_parked(F.col("body")) & (n >= 4) & web.contains_any(F.col("body"), KEYWORDS) & web.contains_any(F.col("body"), STRONG)).alias("ok"))
+    return pages(spark, sf).select("page_id", gates.quality_site(F.col("body"), n, STRONG, KEYWORDS).alias("ok"))
 
 
-_DIR = f"({sql_below(H, MARKET.directories)} or ({sql_any('title', dims.DIRECTORY_TITLES)} and {sql_any('title', ['top ', 'best ', 'list', 'directory'])}) or {sql_any('title', ['companies in ', 'agencies in ', 'firms in ', 'list of ', 'directory of '])})"
+_DIR = f"({sql_below(H, MARKET.directories)} or case when {sql_any('title', dims.DIRECTORY_TITLES)} then {sql_any('title', dims.LIST_SIGNALS)} else {sql_any('title', dims.LIST_TITLES)} end)"
 
 
 @query("c13_is_directory", f"{WITH_HITS} select pos, {_DIR} as directory from h")
@@ -290,7 +302,7 @@ def _(spark, sf):
 
 
 _BEVID = _EVID.replace(_BOTH, "coalesce(body, '')")
-_GATED = f"{WITH_PAGES}, g as (select *, list_filter({_GATE}, lambda x: x is not null) as g, {_BEVID} as ind, {sql_hits('body', KEYWORDS)} as found from p)"
+_GATED = f"{WITH_PAGES}, {sql_gated('p')}, g as (select *, {_BEVID} as ind, {sql_hits('body', KEYWORDS)} as found from gate)"
 _PARKED = f"(length(trim(coalesce(body, ''))) < 100 or {sql_any('body', dims.PARKING_SIGNALS)})"
 _STATUS = f"case when body is null then 'unreachable' when {_PARKED} then 'failed' when not ind or g[1] <> 'ok' then 'rejected' else 'qualified' end"
 _REASON = f"case when body is null then 'timeout_or_empty' when {_PARKED} then 'parked_or_empty' when not ind then 'industry_fail' when g[1] <> 'ok' then 'geo_fail:' || array_to_string(g[2:], ',') end"
@@ -307,7 +319,7 @@ _SCORE = f"(case when len(found) = 0 then 0 when ind then {_RAW} else least(29,
 _TIER = f"case when len(found) > 0 and ind then (case when {_SCORE} >= 60 then 'strong' when {_SCORE} >= 30 then 'possible' else 'weak' end) else 'weak' end"
 
 
-@query("d01_score_company", f"{_GATED} select page_id, {_SCORE}::int as score, {_TIER} as tier, array_to_string(list_filter([case when len(found) > 0 then len(found) || ' industry keywords' end, case when len(found) > 0 and {_CONTACT} then 'has contact page' end, case when len(found) > 0 and {_ABOUT} then 'has about/team page' end, case when len(found) > 0 and not ind then 'insufficient industry evidence' end, case when len(found) = 0 then 'missing industry keywords' end], lambda x: x is not null), ';') as reasons from g")
+@query("d01_score_company", f"{_GATED} select page_id, {_SCORE}::int as score, {_TIER} as tier, array_to_string(list_filter([case when len(found) > 0 then len(found) || ' industry keywords' end, case when len(found) > 0 and {_CONTACT} then 'has contact page' end, case when len(found) > 0 and {_ABOUT} then 'has about/team page' end, case when len(found) > 0 and not ind then 'insufficient industry evidence' end, case when len(found) = 0 and body is not null then 'missing industry keywords' end], lambda x: x is not null), ';') as reasons from g")
 def _(spark, sf):
     s = gates.score_page(F.col("body"), F.col("links"), F.lit(""), KEYWORDS, STRONG)
     return pages(spark, sf).withColumn("s", s).select("page_id", "s.score", "s.tier", F.array_join("s.reasons", ";").alias("reasons"))
@@ -369,7 +381,7 @@ k as (select *, row_number() over (partition by domain order by priority, pos) a
 o as (select * from k where rn = 1),
 p as (select domain, arg_min(html, url) as html from (select *, {sql_domain('url')} as domain from pages) group by 1),
 q as (select o.domain, {sql_body('p.html')} as body, {sql_links('p.html')} as links from o left join p using (domain) where priority not in (0, 1, 3)),
-g as (select *, list_filter({_GATE}, lambda x: x is not null) as g, {_BEVID} as ind, {sql_hits('body', KEYWORDS)} as found from q),
+{sql_gated('q')}, g as (select *, {_BEVID} as ind, {sql_hits('body', KEYWORDS)} as found from gate),
 r as (select domain, {_STATUS} as status, {_SCORE}::int as score, {_TIER} as tier from g)
 select domain, 'qualified' as status, 70 as score, 'strong' as tier from o where priority in (0, 1, 3) union all
 select domain, status, case when status in ('qualified', 'rejected') then score else 0 end, case when status in ('qualified', 'rejected') then tier else 'weak' end from r""")

@@ -36,7 +36,7 @@ def test_foreign_tld(spark, host, country, want):
     assert value(spark, web.foreign_tld(F.col("h"), F.lit(country), dims.TLD_COUNTRY), h=host) == want
 
 
-@pytest.mark.parametrize("url,want", [("https://linkedin.com/x", True), ("https://de.linkedin.com", True), ("https://notlinkedin.com", False), ("http://10.0.0.1/", True), ("http://blog.a.com", True), ("http://a.gov", True), ("http://a.edu.eg", True), ("http://edu.eg", False), ("", True), ("http://acme.com", False), ("http://sub.blocked.example", True)])
+@pytest.mark.parametrize("url,want", [("https://linkedin.com/x", True), ("https://de.linkedin.com", True), ("https://notlinkedin.com", False), ("http://10.0.0.1/", True), ("http://blog.a.com", True), ("http://a.gov", True), ("http://a.edu.eg", True), ("http://edu.eg", False), ("", True), ("http://acme.com", False), ("https://translate.google.de/x", True), ("https://translate.google", True), ("https://translates.com", False), ("http://sub.blocked.example", True)])
 def test_blocked(spark, url, want):
     assert value(spark, qualify.Market(blocked=["blocked.example"]).blocks(F.col("u")), u=url) is want
 
@@ -55,7 +55,8 @@ def test_score(spark):
     assert good["tier"] == "strong" and good["score"] >= 60 and "has contact page" in good["reasons"]
     off = scored(spark, "We sell bricks", ["/contact", "/about"])
     assert (off["score"], off["tier"], off["reasons"]) == (0, "weak", ["missing industry keywords"])
-    assert scored(spark, None, [])["score"] == 0
+    none = scored(spark, None, [])
+    assert (none["score"], none["tier"], none["reasons"]) == (0, "weak", [])
     stuffed = scored(spark, " ".join(KW[:9] * 5), [])
     assert stuffed["score"] <= 50
     one = scored(spark, "our language", ["/kontakt"])
@@ -65,9 +66,9 @@ def test_score(spark):
 @pytest.mark.parametrize(
     "host,body,country,ok,evidence",
     [
-        ("a.eg", "", "Egypt", True, ["ccTLD .eg"]), ("a.de", "cairo egypt", "Egypt", False, ["foreign ccTLD .de -> Germany"]), ("a.com", "We are based in Egypt", "Egypt", True, ["HQ phrase 'egypt'"]),
-        ("a.com", "office in Cairo, +20 2 1234 5678", "Egypt", True, ["city 'cairo'", "phone +20 number"]), ("a.com", "Giza, Egypt", "Egypt", True, ["city 'giza'", "name 'Egypt'"]),
-        ("a.com", "Giza only", "Egypt", False, ["city alone without country/HQ (ignored)"]), ("a.com", "Call (+20) now", "Egypt", False, ["phone +20 code-only (ignored)", "no local address / phone / city"]),
+        ("a.eg", "", "Egypt", True, ["ccTLD .eg"]), ("a.de", "cairo egypt", "Egypt", False, ["foreign ccTLD .de -> Germany"]), ("a.com", "We are based in Egypt", "Egypt", True, ["HQ phrase 'egypt'"]), ("a.com", "Based in Egypt: Cairo, (+20) 2 1234 5678", "Egypt", True, ["HQ phrase 'egypt'", "city 'cairo'", "phone +20 number"]),
+        ("a.com", "office in Cairo, +20 2 1234 5678", "Egypt", True, ["city 'cairo'", "phone +20 number"]), ("a.com", "Giza, Egypt", "Egypt", True, ["city 'giza'"]),
+        ("a.com", "Giza only", "Egypt", False, ["city 'giza'", "city alone without country/HQ (ignored)"]), ("a.com", "Call (+20) now", "Egypt", False, ["phone +20 code-only (ignored)", "need city or HQ (phone alone insufficient)"]), ("a.com", "0020 2 1234 5678", "Egypt", False, ["phone +20 number", "need city or HQ (phone alone insufficient)"]),
         ("a.com", "preliminary talks", "Peru", False, ["no local address / phone / city"]), ("a.com", "made in bulgaria", "Bulgaria", True, ["name 'Bulgaria'"]), ("a.com", "x", "", True, ["location gate off"]),
     ],
 )
@@ -86,7 +87,7 @@ def test_generic(spark, email, want):
     assert value(spark, contacts.is_generic(F.col("e")), e=email) is want
 
 
-@pytest.mark.parametrize("name,want", [("José Ñandú", "josenandu"), ("O'Brien-Smith", "obriensmith"), (None, ""), ("Øre", "re")])
+@pytest.mark.parametrize("name,want", [("José Ñandú", "josenandu"), ("O'Brien-Smith", "obriensmith"), (None, ""), ("Øre", "re"), ("Nguyễn", "nguyen"), ("ﬁona", "fiona")])
 def test_norm_name(spark, name, want):
     assert value(spark, contacts.norm_name(F.col("n")), n=name) == want
 
@@ -102,7 +103,70 @@ def test_lead_gate(spark, layer, verified, want):
 
 
 def test_profile_name(spark):
-    assert tuple(value(spark, contacts.profile_name(F.col("t")), t="Ann Lee - Vendor Manager at Acme | Site")) == ("Ann Lee", "Vendor Manager")
+    read = lambda t: tuple(value(spark, contacts.profile_name(F.col("t")), t=t))
+    assert read("Ann Lee - Vendor Manager at Acme | Site") == read("Ann Lee – Vendor Manager – Acme LinkedIn") == ("Ann Lee", "Vendor Manager")
+    assert read("Ann Lee | LinkedIn") == ("Ann Lee", "")
+
+
+@pytest.mark.parametrize("first,last,want", [("Ann", "", ("Ann", "")), ("", "", ("Mary", "Lee")), (" ", None, ("Mary", "Lee")), ("Ann", "Poe", ("Ann", "Poe"))])
+def test_split_name(spark, first, last, want):
+    cols = (F.lit("Mary Ann Lee"), F.lit(first), F.lit(last).cast("string"))
+    assert (value(spark, contacts.first_name(*cols)), value(spark, contacts.last_name(*cols))) == want
+
+
+@pytest.mark.parametrize("said,want", [("a past employee of", True), ("alumna", True), ("used to work here", True), ("previous", False), ("informers", False), ("formerly", False), (None, False)])
+def test_former(spark, said, want):
+    assert value(spark, contacts.is_former(F.col("t")), t=said) is want
+
+
+@pytest.mark.parametrize(
+    "name,url,domain,want",
+    [
+        ("Acme Group", "https://linkedin.com/company/acme_lang-x/?a=1", "the-acme.co.uk", ["Acme", "acme lang x", "the acme", "the-acme.co.uk"]), ("acme.com", "", "acme.com", ["acme", "acme.com"]),
+        ("Acme, corporation", None, "", ["Acme"]), ("acme.com", "", "", ["acme.com"]), (None, None, None, []),
+    ],
+)
+def test_search_names(spark, name, url, domain, want):
+    s = lambda v: F.lit(v).cast("string")
+    assert value(spark, contacts.search_names(s(name), s(url), s(domain))) == want
+
+
+@pytest.mark.parametrize("name,want", [("Ann Lee", True), ("LinkedIn Member", False), ("Ann", False), ("Ann L.", False), ("Ann Phd", False), ("Ann Lee 2", False)])
+def test_profile_person(spark, name, want):
+    assert value(spark, contacts.is_profile_name(F.col("n")), n=name) is want
+
+
+@pytest.mark.parametrize("target,want", [(10, (60, 15, 10)), (25, (75, 24, 10)), (30, (120, 24, 10)), (60, (300, 48, 10)), (100, (500, 80, 12)), (2000, (8000, 150, 25))])
+def test_budgets(spark, target, want):
+    t = F.lit(target)
+    assert tuple(value(spark, f(t)) for f in (gates.check_budget, gates.max_pages, gates.meta_pages)) == want
+
+
+@pytest.mark.parametrize("host,want", [("ox.ac.uk", None), ("a.gov.uk", "serp_junk"), ("a.mil", "serp_junk"), ("gov.uk", None), ("a.edu", "serp_junk")])
+def test_state_hosts(spark, host, want):
+    no = F.lit(False)
+    assert value(spark, gates.loose_screen(F.col("h"), F.lit("some title"), F.lit("x"), no, no, F.lit(""), dims.TLD_COUNTRY), h=host) == want
+
+
+@pytest.mark.parametrize("title,want", [("Company rankings 2024", True), ("Best translation companies in", True), ("Translation firms in", True), ("Reviews", False), (None, False)])
+def test_directory_titles(spark, title, want):
+    assert value(spark, gates.is_directory(F.lit("a.com"), F.lit(title).cast("string"))) is want
+
+
+def test_page_text_and_links(spark):
+    page = """<html><head><title> A
+ b </title><meta content="About us." name="description"><script>x='<a href="/no">'</script></head><body>""" + "word " * 20 + """<a href="/a b">x</a><a href='/c'>y</a><a href="//z.com">z</a><a href="http://q.com/r#s">q</a></body></html>"""
+    assert value(spark, web.html_to_text(F.col("h")), h=page) == "A b About us. A b " + "word " * 20 + "x y z q"
+    assert value(spark, web.links_of(F.col("h")), h=page) == ["/c"]
+    assert value(spark, web.html_to_text(F.col("h")), h="<p>short</p>") is None
+
+
+def test_internal_pages_and_high_value_urls(spark):
+    links = ["/", "/About/", "https://www.a.com:8080/about?x=1", "https://b.a.com/Team", "http://other.com/contact", "/logo.png", "mailto:x@a.com", "contact", "/services#top"]
+    assert value(spark, web.internal_pages(F.col("l"), F.lit("www.A.com"), dims.ASSET_EXTENSIONS), l=links) == 5
+    got = value(spark, web.high_value_urls(F.col("l"), F.lit("a.com"), dims.PATH_HINTS), l=links)
+    assert [(r["score"], r["url"]) for r in got] == [(100, "https://a.com/About/"), (97, "https://a.com/services"), (95, "https://a.com/contact")]
+    assert value(spark, web.profile_url(F.array().cast("array<string>"), F.col("b")), b="see https://www.linkedin.com/company/a-b/) now") == "https://www.linkedin.com/company/a-b"
 
 
 def test_email_patterns(spark):
