@@ -49,7 +49,7 @@ LONG = 16
 ANCHOR = 4
 HOLD_OUT = 10
 PIECE_DOCS = 4_000
-PIECE_BYTES = 5 << 20
+PIECE_BYTES = 5 << 19
 HASH_BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 19
 START, END = 0xFF, 0xFE  # bytes that UTF-8 never uses
