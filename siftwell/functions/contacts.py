@@ -124,18 +124,26 @@ def email_candidate(first: Column, last: Column, domain: Column, pattern: Column
     return F.when((f != "") & (l != "") & (text(domain) != ""), F.concat(out, F.lit("@"), domain))
 
 
-def token_pattern(body: Column, tokens: list[str] = dims.EMAIL_TOKENS, names: list[str] = dims.EMAIL_PATTERNS) -> Column:
-    """Pattern of the first token that the text holds, in list order; else from its wording."""
-    low = F.lower(text(body))
+def token_named(low: Column, tokens: list[str] = dims.EMAIL_TOKENS, names: list[str] = dims.EMAIL_PATTERNS) -> Column:
+    """Pattern of the first token, in list order, that a lower-cased text holds."""
+    return F.coalesce(*[F.when(F.contains(low, F.lit(t)), F.lit(n)) for t, n in zip(tokens, names, strict=True)])
+
+
+def worded(low: Column) -> Column:
+    """Pattern that a lower-cased text describes in words."""
     has = lambda *x: F.greatest(*[F.contains(low, F.lit(y)) for y in x]) if len(x) > 1 else F.contains(low, F.lit(x[0]))
-    return F.coalesce(
-        *[F.when(F.contains(low, F.lit(t)), F.lit(n)) for t, n in zip(tokens, names, strict=True)],
-        F.when(has("first name.last name", "firstname.lastname"), "first.last"), F.when(has("first initial.last", "first initial last"), "f.last"),
-        F.when(has("first.last initial", "firstname.l"), "first.l"), F.when(has("first_last", "first name_last name"), "first_last"),
-        F.when(has("first name last name") & ~F.contains(F.substring(low, 1, 200), F.lit(".")), "firstlast"),
+    return (
+        F.when(has("first name.last name", "firstname.lastname"), "first.last").when(has("first initial.last", "first initial last"), "f.last").when(has("first.last initial", "firstname.l"), "first.l")
+        .when(has("first_last", "first name_last name"), "first_last").when(has("first name last name") & ~F.contains(F.substring(low, 1, 200), F.lit(".")), "firstlast")
     )
 
 
+def token_pattern(body: Column) -> Column:
+    """Pattern of the first token that the text holds, in list order; else from its wording."""
+    low = F.lower(text(body))
+    return F.coalesce(token_named(low), worded(low))
+
+
 def source_family(label: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for f in ("Site", "EFmt", "Search", "PatVfy"):

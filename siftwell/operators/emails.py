@@ -10,30 +10,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell import dims
-from siftwell.functions.contacts import email_candidate, is_confirmed, is_generic, norm_name
+from siftwell.functions.contacts import email_candidate, is_confirmed, is_generic, norm_name, token_named, worded
+from siftwell.functions.web import text
 from siftwell.operators.dedupe import first_wins
 
 
 def from_site(people: DataFrame, site: DataFrame) -> DataFrame:
-    """person, email, label: a site address whose local part holds the first or last name (first in page order), else
-    the only one; none where several fit nobody.  people: person, domain, first_name, last_name."""
-    f, l = norm_name(F.col("first_name")), norm_name(F.col("last_name"))  # noqa: E741
-    only = site.groupBy("domain").agg(F.count("*").alias("_n"))
-    j = people.join(site.where(~is_generic(F.col("email"))), "domain").join(only, "domain")
+    """person, email, label: a person's site address whose local part holds the first or last name (first in page order),
+    else the only one; none where several fit nobody.  Role addresses count for nothing.
+    people: person, domain, first_name, last_name.  Names are normalised before the join and each domain brings its
+    addresses in one row, so the join keeps one row a person."""
     local = F.substring_index("email", "@", 1)
-    named = ((f != "") & F.contains(local, f)) | ((l != "") & F.contains(local, l))
-    j = j.withColumn("label", F.when(named, "Site ✓").when(F.col("_n") == 1, "Site")).where("label is not null")
-    return first_wins(j.select("person", "email", "label", "priority", "pos"), ["person"], ["priority", "pos"]).select("person", "email", "label")
+    own = site.where(~is_generic(F.col("email"))).groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("priority", "pos", "email", local.alias("local")))).alias("_all"))
+    p = people.select("person", "domain", norm_name(F.col("first_name")).alias("_f"), norm_name(F.col("last_name")).alias("_l")).join(own, "domain")
+    named = F.get(F.filter("_all", lambda a: ((F.col("_f") != "") & F.contains(a["local"], F.col("_f"))) | ((F.col("_l") != "") & F.contains(a["local"], F.col("_l")))), F.lit(0))["email"]
+    p = p.withColumn("_named", named).withColumn("_only", F.when(F.size("_all") == 1, F.get("_all", F.lit(0))["email"]))
+    p = p.where("_named is not null or _only is not null")
+    return p.select("person", F.coalesce("_named", "_only").alias("email"), F.when(F.col("_named").isNotNull(), "Site ✓").otherwise("Site").alias("label"))
 
 
 def from_pattern(people: DataFrame, patterns: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """person, email, label, verified: address by the domain's pattern, with its verdict; bad ones go."""
+    """person, email, label, verified: address by the domain's pattern, with its verdict; bad and role addresses go."""
     c = people.join(patterns, "domain").withColumn("email", email_candidate(F.col("first_name"), F.col("last_name"), F.col("domain"), F.col("pattern"))).where("email is not null")
-    c = c.join(verdicts, "email", "left").where(F.coalesce("verdict", F.lit("")) != "bad")
+    c = c.where(~is_generic(F.col("email"))).join(verdicts, "email", "left").where(F.coalesce("verdict", F.lit("")) != "bad")
     label = F.when(F.col("verdict") == "good", "EFmt ✓").when(F.col("verdict") == "risky", "EFmt ~").otherwise("EFmt ?")
     return c.select("person", "email", label.alias("label"), F.coalesce(F.col("verdict") == "good", F.lit(False)).alias("verified"))
 
 
+def page_patterns(pages: DataFrame, key: str, body: str, domain: str) -> DataFrame:
+    """key, pattern of a page about a domain's addresses: from its tokens ({first}.{last}), else from its first example
+    address with an invented name, else from its wording.  Pages that show none are left out."""
+    low = F.lower(text(F.col(body)))
+    p = pages.select(key, low.alias("_low"), token_named(low).alias("_token"), worded(low).alias("_worded"), F.col(domain).alias("_domain"))
+    local = F.regexp_extract_all("_low", F.concat(F.lit(r"([\w.+%\-]+)@\Q"), F.lower("_domain"), F.lit(r"\E")), F.lit(1))
+    seen = p.where("_token is null").select(key, F.posexplode(local).alias("_at", "local_part")).join(example_patterns(pages.sparkSession), "local_part")
+    example = seen.groupBy(key).agg(F.min_by("pattern", "_at").alias("_example"))
+    out = p.join(example, key, "left").select(key, F.coalesce("_token", "_example", "_worded").alias("pattern"))
+    return out.where("pattern is not null")
+
+
 def example_patterns(spark) -> DataFrame:
     """local_part, pattern of invented example people, first pattern of each local part (built from the name lists)."""
     names = spark.createDataFrame([(f, l) for f in dims.EXAMPLE_FIRST for l in dims.EXAMPLE_LAST], "f string, l string")  # noqa: E741

@@ -91,25 +91,31 @@ def qualify_hits(hits: DataFrame, pages: DataFrame, known: DataFrame, m: Market,
     return vouched.unionByName(read)
 
 
-def resolve_names(names: DataFrame, results: DataFrame, page: list[str]) -> DataFrame:
-    """Best result URL for company names of one result page: the host holds the name's slug or a word of four letters
-    (rank 0), or the title holds the name (rank 1); then the shorter host, then the earlier result.  Both sides
-    meet on the page key; names: page + name; results: page + link, title, pos."""
-    n = names.withColumn("_slug", web.company_slug(F.col("name"))).withColumn("_words", F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: F.length(w) >= 4))
-    r = results.withColumn("_host", web.domain_of(F.col("link"))).withColumn("_label", web.company_slug(F.substring_index("_host", ".", 1)))
-    host = (F.length("_label") > 2) & (F.contains(F.col("_slug"), F.col("_label")) | F.contains(F.col("_label"), F.col("_slug")) | F.exists("_words", lambda w: F.contains(F.col("_label"), w)))
-    title = F.contains(F.lower("title"), F.lower("name"))
-    j = n.join(r, page).withColumn("_rank", F.when(host, 0).when(title, 1)).where("_rank is not null and length(_slug) > 1")
-    best = j.groupBy(*page, "name").agg(F.min_by("link", F.struct("_rank", F.length("_host"), "pos")).alias("link"))
+def resolve_names(names: DataFrame, results: DataFrame, page: list[str], m: Market) -> DataFrame:
+    """Best result URL for company names of one result page: the host's first label holds the name's slug, lies in it or
+    holds a word of four letters (rank 0), or the title holds the name or its first two such words (rank 1); then the
+    shorter host, then rank 0's later result or rank 1's earlier one.  Blocked hosts do not count.  Both sides meet on the
+    page key, which has to stay small (one page of results); names: page + name; results: page + link, title, pos."""
+    words = F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: F.length(w) >= 4)
+    n = names.withColumn("_slug", web.company_slug(F.col("name"))).withColumn("_words", words).withColumn("_low", F.trim(F.lower("name")))
+    r = results.where(~m.blocks(F.col("link"))).withColumn("_host", web.domain_of(F.col("link"))).withColumn("_label", web.company_slug(F.substring_index("_host", ".", 1))).withColumn("_title", F.lower(web.text(F.col("title"))))
+    host = ((F.col("_slug") != "") & (F.contains(F.col("_slug"), F.col("_label")) | F.contains(F.col("_label"), F.col("_slug")))) | F.exists("_words", lambda w: F.contains(F.col("_label"), w))
+    title = (F.col("_title") != "") & (F.contains(F.col("_title"), F.col("_low")) | ((F.size("_words") > 0) & F.forall(F.slice("_words", 1, 2), lambda w: F.contains(F.col("_title"), w))))
+    j = n.join(r, page).withColumn("_rank", F.when(host, 0).when(title, 1)).where("_rank is not null and _low <> ''")
+    best = j.groupBy(*page, "name").agg(F.min_by("link", F.struct("_rank", F.length("_host"), F.when(F.col("_rank") == 0, -F.col("pos")).otherwise(F.col("pos")), "link")).alias("link"))
     return names.join(best, [*page, "name"], "left")
 
 
-def merge_panel_rows(panel: DataFrame, results: DataFrame, page: list[str], m: Market, snippet_limit: int = 500) -> DataFrame:
-    """Panel rows with a link: own or resolved, not blocked, first per domain."""
-    named = resolve_names(panel.select(*page, "name").distinct(), results, page).withColumnRenamed("link", "_found")
-    p = panel.join(named, [*page, "name"], "left").withColumn("link", F.coalesce(F.nullif(web.text(F.col("link")), F.lit("")), F.col("_found"))).drop("_found")
-    p = p.where(F.col("link").isNotNull() & ~m.blocks(F.col("link"))).withColumn("domain", web.domain_of(F.col("link"))).withColumn("snippet", F.substring(web.text(F.col("snippet")), 1, snippet_limit))
-    return first_wins(p, [*page, "domain"], ["pos"])
+def merge_panel_rows(panel: DataFrame, results: DataFrame, page: list[str], m: Market, snippet_limit: int = 500, source: str = "ai_overview") -> DataFrame:
+    """page, domain, pos, link, title, snippet, source of panel rows with a name that resolves to a URL that is not blocked,
+    first per domain.  The panel's own links count as candidates for all of its names, where the host resembles a name.
+    panel: page + pos, name, link, snippet; results: page + link, title, pos."""
+    named = panel.where(F.trim(web.text(F.col("name"))) != "")
+    own = panel.where(web.text(F.col("link")).startswith("http")).select(*page, "link", F.lit("").alias("title"), (F.col("pos") - 1_000_000_000).alias("pos"))
+    found = resolve_names(named.select(*page, "name").distinct(), results.select(*page, "link", "title", "pos").unionByName(own), page, m)
+    p = named.drop("link").join(found, [*page, "name"]).where("link is not null").withColumn("domain", web.domain_of(F.col("link")))
+    p = p.select(*page, "domain", "pos", "link", F.trim("name").alias("title"), F.substring(web.text(F.col("snippet")), 1, snippet_limit).alias("snippet"), F.lit(source).alias("source"))
+    return first_wins(p.where("domain <> ''"), [*page, "domain"], ["pos"])
 
 
 def classify_companies(pages: DataFrame, verdicts: DataFrame, body: str = "body", keywords: list[str] | None = None) -> DataFrame:

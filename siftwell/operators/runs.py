@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.operators.dedupe import numbered
+
 WINDOW_S = 900
 
 
@@ -23,13 +25,23 @@ def trailing_count(events: DataFrame, run: str, ts: str, counted: str, out: str,
     return rows.unionByName(halo).withColumn(out, F.sum(F.col(counted).cast("int")).over(w)).where("_own").drop("_us", "_own", "_bucket")
 
 
+def ranked(rows: DataFrame, run: str, order: list[str], out: str = "rank") -> DataFrame:
+    """rows with their place from 1 within their run.  Ranges of all rows are numbered apart (see numbered); a run's first
+    number is one row a run, so a run of any size is never in one task."""
+    n = numbered(rows, [run, *order], "_no")
+    first = n.groupBy(F.col(run).alias("_run")).agg(F.min("_no").alias("_first"))
+    return n.join(first, F.equal_null(n[run], first["_run"])).withColumn(out, F.col("_no") - F.col("_first") + 1).drop("_no", "_run", "_first")
+
+
 def running_total(events: DataFrame, run: str, order: list[str], ts: str, counted: str, out: str, bucket_s: int = 86_400) -> DataFrame:
     """events with the running number of counted rows of the run, in order (which begins with ts)."""
     rows = events.withColumn("_bucket", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (bucket_s * 1_000_000)))
     sums = rows.groupBy(run, "_bucket").agg(F.sum(F.col(counted).cast("long")).alias("_n"))
     before = sums.select(run, "_bucket", F.coalesce(F.sum("_n").over(Window.partitionBy(run).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.sum(F.col(counted).cast("long")).over(Window.partitionBy(run, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_in", inside).join(before, [run, "_bucket"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_bucket", "_in", "_before")
+    before = before.withColumnsRenamed({run: "_run", "_bucket": "_b"})
+    same = F.equal_null(rows[run], before["_run"]) & F.equal_null(rows["_bucket"], before["_b"])
+    return rows.withColumn("_in", inside).join(before, same).drop("_run", "_b").withColumn(out, F.col("_in") + F.col("_before")).drop("_bucket", "_in", "_before")
 
 
 def stop_rows(events: DataFrame, targets: DataFrame, floor_per_hour: float = 12, least_terms: int = 3, small_target: int = 50) -> DataFrame:

@@ -116,7 +116,14 @@ class Snapshots:
         (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.folder}/v={version}")
         fs, path = self._fs()
         line = json.dumps({"version": version, "batch": at["batch"] if batch is None else batch})
-        out = fs.create(path(f"{self.folder}/current"), True)
+        # in full beside the pointer, then moved over it: a crash leaves the old pointer or the new one
+        new, current = path(f"{self.folder}/current.{version}"), path(f"{self.folder}/current")
+        out = fs.create(new, True)
         out.write(bytearray(line.encode()))
         out.close()
+        overwrite = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = overwrite
+        files.rename(new, current, options)
         return True

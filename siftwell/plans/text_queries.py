@@ -8,7 +8,7 @@ from siftwell import dims
 from siftwell.functions import contacts, gates, web
 from siftwell.operators import emails, extract, qualify, runs, terms
 from siftwell.operators.dedupe import first_n, first_wins
-from siftwell.plans.base import HITS, MARKET, hits, query, sql_any, sql_blocked, sql_domain, sql_list, table
+from siftwell.plans.base import HITS, MARKET, hits, query, sql_absolute, sql_any, sql_blocked, sql_domain, sql_list, table
 from siftwell.sources import hits as sources
 
 # people named after parts, at hosts named after brands
@@ -152,51 +152,101 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", v.alias("verdict"))
 
 
-_ITEMS = r"string_split_regex(regexp_replace('1. ' || replace(trim(regexp_replace(split_part(text, chr(10), 1), '[0-9.·•●)]', '', 'g')), ',', ' 2. '), '(^|\s)\d{1,2}[.)]\s+', ' • ', 'g'), '\s*[·•●]\s*')"
+_X = "trim(replace(text, ', ', ' • '))"
+_UN = lambda s: rf"trim(regexp_replace({s}, '\s+\d{{1,2}}\s*$', ''))"
+_STRIPS = "' ·•|-–—;,' || chr(9)"
 
 
-@query("e01_listed_names", f"with i as (select doc_id, {_ITEMS} as items from documents), u as (select doc_id, unnest(items) as name, unnest(range(0, len(items))) as pos from i), c as (select doc_id, pos::int as pos, trim(regexp_replace(name, '\\s+', ' ', 'g')) as name from u where pos > 0), v as (select * from c where length(name) between 2 and 120), f as (select doc_id, arg_min(name, pos) as name, min(pos) as pos from v group by doc_id, lower(name)), r as (select *, row_number() over (partition by doc_id order by pos) as rn from f) select doc_id, pos, name from r where rn <= 50")
+def sql_listed(x: str) -> str:
+    """Items of numbered, then of bulleted lists of a text."""
+    part = rf"list_filter(list_transform(string_split_regex({x}, '\d{{1,2}}[.)]\s*'), lambda s: trim(s, {_STRIPS})), lambda s: regexp_matches(s, '^[A-Za-z]'))"
+    numbered = rf"list_filter(list_transform({part}, lambda s: {_UN("trim(string_split_regex(s, '[ ]{2,}|[' || chr(9) || '-' || chr(13) || ' ]{2,}|\\s+[·•]\\s+')[1])")}), lambda s: length(s) between 2 and 80)"
+    called = r"(?i)^(?:list of|recommended|top\s+\d+)\s+[\w &/,\-]+?\s+in\s+[\w\s]+\s+"
+    bare = f"trim(regexp_replace(trim(s, ' .-–—|'), '{called}', ''), ' .-–—|')"
+    after = lambda b: f"case when contains({b}, ':') and length(string_split({b}, ':')[1]) < 40 then trim(regexp_extract({b}, '(?s)^[^:]*:(.*)$', 1)) else {b} end"
+    item = rf"list_transform(list_transform(string_split_regex({x}, '\s*[·•●]\s*'), lambda s: {bare}), lambda b: {after('b')})"
+    bulleted = f"list_filter({item}, lambda s: length(s) between 2 and 80 and regexp_matches(s, '^[A-Za-z]') and not regexp_matches(s, '{dims.CALL_TO_ACTION}'))"
+    return rf"list_concat(case when regexp_matches({x}, '\d{{1,2}}[.)]\s*[A-Za-z]') then {numbered} else [] end, case when regexp_matches({x}, '[·•●]') then {bulleted} else [] end)"
+
+
+def sql_listed_names(rows: str, key: str, x: str) -> str:
+    return rf"""with i as (select {key}, {sql_listed(x)} as items from {rows}), u as (select {key}, unnest(items) as name, unnest(range(0, len(items))) as pos from i), c as (select {key}, pos::int as pos, {_UN("trim(regexp_replace(name, '\\s+', ' ', 'g'))")} as name from u),
+v as (select * from c where length(name) >= 2 and not {sql_any('name', dims.LISTED_NAME_NOISE)}), f as (select {key}, arg_min(name, pos) as name, min(pos) as pos from v group by {key}, lower(name)), r as (select *, row_number() over (partition by {key} order by pos) as rn from f) select {key}, pos, name from r where rn <= 50"""
+
+
+@query("e01_listed_names", sql_listed_names("documents", "doc_id", _X))
 def e01(spark, sf):
-    d = table(spark, sf, "documents")
-    line = F.replace(F.trim(F.regexp_replace(F.get(F.split("text", "\n"), F.lit(0)), r"[0-9.·•●)]", "")), F.lit(","), F.lit(" 2. "))
-    return extract.listed_names(d.withColumn("body", F.concat(F.lit("1. "), line)), "doc_id", "body")
+    return extract.listed_names(table(spark, sf, "documents").withColumn("body", F.replace("text", F.lit(", "), F.lit(" • "))), "doc_id", "body")
 
 
+_DIRECTORY = """pg as (select page_id, url, replace(regexp_replace(html, 'href="/([^"]+)"', 'href="https://\\1.example.biz"', 'g'), '<p>', '<p>7) ') as html from pages)"""
+_A = """'(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>'"""
+_BARE_NAME = r"trim(regexp_replace(trim(regexp_replace(name, '\s+', ' ', 'g')), '^\d+[.)]\s*', ''))"
+_E02 = rf"""with {_DIRECTORY}, a as (select page_id, {sql_domain('url')} as self, unnest(regexp_extract_all(html, {_A}, 1)) as href, trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, {_A}, 2)), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as label, unnest(range(0, len(regexp_extract_all(html, {_A}, 1)))) as pos from pg),
+b as (select *, {sql_absolute('href', 'self')} as link from a where not regexp_matches(href, '^(#|mailto:|tel:|javascript:)')), c as (select *, {sql_domain('link')} as domain from b), d as (select *, regexp_matches(label, '{dims.CALL_TO_ACTION}') or label = '' as action, replace(string_split(domain, '.')[1], '-', ' ') as host from c where domain <> '' and domain <> self and not {sql_blocked('domain')}),
+k as (select page_id, 0 as pass, pos, case when action then case when length(host) >= 3 then upper(host[1]) || host[2:] end when length(label) between 2 and 100 then label end as name, case when {sql_any('link', dims.SOCIAL_LINKS)} then '' else link end as link from d
+ union all select page_id, 1, unnest(range(0, len(x))), unnest(x), '' from (select page_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', chr(10), 'g'), '(?:^|\n)\s*\d{{1,2}}[.)]\s+([A-Za-z][^\n]{{1,80}})', 1) as x from pg)),
+v as (select page_id, pass, pos, {_BARE_NAME} as name, link from k), w as (select * from v where length(name) between 2 and 120 and not regexp_matches(name, '{dims.CALL_TO_ACTION}')),
+f as (select page_id, min((pass, pos)) as place, arg_min(name, (pass, pos)) as name, arg_min(link, (pass, pos)) as link from w group by page_id, lower(name)), r as (select *, row_number() over (partition by page_id order by place) as rn from f) select page_id, (rn - 1)::int as pos, name, link from r where rn <= 50"""
 
-@query("e02_directory_companies", f"""with a as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) as href, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) as label, unnest(range(0, len(regexp_extract_all(html, '(?is)<a\\b[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)))) as pos from pages),
-v as (select page_id, pos::int as pos, trim(regexp_replace(regexp_replace(label, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) as name, 'https://' || lower(substr(href, 2)) || '.example.info' as link from a where length(href) > 1),
-k as (select * from v where length(name) between 2 and 120 and not regexp_matches(name, '(?i)^(profile|contact|directions|call|email|share|compare|website)$')), f as (select page_id, arg_min(name, pos) as name, min(pos) as pos, arg_min(link, pos) as link from k group by page_id, lower(name)) select page_id, pos, name, link from f""")
+
+@query("e02_directory_companies", _E02)
 def e02(spark, sf):
-    p = table(spark, sf, "pages").withColumn("html", F.regexp_replace("html", 'href="/([^"]+)"', 'href="https://$1.example.info"'))
-    out = extract.directory_companies(p, "page_id", "url", "html", [])
-    return out.select("page_id", "pos", "name", F.lower("link").alias("link"))
+    html = F.replace(F.regexp_replace("html", 'href="/([^"]+)"', 'href="https://$1.example.biz"'), F.lit("<p>"), F.lit("<p>7) "))
+    return extract.directory_companies(table(spark, sf, "pages").withColumn("html", html), "page_id", "url", "html", MARKET.blocks)
+
 
+def sql_resolved(names: str, results: str, key: str) -> str:
+    """CTEs that give found (key, name, link) for distinct names and results (key, link, title, pos)."""
+    return rf"""rn_n as (select distinct {key}, name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as slug, list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: length(w) >= 4) as words, trim(lower(name)) as low from {names} where trim(name) <> ''),
+rn_d as (select *, {sql_domain('link')} as domain from {results}), rn_r as (select *, regexp_replace(string_split(domain, '.')[1], '[^a-z0-9]', '', 'g') as label, lower(coalesce(title, '')) as t from rn_d where not {sql_blocked('domain')}),
+rn_j as (select n.{key}, n.name, r.link, r.domain, r.pos, case when (slug <> '' and (contains(slug, label) or contains(label, slug))) or len(list_filter(words, lambda w: contains(label, w))) > 0 then 0 when t <> '' and (contains(t, low) or (len(words) > 0 and len(list_filter(words[1:2], lambda w: not contains(t, w))) = 0)) then 1 end as rank from rn_n n join rn_r r using ({key})),
+found as (select {key}, name, arg_min(link, (rank, length(domain), case when rank = 0 then -pos else pos end, link)) as link from rn_j where rank is not null group by 1, 2)"""
 
-from siftwell.plans.base import QUERIES  # noqa: E402
 
-_E01, _E02 = QUERIES["e01_listed_names"][1], QUERIES["e02_directory_companies"][1]
+def sql_merged(panel: str, results: str, key: str, source: str) -> str:
+    """CTEs that give merged: panel rows (key, pos, name, link, snippet) by the domain that their names resolve to."""
+    both = f"select {key}, link, title, pos from {results} union all select {key}, link, '', pos - 1000000000 from {panel} where starts_with(link, 'http')"
+    return f"""rn_all as ({both}), {sql_resolved(panel, 'rn_all', key)}, rn_p as (select p.{key}, pos, f.link, trim(name) as title, substr(coalesce(snippet, ''), 1, 500) as snippet, {sql_domain('f.link')} as domain from {panel} p join found f using ({key}, name)),
+merged as (select {key}, domain, min(pos) as pos, arg_min(link, pos) as link, arg_min(title, pos) as title, arg_min(snippet, pos) as snippet, '{source}' as source from rn_p where domain <> '' group by 1, 2)"""
 
 
-@query("e03_scraped_companies", f"with a as ({_E01}), b as ({_E02}), u as (select doc_id as id, name, '' as link, 0 as part, pos from a union all select page_id, name, link, 1, pos from b), f as (select id, arg_min(name, (part, pos)) as name, arg_min(link, (part, pos)) as link, min((part, pos)) as place from u group by id, lower(name)), r as (select *, row_number() over (partition by id order by place) as rn from f) select id, name, link from r where rn <= 40")
+@query("e03_scraped_companies", f"""with l as ({sql_listed_names("(select page_id, array_to_string(string_split(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1), ' ')[1:4], ' · ') as snippet from pages)", 'page_id', 'trim(snippet)')}), k as ({_E02}),
+o as (select page_id, 'https://www.' || lower(regexp_replace(w[2], '[^A-Za-z]', '', 'g')) || '.example.co/x' as link, w[1] || ' ' || coalesce(w[3], '') as title, page_id % 3 as pos from (select page_id, string_split(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1), ' ') as w from pages)),
+pan as (select page_id, pos, name, '' as link, '' as snippet from l union all select page_id, 1000 + pos, name, link, '' from k), {sql_merged('pan', 'o', 'page_id', 'directory')}, r as (select *, row_number() over (partition by page_id order by pos) as rn from merged) select page_id, domain, pos::int as pos, link, title, source from r where rn <= 50""")
 def _(spark, sf):
-    return extract.scraped_companies(e01(spark, sf).withColumnRenamed("doc_id", "id"), e02(spark, sf).withColumnRenamed("page_id", "id"), "id")
+    p = table(spark, sf, "pages").withColumn("w", F.split(F.regexp_extract("html", r"<title[^>]*>(.*?)</title>", 1), " "))
+    listed = extract.listed_names(p.withColumn("snippet", F.array_join(F.slice("w", 1, 4), " · ")), "page_id", "snippet")
+    word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    organic = p.select("page_id", F.concat(F.lit("https://www."), F.lower(F.regexp_replace(F.get("w", F.lit(1)), "[^A-Za-z]", "")), F.lit(".example.co/x")).alias("link"), F.concat(F.get("w", F.lit(0)), F.lit(" "), word(2)).alias("title"), (F.col("page_id") % 3).alias("pos"))
+    return extract.scraped_companies(listed, e02(spark, sf), organic, "page_id", MARKET).select("page_id", "domain", F.col("pos").cast("int").alias("pos"), "link", "title", "source")
+
 
+_FULL = "upper(first_name[1]) || first_name[2:] || ' ' || upper(last_name[1]) || last_name[2:]"
+_ROLES = ["promo", "standard"]
 
-@query("e04_microdata_people", f"with {PARTS} select person, upper(first_name[1]) || first_name[2:] || ' ' || upper(last_name[1]) || last_name[2:] as name, lower(p_type) as title from parts")
+
+@query("e04_microdata_people", f"with {PARTS} select person, {_FULL} as name, lower(p_type) as title, case when p_size % 2 = 0 then 'https://linkedin.com/in/' || person else '' end as linkedin_url from parts where {sql_any('p_type', _ROLES)}")
 def _(spark, sf):
-    html = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Person"><span itemprop="name">'), F.initcap("p_name"), F.lit('</span><span itemprop="jobTitle">'), F.lower("p_type"), F.lit("</span></div></body>"))
-    return extract.microdata_people(parts(spark, sf).withColumn("html", html), "person", "html").select("person", "name", "title")
+    link = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('<a href="https://linkedin.com/in/'), "person", F.lit('?x=1"></a>'))).otherwise("")
+    link = F.replace(link, F.lit("?x=1"), F.lit(""))
+    html = F.concat(F.lit('<li itemscope itemtype="https://schema.org/Person"><b itemprop="name"> '), F.initcap("p_name"), F.lit(' </b><i itemprop="jobTitle">'), F.lower("p_type"), F.lit("</i>"), link, F.lit("</li>"))
+    return extract.microdata_people(parts(spark, sf).withColumn("html", html), "person", "html", _ROLES).select("person", "name", "title", "linkedin_url")
 
 
-@query("e05_card_people", f"with {PARTS} select person, upper(first_name[1]) || first_name[2:] || ' ' || upper(last_name[1]) || last_name[2:] as name, 'chief executive ' || lower(p_type) as title from parts")
+@query("e05_card_people", f"with {PARTS} select person, {_FULL} as name, lower(p_type) as title from parts where p_size % 3 > 0 and {sql_any('p_type', _ROLES)}")
 def _(spark, sf):
-    html = F.concat(F.lit("<h3>"), F.initcap("p_name"), F.lit("</h3><p>chief executive "), F.lower("p_type"), F.lit("</p>"))
-    return extract.card_people(parts(spark, sf).withColumn("html", html), "person", "html").select("person", "name", "title")
+    card = F.when(F.col("p_size") % 3 == 0, '<div class="x">').when(F.col("p_size") % 3 == 1, '<div class="our-team-card">').otherwise('<li id="staff1">')
+    end = F.when(F.col("p_size") % 3 == 2, "</li>").otherwise("</div>")
+    html = F.concat(card, F.lit("<strong> "), F.initcap("p_name"), F.lit("</strong><h3>Our Team</h3><span>about us</span><span>"), F.lower("p_type"), F.lit("</span>"), end)
+    return extract.card_people(parts(spark, sf).withColumn("html", html), "person", "html", _ROLES).select("person", "name", "title")
 
 
-@query("e06_nearby_people", f"with {PARTS} select person, upper(first_name[1]) || first_name[2:] || ' ' || upper(last_name[1]) || last_name[2:] as name, 'vendor manager' as title from parts")
+@query("e06_nearby_people", f"with {PARTS} select person, {_FULL} as name, case when p_size % 2 = 0 then 'Vendor Manager' else 'Owner' end as title from parts where p_size % 5 > 0")
 def _(spark, sf):
-    body = F.concat(F.lit("we met "), F.initcap("p_name"), F.lit(", the vendor manager of "), "domain")
+    name = F.initcap("p_name")
+    far = F.when(F.col("p_size") % 5 == 0, F.lit("x " * 60)).otherwise("")
+    body = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("we met "), name, far, F.lit(", the vendor manager of "), "domain")).otherwise(F.concat(F.lit("the owner: "), far, name, F.lit(" of "), "domain"))
     return extract.nearby_people(parts(spark, sf).withColumn("body", body), "person", "body", ["vendor manager", "owner"]).select("person", "name", "title")
 
 
@@ -206,51 +256,72 @@ _TEAM = "paths as (select * from (values ('/team', 1), ('/people', 2), ('/about'
 @query("e07_page_set_people", f"with {PARTS}, {_TEAM}, p as (select *, ['/team', '/people', '/about'][p_size % 3 + 1] as path, row_number() over (partition by domain, ['/team', '/people', '/about'][p_size % 3 + 1], p_name order by person) as rn from parts), j as (select domain, priority, path, p_name, person from p join paths using (path)), m as (select *, min(priority) over (partition by domain) as best, row_number() over (partition by domain, path order by person) - 1 as pos from j), f as (select domain, p_name, min(pos) as pos from m where priority = best group by 1, 2), r as (select *, row_number() over (partition by domain order by pos) as rn from f) select domain, p_name as name from r where rn <= 5")
 def _(spark, sf):
     path = F.element_at(F.array(F.lit("/team"), F.lit("/people"), F.lit("/about")), (F.col("p_size") % 3 + 1).cast("int"))
-    cards = F.concat(F.lit("<h3>"), F.initcap("p_name"), F.lit("</h3><p>owner</p>"))
+    cards = F.concat(F.lit('<div class="staff-bio"><h3>'), F.initcap("p_name"), F.lit("</h3><p>owner</p></div>"))
     pages = parts(spark, sf).withColumn("path", path).groupBy("domain", "path").agg(F.sort_array(F.collect_list(F.struct("person", cards.alias("c")))).alias("l"))
     pages = pages.select("domain", "path", F.array_join(F.transform("l", lambda x: x["c"]), " ").alias("html"))
     dim = spark.createDataFrame([("/team", 1), ("/people", 2), ("/about", 3)], "path string, priority int")
     return extract.page_people(pages, dim).select("domain", F.lower("name").alias("name"))
 
 
-@query("e08_profile_people", f"with {PARTS}, h as (select *, p_size % 2 as engine_rank, p_size % 3 as candidate_rank from parts where p_size % 5 <> 0), m as (select *, min(candidate_rank * 10 + engine_rank) over (partition by domain) as best from h), f as (select domain, p_name, min(person) as pos, arg_min(p_type, person) as title from m where candidate_rank * 10 + engine_rank = best group by 1, 2), r as (select *, row_number() over (partition by domain order by pos) as rn from f) select domain, p_name as name, title from r where rn <= 10")
+@query("e08_profile_people", f"with {PARTS}, h as (select *, p_size % 2 as engine_rank, p_size % 3 as candidate_rank from parts where p_size % 5 <> 0 and p_size % 7 <> 0), m as (select *, min(engine_rank * 10 + candidate_rank) over (partition by domain) as best from h), f as (select domain, p_name, min(person) as pos, arg_min(p_type, person) as title from m where engine_rank * 10 + candidate_rank = best group by 1, 2), r as (select *, row_number() over (partition by domain order by pos) as rn from f) select domain, p_name as name, title from r where rn <= 10")
 def _(spark, sf):
     p = parts(spark, sf)
+    name = F.when(F.col("p_size") % 7 == 0, "LinkedIn Member").otherwise(F.concat("p_name", F.lit(" (she/her), MBA")))
     h = p.select(
         "domain", (F.col("p_size") % 2).alias("engine_rank"), (F.col("p_size") % 3).alias("candidate_rank"), F.col("person").alias("pos"), F.concat(F.lit("https://www.linkedin.com/in/"), "person").alias("link"),
-        F.concat("p_name", F.lit(" - "), "p_type", F.lit(" at X | Profile")).alias("title"), F.when(F.col("p_size") % 5 == 0, "formerly there").otherwise("now here").alias("snippet"),
+        F.concat(name, F.lit(" - "), "p_type", F.lit(" at X | Profile")).alias("title"), F.when(F.col("p_size") % 5 == 0, "a past employee there").otherwise("now here").alias("snippet"),
     )
     return extract.profile_people(h).select("domain", "name", "title")
 
 
-@query("e09_people_cards", f"with {PARTS}, r as (select *, row_number() over (partition by domain order by person) as rn from parts) select domain, upper(first_name[1]) || first_name[2:] || ' ' || upper(last_name[1]) || last_name[2:] as name, 'Owner ' || p_type as title from r where rn <= 15")
+@query("c19_profile_names", f"with {PARTS} select person, p_size % 6 not in (0, 1, 2) as ok from parts")
+def _(spark, sf):
+    forms = [F.lit("LinkedIn Member"), F.concat("first_name", F.lit(" X.")), F.concat("p_name", F.lit(" 2")), F.col("p_name"), F.concat("p_name", F.lit(" von der Au")), F.initcap("p_name")]
+    return parts(spark, sf).select("person", contacts.is_profile_name(F.element_at(F.array(*forms), (F.col("p_size") % 6 + 1).cast("int"))).alias("ok"))
+
+
+@query("e09_people_cards", f"with {PARTS}, r as (select *, row_number() over (partition by domain order by person) as rn from parts) select domain, {_FULL} as name, 'Owner ' || p_type as title from r where rn <= 15")
 def _(spark, sf):
-    c = parts(spark, sf).select("domain", F.col("person").alias("pos"), F.concat(F.lit("u/"), "person").alias("url"), F.array(F.lit("Connect"), F.initcap("p_name"), F.concat(F.lit("Owner "), "p_type")).alias("fragments"))
-    return extract.card_fragments(c)
+    frags = F.array(F.lit("Connect"), F.concat(F.initcap("first_name"), F.lit(" Holdings.")), F.lit("LinkedIn Member"), F.concat(F.initcap("p_name"), F.lit(" (he)")), F.lit("1st"), F.concat(F.lit("• Owner "), "p_type"))
+    return extract.card_fragments(parts(spark, sf).select("domain", F.col("person").alias("pos"), F.concat(F.lit("u/"), "person").alias("url"), frags.alias("fragments")))
+
+
+_HOST = "regexp_extract(text, '@([A-Za-z0-9.-]+[.][A-Za-z]{2,})', 1)"
+_SPOKEN = extract.SPOKEN_EMAIL.replace("'", "''")
+
 
+def sql_at(body: str, host: str) -> str:
+    """Addresses at a host: plain ones, then spoken ones, lower-cased, first of each."""
+    plain = rf"regexp_extract_all({body}, '(?i)\b([A-Za-z0-9._%+\-]+@' || replace({host}, '.', '\.') || ')\b', 1)"
+    spoken = f"list_transform(list_filter(list_zip(regexp_extract_all({body}, '{_SPOKEN}', 1), regexp_extract_all({body}, '{_SPOKEN}', 2)), lambda z: lower(z[2]) = {host}), lambda z: z[1] || '@' || z[2])"
+    return f"list_distinct(list_transform(list_concat({plain}, {spoken}), lambda e: lower(e)))"
 
-@query("e10_addresses", f"with {MAILS} select distinct doc_id, lower(raw) as email from mails")
+
+@query("e10_addresses", f"with d as (select doc_id, replace(text, '@mail1', ' [at] mail1') as text, {_HOST} as host from documents) select doc_id, unnest({sql_at('text', 'host')}) as email from d where host <> ''")
 def _(spark, sf):
-    return extract.addresses(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "email")
+    host = F.regexp_extract("text", "@([A-Za-z0-9.-]+[.][A-Za-z]{2,})", 1)
+    d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("@mail1"), F.lit(" [at] mail1")).alias("text"), host.alias("host"))
+    return extract.addresses(d.where("host <> ''"), "doc_id", "text", "host").select("doc_id", "email")
 
 
-@query("e12_document_addresses", "with t as (select conv_id, string_agg(text, ' ' order by turn) as text from conversations group by 1) select conv_id, len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')))::int as n from t")
+@query("e12_document_addresses", f"with p as (select doc_id // 40 as site, 'mail5.example.com' as host, ((doc_id % 40) // 10) as doc, doc_id % 10 as page, text from documents), f as (select site, doc, unnest({sql_at('text', 'host')}) as email from p where doc < 3 and page < 5), b as (select site, min(doc) as doc from f group by 1) select distinct site, email, doc from f join b using (site, doc)")
 def _(spark, sf):
-    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return t.select("conv_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(extract.EMAIL), F.lit(0)))).alias("n"))
+    d = F.col("doc_id")
+    p = table(spark, sf, "documents").select(F.floor(d / 40).alias("site"), F.lit("mail5.example.com").alias("domain"), F.floor(d % 40 / 10).alias("doc"), (d % 10).alias("page"), "text")
+    return extract.document_addresses(p, "site").select("site", "email", "doc")
 
 
-_SITE = f"""{PARTS}, mails as (select domain, ['/contact', '/about'][p_size % 2 + 1] as path, person as pos, case when p_size % 7 = 0 then 'info' else first_name || p_size end || '@' || domain as email, p_size from parts),
-paths as (select * from (values ('/contact', 1), ('/about', 2)) t(path, priority)), m as (select * from mails join paths using (path)),
-st as (select *, min(case when not starts_with(email, 'info@') then priority end) over (partition by domain) as stop from m),
+_SITE = f"""{PARTS}, mails as (select domain, ['/contact', '/about', '/'][case when domain like '%1.example.com' then 3 else p_size % 2 + 1 end] as path, person as pos, case when p_size % 7 = 0 then 'info' else first_name || p_size end || '@' || domain as email, p_size from parts),
+paths as (select * from (values ('/contact', 1), ('/about', 2), ('/', 99)) t(path, priority)), m as (select * from mails join paths using (path)),
+st as (select *, min(case when not starts_with(email, 'info@') and path <> '/' then priority end) over (partition by domain) as stop from m),
 site as (select domain, email, min(priority) as priority from st where stop is null or priority <= stop group by 1, 2)"""
 
 
 def site(spark, sf):
-    path = F.element_at(F.array(F.lit("/contact"), F.lit("/about")), (F.col("p_size") % 2 + 1).cast("int"))
+    path = F.element_at(F.array(F.lit("/contact"), F.lit("/about"), F.lit("/")), F.when(F.endswith("domain", F.lit("1.example.com")), 3).otherwise(F.col("p_size") % 2 + 1).cast("int"))
     email = F.concat(F.when(F.col("p_size") % 7 == 0, "info").otherwise(F.concat("first_name", "p_size")), F.lit("@"), "domain")
     pages = parts(spark, sf).withColumn("path", path).groupBy("domain", "path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("person", email.alias("e")))), lambda x: x["e"]), " , ").alias("text"))
-    return extract.site_addresses(pages, spark.createDataFrame([("/contact", 1), ("/about", 2)], "path string, priority int"))
+    return extract.site_addresses(pages, spark.createDataFrame([("/contact", 1), ("/about", 2), ("/", 99)], "path string, priority int"))
 
 
 @query("e11_site_addresses", f"with {_SITE} select domain, email, priority from site")
@@ -258,12 +329,12 @@ def _(spark, sf):
     return site(spark, sf).select("domain", "email", "priority")
 
 
-@query("e13_search_address", f"with {PARTS}, h as (select person % 40 as person, row_number() over (partition by person % 40 order by person) - 1 as pos, first_name || p_size || '@' || domain as email, domain from parts), k as (select * from h where pos < 5 and domain like '%2.%') select person, arg_min(email, pos) as email from k group by 1")
+@query("e13_search_address", f"with {PARTS} select person, first_name || p_size || '@' || domain as email from parts where p_size % 4 <> 0")
 def _(spark, sf):
-    p = parts(spark, sf).withColumn("who", F.col("person") % 40)
-    p = first_n(p, ["who"], ["person"], 1_000_000, rank="rank")
-    want = F.when(F.contains("domain", F.lit("2.")), F.col("domain")).otherwise("other.example.com")
-    h = p.select(F.col("who").alias("person"), (F.col("rank") - 1).alias("pos"), want.alias("domain"), F.concat(F.lit("write to "), "first_name", "p_size", F.lit("@"), "domain").alias("snippet"), F.lit("t").alias("title"), F.lit("l").alias("link"))
+    # three hits a person: another host's address before the own one, a role's address, and the own one again
+    own = F.concat("first_name", "p_size", F.lit("@"), "domain")
+    texts = [F.concat(F.lit("x@other.com or "), F.when(F.col("p_size") % 4 == 1, own).otherwise("none")), F.concat(F.lit("info@"), "domain", F.lit(" then "), own), F.when(F.col("p_size") % 4 != 0, F.concat(F.lit("write "), F.upper(own), F.lit(".")))]
+    h = parts(spark, sf).select("person", "domain", F.posexplode(F.array(*texts)).alias("pos", "snippet"), F.lit("t").alias("title"), F.lit("https://a.b/c").alias("link"))
     return extract.search_address(h)
 
 
@@ -275,24 +346,43 @@ def _(spark, sf):
     return p.join(emails.example_patterns(spark), "local_part").select("person", "local_part", "pattern")
 
 
+@query("e14_page_patterns", f"with {PARTS} select person, case p_size % 4 when 0 then {_PATTERN} when 1 then 'flast' when 2 then 'f.last' end as pattern from parts where p_size % 4 <> 3")
+def _(spark, sf):
+    token = F.element_at(F.array(*map(F.lit, dims.EMAIL_TOKENS)), (F.col("p_size") % 11 + 1).cast("int"))
+    kind = F.col("p_size") % 4
+    body = F.when(kind == 0, F.concat(F.lit("Format: "), F.upper(token), F.lit("@x"))).when(kind == 1, F.concat(F.lit("such as red@"), "domain", F.lit(" or JSmith@"), "domain")).when(kind == 2, "First initial last, mostly").otherwise("nothing known")
+    return emails.page_patterns(parts(spark, sf).withColumn("body", body), "person", "body", "domain")
+
+
 @query("e15_organic_results", f"with {HITS}, k as (select pos, run, rtrim(regexp_replace(link, '[?#].*$', ''), '/') as url_key, title from hits), v as (select * from k where length(trim(title)) >= 3 and not {sql_any('title', dims.JUNK_TITLES)}) select run, url_key, min(pos) as pos from v group by 1, 2")
 def _(spark, sf):
     return extract.organic(hits(spark, sf).select("run", "pos", "link", "title"), ["run"], "link", "title", ["pos"]).select("run", "url_key", "pos")
 
 
-@query("f06_resolve_names", f"with {PARTS}, r as (select distinct domain, 'https://www.' || domain || '/x' as link from parts), n as (select distinct p_brand as name, (p_size % 4) as page from part), k as (select distinct (p_size % 4) as page, 'https://www.' || lower(replace(p_brand, '#', '')) || '.example.com/x' as link, lower(replace(p_brand, '#', '')) as label from part), j as (select n.page, n.name, k.link, row_number() over (partition by n.page, n.name order by length(k.link), k.label) as rn from n join k on n.page = k.page and (contains(lower(replace(n.name, '#', '')), k.label) or contains(k.label, lower(replace(n.name, '#', ''))) or contains(k.label, 'brand'))) select page, name, link from j where rn = 1")
+_PANEL = f"""grp as (select page_id // 8 as page, page_id as pos, 'https://www.' || replace({sql_domain('url')}, ':', '') || '/x' as link, string_split(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1), ' ') as w, {sql_domain('url')} as domain from pages),
+nam as (select page, pos, case pos % 3 when 0 then upper(domain[1]) || string_split(domain[2:], '.')[1] || ' Ltd' when 1 then w[1] || ' ' || coalesce(w[2], '') else 'Qq' || w[2] end as name, case when pos % 2 = 0 then link else '' end as link, 'said ' || pos as snippet from grp), res as (select page, link, array_to_string(w, ' ') as title, pos from grp where pos % 5 <> 0)"""
+
+
+def panel(spark, sf):
+    p, n = table(spark, sf, "pages"), F.col("page_id")
+    w, d = F.split(F.regexp_extract("html", r"<title[^>]*>(.*?)</title>", 1), " "), web.domain_of(F.col("url"))
+    word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    link = F.concat(F.lit("https://www."), F.replace(d, F.lit(":"), F.lit("")), F.lit("/x"))
+    name = F.when(n % 3 == 0, F.concat(F.upper(F.substring(d, 1, 1)), F.substring_index(F.expr("substring(d, 2)"), ".", 1), F.lit(" Ltd"))).when(n % 3 == 1, F.concat(word(0), F.lit(" "), word(1))).otherwise(F.concat(F.lit("Qq"), F.get(w, F.lit(1))))
+    g = p.withColumn("d", d).select(F.floor(n / 8).alias("page"), n.alias("pos"), link.alias("found"), name.alias("name"), F.when(n % 2 == 0, link).otherwise("").alias("link"), F.concat(F.lit("said "), n).alias("snippet"), F.array_join(w, " ").alias("title"))
+    return g.select("page", "pos", "name", "link", "snippet"), g.where("pos % 5 <> 0").select("page", F.col("found").alias("link"), "title", "pos")
+
+
+@query("f06_resolve_names", f"with {_PANEL}, {sql_resolved('nam', 'res', 'page')} select n.page, n.name, f.link from (select distinct page, name from nam) n left join found f using (page, name)")
 def _(spark, sf):
-    p = table(spark, sf, "part").withColumn("page", F.col("p_size") % 4)
-    label = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
-    results = p.select("page", F.concat(F.lit("https://www."), label, F.lit(".example.com/x")).alias("link"), F.lit("t").alias("title"), label.alias("pos")).distinct()
-    return qualify.resolve_names(p.select("page", F.col("p_brand").alias("name")).distinct(), results, ["page"])
+    names, results = panel(spark, sf)
+    return qualify.resolve_names(names.select("page", "name").distinct(), results, ["page"], MARKET)
 
 
-@query("f07_merge_panel_rows", f"with {HITS}, h as (select run, pos, link, snippet, {sql_domain('link')} as domain from hits), k as (select * from h where not {sql_blocked('domain')}) select run, domain, min(pos) as pos, substr(arg_min(snippet, pos), 1, 500) as snippet from k group by 1, 2")
+@query("f07_merge_panel_rows", f"with {_PANEL}, {sql_merged('nam', 'res', 'page', 'local_pack')} select page, domain, pos, link, title, snippet, source from merged")
 def _(spark, sf):
-    h = hits(spark, sf).select("run", "pos", "link", "snippet", F.col("title").alias("name"))
-    results = h.select("run", "link", F.col("name").alias("title"), "pos").where("pos < 0")
-    return qualify.merge_panel_rows(h, results, ["run"], MARKET).select("run", "domain", "pos", "snippet")
+    names, results = panel(spark, sf)
+    return qualify.merge_panel_rows(names, results, ["page"], MARKET, source="local_pack")
 
 
 _FIRST = "contains(string_split(email, '@')[1], first_name)"
@@ -302,13 +392,14 @@ def _people(spark, sf):
     return parts(spark, sf).select("person", "domain", "first_name", "last_name")
 
 
-@query("f08_site_email_choice", f"""with {_SITE}, o as (select domain, count(*) as n from site group by 1), st2 as (select s.*, n, (select min(pos) from m where m.domain = s.domain and m.email = s.email) as pos from site s join o using (domain)),
+@query("f08_site_email_choice", f"""with {_SITE}, o as (select domain, count(*) as n from site where not starts_with(email, 'info@') group by 1), st2 as (select s.*, n, (select min(pos) from m where m.domain = s.domain and m.email = s.email) as pos from site s join o using (domain)),
 j as (select p.person, s.email, case when {_FIRST} or contains(string_split(email, '@')[1], last_name) then 'Site ✓' when n = 1 then 'Site' end as label, row_number() over (partition by p.person order by priority, s.pos) as rn from parts p join st2 s using (domain) where not starts_with(email, 'info@') and ({_FIRST} or contains(string_split(email, '@')[1], last_name) or n = 1))
 select person, email, label from j where rn = 1""")
 def _(spark, sf):
     return emails.from_site(_people(spark, sf), site(spark, sf))
 
 
+_GENERIC = f"(len(list_filter({sql_list(dims.GENERIC_PREFIXES)}, lambda p: starts_with(string_split(email, '@')[1], p) and length(string_split(email, '@')[1]) <= length(p) + 3)) > 0)"
 _PATTERNS = "patterns as (select domain, min(p_size) as p_size from parts group by 1)"
 _CAND = f"cand as (select p.person, {_LOCAL.replace('p_size', 'q.p_size')} || '@' || domain as email from parts p join patterns q using (domain))"
 _VER2 = "ver as (select distinct email, case length(email) % 4 when 0 then 'good' when 1 then 'bad' when 2 then 'risky' end as verdict from cand)"
@@ -325,14 +416,14 @@ def verdicts(spark, sf):
     return c.withColumn("verdict", F.when(n == 0, "good").when(n == 1, "bad").when(n == 2, "risky"))
 
 
-@query("f09_pattern_emails", f"with {PARTS}, {_PATTERNS}, {_CAND}, {_VER2} select person, email, case verdict when 'good' then 'EFmt ✓' when 'risky' then 'EFmt ~' else 'EFmt ?' end as label, coalesce(verdict = 'good', false) as verified from cand left join ver using (email) where coalesce(verdict, '') <> 'bad'")
+@query("f09_pattern_emails", f"with {PARTS}, {_PATTERNS}, {_CAND}, {_VER2} select person, email, case verdict when 'good' then 'EFmt ✓' when 'risky' then 'EFmt ~' else 'EFmt ?' end as label, coalesce(verdict = 'good', false) as verified from cand left join ver using (email) where coalesce(verdict, '') <> 'bad' and not {_GENERIC}")
 def _(spark, sf):
     return emails.from_pattern(_people(spark, sf), patterns(spark, sf), verdicts(spark, sf))
 
 
-_LAYERS = f"""with {_SITE}, o as (select domain, count(*) as n from site group by 1), st2 as (select s.*, n, (select min(pos) from m where m.domain = s.domain and m.email = s.email) as pos from site s join o using (domain)),
+_LAYERS = f"""with {_SITE}, o as (select domain, count(*) as n from site where not starts_with(email, 'info@') group by 1), st2 as (select s.*, n, (select min(pos) from m where m.domain = s.domain and m.email = s.email) as pos from site s join o using (domain)),
 j as (select p.person, s.email, row_number() over (partition by p.person order by priority, s.pos) as rn from parts p join st2 s using (domain) where not starts_with(email, 'info@') and ({_FIRST} or contains(string_split(email, '@')[1], last_name) or n = 1)),
-{_PATTERNS}, {_CAND}, {_VER2}, l1 as (select person, email, 0 as rank, 'L1-Site' as layer, true as verified from j where rn = 1), l2 as (select person, email, 1 as rank, 'L2-EFmt' as layer, coalesce(verdict = 'good', false) as verified from cand left join ver using (email) where coalesce(verdict, '') <> 'bad'),
+{_PATTERNS}, {_CAND}, {_VER2}, l1 as (select person, email, 0 as rank, 'L1-Site' as layer, true as verified from j where rn = 1), l2 as (select person, email, 1 as rank, 'L2-EFmt' as layer, coalesce(verdict = 'good', false) as verified from cand left join ver using (email) where coalesce(verdict, '') <> 'bad' and not {_GENERIC}),
 l4 as (select person, 'mail' || person || '@' || domain as email, 2 as rank, 'L4-Search' as layer, true as verified from parts where p_size % 2 = 0), u as (from l1 union all from l2 union all from l4), f as (select *, row_number() over (partition by person order by rank) as rn from u)"""
 
 
@@ -347,9 +438,6 @@ def _(spark, sf):
     return emails.first_layer(_layers(spark, sf)[1])
 
 
-_GENERIC = f"(len(list_filter({sql_list(dims.GENERIC_PREFIXES)}, lambda p: starts_with(string_split(email, '@')[1], p) and length(string_split(email, '@')[1]) <= length(p) + 3)) > 0)"
-
-
 @query("o03_find_emails", f"{_LAYERS} select f.person, domain, email, layer from f join parts using (person) where rn = 1 and (layer <> 'L2-EFmt' or verified) and not {_GENERIC}")
 def _(spark, sf):
     people, layers = _layers(spark, sf)
@@ -406,7 +494,7 @@ def _(spark, sf):
 @query("i05_rank_hits", f"with {HITS}, h as (select run, pos, case source when 'ai_overview' then 0 when 'local_pack' then 1 else 9 end as priority from hits) select run, pos, row_number() over (partition by run order by priority, pos)::int as rank from h")
 def _(spark, sf):
     h = hits(spark, sf).withColumn("priority", gates.hit_priority(F.col("source"), F.lit(False), F.lit(False)))
-    return first_n(h.select("run", "pos", "priority"), ["run"], ["priority", "pos"], 1_000_000_000, rank="rank").select("run", "pos", "rank")
+    return runs.ranked(h.select("run", "pos", "priority"), "run", ["priority", "pos"]).select("run", "pos", F.col("rank").cast("int").alias("rank"))
 
 
 @query("i06_best_candidate", "select o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) as o_orderkey from orders group by 1")
@@ -508,31 +596,37 @@ def _(spark, sf):
     return parts(spark, sf).select("person", F.format_string('"%s" @%s', "p_name", "domain").alias("email_query"), F.format_string('site:linkedin.com/in "%s"', "domain").alias("profile_query"))
 
 
+def result_pages(spark, sf):
+    """Hits by result page: a run's hits in buckets of 20 positions."""
+    return hits(spark, sf).withColumn("page", F.concat("run", F.lit("-"), F.floor(F.col("pos") / 20)))
+
+
 def responses(spark, sf):
-    kind = F.when(F.col("pos") % 3 == 0, "ad").when(F.col("pos") % 3 == 1, "organic")
+    kind = F.when(F.col("pos") % 3 == 0, "ad").when(F.col("pos") % 3 == 1, "Organic").when(F.col("pos") % 3 == 2, "")
     item = F.struct(F.when(F.col("pos") % 5 == 0, "").otherwise(F.col("link")).alias("url"), F.col("title").alias("title"), F.col("snippet").alias("content"), kind.alias("type"), F.col("pos"))
-    g = hits(spark, sf).groupBy("run").agg(F.sort_array(F.collect_list(F.struct("pos", item.alias("i")))).alias("l"))
-    return g.select("run", F.to_json(F.struct(F.transform("l", lambda x: x["i"]).alias("results"))).alias("body"))
+    g = result_pages(spark, sf).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("pos", item.alias("i")))).alias("l"))
+    return g.select("page", F.to_json(F.struct(F.transform("l", lambda x: x["i"]).alias("results"))).alias("body"))
 
 
-_AT = f"with {HITS}, a as (select *, row_number() over (partition by run order by pos) - 1 as place from hits)"
+_AT = f"with {HITS}, a as (select *, run || '-' || (pos // 20) as page, row_number() over (partition by run, pos // 20 order by pos) - 1 as place from hits)"
 
 
-@query("a07_metasearch_source", f"{_AT} select run, place::int as pos, link, title, snippet from a where place < 10 and pos % 5 <> 0")
+@query("a07_metasearch_source", f"{_AT} select page, place::int as pos, link, title, snippet from a where place < 10 and pos % 5 <> 0")
 def _(spark, sf):
-    return sources.metasearch(responses(spark, sf), "run", "body", 10)
+    return sources.metasearch(responses(spark, sf), "page", "body", 10)
 
 
-@query("a08_typed_source", f"{_AT}, g as (select *, row_number() over (partition by run order by place) as rn from a where pos % 5 <> 0 and pos % 3 <> 0) select run, place::int as pos, link from g where rn <= 10")
+@query("a08_typed_source", f"{_AT}, g as (select *, row_number() over (partition by page order by place) as rn from a where pos % 5 <> 0 and pos % 3 <> 0) select page, place::int as pos, link from g where rn <= 6")
 def _(spark, sf):
-    return sources.typed_results(responses(spark, sf), "run", "body", 10).select("run", "pos", "link")
+    return sources.typed_results(responses(spark, sf), "page", "body", 6).select("page", "pos", "link")
 
 
-@query("a09_result_page_source", f"{_AT} select run, place::int as pos, link, trim(regexp_replace(title, '<[^>]+>', '', 'g')) as title from a where place < 10")
+@query("a09_result_page_source", f"{_AT}, g as (select *, row_number() over (partition by page order by place) as rn from a where pos % 4 <> 0) select page, place::int as pos, link, trim(regexp_replace(title, '<[^>]+>', '', 'g')) as title from g where rn <= 6")
 def _(spark, sf):
-    h = hits(spark, sf).withColumn("a", F.concat(F.lit('<a class="result__a" href="//r?uddg='), F.url_encode("link"), F.lit('&x=1">'), "title", F.lit("</a>")))
-    page = h.groupBy("run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "a"))), lambda x: x["a"]), "\n").alias("html"))
-    return sources.result_page(page, "run", "html", 10)
+    href = F.when(F.col("pos") % 4 == 0, F.lit("/x")).when(F.col("pos") % 4 == 1, F.col("link")).otherwise(F.concat(F.lit("//r?uddg="), F.url_encode("link"), F.lit("&x=1")))
+    h = result_pages(spark, sf).withColumn("a", F.concat(F.lit('<a rel="n" class="result__a" href="'), href, F.lit('">'), "title", F.lit("</a>")))
+    page = h.groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "a"))), lambda x: x["a"]), "\n").alias("html"))
+    return sources.result_page(page, "page", "html", 6)
 
 
 @query("a10_response_status", "select event_id, case when event_type = 'error' and value > 50 then 'blocked' when event_type = 'error' then 'error' when value > 30 then 'ok' when event_type = 'view' then 'blocked' else 'empty' end as status from events")

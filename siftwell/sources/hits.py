@@ -21,17 +21,18 @@ def metasearch(rows: DataFrame, key: str, body: str, num: int) -> DataFrame:
 def typed_results(rows: DataFrame, key: str, body: str, num: int) -> DataFrame:
     """The second response form: organic and web results with an http URL, the first num of those."""
     r = rows.select(key, F.posexplode(F.from_json(text(F.col(body)), _RESULTS)["results"]).alias("pos", "r"))
-    good = r.where(F.startswith(text(F.col("r.url")), F.lit("http")) & F.coalesce(F.col("r.type"), F.lit("organic")).isin("organic", "web"))
+    good = r.where(F.startswith(text(F.col("r.url")), F.lit("http")) & F.lower(F.coalesce(F.nullif(F.col("r.type"), F.lit("")), F.lit("organic"))).isin("organic", "web"))
     return first_n(good, [key], ["pos"], num).select(key, "pos", F.col("r.url").alias("link"), text(F.col("r.title")).alias("title"), text(F.col("r.content")).alias("snippet"))
 
 
 def result_page(rows: DataFrame, key: str, html: str, num: int, mark: str = "result__a") -> DataFrame:
-    """Anchors of a result page: redirects unwrapped, tags dropped from titles, the first num."""
-    pat = rf"(?is)<a\b[^>]*class=[\"'][^\"']*{mark}[^\"']*[\"'][^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
+    """Anchors of a result page: redirects unwrapped, tags dropped from titles, the first num with an http URL."""
+    pat = rf"(?s)<a[^>]+class=\"[^\"]*{mark}[^\"]*\"[^>]+href=\"([^\"]*)\"[^>]*>(.*?)</a>"
     z = F.arrays_zip(*[F.regexp_extract_all(text(F.col(html)), F.lit(pat), F.lit(i)).alias(n) for i, n in ((1, "u"), (2, "t"))])
-    r = rows.select(key, F.posexplode(z).alias("pos", "a")).where(F.col("pos") < num)
-    wrapped = F.regexp_extract("a.u", r"[?&]uddg=([^&]*)", 1)
-    return r.select(key, "pos", F.when(wrapped != "", F.try_url_decode(wrapped)).otherwise(F.col("a.u")).alias("link"), F.trim(F.regexp_replace("a.t", r"<[^>]+>", "")).alias("title"))
+    r = rows.select(key, F.posexplode(z).alias("pos", "a"))
+    wrapped = F.when(F.contains("a.u", F.lit("uddg=")), F.regexp_extract("a.u", r"uddg=([^&]+)", 1))
+    r = r.select(key, "pos", F.coalesce(F.try_url_decode(wrapped), F.col("a.u")).alias("link"), F.trim(F.regexp_replace("a.t", r"<[^>]+>", "")).alias("title"))
+    return first_n(r.where(F.startswith("link", F.lit("http"))), [key], ["pos"], num)
 
 
 def response_status(http: Column, n_results: Column, engine_notes: Column) -> Column:
