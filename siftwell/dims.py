@@ -182,6 +182,60 @@ NOT_NAME_WORDS = [
 NAME_SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "phd", "mba", "ma", "ba", "msc"]
 EMAIL_PATTERNS = ["first.last", "f.last", "first.l", "first_last", "firstlast", "flast", "last.first", "lastfirst", "last_first", "last", "first"]
 EMAIL_TOKENS = ["{first}.{last}", "{f}.{last}", "{first}.{l}", "{first}_{last}", "{first}{last}", "{f}{last}", "{last}.{first}", "{last}{first}", "{last}_{first}", "{last}", "{first}"]
+MAJOR_CITIES = {
+    "Argentina": ["Buenos Aires", "Córdoba", "Rosario"], "Australia": ["Sydney", "Melbourne", "Brisbane"], "Austria": ["Vienna", "Graz", "Linz"], "Belgium": ["Brussels", "Antwerp", "Ghent"],
+    "Brazil": ["São Paulo", "Rio de Janeiro", "Brasília"], "Canada": ["Toronto", "Vancouver", "Montreal"], "Chile": ["Santiago", "Valparaíso", "Concepción"], "China": ["Shanghai", "Beijing", "Shenzhen"],
+    "Colombia": ["Bogotá", "Medellín", "Cali"], "Czech Republic": ["Prague", "Brno", "Ostrava"], "Denmark": ["Copenhagen", "Aarhus", "Odense"], "Egypt": ["Cairo", "Alexandria", "Giza"],
+    "Finland": ["Helsinki", "Espoo", "Tampere"], "France": ["Paris", "Lyon", "Marseille"], "Germany": ["Berlin", "Munich", "Hamburg"], "Greece": ["Athens", "Thessaloniki", "Patras"],
+    "Hungary": ["Budapest", "Debrecen", "Szeged"], "India": ["Mumbai", "Delhi", "Bangalore"], "Indonesia": ["Jakarta", "Surabaya", "Bandung"], "Ireland": ["Dublin", "Cork", "Galway"],
+    "Israel": ["Tel Aviv", "Jerusalem", "Haifa"], "Italy": ["Milan", "Rome", "Turin"], "Japan": ["Tokyo", "Osaka", "Yokohama"], "Kenya": ["Nairobi", "Mombasa", "Kisumu"],
+    "Malaysia": ["Kuala Lumpur", "George Town", "Johor Bahru"], "Mexico": ["Mexico City", "Guadalajara", "Monterrey"], "Netherlands": ["Amsterdam", "Rotterdam", "The Hague"],
+    "New Zealand": ["Auckland", "Wellington", "Christchurch"], "Nigeria": ["Lagos", "Abuja", "Kano"], "Norway": ["Oslo", "Bergen", "Trondheim"], "Pakistan": ["Karachi", "Lahore", "Islamabad"],
+    "Peru": ["Lima", "Arequipa", "Trujillo"], "Philippines": ["Manila", "Quezon City", "Cebu City"], "Poland": ["Warsaw", "Kraków", "Wrocław"], "Portugal": ["Lisbon", "Porto", "Braga"],
+    "Romania": ["Bucharest", "Cluj-Napoca", "Timișoara"], "Russia": ["Moscow", "Saint Petersburg", "Novosibirsk"], "Saudi Arabia": ["Riyadh", "Jeddah", "Dammam"], "Singapore": ["Singapore"],
+    "South Africa": ["Johannesburg", "Cape Town", "Durban"], "South Korea": ["Seoul", "Busan", "Incheon"], "Spain": ["Madrid", "Barcelona", "Valencia"], "Sweden": ["Stockholm", "Gothenburg", "Malmö"],
+    "Switzerland": ["Zurich", "Geneva", "Basel"], "Thailand": ["Bangkok", "Chiang Mai", "Phuket"], "Turkey": ["Istanbul", "Ankara", "Izmir"], "UAE": ["Dubai", "Abu Dhabi", "Sharjah"],
+    "Ukraine": ["Kyiv", "Kharkiv", "Odesa"], "United Kingdom": ["London", "Manchester", "Birmingham"], "United States": ["New York", "Los Angeles", "Chicago"],
+}
+#: search-term templates: {i} industry, {c} country, {g} the country after a space or nothing, {t} city
+LANGUAGE_INDUSTRIES = ["localization", "translation", "subtitling"]
+COUNTRY_TERMS = [
+    "{i} companies in {c}", "{i} agency in {c}", "{i} services {c}", "{i} firm {c}", "best {i} companies {c}", "{i} service providers in {c}", '"{i}" "{c}" -linkedin.com -facebook.com', "{i} company contact {c}",
+]
+LANGUAGE_COUNTRY_TERMS = ["translation agency {c}", "language services company {c}", "LSP translation {c}", "translation office {c}"]
+EGYPT_OFFICE_TERM = "ترجمة شركة {c}"
+CITY_TERMS = ["{i} companies in {t}", "{i} agency {t}", "{i} services {t}", "{i} business {t}"]
+LANGUAGE_CITY_TERM = "translation agency {t}"
+COUNTRY_ONLY_TERMS = ["companies in {c}", "organizations in {c}"]
+DIRECTORY_TERMS = [
+    "site:clutch.co {i}{g}", "site:goodfirms.co {i}{g}", "site:goodfirms.io {i}{g}", "top {i} companies{g} clutch", "top {i} companies{g} goodfirms", "{i} companies directory{g}", "list of {i} companies{g}",
+]
+TRADE_INDUSTRIES = ["localization", "translation", "subtitling", "media"]
+TRADE_TERMS = [
+    "site:proz.com translation company{g}", "site:proz.com blueboard{g}", "site:proz.com companies{g}", "proz.com blue board{g}", "site:translationdirectory.com{g}", "site:translatorscafe.com{g}",
+    "site:translationcafe.com{g}", "translation agencies directory{g}", "localization companies directory{g}", "language service providers directory{g}", "LSP directory{g}",
+    "site:gala-global.org members{g}", "site:atanet.org directory{g}",
+]
+TRADE_COUNTRY_TERMS = ["proz.com {c} translation company", "translationdirectory.com {c}", "translatorscafe.com {c} agency"]
+EXPANSION_ROLES = ["bureau", "office", "studio", "vendor", "provider", "partner", "consultancy", "firm", "company"]
+EXPANSION_CITY_TERMS = ["translation company {t}", "language services {t}", "localization agency {t}", "مكتب ترجمة {t}", "شركة ترجمة {t}"]
+EGYPT_EXPANSION_TERMS = [
+    "site:.eg translation agency", "site:.eg localization company", "site:.eg language services", "Egyptian translation services company", "certified translation office Egypt",
+    "document translation Egypt company", "interpretation company Egypt", "localization services Cairo Egypt contact", "translation company Alexandria Egypt", "translation company Giza Egypt",
+    "LSP Egypt contact", "language service provider Egypt email",
+]
+ROTATION_NICHES = [
+    "subtitling", "interpretation", "interpreting", "transcreation", "website localization", "software localization", "DTP translation", "legal translation", "medical translation",
+    "certified translation", "audiovisual translation", "game localization",
+]
+ROTATION_TERMS = ["{i} companies directory {c}", "list of {i} companies {c}", "top {i} agencies {c}", "{i} vendors {c}", "outsourced {i} {c}"]
+ROTATION_CITY_TERMS = ["{i} near {t}", "best translation office {t}", "language service provider {t}"]
+EGYPT_ROTATION_TERMS = [
+    "شركات ترجمة معتمدة مصر", "مكتب ترجمة معتمدة القاهرة", "خدمات الترجمة الفورية مصر", "تعريب مواقع مصر", "site:.eg مكتب ترجمة", "site:.eg ترجمة معتمدة", "translators Egypt company website",
+    "localization Egypt LinkedIn company",
+]
+ROTATION_TLDS = {"Egypt": ".eg", "Saudi Arabia": ".sa", "UAE": ".ae", "United Arab Emirates": ".ae", "Germany": ".de", "France": ".fr", "United Kingdom": ".uk"}
+ROTATION_TLD_TERMS = ["site:{d} {i}", "site:{d} translation agency", "site:{d} language services"]
 LIST_SIGNALS = ["top ", "best ", "list of", "directory", "rankings", "companies in", "agencies in", "firms in", "companies list", "agency list"]
 LIST_TITLES = ["companies in", "agencies in", "firms in", "list of ", "directory of"]
 CALL_TO_ACTION = r"(?i)^(visit(\s+website)?|website|view\s+(profile|website|site)|see\s+(more|profile)|learn\s+more|read\s+more|profile|contact|directions|call|email|share|compare)$"

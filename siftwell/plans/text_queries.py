@@ -566,34 +566,89 @@ def _(spark, sf):
     return p.join(p.groupBy("domain").agg(F.max("p_size").alias("best")), "domain").select("person", "best")
 
 
-_TPL = [("1", 1, "{industry} companies in {country}", "country"), ("1", 2, "{industry} agency {country}", "country"), ("2", 3, "{industry} in {city}", "city"), ("2", 4, "best {industry} {city}", "city")]
-_TERMS = """markets as (select r_regionkey * 100 + n_nationkey as market_id, r_name as industry, n_name as country from nation join region on n_regionkey = r_regionkey), cities as (select n_name as country, s_suppkey as ord, s_name as city from supplier join nation on s_nationkey = n_nationkey),
-t as (select market_id, 1 as priority, 0 as ord, industry || ' companies in ' || country as term from markets union all select market_id, 2, 0, industry || ' agency ' || country from markets
- union all select market_id, 3, ord, industry || ' in ' || city from markets join cities using (country) union all select market_id, 4, ord, 'best ' || industry || ' ' || city from markets join cities using (country))"""
+_MARKETS = """markets as (select c_custkey as market_id, (['localization', 'legal', '', 'subtitling', 'all', 'translation'])[c_custkey % 6 + 1] as industry, (['Egypt', 'Germany', 'Peru', '', 'All Countries', 'UAE', 'Singapore'])[c_custkey % 7 + 1] as country,
+case when c_custkey % 3 = 0 then ['my own term', 'legal agency in Peru'] else [] end as keywords, c_custkey % 50 as shortfall from customer),
+mk as (select *, case when country = 'All Countries' then '' else country end as c, case when country in ('', 'All Countries') then '' else ' ' || country end as g, coalesce((map {""" + ", ".join(f"'{k}': {sql_list(dims.MAJOR_CITIES[k])}" for k in ("Egypt", "Germany", "Peru", "UAE", "Singapore")) + """})[country], []::varchar[]) as cities from markets)"""
 
 
-def term_bank(spark, sf):
-    n, r, s = table(spark, sf, "nation"), table(spark, sf, "region"), table(spark, sf, "supplier")
-    markets = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select((F.col("r_regionkey") * 100 + F.col("n_nationkey")).alias("market_id"), F.col("r_name").alias("industry"), F.col("n_name").alias("country"))
-    cities = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("country"), F.col("s_suppkey").cast("int").alias("ord"), F.col("s_name").alias("city"))
-    return terms.expand(markets, cities, spark.createDataFrame(_TPL, "bank string, priority int, template string, scope string"))
+def markets(spark, sf):
+    k = F.col("c_custkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    own = F.when(k % 3 == 0, F.array(F.lit("my own term"), F.lit("legal agency in Peru"))).otherwise(F.array().cast("array<string>"))
+    m = table(spark, sf, "customer").select(k.alias("market_id"), pick(["localization", "legal", "", "subtitling", "all", "translation"]).alias("industry"), pick(["Egypt", "Germany", "Peru", "", "All Countries", "UAE", "Singapore"]).alias("country"), own.alias("keywords"), (k % 50).alias("shortfall"))
+    return m.withColumn("cities", terms.cities_of(F.col("country")))
 
 
-@query("l01_l05_term_bank", f"with {_TERMS} select market_id, priority, ord, term from t")
+def sql_fill(template: str, industry: str = "i") -> str:
+    out = "'" + template.replace("'", "''") + "'"
+    for k, v in (("i", industry), ("c", "c"), ("g", "g"), ("t", "t"), ("d", "d")):
+        out = out.replace("{" + k + "}", f"' || {v} || '")
+    return out
+
+
+def sql_terms(templates: list[str], **kw) -> str:
+    return "[" + ", ".join(sql_fill(t, **kw) for t in templates) + "]"
+
+
+def sql_cities(templates: str, most: int = 1000) -> str:
+    return f"flatten(list_transform(cities[1:{most}], lambda t: {templates}))"
+
+
+def sql_if(condition: str, terms_: str) -> str:
+    return f"case when {condition} then {terms_} else []::varchar[] end"
+
+
+def sql_once(name: str, expr: str, rows: str) -> str:
+    """Rows with a list column, its blanks and repeats dropped in order."""
+    return f"""{name}_a as (select *, list_filter(list_transform(flatten([{expr}]), lambda s: trim(s)), lambda s: s <> '') as raw from {rows}), {name} as (select * exclude (raw), list_filter(raw, lambda x, i: list_position(raw, x) = i) as {name} from {name}_a)"""
+
+
+_PRIMARY = sql_once("l1", ", ".join([
+    sql_if("industry <> '' and c <> ''", sql_terms(dims.COUNTRY_TERMS, industry="industry")),
+    sql_if("industry in ('localization', 'translation', 'subtitling') and c <> ''", f"list_append({sql_terms(dims.LANGUAGE_COUNTRY_TERMS[:-1])}, case when c = 'Egypt' then {sql_fill(dims.EGYPT_OFFICE_TERM)} else {sql_fill(dims.LANGUAGE_COUNTRY_TERMS[-1])} end)"),
+    sql_if("industry <> ''", sql_cities(f"list_append({sql_terms(dims.CITY_TERMS[:-1], industry='industry')}, case when industry in ('localization', 'translation') then {sql_fill(dims.LANGUAGE_CITY_TERM)} else {sql_fill(dims.CITY_TERMS[-1], industry='industry')} end)")),
+    sql_if("industry = '' and c <> ''", sql_terms(dims.COUNTRY_ONLY_TERMS)), "keywords",
+]), "mk")
+_IND = "(case when industry = '' then 'localization' else industry end)"
+_LABEL = f"(case when {_IND} = 'all' then 'companies' else {_IND} end)"
+_DIRECTORIES = sql_once("l2", f"{sql_terms(dims.DIRECTORY_TERMS, industry=_LABEL)}, {sql_if(f'{_IND} in {tuple(dims.TRADE_INDUSTRIES)}', sql_terms(dims.TRADE_TERMS))}, {sql_if(f"{_IND} in {tuple(dims.TRADE_INDUSTRIES)} and c <> ''", sql_terms(dims.TRADE_COUNTRY_TERMS))}", "l1")
+_EXPANSION = sql_once("l3w", f"{sql_terms([t for r in dims.EXPANSION_ROLES for t in (f'{{i}} {r} {{c}}', f'translation {r} {{c}}')], industry=_IND)}, {sql_cities(sql_terms(dims.EXPANSION_CITY_TERMS), 6)}, {sql_if("c = 'Egypt'", sql_list(dims.EGYPT_EXPANSION_TERMS))}", "l2")
+_NICHES = ", ".join(sql_if("c <> ''", sql_terms([f"{n} company {{c}}", f"{n} agency {{c}}"])) + ", " + sql_terms([f"{n} {{i}} {{c}}"], industry=_IND) for n in dims.ROTATION_NICHES)
+_TLD_OF = "(map {" + ", ".join(f"'{k}': '{v}'" for k, v in dims.ROTATION_TLDS.items()) + "})[c]"
+_ROTATION = sql_once("l4", f"{_NICHES}, {sql_terms(dims.ROTATION_TERMS, industry=_IND)}, {sql_cities(sql_terms(dims.ROTATION_CITY_TERMS, industry=_IND), 8)}, {sql_if("c = 'Egypt'", sql_list(dims.EGYPT_ROTATION_TERMS))}, {sql_if('d is not null', sql_terms(dims.ROTATION_TLD_TERMS, industry=_IND))}", "l3d")
+_BANKS = f"with {_MARKETS}, {_PRIMARY}, {_DIRECTORIES}, {_EXPANSION}, l3 as (select *, l3w[1:greatest(25, least(80, 2 * shortfall))] as l3 from l3w), l3d as (select *, {_TLD_OF} as d from l3), {_ROTATION}, {sql_once('l5', 'l2, l1, l3, l4', 'l4')}"
+
+
+def bank_query(name: str, column: str, make) -> None:
+    @query(name, f"{_BANKS} select market_id, array_to_string({column}, '|') as terms, len({column})::int as n from l5")
+    def _(spark, sf):
+        m = markets(spark, sf).withColumn("t", make(*map(F.col, ("industry", "country", "cities", "keywords", "shortfall"))))
+        return m.select("market_id", F.array_join("t", "|").alias("terms"), F.size("t").alias("n"))
+
+
+bank_query("l01_primary_terms", "l1", lambda i, c, t, k, s: terms.primary_terms(i, c, t, k))
+bank_query("l02_directory_terms", "l2", lambda i, c, t, k, s: terms.directory_terms(i, c))
+bank_query("l03_expansion_terms", "l3", lambda i, c, t, k, s: terms.expansion_terms(i, c, t, s))
+bank_query("l04_rotation_terms", "l4", lambda i, c, t, k, s: terms.rotation_terms(i, c, t))
+
+
+@query("l01_l05_term_bank", f"{_BANKS} select market_id, unnest(l5) as term, unnest(range(1, len(l5) + 1))::int as place from l5")
 def _(spark, sf):
-    return term_bank(spark, sf)
+    m = markets(spark, sf).withColumn("bank", terms.term_bank(*map(F.col, ("industry", "country", "cities", "keywords", "shortfall"))))
+    return terms.explode_terms(m, "market_id", "bank")
 
 
-@query("l03_capped_terms", f"with {_TERMS}, r as (select market_id, term, row_number() over (partition by market_id order by priority, ord, term) as place from t) select market_id, term, place from r where place <= greatest(25, least(80, 2 * (market_id % 50)))")
+@query("l03_capped_terms", "with b as (select o_custkey as market_id, o_orderdate as priority, o_orderkey as ord, o_orderpriority || o_orderkey as term from orders), r as (select market_id, term, row_number() over (partition by market_id order by priority, ord, term) as place from b) select market_id, term, place from r where place <= greatest(25, least(80, 2 * (market_id % 50)))")
 def _(spark, sf):
-    bank = term_bank(spark, sf)
+    bank = table(spark, sf, "orders").select(F.col("o_custkey").alias("market_id"), F.col("o_orderdate").alias("priority"), F.col("o_orderkey").alias("ord"), F.concat("o_orderpriority", "o_orderkey").alias("term"))
     short = bank.select("market_id").distinct().withColumn("shortfall", F.col("market_id") % 50)
     return terms.capped(bank, short).select("market_id", "term", F.col("place").cast("long").alias("place"))
 
 
-@query("l06_search_strings", f"with {PARTS} select person, '\"' || p_name || '\" @' || domain as email_query, 'site:linkedin.com/in \"' || domain || '\"' as profile_query from parts")
+@query("l06_search_strings", f"with {PARTS} select person, '\"' || first_name || ' ' || last_name || '\" \"@' || domain || '\"' as email_query, 'site:linkedin.com/in/ \"' || p_name || '\"|site:linkedin.com/in/ \"' || string_split(domain, '.')[1] || '\"|site:linkedin.com/in/ \"' || domain || '\"' as profile_queries from parts")
 def _(spark, sf):
-    return parts(spark, sf).select("person", F.format_string('"%s" @%s', "p_name", "domain").alias("email_query"), F.format_string('site:linkedin.com/in "%s"', "domain").alias("profile_query"))
+    names = contacts.search_names(F.concat("p_name", F.lit(" Ltd")), F.lit(""), F.col("domain"))
+    return parts(spark, sf).select("person", terms.address_query(F.col("first_name"), F.col("last_name"), F.col("domain")).alias("email_query"), F.array_join(F.transform(names, terms.profile_query), "|").alias("profile_queries"))
 
 
 def result_pages(spark, sf):
