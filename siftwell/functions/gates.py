@@ -157,8 +157,9 @@ def is_directory(host: Column, title: Column, hosts: list[str] = dims.DIRECTORY_
 
 
 def hit_priority(source: Column, directory: Column, verified: Column) -> Column:
-    """0 answer panel, 1 local panel, 2 directory, 3 summary shows industry and country, 9 others."""
-    return F.when(source == "ai_overview", 0).when(source == "local_pack", 1).when(directory, 2).when(verified, 3).otherwise(9)
+    """0 answer panel, 1 local panel and companies that a directory lists, 2 directory, 3 summary shows industry and country,
+    9 others."""
+    return F.when(source == "ai_overview", 0).when(source.isin("local_pack", "directory"), 1).when(directory, 2).when(verified, 3).otherwise(9)
 
 
 def page_status(body: Column, industry_ok: Column, geo_ok: Column) -> Column:

@@ -6,13 +6,15 @@ least rank wins in one aggregate.  Gates apply after that: an unverified second
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell import dims
-from siftwell.functions.contacts import email_candidate, is_confirmed, is_generic, norm_name, token_named, worded
+from siftwell.functions.contacts import email_candidate, first_name, is_confirmed, is_generic, last_name, norm_name, token_named, worded
 from siftwell.functions.web import text
+from siftwell.operators import state
 from siftwell.operators.dedupe import first_wins
+from siftwell.operators.extract import search_address, site_addresses
 
 
 def from_site(people: DataFrame, site: DataFrame) -> DataFrame:
@@ -73,3 +75,21 @@ def leads(people: DataFrame, layers: list[tuple[str, DataFrame]]) -> DataFrame:
     """Confirmed addresses of people, role addresses left out."""
     found = first_layer(layers)
     return people.join(found.where(is_confirmed(F.col("email"), F.col("layer"), F.col("verified")) & ~is_generic(F.col("email"))), "person")
+
+
+def mail_run(people: DataFrame, pages: DataFrame, paths: DataFrame, pattern_pages: DataFrame, verdicts: DataFrame, hits: DataFrame, table: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(leads to append, people with their stamp) of a run over people.
+
+    people: person, domain, full_name, first_name, last_name, email_searched_at.  pages, paths: see site_addresses.
+    pattern_pages: domain, body.  verdicts: email, verdict.  hits: person, pos, domain, snippet, title, link.
+    table: email and more; an address that it holds is not appended again.
+    """
+    full = (F.col("full_name"), F.col("first_name"), F.col("last_name"))
+    p = people.withColumns({"_f": first_name(*full), "_l": last_name(*full)}).withColumnsRenamed({"first_name": "_stored_f", "last_name": "_stored_l"}).withColumnsRenamed({"_f": "first_name", "_l": "last_name"})
+    site = from_site(p, site_addresses(pages, paths))
+    pattern = from_pattern(p, page_patterns(pattern_pages.withColumn("_own", F.col("domain")), "domain", "body", "_own"), verdicts)
+    searched = search_address(hits.join(p.where((F.col("first_name") != "") & (F.col("last_name") != "")).select("person"), "person", "left_semi")).withColumn("label", F.lit("Search ✓"))
+    labels = site.select("person", "email", "label").unionByName(pattern.select("person", "email", "label")).unionByName(searched)
+    found = leads(p, [("L1-Site", site), ("L2-EFmt", pattern), ("L4-Search", searched)])
+    rows = found.select("person", "domain", "full_name", "first_name", "last_name", "email", "layer").join(labels.dropDuplicates(["person", "email", "label"]).groupBy("person", "email").agg(F.min("label").alias("email_source")), ["person", "email"])
+    return state.insert_ignore(table, rows, ["email"], ["person"]), state.stamp(people, people, "person", "email_searched_at", now)

@@ -136,18 +136,18 @@ def nearby_people(rows: DataFrame, key: str, body: str, titles: list[str], reach
 
 
 def page_people(pages: DataFrame, paths: DataFrame, most: int = 5, titles: list[str] = dims.TARGET_TITLES) -> DataFrame:
-    """domain, name, title, linkedin_url: people of each domain's first productive page, in path order.  pages: domain, path, html."""
+    """domain, name, title, linkedin_url, pos: people of each domain's first productive page, in path order.  pages: domain, path, html."""
     p = pages.join(paths, "path").withColumn("_page", F.concat_ws("|", "domain", "path"))
     micro, cards = microdata_people(p, "_page", "html", titles).withColumn("_kind", F.lit(0)), card_people(p, "_page", "html", titles).withColumn("_kind", F.lit(1))
     found = micro.unionByName(cards).join(p.select("_page", "domain", "priority"), "_page")
     best = F.min(F.struct("priority", "_kind")).over(Window.partitionBy("domain"))
     found = found.withColumn("_best", best).where(F.struct("priority", "_kind") == F.col("_best"))
     firsts = first_wins(found.withColumn("_low", F.lower("name")), ["domain", "_low"], ["pos"])
-    return first_n(firsts, ["domain"], ["pos"], most).select("domain", "name", F.substring("title", 1, 80).alias("title"), "linkedin_url")
+    return first_n(firsts, ["domain"], ["pos"], most).select("domain", "name", F.substring("title", 1, 80).alias("title"), "linkedin_url", "pos")
 
 
 def profile_people(hits: DataFrame, most: int = 10) -> DataFrame:
-    """domain, name, title, link: people in profile hits.  Per domain the first engine that finds anyone counts, and of its
+    """domain, name, title, link, pos: people in profile hits.  Per domain the first engine that finds anyone counts, and of its
     answers the first search name with anyone.  hits: domain, engine_rank, candidate_rank, pos, link, title, snippet."""
     n = profile_name(F.regexp_replace(text(F.col("title")), r"(?i)\s*\((?:she|he|they|ze|xe)[^)]*\)", ""))
     ok = F.contains(text(F.col("link")), F.lit("linkedin.com/in/")) & ~is_former(F.col("snippet")) & ~is_former(F.col("title"))
@@ -156,7 +156,7 @@ def profile_people(hits: DataFrame, most: int = 10) -> DataFrame:
     people = people.join(best, "domain").where(F.struct("engine_rank", "candidate_rank") == F.col("_best")).drop("_best")
     by_url = first_wins(people, ["domain", "link"], ["pos"])
     by_name = first_wins(by_url.withColumn("_low", F.lower("name")), ["domain", "_low"], ["pos"])
-    return first_n(by_name, ["domain"], ["pos"], most).select("domain", "name", F.col("job").alias("title"), "link")
+    return first_n(by_name, ["domain"], ["pos"], most).select("domain", "name", F.col("job").alias("title"), "link", "pos")
 
 
 def card_person(fragments: Column) -> Column:
@@ -173,9 +173,9 @@ def card_person(fragments: Column) -> Column:
 
 
 def card_fragments(cards: DataFrame, most: int = 15) -> DataFrame:
-    """domain, name, title of the people on profile cards; the first 2 * most cards of a domain are read."""
+    """domain, name, title, url, pos of the people on profile cards; the first 2 * most cards of a domain are read."""
     c = first_n(cards, ["domain"], ["pos"], 2 * most).withColumn("_p", card_person(F.col("fragments"))).where("_p.name is not null")
-    return first_n(first_wins(c, ["domain", "url"], ["pos"]), ["domain"], ["pos"], most).select("domain", "_p.name", "_p.title")
+    return first_n(first_wins(c, ["domain", "url"], ["pos"]), ["domain"], ["pos"], most).select("domain", "_p.name", "_p.title", "url", "pos")
 
 
 def plain_at(body: Column, host: Column) -> Column:

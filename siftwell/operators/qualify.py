@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from siftwell import dims
 from siftwell.functions import gates, web
+from siftwell.operators import extract
 from siftwell.operators.dedupe import first_n, first_wins
+from siftwell.scratch import materialize
 
 
 @dataclass
@@ -141,3 +143,29 @@ def merge_pages(pages: DataFrame, keys: list[str], order: list[str], limit: int
     firsts = first_n(first_wins(each, [*keys, "_link"], [*order, "_at"]), keys, [*order, "_at"], most_links)
     links = firsts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, "_at", "_link"))), lambda x: x["_link"]).alias("links"))
     return bodies.join(links, keys, "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
+
+
+def mine_directories(hits: DataFrame, pages: DataFrame, m: Market, page: list[str]) -> DataFrame:
+    """page, pos, link, title, snippet, source ('directory') of the companies that hits on directories list, from their
+    snippets and pages; names without a link are resolved against the result page.  hits: page + pos, link, title, snippet;
+    pages: url, html."""
+    d = hits.where(gates.is_directory(web.domain_of(F.col("link")), F.col("title"), m.directories)).withColumn("_dir", F.concat_ws("|", *page, "pos"))
+    read = d.join(first_wins(pages.select("url", "html"), ["url"], ["html"]).withColumnRenamed("html", "_html"), F.col("link") == F.col("url"), "left")
+    listed = extract.listed_names(d, "_dir", "snippet")
+    linked = extract.directory_companies(read, "_dir", "link", "_html", m.blocks)
+    organic = d.select("_dir", *page).join(hits.select(*page, "link", "title", "pos"), page)
+    found = extract.scraped_companies(listed, linked, organic, "_dir", m).withColumnRenamed("pos", "_at")
+    return found.join(d.select("_dir", *page, "pos"), "_dir").select(*page, "pos", "link", "title", "snippet", "source")
+
+
+def qualify_run(hits: DataFrame, pages: DataFrame, table: DataFrame, m: Market, page: list[str]) -> DataFrame:
+    """The table of domains (domain, status, score, tier) after a run over hits: directories are mined, each new domain is
+    qualified once, and the batch is written without demotions.  hits: page + pos, link, title, snippet, source."""
+    from siftwell.operators import state
+
+    mined = materialize(mine_directories(hits, pages, m, page), "mined")
+    every = hits.select(*page, "pos", "link", "title", "snippet", "source").unionByName(mined)
+    found = qualify_hits(every, pages, table.select("domain"), m, ["pos", *page, "link"])
+    provided = F.array(*map(F.lit, ("status", "score", "tier")))
+    updates = found.select(F.lit(0).alias("seq"), "domain", "status", "score", "tier", provided.alias("provided"))
+    return state.upsert(table, state.without_demotions(table, updates, "domain"), "domain", ["status", "score", "tier"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell import dims
 from siftwell.functions.web import text
+from siftwell.operators.dedupe import numbered
 
 
 def status_counts(table: DataFrame, status: str, names: list[str]) -> DataFrame:
@@ -69,11 +70,30 @@ def export(sheets: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> N
         (w.partitionBy("status") if "status" in df.columns and name == "domains" else w).save(f"{folder}/{name}")
 
 
-def sheets(domains: DataFrame, people: DataFrame, leads: DataFrame, blocked: DataFrame) -> dict[str, DataFrame]:
-    """The full export: a sheet per status, people with company type, leads, blocked hosts and the summary."""
+def sheets(domains: DataFrame, people: DataFrame, leads: DataFrame, blocked: DataFrame, drop_empty: bool = True) -> dict[str, DataFrame]:
+    """The full export: a sheet per status, people with company type, leads, blocked hosts and the summary.  Sheets
+    without rows are left out but for qualified; their counts are the summary's few rows."""
     kinds = domains.select("domain", F.col("company_type").alias("_type"))
     out = {s: domains.where(F.col("status") == s).orderBy(F.desc("score"), F.desc("seq")) for s in dims.STATUSES}
     out["people"] = people.join(kinds, "domain", "left").withColumn("company_type", F.upper(text(F.col("_type")))).drop("_type")
     out["leads"], out["blocked"] = leads, blocked
-    out["summary"] = table_counts({s: domains.where(F.col("status") == s) for s in dims.STATUSES} | {"people": people, "leads": leads, "blocked": blocked})
-    return out
+    summary = table_counts({s: domains.where(F.col("status") == s) for s in dims.STATUSES} | {"people": people, "leads": leads, "blocked": blocked})
+    if drop_empty:
+        n = dict(summary.collect())
+        out = {name: df for name, df in out.items() if name == "qualified" or n[name]}
+    return out | {"summary": summary}
+
+
+def run_sheets(qualified: DataFrame, not_kept: DataFrame, people: DataFrame, leads: DataFrame) -> dict[str, DataFrame]:
+    """Sheets of one run: kept companies by score, what was not kept and why, people and leads, numbered in their order.
+
+    qualified: seq, domain, company_name, tier, score, linkedin_url, country, reasons (array).  not_kept: seq, domain, reason,
+    detail, message.  people and leads: seq and the columns that they show.
+    """
+    blank = lambda *names: [text(F.col(n)).alias(n) for n in names]
+    best = numbered(qualified, [F.desc("score"), "seq"], "row_no")
+    kept = best.select("row_no", *blank("domain", "company_name", "tier"), F.coalesce("score", F.lit(0)).alias("score"), *blank("linkedin_url", "country"), F.array_join(F.coalesce("reasons", F.array().cast("array<string>")), ", ").alias("signals"))
+    gone = numbered(not_kept, ["seq"], "row_no").select("row_no", *blank("domain", "reason"), F.coalesce(F.nullif(text(F.col("detail")), F.lit("")), text(F.col("message"))).alias("detail"))
+    who = numbered(people, ["seq"], "row_no").select("row_no", *blank("full_name", "title", "company_name", "domain"), dash(F.upper("company_type")).alias("type"), *blank("linkedin_url"))
+    mail = numbered(leads, ["seq"], "row_no").select("row_no", *blank("full_name", "title", "company", "email", "email_source", "domain", "linkedin_url"))
+    return {"qualified": kept, "not_kept": gone, "people": who, "leads": mail}

@@ -47,8 +47,9 @@ def running_total(events: DataFrame, run: str, order: list[str], ts: str, counte
 def stop_rows(events: DataFrame, targets: DataFrame, floor_per_hour: float = 12, least_terms: int = 3, small_target: int = 50) -> DataFrame:
     """First row of each run that ends it, with its reason.
 
-    events: run_id, seq, ts, kept, checked (booleans), term_end (boolean).  targets: run_id, target, budget.
-    Reasons in order of precedence: target_met, check_budget, diminishing_returns (under floor_per_hour in the
+    events: run_id, seq, ts, kept, checked (booleans), term_end (boolean) and, where there is such a column, signal: 'stop'
+    (the user ended the run), 'error' or 'down' (no engine answers).  targets: run_id, target, budget.
+    Reasons in order of precedence: error, serp_unavailable, stopped, target_met, check_budget, diminishing_returns (under floor_per_hour in the
     trailing window with least_terms terms in it, for targets above small_target).  Runs that meet none give
     their last row with search_exhausted.
     """
@@ -61,7 +62,8 @@ def stop_rows(events: DataFrame, targets: DataFrame, floor_per_hour: float = 12,
     elapsed = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("begin").cast("timestamp"))) / 1e6
     rate = F.col("recent_kept") * 3600 / F.least(F.lit(float(WINDOW_S)), F.greatest(F.lit(1.0), elapsed))
     slow = F.col("term_end") & (F.col("target") > small_target) & (F.col("recent_terms") >= least_terms) & (rate < floor_per_hour)
-    reason = F.when(F.col("total_kept") >= F.col("target"), "target_met").when(F.col("total_checked") >= F.col("budget"), "check_budget").when(slow, "diminishing_returns")
+    signal = F.col("signal") if "signal" in events.columns else F.lit(None).cast("string")
+    reason = F.when(signal == "error", "error").when(signal == "down", "serp_unavailable").when(signal == "stop", "stopped").when(F.col("total_kept") >= F.col("target"), "target_met").when(F.col("total_checked") >= F.col("budget"), "check_budget").when(slow, "diminishing_returns")
     e = e.withColumn("reason", reason)
     first = F.min(F.when(F.col("reason").isNotNull(), F.struct("ts", "seq", "reason", "total_kept", "total_checked")))
     last = F.max(F.struct("ts", "seq", F.lit("search_exhausted").alias("reason"), "total_kept", "total_checked"))

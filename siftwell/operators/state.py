@@ -127,3 +127,11 @@ class Snapshots:
         options[0] = overwrite
         files.rename(new, current, options)
         return True
+
+    def forget(self, keep: int) -> None:
+        """Remove versions before the last `keep`; a reader of one of those has had that many writes to end in."""
+        fs, path = self._fs()
+        for old in fs.listStatus(path(self.folder)):
+            name = old.getPath().getName()
+            if name.startswith("v=") and int(name[2:]) <= self.pointer()["version"] - keep:
+                fs.delete(old.getPath(), True)

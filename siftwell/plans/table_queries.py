@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell import dims
@@ -91,15 +94,50 @@ def _(spark, sf):
     return state.insert_ignore(p.where("c_acctbal < 0"), p, ["domain", "title"], ["seq"]).select("seq", "domain", "title")
 
 
+def all_sheets(spark, sf):
+    c = companies(spark, sf)
+    return reports.sheets(c, people(spark, sf), leads(spark, sf), c.where("status = 'failed'").select("domain"))
+
+
 @query("a13_export_sheets", f"with {COMPANIES}, {PEOPLE}, {LEADS} select status as name, count(*) as n from companies group by 1 union all select 'unreachable', 0 union all select 'people', count(*) from people union all select 'leads', count(*) from leads union all select 'blocked', count(*) from companies where status = 'failed'")
 def _(spark, sf):
-    c = companies(spark, sf)
-    return reports.sheets(c, people(spark, sf), leads(spark, sf), c.where("status = 'failed'").select("domain"))["summary"]
+    return all_sheets(spark, sf)["summary"]
+
+
+@query("a13_export_rows", f"with {COMPANIES}, {PEOPLE}, {LEADS} select status as sheet, domain as what from companies union all select 'people', full_name || '|' || upper(coalesce(company_type, '')) from people left join companies using (domain) union all select 'leads', email from leads union all select 'blocked', domain from companies where status = 'failed'")
+def _(spark, sf):
+    s = all_sheets(spark, sf)
+    what = lambda name: F.concat("full_name", F.lit("|"), "company_type") if name == "people" else F.col("email" if name == "leads" else "domain")
+    return functools.reduce(DataFrame.union, [df.select(F.lit(name).alias("sheet"), what(name).alias("what")) for name, df in s.items() if name != "summary"])
+
+
+def run_sheets(spark, sf):
+    c, p, k = companies(spark, sf), people(spark, sf), F.col("score")
+    kept = c.where("status = 'qualified'").select("seq", "domain", F.col("country").alias("company_name"), F.when(k > 40, "strong").alias("tier"), "score", F.lit("").alias("linkedin_url"), "country", F.when(k > 20, F.array(F.lit("has contact page"), F.concat(F.lit("score "), k))).alias("reasons"))
+    gone = c.where("status <> 'qualified'").select("seq", "domain", F.col("status").alias("reason"), F.when(k > 40, "a detail").otherwise("").alias("detail"), F.lit("a message").alias("message"))
+    who = p.join(c.select("domain", "company_type", F.col("country").alias("company_name")), "domain", "left")
+    mail = leads(spark, sf).withColumns({"title": F.lit(None).cast("string"), "company": F.col("domain"), "linkedin_url": F.lit("")})
+    return reports.run_sheets(kept, gone, who, mail)
+
+
+@query("a14_run_export", f"with {COMPANIES} select row_number() over (order by score desc, seq) as row_no, domain, country as company_name, case when score > 40 then 'strong' else '' end as tier, score, country, case when score > 20 then 'has contact page, score ' || score else '' end as signals from companies where status = 'qualified'")
+def _(spark, sf):
+    return run_sheets(spark, sf)["qualified"].drop("linkedin_url")
+
+
+@query("a14_not_kept", f"with {COMPANIES} select row_number() over (order by seq) as row_no, domain, status as reason, case when score > 40 then 'a detail' else 'a message' end as detail from companies where status <> 'qualified'")
+def _(spark, sf):
+    return run_sheets(spark, sf)["not_kept"]
+
+
+@query("a14_run_people", f"with {COMPANIES}, {PEOPLE} select row_number() over (order by p.seq) as row_no, full_name, title, coalesce(country, '') as company_name, domain, coalesce(nullif(upper(company_type), ''), '—') as type, linkedin_url from people p left join companies using (domain)")
+def _(spark, sf):
+    return run_sheets(spark, sf)["people"]
 
 
-@query("a14_run_export", f"with {COMPANIES} select row_number() over (order by score desc, seq) as row_no, domain, score from companies where status = 'qualified'")
+@query("a14_run_leads", f"with {LEADS} select row_number() over (order by seq) as row_no, full_name, '' as title, domain as company, email, email_source, domain, '' as linkedin_url from leads")
 def _(spark, sf):
-    return numbered(companies(spark, sf).where("status = 'qualified'"), [F.desc("score"), "seq"]).select(F.col("row_no").cast("long").alias("row_no"), "domain", "score")
+    return run_sheets(spark, sf)["leads"]
 
 
 @query("a15_display_format", "select o_orderkey, replace(substr(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), 1, 16), 'T', '  ') as stamp, coalesce(nullif(case when o_orderstatus = 'P' then '' else o_orderstatus end, ''), '—') as status, 'https://' || lower(o_orderpriority) as link from orders")
@@ -372,4 +410,4 @@ def _(spark, sf):
 @query("o05_export_people_sheet", f"with {COMPANIES}, {PEOPLE} select p.seq, upper(coalesce(company_type, '')) as company_type from people p left join companies using (domain)")
 def _(spark, sf):
     c = companies(spark, sf)
-    return reports.sheets(c, people(spark, sf), leads(spark, sf), c.select("domain"))["people"].select("seq", "company_type")
+    return reports.sheets(c, people(spark, sf), leads(spark, sf), c.select("domain"), drop_empty=False)["people"].select("seq", "company_type")

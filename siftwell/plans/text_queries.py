@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from siftwell import dims
 from siftwell.functions import contacts, gates, web
-from siftwell.operators import emails, extract, qualify, runs, terms
+from siftwell.operators import emails, extract, people, qualify, runs, terms
 from siftwell.operators.dedupe import first_n, first_wins
-from siftwell.plans.base import HITS, MARKET, hits, query, sql_absolute, sql_any, sql_blocked, sql_domain, sql_list, table
+from siftwell.plans.base import HITS, MARKET, hits, query, sql_absolute, sql_any, sql_blocked, sql_domain, sql_list, sql_merged, sql_resolved, table
 from siftwell.sources import hits as sources
 
 # people named after parts, at hosts named after brands
@@ -196,21 +196,6 @@ def e02(spark, sf):
     return extract.directory_companies(table(spark, sf, "pages").withColumn("html", html), "page_id", "url", "html", MARKET.blocks)
 
 
-def sql_resolved(names: str, results: str, key: str) -> str:
-    """CTEs that give found (key, name, link) for distinct names and results (key, link, title, pos)."""
-    return rf"""rn_n as (select distinct {key}, name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as slug, list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: length(w) >= 4) as words, trim(lower(name)) as low from {names} where trim(name) <> ''),
-rn_d as (select *, {sql_domain('link')} as domain from {results}), rn_r as (select *, regexp_replace(string_split(domain, '.')[1], '[^a-z0-9]', '', 'g') as label, lower(coalesce(title, '')) as t from rn_d where not {sql_blocked('domain')}),
-rn_j as (select n.{key}, n.name, r.link, r.domain, r.pos, case when (slug <> '' and (contains(slug, label) or contains(label, slug))) or len(list_filter(words, lambda w: contains(label, w))) > 0 then 0 when t <> '' and (contains(t, low) or (len(words) > 0 and len(list_filter(words[1:2], lambda w: not contains(t, w))) = 0)) then 1 end as rank from rn_n n join rn_r r using ({key})),
-found as (select {key}, name, arg_min(link, (rank, length(domain), case when rank = 0 then -pos else pos end, link)) as link from rn_j where rank is not null group by 1, 2)"""
-
-
-def sql_merged(panel: str, results: str, key: str, source: str) -> str:
-    """CTEs that give merged: panel rows (key, pos, name, link, snippet) by the domain that their names resolve to."""
-    both = f"select {key}, link, title, pos from {results} union all select {key}, link, '', pos - 1000000000 from {panel} where starts_with(link, 'http')"
-    return f"""rn_all as ({both}), {sql_resolved(panel, 'rn_all', key)}, rn_p as (select p.{key}, pos, f.link, trim(name) as title, substr(coalesce(snippet, ''), 1, 500) as snippet, {sql_domain('f.link')} as domain from {panel} p join found f using ({key}, name)),
-merged as (select {key}, domain, min(pos) as pos, arg_min(link, pos) as link, arg_min(title, pos) as title, arg_min(snippet, pos) as snippet, '{source}' as source from rn_p where domain <> '' group by 1, 2)"""
-
-
 @query("e03_scraped_companies", f"""with l as ({sql_listed_names("(select page_id, array_to_string(string_split(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1), ' ')[1:4], ' · ') as snippet from pages)", 'page_id', 'trim(snippet)')}), k as ({_E02}),
 o as (select page_id, 'https://www.' || lower(regexp_replace(w[2], '[^A-Za-z]', '', 'g')) || '.example.co/x' as link, w[1] || ' ' || coalesce(w[3], '') as title, page_id % 3 as pos from (select page_id, string_split(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1), ' ') as w from pages)),
 pan as (select page_id, pos, name, '' as link, '' as snippet from l union all select page_id, 1000 + pos, name, link, '' from k), {sql_merged('pan', 'o', 'page_id', 'directory')}, r as (select *, row_number() over (partition by page_id order by pos) as rn from merged) select page_id, domain, pos::int as pos, link, title, source from r where rn <= 50""")
@@ -317,11 +302,15 @@ st as (select *, min(case when not starts_with(email, 'info@') and path <> '/' t
 site as (select domain, email, min(priority) as priority from st where stop is null or priority <= stop group by 1, 2)"""
 
 
-def site(spark, sf):
+def site_pages(spark, sf):
     path = F.element_at(F.array(F.lit("/contact"), F.lit("/about"), F.lit("/")), F.when(F.endswith("domain", F.lit("1.example.com")), 3).otherwise(F.col("p_size") % 2 + 1).cast("int"))
     email = F.concat(F.when(F.col("p_size") % 7 == 0, "info").otherwise(F.concat("first_name", "p_size")), F.lit("@"), "domain")
     pages = parts(spark, sf).withColumn("path", path).groupBy("domain", "path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("person", email.alias("e")))), lambda x: x["e"]), " , ").alias("text"))
-    return extract.site_addresses(pages, spark.createDataFrame([("/contact", 1), ("/about", 2), ("/", 99)], "path string, priority int"))
+    return pages, spark.createDataFrame([("/contact", 1), ("/about", 2), ("/", 99)], "path string, priority int")
+
+
+def site(spark, sf):
+    return extract.site_addresses(*site_pages(spark, sf))
 
 
 @query("e11_site_addresses", f"with {_SITE} select domain, email, priority from site")
@@ -428,9 +417,9 @@ l4 as (select person, 'mail' || person || '@' || domain as email, 2 as rank, 'L4
 
 
 def _layers(spark, sf):
-    people = _people(spark, sf)
+    who = _people(spark, sf)
     search = parts(spark, sf).where("p_size % 2 = 0").select("person", F.concat(F.lit("mail"), "person", F.lit("@"), "domain").alias("email"))
-    return people, [("L1-Site", emails.from_site(people, site(spark, sf))), ("L2-EFmt", emails.from_pattern(people, patterns(spark, sf), verdicts(spark, sf))), ("L4-Search", search)]
+    return who, [("L1-Site", emails.from_site(who, site(spark, sf))), ("L2-EFmt", emails.from_pattern(who, patterns(spark, sf), verdicts(spark, sf))), ("L4-Search", search)]
 
 
 @query("n02_first_email_layer", f"{_LAYERS} select person, email, layer, verified from f where rn = 1")
@@ -440,20 +429,74 @@ def _(spark, sf):
 
 @query("o03_find_emails", f"{_LAYERS} select f.person, domain, email, layer from f join parts using (person) where rn = 1 and (layer <> 'L2-EFmt' or verified) and not {_GENERIC}")
 def _(spark, sf):
-    people, layers = _layers(spark, sf)
-    return emails.leads(people, layers).select("person", "domain", "email", "layer")
+    who, layers = _layers(spark, sf)
+    return emails.leads(who, layers).select("person", "domain", "email", "layer")
 
 
-@query("o02_find_people", f"with {PARTS}, k as (select domain, arg_min(person, (person % 2, person)) as person, arg_min(p_type, (person % 2, person)) as p_type from parts group by domain, lower(p_name)), r as (select domain, person, row_number() over (partition by domain order by person % 2, person) as rn from k where {sql_any('p_type', ['standard', 'promo'])}) select domain, person, case person % 2 when 0 then 'xray' else 'Website' end as people_source from r where rn <= 10")
+def mail_run(spark, sf):
+    p = parts(spark, sf)
+    who = p.select("person", "domain", F.col("p_name").alias("full_name"), F.when(F.col("p_size") % 2 == 0, F.col("first_name")).otherwise("").alias("first_name"), F.when(F.col("p_size") % 2 == 0, F.col("last_name")).otherwise("").alias("last_name"), F.lit(None).cast("string").alias("email_searched_at"))
+    about = patterns(spark, sf).select("domain", F.concat(F.lit("Format "), F.element_at(F.map_from_arrays(F.array(*map(F.lit, dims.EMAIL_PATTERNS)), F.array(*map(F.lit, dims.EMAIL_TOKENS))), F.col("pattern"))).alias("body"))
+    hits = p.where("p_size % 2 = 0").select("person", F.lit(0).alias("pos"), "domain", F.concat(F.lit("mail"), "person", F.lit("@"), "domain").alias("snippet"), F.lit("").alias("title"), F.lit("").alias("link"))
+    known = p.where("person % 9 = 0").select(F.concat(F.lit("mail"), "person", F.lit("@"), "domain").alias("email"))
+    pages, paths = site_pages(spark, sf)
+    return emails.mail_run(who, pages, paths, about, verdicts(spark, sf), hits, known, F.lit("now"))
+
+
+@query("o03_mail_run", f"{_LAYERS}, a as (select f.person, domain, email, layer, case layer when 'L1-Site' then case when {_FIRST} or contains(string_split(email, '@')[1], last_name) then 'Site ✓' else 'Site' end when 'L2-EFmt' then 'EFmt ✓' else 'Search ✓' end as email_source, row_number() over (partition by email order by f.person) as first from f join parts using (person) where rn = 1 and (layer <> 'L2-EFmt' or verified) and not {_GENERIC}) select person, domain, email, layer, email_source from a where first = 1 and email not in (select 'mail' || person || '@' || domain from parts where person % 9 = 0)")
+def _(spark, sf):
+    return mail_run(spark, sf)[0].select("person", "domain", "email", "layer", "email_source")
+
+
+@query("o03_people_after_run", "select p_partkey as person, 'now' as email_searched_at from part")
 def _(spark, sf):
-    from siftwell.operators.people import find_people
+    return mail_run(spark, sf)[1].select("person", "email_searched_at")
+
 
+@query("o02_find_people", f"with {PARTS}, k as (select domain, arg_min(person, (person % 2, person)) as person, arg_min(p_type, (person % 2, person)) as p_type from parts group by domain, lower(p_name)), r as (select domain, person, row_number() over (partition by domain order by person % 2, person) as rn from k where {sql_any('p_type', ['standard', 'promo'])}) select domain, person, case person % 2 when 0 then 'xray' else 'Website' end as people_source from r where rn <= 10")
+def _(spark, sf):
     rows = parts(spark, sf).select("domain", F.col("person").alias("seq"), F.col("p_name").alias("full_name"), F.col("p_type").alias("title"), F.lit("").alias("linkedin_url"))
     small, large = rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1")
-    found = find_people(rows.select("domain").distinct(), [("xray", lambda c: small.join(c, "domain", "left_semi")), ("Website", lambda c: large.join(c, "domain", "left_semi"))], ["standard", "promo"])
+    found = people.find_people(rows.select("domain").distinct(), [("xray", lambda c: small.join(c, "domain", "left_semi")), ("Website", lambda c: large.join(c, "domain", "left_semi"))], ["standard", "promo"])
     return found.select("domain", F.col("seq").alias("person"), "people_source")
 
 
+_RUN = f"""with {PARTS}, c as (select domain, case when domain like '%2.example.com' then '' else 'x' end as linkedin_url, case when domain like '%3.example.com' then 'lsp' else '' end as company_type from parts group by 1),
+x as (select domain, p_name as name, min(person) as pos, arg_min(p_type, person) as title, arg_min('https://www.linkedin.com/in/' || person, person) as url from parts where p_size % 3 = 0 group by 1, 2), xr as (select *, row_number() over (partition by domain order by pos) as rn from x), xray as (select domain, name, title, url, pos from xr where rn <= 10),
+few as (select domain from c where linkedin_url <> '' and domain not in (select domain from xray group by 1 having count(*) >= 5)),
+cr as (select *, {_FULL} as name, row_number() over (partition by domain order by person) as rn from parts where p_size % 3 = 1 and domain in (from few)), cards as (select domain, name, case when length(p_type) between 6 and 79 then p_type else '' end as title, 'u/' || person as url, person as pos from cr where rn <= 15),
+sr as (select domain, p_name, min(person) as pos, arg_min(p_type, person) as p_type from parts where p_size % 3 = 2 group by 1, 2), sq as (select *, row_number() over (partition by domain order by pos) as rn from sr), site as (select domain, upper(string_split(p_name, ' ')[1][1]) || string_split(p_name, ' ')[1][2:] || ' ' || upper(string_split(p_name, ' ')[2][1]) || string_split(p_name, ' ')[2][2:] as name, lower(p_type) as title, '' as url, (rn - 1) * 100 as pos from sq where rn <= 5),
+u as (select *, 0 as rank, 'xray' as people_source from xray union all select *, 1, 'LI page' from cards union all select *, 2, 'Website' from site),
+d as (select *, row_number() over (partition by case when url <> '' then 'u:' || lower(url) else 'n:' || domain || '|' || lower(name) end order by rank, pos) as first from u), t as (select *, row_number() over (partition by domain order by rank, pos) as rn from d where first = 1 and {sql_any('title', ['promo', 'standard'])}),
+e as (select *, row_number() over (partition by domain, name order by rank, pos) as once from t where rn <= 10)"""
+
+
+def people_run(spark, sf):
+    p = parts(spark, sf).where("p_size % 3 >= 0")
+    domain, size = F.col("domain"), F.col("p_size")
+    companies = p.select("domain").distinct().select("domain", F.when(F.endswith(domain, F.lit("2.example.com")), "").otherwise("x").alias("linkedin_url"), F.when(F.endswith(domain, F.lit("3.example.com")), "lsp").otherwise("").alias("company_type"), F.lit(None).cast("string").alias("people_searched_at"))
+    homes = companies.select("domain", F.when(F.endswith(domain, F.lit("1.example.com")), "We translate; a translation agency.").otherwise("").alias("body"))
+    hits = p.where("p_size % 3 = 0").select("domain", F.lit(0).alias("engine_rank"), F.lit(0).alias("candidate_rank"), F.col("person").alias("pos"), F.concat(F.lit("https://www.linkedin.com/in/"), "person").alias("link"), F.concat("p_name", F.lit(" - "), "p_type", F.lit(" | Profile")).alias("title"), F.lit("").alias("snippet"))
+    cards = p.where("p_size % 3 = 1").select("domain", F.col("person").alias("pos"), F.concat(F.lit("u/"), "person").alias("url"), F.array(F.initcap("p_name"), F.col("p_type")).alias("fragments"))
+    card = F.concat(F.lit('<div class="card"><b>'), F.initcap("p_name"), F.lit("</b><p>"), F.lower("p_type"), F.lit("</p></div>"))
+    once = first_wins(p.where("p_size % 3 = 2").select("domain", "p_name", "person", card.alias("card")), ["domain", "p_name"], ["person"])
+    pages = once.groupBy("domain").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("person", "card"))), lambda x: x["card"]), " ").alias("html")).withColumn("path", F.lit("/team"))
+    verdicts = companies.select("domain", F.lit("client").alias("company_type"))
+    table_now = companies.limit(0).select("domain", F.lit("").alias("full_name"))
+    everyone = ["a", "e", "i", "o"]
+    return people.people_run(companies, homes, verdicts, hits, cards, pages, spark.createDataFrame([("/team", 1)], "path string, priority int"), table_now, F.lit("now"), ["promo", "standard"], everyone)
+
+
+@query("o02_people_run", f"{_RUN} select domain, name as full_name, title, url as linkedin_url, people_source from e where once = 1")
+def _(spark, sf):
+    return people_run(spark, sf)[0]
+
+
+@query("o02_companies_after_run", "with c as (select distinct lower(replace(p_brand, '#', '')) || '.example.com' as domain from part) select domain, case when domain like '%3.example.com' then 'lsp' when domain like '%1.example.com' then 'lsp' else 'client' end as company_type, 'now' as people_searched_at from c")
+def _(spark, sf):
+    return people_run(spark, sf)[1].select("domain", "company_type", "people_searched_at")
+
+
 @query("g02_hits_by_domain", f"with {HITS}, h as (select run, pos, {sql_domain('link')} as domain, case source when 'web' then 1 else 0 end as panel from hits), f as (select run, domain, min(panel * 1000000 + pos) as place from h group by 1, 2), r as (select *, row_number() over (partition by run order by place) as rn from f) select run, domain, rn::int as rank from r where rn <= 20")
 def _(spark, sf):
     h = hits(spark, sf).withColumn("domain", web.domain_of(F.col("link"))).withColumn("panel", F.when(F.col("source") == "web", 1).otherwise(0))
@@ -519,16 +562,16 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(F.slice(F.split("html", " "), 1, 300)).alias("n"), F.substring("url", 1, 80).alias("url"))
 
 
-_STOP = """with e as (select user_id as run_id, event_id as seq, ts, event_type = 'purchase' as kept, event_type <> 'error' as checked, event_type = 'view' as term_end from events), t as (select distinct run_id, case when run_id % 3 = 0 then 60 else 8 end as target, 45 as budget from e),
+_STOP = """with e as (select user_id as run_id, event_id as seq, ts, event_type = 'purchase' as kept, event_type <> 'error' as checked, event_type = 'view' as term_end, case event_id % 211 when 3 then 'stop' when 5 then 'error' when 7 then 'down' end as signal from events), t as (select distinct run_id, case when run_id % 3 = 0 then 60 else 8 end as target, 45 as budget from e),
 w as (select *, count(*) filter (kept) over r as recent_kept, count(*) filter (term_end) over r as recent_terms, count(*) filter (kept) over s as total_kept, count(*) filter (checked) over s as total_checked, min(ts) over (partition by run_id) as begin from e
  window r as (partition by run_id order by epoch_us(ts) range between 900000000 preceding and current row), s as (partition by run_id order by ts, seq rows unbounded preceding)),
-k as (select w.*, case when total_kept >= target then 'target_met' when total_checked >= budget then 'check_budget' when term_end and target > 50 and recent_terms >= 3 and recent_kept * 3600 / least(900.0, greatest(1.0, (epoch_us(ts) - epoch_us(begin)) / 1e6)) < 12 then 'diminishing_returns' end as reason from w join t using (run_id)),
+k as (select w.*, case signal when 'error' then 'error' when 'down' then 'serp_unavailable' when 'stop' then 'stopped' else case when total_kept >= target then 'target_met' when total_checked >= budget then 'check_budget' when term_end and target > 50 and recent_terms >= 3 and recent_kept * 3600 / least(900.0, greatest(1.0, (epoch_us(ts) - epoch_us(begin)) / 1e6)) < 12 then 'diminishing_returns' end end as reason from w join t using (run_id)),
 f as (select *, row_number() over (partition by run_id order by reason is null, case when reason is null then -epoch_us(ts) else epoch_us(ts) end, case when reason is null then -seq else seq end) as rn from k)"""
 
 
 def run_events(spark, sf):
     t = F.col("event_type")
-    return table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", (t == "purchase").alias("kept"), (t != "error").alias("checked"), (t == "view").alias("term_end"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", (t == "purchase").alias("kept"), (t != "error").alias("checked"), (t == "view").alias("term_end"), F.when(F.col("event_id") % 211 == 3, "stop").when(F.col("event_id") % 211 == 5, "error").when(F.col("event_id") % 211 == 7, "down").alias("signal"))
 
 
 @query("k05_d06_stop_reason", f"{_STOP} select run_id, seq, coalesce(reason, 'search_exhausted') as reason, total_kept, total_checked from f where rn = 1")

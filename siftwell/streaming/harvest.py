@@ -1,8 +1,8 @@
-"""Continuous harvest: landed hits through the screens into the domains snapshot.
+"""Continuous harvest: landed hits through the screens, qualified, into the domains snapshot.
 
 The set of known domains is the snapshot itself, not stream state: it would grow without bound.  Each batch anti-joins
-the snapshot, keeps a domain's first hit and writes the next version; the pointer remembers the batch, so a batch
-that is run again after a failure changes nothing.
+the snapshot, keeps a domain's first hit, qualifies it and upserts without demotions; the pointer remembers the batch, so a
+batch that is run again after a failure changes nothing.  Versions before the last few are removed.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators.dedupe import first_wins
-from siftwell.operators.qualify import Market, screen_hits
-from siftwell.operators.state import Snapshots
+from siftwell.operators.qualify import Market, qualify_hits, screen_hits
+from siftwell.operators.state import Snapshots, upsert, without_demotions
 
 HITS = "run_id string, pos int, link string, title string, snippet string, source string, ts timestamp"
 
@@ -28,14 +28,31 @@ def new_domains(hits: DataFrame, known: DataFrame, m: Market) -> DataFrame:
     return once.select("domain", F.when(F.col("keep"), "discovered").otherwise("failed").alias("status"), "reason")
 
 
-def harvest(hits: DataFrame, folder: str, m: Market, checkpoint: str):
+STATE = "domain string, status string, score int, tier string, reason string"
+
+
+def qualified(hits: DataFrame, pages: DataFrame | None, known: DataFrame, m: Market) -> DataFrame:
+    """The snapshot after a batch: new domains of the hits, vouched ones qualified at once, others by their page where pages
+    (url, html) has one; without pages they stay discovered.  Rejects that carry information are kept as failed."""
+    new = new_domains(hits, known, m).select("domain", "status", F.lit(0).alias("score"), F.lit("weak").alias("tier"), "reason")
+    provided = F.array(*map(F.lit, ("status", "score", "tier", "reason")))
+    rows = new.withColumn("seq", F.lit(0))
+    if pages is not None:
+        q = qualify_hits(hits, pages, known, m, ["ts", "pos"]).select("domain", "status", "score", "tier", F.array_join("reasons", ", ").alias("reason"), F.lit(1).alias("seq"))
+        rows = rows.unionByName(q)
+    updates = rows.withColumn("provided", provided)
+    return upsert(known, without_demotions(known, updates, "domain"), "domain", ["status", "score", "tier", "reason"])
+
+
+def harvest(hits: DataFrame, folder: str, m: Market, checkpoint: str, pages: DataFrame | None = None, keep_versions: int = 3):
     """Start the stream; returns the query.  Takes what has landed and stops (availableNow)."""
 
     def batch(df: DataFrame, number: int) -> None:
         store = Snapshots(df.sparkSession, folder)
         at = store.pointer()["version"]
-        known = store.read() if at >= 0 else df.sparkSession.createDataFrame([], "domain string, status string, reason string")
-        store.write(known.unionByName(new_domains(df, known, m)), batch=number)
+        known = store.read() if at >= 0 else df.sparkSession.createDataFrame([], STATE)
+        if store.write(qualified(df, pages, known, m), batch=number):
+            store.forget(keep_versions)
 
     return hits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
