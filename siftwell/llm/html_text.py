@@ -1,23 +1,27 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
-Every element has a hidden label, content or not.  A node's potential is log-linear in features of its
-tag, its class and id words, its text and its links; a parent-child potential couples the labels along
-each edge.  The graph is a tree, so one sum-product pass up and one down give exact marginals; text
-whose element is content with probability above one half is kept.
+Every element has a hidden label, content or not.  A node's potential is log-linear in features of its tag, its class
+and id words, and above all its text: how long it is, how much of it is linked, how many sentences and paragraphs stand in
+it, what share of the page it is and how alike its neighbours are.  A parent-child potential couples the labels along
+each edge.  The graph is a tree, so one sum-product pass up and one down give exact marginals; text whose element is
+content with probability above one half is kept.
 
-Weights are fitted by exact likelihood on labelled pages: the small ones in LABELLED (the attribute y gives
-a subtree's label) and up to TRAIN_PAGES pages of the table (those of smallest id hash; a documented bound)
-whose own landmarks label them.  Extraction reads every page whole, in one pass without a shuffle.
+Weights are fitted by exact likelihood on labelled pages (the attribute y gives a subtree's label): the small ones in
+LABELLED, MADE pages of made-up words by made_page(), with landmarks or neutral names alike, and up to TRAIN_PAGES pages
+of the table of at most TRAIN_CHARS characters (those of smallest id hash; documented bounds) whose own landmarks label
+them.  Extraction reads every page whole, in one pass without a shuffle.
 
 Null pages are empty, as are pages without content: the text is the empty string.  Broken markup is read
 as browsers do in the main: unclosed paragraphs and list items end with the next one, stray end tags are
-passed over, a page may stop anywhere.  Repeated rows are read each; an empty table gives no rows.
+passed over, a page may stop anywhere, a quote that is not closed ends with its tag.  Repeated rows are read each; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,7 +34,11 @@ from pyspark.sql import functions as F
 from siftwell.llm.runtime import hash_sample
 
 TRAIN_PAGES = 60
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+TRAIN_CHARS = 200_000
+MADE = 60
+# a tag ends at the first '>' outside quotes; where quotes do not close before the next tag, at the first '>'
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+|[^>]*+)>", re.S | re.I)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea")}
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LABEL = re.compile(r"\by=([01])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,7 +63,7 @@ _WORDS = [  # kinds of class, id and role words
     re.compile(r"(?<![a-z])(?:share|social|follow|newsletter|subscri\w*|sign-?up|log-?in|search|form|contact|donate)(?![a-z])"),
     re.compile(r"(?<![a-z])(?:article\w*|content|main|post|entry|story|body|text|prose)(?![a-z])"),
 ]
-N_FEATURES = 1 + len(_GROUPS) + 1 + len(_WORDS) + 11
+N_FEATURES = 1 + len(_GROUPS) + 1 + len(_WORDS) + 26
 _OFF = frozenset("nav header footer aside form button select dialog head".split())
 _ON = frozenset(["article", "main"])
 
@@ -70,6 +78,10 @@ class Node:
     marks: int = 0  #: sentence marks in it
     total: int = 0  #: with descendants
     linked: int = 0
+    sentences: int = 0  #: sentence marks with descendants
+    paragraphs: int = 0  #: p elements of some length below
+    controls: int = 0  #: form controls below
+    links: int = 0  #: links below
     children: list[int] = field(default_factory=list)
 
 
@@ -91,10 +103,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
             n.own += len(text.strip())
             n.marks += text.count(".") + text.count(",") + text.count("!") + text.count("?")
 
-    at = 0
-    for m in _TAG.finditer(page):
+    at, found, last = 0, {}, page.rfind(">") + 1  # what comes after it holds no tag
+    while m := _TAG.search(page, at, last):
         add_text(page[at : m.start()])
         at = m.end()
+        if at == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+            at = len(page)
+        if m[1]:  # raw text: on to its end tag, looked for once more only where the last one found lies behind
+            t = m[1].lower()
+            if found.get(t, 0) is not None and found.get(t, -1) < at:
+                e = _RAW_END[t].search(page, at)
+                found[t] = e.end() if e else None
+            at = found[t] if found[t] is not None else len(page)
+            continue
         tag = m[3]
         if not tag:
             continue
@@ -140,18 +161,29 @@ def node_features(nodes: list[Node]) -> np.ndarray:
     for i in range(len(nodes) - 1, -1, -1):
         n = nodes[i]
         n.total += n.own
+        n.sentences += n.marks
         if n.tag == "a":
             n.linked = n.total
+            n.links += 1
+        n.controls += n.tag in _CONTROLS
+        n.paragraphs += n.tag == "p" and n.total > 60
         if i:
             p = nodes[n.parent]
             p.total += n.total
             p.linked += n.linked
+            p.sentences += n.sentences
+            p.paragraphs += n.paragraphs
+            p.controls += n.controls
+            p.links += n.links
+    whole = max(nodes[0].total, 1)
+    alike = _alike(nodes)
     x = np.zeros((len(nodes), N_FEATURES))
     x[:, 0] = 1
     words = 1 + len(_GROUPS) + 1
     base = words + len(_WORDS)
     kinds: dict[str, list[int]] = {"": []}
     state: list[tuple] = []
+    seen = 0
     for i, n in enumerate(nodes):
         x[i, 1 + _GROUP.get(n.tag, len(_GROUPS))] = 1
         if n.names not in kinds:
@@ -175,9 +207,46 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         x[i, base + 4] = own > 80
         x[i, base + 5] = 0 < own < 25
         x[i, base + 6] = total == 0
+        share = total / whole
+        above = nodes[n.parent].total if i else whole
+        x[i, base + 11] = share
+        x[i, base + 12] = total / above if above else 0
+        x[i, base + 13] = min(n.paragraphs, 6) / 6
+        x[i, base + 14] = min(10 * n.sentences / total, 2) if total else 0
+        x[i, base + 15] = min(n.controls, 3) / 3
+        x[i, base + 16] = min(n.links / (1 + total / 50), 2)
+        x[i, base + 17] = alike[i]
+        x[i, base + 18] = alike[i] and total < 400
+        x[i, base + 19] = seen / whole
+        x[i, base + 20] = seen / whole > 0.85
+        x[i, base + 21] = total > 250 and n.linked < 0.2 * total and n.paragraphs > 1
+        x[i, base + 22] = outside and total > 60 and n.linked < 0.2 * total and n.sentences > 0
+        x[i, base + 23] = inside and off
+        x[i, base + 24] = inside and off and (n.linked > 0.4 * total or n.controls > 0)
+        x[i, base + 25] = inside and off and total > 60 and n.linked < 0.1 * total and n.sentences > 1
+        seen += n.own
     return x
 
 
+_CONTROLS = frozenset("input button select textarea".split())
+
+
+def _alike(nodes: list[Node]) -> list[bool]:
+    """Elements (not paragraphs) that two neighbours or more are like in tag and names, as comments and teasers are."""
+    out = [False] * len(nodes)
+    for p in nodes:
+        if len(p.children) > 2:
+            count: dict[tuple[str, str], int] = {}
+            for c in p.children:
+                k = (nodes[c].tag, nodes[c].names)
+                count[k] = count.get(k, 0) + 1
+            for c in p.children:
+                out[c] = count[nodes[c].tag, nodes[c].names] > 2 and nodes[c].tag in ("div", "li", "article", "section")
+    for i in range(1, len(nodes)):
+        out[i] = out[i] or out[nodes[i].parent]
+    return out
+
+
 def marginals(unary: np.ndarray, nodes: list[Node], pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(content) of every node, and the expected label pairs (parent, child) summed over edges: sum-product up and down."""
     (t00, t01), (t10, t11) = np.exp(pair).tolist()
@@ -253,17 +322,96 @@ def landmark_labels(nodes: list[Node]) -> np.ndarray | None:
     return y
 
 
-def fit(pages: list[str], steps: int = 200, rate: float = 0.1, decay: float = 0.0005) -> Model:
+_NAME_POOLS = {
+    "content": ["content", "article-body", "post-content", "story", "entry", "main-text"],
+    "neutral": ["wrap", "col-8", "x1", "c-2", "block", "inner", "row", "grid-b", "u-box", "page", "left", "z9", ""],
+    "part": ["message", "more-details", "lead", "notice-board", "section", "part-2", "related-work", "intro", "note", "popular-view", "chapter", ""],
+    "remarks": ["comments", "user-remarks", "responses", "thread", "opinions", "voices", "reader-letters", "feedback", "discussion", "x7", ""],
+    "menu": ["menu", "nav", "topbar", "links", "bar", "m1", ""],
+    "side": ["sidebar", "widget", "related", "right", "col-4", "extras", ""],
+    "foot": ["footer", "bottom", "legal", "imprint", "end", ""],
+    "ad": ["ad", "advert", "promo", "sponsored", "box", "banner", "teaser", ""],
+    "notice": ["cookie", "consent", "notice", "alert", "bar-2", "overlay", ""],
+}
+
+
+def made_page(seed: int) -> str:
+    """A labelled page of made-up words: an article amid menus, notices, adverts, sidebars, forms, footers and remarks, whose
+    elements carry telling names, neutral ones or none."""
+    r = random.Random(seed)
+    part = ["an", "ter", "lo", "mi", "sho", "ve", "ri", "ka", "un", "do", "est", "pa", "ne", "so"]
+    word = lambda: "".join(r.choice(part) for _ in range(r.randint(1, 4)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    sentence = lambda: words(r.randint(3, 16)).capitalize() + r.choice([".", ".", ".", ", " + words(4) + ".", "!", "?"])
+    prose = lambda n: " ".join(sentence() for _ in range(n))
+    bare = r.random() < 0.35  # no telling names on this page
+    if seed % 6 == 5:  # a few paragraphs in a plain element, and next to nothing else
+        text = "".join(f"<p>{prose(r.randint(1, 4))}</p>" for _ in range(r.randint(1, 4)))
+        menu = r.choice([f'<div class=menu><a href="/">{words(1)}</a></div>', f'<div><a href="/">{words(1)}</a> <a href="/b">{words(2)}</a></div>', ""])
+        return f'<body>{menu}<div class="{r.choice(_NAME_POOLS["neutral"])}" y=1>{text}</div>{r.choice(["<div>{}</div>", "<p>{}</p>", "<footer>{}</footer>"]).format(words(r.randint(1, 4)).capitalize())}</body>'
+
+    def tag(name: str, pool: str, inner: str, y: int | None = None, key: str = "class") -> str:
+        c = r.choice(_NAME_POOLS["neutral"] if bare or r.random() < 0.2 else _NAME_POOLS[pool])
+        return f"<{name}" + (f' {key}="{c}"' if c else "") + (f" y={y}" if y is not None else "") + f">{inner}</{name}>"
+
+    links = lambda n: "".join(r.choice(["<li>{}</li>", "{} ", "{} | "]).format(f'<a href="/{word()}">{words(r.randint(1, 3)).capitalize()}</a>') for _ in range(n))
+    html_tag = lambda plain, landmark: plain if bare or r.random() < 0.5 else landmark
+    menu = tag(html_tag("div", "nav"), "menu", f"<ul>{links(r.randint(2, 8))}</ul>" if r.random() < 0.6 else links(r.randint(2, 8)))
+    head = tag(html_tag("div", "header"), "menu", r.choice([f"<a href=/>{words(2)}</a>", f"<h1>{words(2).capitalize()}</h1><p>{words(4)}</p>", words(2)]) + (menu if r.random() < 0.5 else ""))
+    advert = lambda: tag("div", "ad", r.choice([f"<p>{prose(1)}</p>", prose(1), f'<a href="/{word()}">{prose(1)}</a>', f"{words(3)}! <a href=/b>{words(2)}</a>"]), 0)
+    share = lambda: tag("div", "side", links(r.randint(2, 4)), 0)
+    form = lambda: tag("form", "side", f"<p>{prose(1)}</p><label>{words(1)}</label><input><button>{words(1)}</button>", 0)
+    teasers = lambda: tag(html_tag("div", "aside"), "side", f"<h3>{words(2).capitalize()}</h3><ul>" + "".join(f'<li><a href="/{word()}">{words(r.randint(3, 9)).capitalize()}</a></li>' for _ in range(r.randint(2, 6))) + "</ul>", 0)
+
+    def body() -> str:
+        out = [f"<h1>{words(r.randint(2, 7)).capitalize()}</h1>"] if r.random() < 0.8 else []
+        for _ in range(r.randint(1, 8)):
+            k = r.random()
+            if k < 0.14:
+                inner = r.choice([words(1).capitalize(), words(2) + ".", f"<b>{words(3).capitalize()}.</b>", sentence()])
+                out.append(f"<p>{inner}</p>" if r.random() < 0.7 else tag("p", "part", inner))
+            elif k < 0.6:
+                inner = prose(r.randint(1, 5)) + (f' <a href="/{word()}">{words(2)}</a> {sentence()}' if r.random() < 0.2 else "")
+                out.append(f"<p>{inner}</p>" if bare or r.random() < 0.85 else tag("p", "part", inner))
+            elif k < 0.68:
+                out.append(f"<h2>{words(r.randint(1, 5)).capitalize()}</h2><p>{prose(2)}</p>")
+            elif k < 0.74:
+                out.append("<ul>" + "".join(f"<li>{sentence() if r.random() < 0.5 else words(4)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+            elif k < 0.79:
+                out.append(r.choice([f"<blockquote>{prose(2)}</blockquote>", f"<table><tr><td>{words(1)}</td><td>{words(4)}</td></tr></table>", f"<figure><figcaption>{sentence()}</figcaption></figure>", f"<pre>{words(6)}</pre>"]))
+            elif k < 0.88:
+                out.append(tag(r.choice(["div", "section"]), "part", f"<p>{prose(r.randint(1, 4))}</p>" * r.randint(1, 2)))
+            else:
+                out.append(r.choice([advert, share, form, teasers, advert])())
+        return "".join(out)
+
+    def remarks() -> str:
+        kind, name = r.choice(["div", "li", "article"]), "" if bare else r.choice(["comment", "reply", "item", "x"])
+        one = lambda: f'<{kind} class="{name}">' + r.choice(["<b>{}</b>", '<a href="/u">{}</a>', "<span>{}</span>"]).format(words(1).capitalize()) + f"<p>{prose(r.randint(1, 3))}</p>" + r.choice(["", f"<a href=#r>{words(1)}</a>"]) + f"</{kind}>"
+        return tag("section" if r.random() < 0.6 else "div", "remarks", (f"<h2>{words(1).capitalize()}</h2>" if r.random() < 0.7 else "") + "".join(one() for _ in range(r.randint(1 if not bare else 3, 7))), 0, r.choice(["class", "id"]))
+
+    content = tag(html_tag("div", r.choice(["article", "article", "main", "section"])), "content", body(), 1)
+    side = tag(html_tag("div", "aside"), "side", r.choice([teasers, lambda: f"<h3>{words(2)}</h3><p>{prose(1)}</p>", share])())
+    foot = tag(html_tag("div", "footer"), "foot", r.choice([f"&copy; {words(3)}. {words(4).capitalize()}.", f"<p>{prose(1)}</p>{links(3)}", links(4)]))
+    notice = tag("div", "notice", r.choice([f"<p>{prose(2)}</p><button>{words(1)}</button>", prose(1) + f" <a href=/p>{words(1)}</a>"]))
+    middle = content + (remarks() if r.random() < 0.5 else "")
+    if r.random() < 0.5:
+        middle = tag("div", "neutral", middle)
+    rows = [notice if r.random() < 0.4 else "", head, menu if r.random() < 0.6 else "", advert() if r.random() < 0.3 else "", middle, side if r.random() < 0.5 else "", form() if r.random() < 0.2 else "", foot]
+    return f"<html><head><title>{words(4)}</title></head><body>{''.join(rows)}</body></html>"
+
+
+def fit(pages: list[str], steps: int = 150, rate: float = 0.1, decay: float = 0.0005, made: int = MADE) -> Model:
     """Gradient ascent on the likelihood of the labelled pages; pages: further pages with landmarks."""
     train = []
-    for page in LABELLED:
+    for page, weight in [*((p, 2.0) for p in LABELLED), *((made_page(i), 1.0) for i in range(made))]:
         nodes, _ = parse(page)
-        train.append((node_features(nodes), nodes, _inherit(nodes), 4.0))
+        train.append((node_features(nodes), nodes, _inherit(nodes), weight))
     for page in pages:
         nodes, _ = parse(page)
         y = landmark_labels(nodes)
         if y is not None:
-            train.append((node_features(nodes), nodes, y, 1.0))
+            train.append((node_features(nodes), nodes, y, 0.3))
     total = sum(w * len(nodes) for _, nodes, _, w in train)
     w, pair = np.zeros(N_FEATURES), np.zeros((2, 2))
     m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
@@ -284,8 +432,9 @@ def fit(pages: list[str], steps: int = 200, rate: float = 0.1, decay: float = 0.
 
 def extract(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    ids = [r["page_id"] for r in hash_sample(pages.where("html is not null and page_id is not null").select("page_id"), "page_id", train_pages).collect()]
-    sample = pages.where(F.col("page_id").isin(ids) & F.col("html").isNotNull()).select("page_id", "html").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()  # train_pages rows at most
+    short = pages.where(F.col("page_id").isNotNull() & (F.length("html") <= TRAIN_CHARS))
+    ids = [r["page_id"] for r in hash_sample(short.select("page_id"), "page_id", train_pages).collect()]
+    sample = short.where(F.col("page_id").isin(ids)).select("page_id", "html").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()  # train_pages rows of TRAIN_CHARS characters at most
     model = pages.sparkSession.sparkContext.broadcast(fit([r["html"] for r in sample]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

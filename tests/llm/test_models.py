@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -188,6 +189,63 @@ def test_html_without_an_article_element():
     assert m.extract(page) == " ".join(f"Sentence number {i}, which says a thing or two about the town." for i in range(5))
 
 
+def measured(model, pages):
+    """Precision and recall over words of labelled pages."""
+    both = kept = want = 0
+    for page in pages:
+        nodes, texts = html_text.parse(page)
+        y, (prob, _) = html_text._inherit(nodes), html_text.marginals(html_text.node_features(nodes) @ model.weight, nodes, model.pair)
+        for node, _, text in texts:
+            n, got = len(text.split()), prob[node] > 0.5
+            both, kept, want = both + n * (got and y[node] == 1), kept + n * got, want + n * (y[node] == 1)
+    return both / kept, both / want
+
+
+@pytest.fixture(scope="module")
+def page_model(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null").orderBy("page_id").limit(60).collect()]
+    return html_text.fit(pages)
+
+
+def test_html_on_made_pages_that_it_was_not_fitted_to(page_model):
+    for model in (page_model, html_text.fit([])):
+        assert min(measured(model, [html_text.made_page(5000 + i) for i in range(120)])) > 0.9
+
+
+def test_html_on_pages_with_landmarks(spark, page_model):
+    """Against the article element of each page, its notices and the like left out."""
+    both = kept = want = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null").orderBy("page_id").limit(200).collect():
+        nodes, texts = html_text.parse(r["html"])
+        y = html_text.landmark_labels(nodes)
+        if y is None:
+            continue
+        true = collections.Counter(w for node, _, t in texts if y[node] for w in t.split())
+        got = collections.Counter(page_model.extract(r["html"]).split())
+        both, kept, want = both + (true & got).total(), kept + got.total(), want + true.total()
+    assert both / kept > 0.9 and both / want > 0.9
+
+
+def test_html_with_neutral_and_misleading_names(page_model):
+    p = "The council met on Tuesday evening, and it talked about the bridge for two hours. Nobody knew what it would cost in the end, but all agreed that it was needed."
+    remark = '<div class="item"><b>{}</b><p>I like it, and so does my friend.</p></div>'
+    assert page_model.extract(f"<body><div class=menu><a href=/>Home</a></div><div class='x1'><p>{p}</p><p>{p}</p></div><div>Imprint</div></body>") == f"{p} {p}"
+    page = f"<article><h1>T</h1><p class=message>{p}</p><section class=more-details><p>{p}</p></section></article><div class=user-remarks>{remark.format('Ann')}{remark.format('Bob')}{remark.format('Cy')}</div>"
+    assert page_model.extract(page) == f"T {p} {p}"
+
+
+@pytest.mark.parametrize("page", ["<a href=\"x" * 100_000, "<p class='a" + "<b \"'" * 200_000, "<script>" * 125_000, "<!-- " * 200_000, "<p>" + "'\"" * 500_000 + "</p>", "<" * 1_000_000])
+def test_hostile_pages_are_read_in_linear_time(page):
+    began = time.time()
+    html_text.parse(page)
+    assert time.time() - began < 3  # a megabyte
+
+
+def test_unclosed_quotes_and_comments():
+    text = lambda page: "".join(t for _, _, t in html_text.parse(page)[1])
+    assert text('<p class="a>one</p><p>two</p>') == "onetwo" and text("a<!-- b > c") == "a" and text("a<script>b</p>") == "a" and text("<p title='>'>x</p>y<style>.a{}</style>z<style>") == "xyz"
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(4)
     nodes = [html_text.Node("a", -1), *[html_text.Node("a", int(rng.integers(0, i))) for i in range(1, 7)]]
