@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.ngram_join import _pack40, _unpack40
-from siftwell.llm.runtime import block_count, materialize
+from siftwell.llm.runtime import block_count, materialize, release_memory
 from siftwell.llm.textkit import _BYTE, _LOWER, _SPACE, U64, _power_tables, _string_buffers, mix64
 
 ORDER = 4
@@ -50,7 +50,7 @@ ANCHOR = 4
 HOLD_OUT = 10
 PIECE_DOCS = 4_000
 PIECE_BYTES = 5 << 19
-HASH_BLOCK_BYTES = 8 << 20
+HASH_BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 19
 START, END = 0xFF, 0xFE  # bytes that UTF-8 never uses
 SYMBOLS = 255  # that can be predicted: all but START
@@ -151,6 +151,8 @@ def _write_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
             serial += 1
             i = j
+        del data, offsets, batch
+        release_memory()
 
 
 def _read_piece(docs: bytes, size: int, text: bytes) -> tuple[np.ndarray, Parts]:
@@ -235,8 +237,11 @@ def _ask(n_blocks: int):
                     k, x, w = ko[kc[b] : kc[b + 1]], lo[lc[b] : lc[b + 1]], wo[wc[b] : wc[b + 1]]
                     if len(k) or len(x) or len(w):
                         out.append((b, block, _pack40(key[k]), key_count[k].tobytes(), _pack40(long[x] & _LOW40), unit[x].tobytes(), unit_count[x].tobytes(), _pack40(word[w] & _LOW40), word_count[w].tobytes()))
+                del key, key_count, word, word_count, long, unit, unit_count, ko, lo, wo
                 for i in range(0, len(out), 64):
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out[i : i + 64]], f.type) for c, f in enumerate(_ASK)], schema=_ASK)
+                del out
+                release_memory()
 
     return run
 
@@ -282,8 +287,12 @@ def _answer(table: pa.Table) -> pa.Table:
         k, x, w = slice(kb[r], kb[r + 1]), slice(lb[r], lb[r + 1]), slice(wb[r], wb[r + 1])
         mine = cost[k]
         out.append((block, to, mine.astype("<f4").tobytes(), _pack40(key[k][np.isnan(mine)]), unit[x].tobytes(), times[x].tobytes(), counts[w].tobytes(), None, None, None, None))
+    del cost, key, long, word, at, la, wa, counts, times, unit
     out.append((None, to, None, None, None, None, None, seen.tobytes(), seen_count.tobytes(), int(total.sum()), int((total > 0).sum())))
-    return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_TOLD)], schema=_TOLD)
+    told = pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_TOLD)], schema=_TOLD)
+    del out
+    release_memory()
+    return told
 
 
 def _rows_of(columns: str, kinds: dict):
@@ -372,6 +381,8 @@ def _sum_up(n_blocks: int):
             pa.array(d[:, 0], mask=d[:, 2] != 0), pa.array(d[:, 1] != 0), pa.array(words + 1), pa.array(np.bincount(p.word_doc, c > 0, n).astype(np.int64)),
             pa.array(np.bincount(p.word_doc, np.log10(c + 0.1), n)), pa.array(score),
         ]
+        del p, symbol, sums, cost, key, key_at, word_at, c, told
+        release_memory()
         return pa.Table.from_arrays(cols, schema=_DOC)
 
     return run

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import sys
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,3 +42,10 @@ def hash_sample(df: DataFrame, id_col: str, rows: int, seed: int = 0) -> DataFra
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 31))
     near = df.where(place < F.lit(min(1 << 31, (2 * rows + 100) * (1 << 31) // n)))
     return near.orderBy(place, id_col).limit(rows)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker stays for later tasks, and what it holds counts for its executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
