@@ -5,9 +5,16 @@ and for every pivot p the triangle inequality gives d(q, c) >= |d(q, p) - d(c, p
 over a table of precomputed pivot distances bounds q.c from above.  Candidates are evaluated in the order
 of their bounds until the next bound is below the k-th score found: what is left out cannot enter.
 
+A query's threshold comes first: its k-th score among SAMPLE candidates of smallest id hash (broadcast, bounded by that
+parameter), or less if there are fewer.  No candidate whose bound is below it is evaluated anywhere.
+
 Candidates and queries are packed into blocks of bounded size; a block of queries meets a block of
-candidates in one group of a grid (row block, query block), so memory does not depend on the table.  Each
-group keeps its k best per query; a window over those rows takes the k best of all.
+candidates in one group of a grid (row block, query block), so memory does not depend on the table and a vector is sent
+once per QUERY_BLOCK queries or ROW_BLOCK candidates.  Each group keeps its k best per query that reach the threshold; a
+window over those rows takes the k best of all.
+
+Scores are 64 bits wide: where the longest query and candidate could give a product beyond that, an OverflowError is
+raised before any is taken.
 
 Vectors that are null or hold null or non-finite components take no part.  A shorter vector counts as
 padded with zeros.  A row is not its own query's candidate (nor another row of the same id); null ids take
@@ -29,9 +36,11 @@ K = 10
 SCALE = 1024
 PIVOTS = 48
 ROW_BLOCK = 16_384
-QUERY_BLOCK = 1_024
+QUERY_BLOCK = 8_192
+SAMPLE = 2_048
 STEP = 512
 
+_NONE = np.iinfo(np.int64).min
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -52,8 +61,18 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0))
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score) of the k best candidates of a block for each query."""
+def kth_scores(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th score among the candidates but itself; the least 64-bit value where there are fewer."""
+    out = np.full(len(q), _NONE, np.int64)
+    for i in range(len(q)):
+        scores = (c @ q[i])[c_ids != q_ids[i]]
+        if len(scores) >= k:
+            out[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
+    return out
+
+
+def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int, least: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(query id, candidate id, score) of the k best candidates of a block for each query, none below its least score."""
     dq, dc = _distances(q, pivots), _distances(c, pivots)
     nq, nc = (q.astype(np.float64) ** 2).sum(1), (c.astype(np.float64) ** 2).sum(1)
     dc_t = np.ascontiguousarray(dc.T)
@@ -65,8 +84,9 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         # rounding slack, so that a bound is never below the true product
         bound = (nq[i] + nc - low**2) / 2 + 1e-6 * (nq[i] + nc) + 1e-6
         bound[c_ids == q_ids[i]] = -np.inf
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int((bound > -np.inf).sum())]
+        floor = _NONE if least is None else least[i]
+        order = np.flatnonzero((bound > -np.inf) & (bound >= floor))
+        order = order[np.argsort(-bound[order], kind="stable")]
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for at in range(0, len(order), STEP):
             if len(scores) >= k and bound[order[at]] < scores[k - 1]:
@@ -75,7 +95,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
             ids, scores = np.append(ids, c_ids[take]), np.append(scores, c[take] @ q[i])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
-        out += [(int(q_ids[i]), int(a), int(s)) for a, s in zip(ids, scores, strict=True)]
+        out += [(int(q_ids[i]), int(a), int(s)) for a, s in zip(ids, scores, strict=True) if s >= floor]
     return out
 
 
@@ -89,8 +109,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
 
     rows = materialize(whole(vectors), "vectors")
     asked = materialize(whole(queries), "queries")
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
-    asked_n, asked_w = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w"), F.max(square).alias("longest")).first()
+    asked_n, asked_w, asked_longest = asked.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
+    if (facts["longest"] or 0) * (asked_longest or 0) >= 2.0**126:
+        raise OverflowError("inner products of these vectors do not fit into 64 bits")
     width = max(facts["w"] or 1, asked_w or 1)
     row_blocks, query_blocks = -(-facts["n"] // ROW_BLOCK) or 1, -(-asked_n // QUERY_BLOCK) or 1
     picked = hash_sample(rows, "id", PIVOTS, 7).collect()  # at most PIVOTS rows
@@ -98,12 +121,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     for i, r in enumerate(picked):
         pivots[i, : len(r["v"])] = r["v"]
 
+    near = hash_sample(rows, "id", SAMPLE, 11).collect()  # at most SAMPLE rows
+    sample = np.zeros((len(near), width), np.int64)
+    for i, r in enumerate(near):
+        sample[i, : len(r["v"])] = r["v"]
+    held = vectors.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in near], np.int64), sample))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, v = b.column("id"), b.column("v")
+            least = kth_scores(ids.to_numpy(), _matrix(v, width), *held.value, k) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([ids, v, pa.array(least)], ["id", "v", "least"])
+
+    asked = materialize(asked.mapInArrow(settle, "id long, v array<long>, least long"), "thresholds")
+
     def meet(c: pa.Table, q: pa.Table) -> pa.Table:
         if not c.num_rows or not q.num_rows:
             return _OUT.empty_table()
         c, q = c.combine_chunks(), q.combine_chunks()
         one = lambda t: (t.column("id").to_numpy(), _matrix(t.column("v").combine_chunks(), width))
-        found = search_block(*one(q), *one(c), pivots, k)
+        found = search_block(*one(q), *one(c), pivots, k, q.column("least").to_numpy())
         return pa.Table.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], schema=_OUT)
 
     block = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n)).cast("int")

@@ -109,3 +109,26 @@ def test_padding_is_small(spark, sf):
     r = packing.pack(spark.read.parquet(f"{sf}/documents.parquet")).groupBy("sequence_id").sum("length").collect()
     sizes = [x["sum(length)"] for x in r]
     assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in sizes) < 0.03 * sum(sizes)
+
+
+def test_products_beyond_64_bits_are_refused(spark):
+    big = spark.createDataFrame([(1, [1e15, 1e15]), (2, [1e15, 3.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk.top_k(big, big)
+    fits = spark.createDataFrame([(1, [2e6, -1.0]), (2, [1e6, 3.5]), (3, [0.0, 1e6])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(fits, fits).collect()}
+    assert got[1, 2] == 2_048_000_000 * 1_024_000_000 - 1024 * 3584 and got[3, 1] == -1024 * 1_024_000_000
+
+
+def test_thresholds_lose_nothing(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) * (1 + i % 3)).round(2).tolist()) for i in range(400)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = np.array([np.floor(np.array(x) * 1024).astype(np.int64) for _, x in rows])
+    got = {}
+    for r in topk.top_k(v, v.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for i in range(0, 400, 20):
+        scores = whole @ whole[i]
+        want = sorted((-int(scores[j]), j) for j in range(400) if j != i)[:10]
+        assert sorted(got[i]) == [(n + 1, j, -x) for n, (x, j) in enumerate(want)]
