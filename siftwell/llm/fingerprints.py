@@ -71,7 +71,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and class_id (smallest doc_id reachable by links) of documents that have a near duplicate.
+    """doc_id and class_id (smallest doc_id reachable by links) of documents that have a near duplicate.  Rows that share
+    an id and hold different texts are documents of their own: such an id comes back once per class that it lies in.
 
     Bands of signatures are joined on their value (see link_in_rounds); a pair's Jaccard similarity is taken
     exactly on the shingle sets of its texts.
@@ -97,12 +98,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
             both = [(len(np.intersect1d(a[i], c[i], assume_unique=True)), len(a[i]) + len(c[i])) for i in range(b.num_rows)]
             yield b.select(["a", "b"]).filter(pa.array([100 * x >= percent * (n - x) for x, n in both], pa.bool_()))
 
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    slim = slim.dropDuplicates(["doc"])
-    held = materialize(slim.mapInArrow(run, "node long, bucket long"), "bands")
-    text = lambda x: slim.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}"))
+    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    slim = slim.select(F.xxhash64("doc", "text").alias("node"), "doc", "text").dropDuplicates(["node"])
+    held = materialize(slim.select("node", "text").mapInArrow(run, "node long, bucket long"), "bands")
+    text = lambda x: slim.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
     verify = lambda pairs: pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
-    return link_in_rounds(held, verify).selectExpr("node as doc_id", "component as class_id")
+    linked = link_in_rounds(held, verify).join(slim.select("node", "doc"), "node")
+    least = linked.groupBy("component").agg(F.min("doc").alias("class_id"))
+    return linked.join(least, "component").select(F.col("doc").alias("doc_id"), "class_id").distinct()
 
 
 def _splits(ids: DataFrame, n: int) -> list[int]:

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
+#: how ByteLevel cuts text; files that cut it otherwise are refused
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -37,6 +38,9 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         chars = _byte_characters()
+        pre = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+            raise ValueError(f"{path}: not a byte-level BPE file that cuts text by the usual pattern")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

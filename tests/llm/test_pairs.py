@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from siftwell.llm import components, fingerprints, ngram_join, substring_dedup, textkit
 from tests.compare import connect, same
+from tests.llm.cases import A as A_TEXT
 from tests.llm.cases import TEXTS, base_text, docs, empty, shingles
 
 
@@ -202,3 +203,38 @@ def test_rows_that_share_an_id_and_hold_different_texts(spark):
     assert sorted((r["doc_id"], r["n_words"], r["component_id"], r["kept"]) for r in spans) == [(1, 60, 1, True), (1, 70, 1, True), (2, 60, 1, False), (2, 70, 1, False), (3, 60, 1, False), (3, 60, 1, False)]
     out = sorted((r["doc_id"], r["text"] or "") for r in substring_dedup.remove_repeats(d).collect())
     assert out == sorted([(1, own(0) + "\n" + p), (1, "short"), (1, texts[2][1]), (2, "x\ny"), (2, own(3)), (2, ""), (2, " "), (3, own(4)), (3, own(4))])
+
+
+def test_minhash_against_plain_code():
+    for t in [A_TEXT, "one two", "", "é ü ñ 日本 語 x y"]:
+        (_, grams), *_ = textkit.shingle_sets(pa.array([t]))
+        plain = [min((((int(a) * int(x) + int(b)) % (1 << 64)) >> 32 for x in grams), default=fingerprints.EMPTY) for a, b in zip(fingerprints._A, fingerprints._B)]
+        assert fingerprints.minhash(grams).tolist() == plain and fingerprints.signatures(pa.array([t]))[0].tolist() == plain
+
+
+def test_recall_of_the_band_join(spark, sf):
+    """Against the exact join on the same table."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    exact = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicate_components(d).where("n_shingles > 0").collect()}
+    size = {}
+    for c in exact.values():
+        size[c] = size.get(c, 0) + 1
+    want = {i: c for i, c in exact.items() if size[c] > 1}
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_duplicates(d).collect()}
+    assert set(got) <= set(want) and sum(got.get(i) == c for i, c in want.items()) >= 0.99 * len(want)
+
+
+def test_band_join_of_rows_that_share_an_id(spark):
+    a, b = base_text(60, 3), base_text(60, 4)
+    got = fingerprints.near_duplicates(docs(spark, [(1, a), (1, b), (2, b + " x"), (3, a), (9, None), (9, "")])).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_recall_of_repeated_lines(spark, sf):
+    """Lines of documents whose shingle sets are near, by brute force, against the clusters found."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text is not null").collect()
+    lines = [(r["doc_id"], shingles(x)) for r in rows for x in r["text"].split("\n") if len(x.split()) >= substring_dedup.MIN_WORDS]
+    near = {(min(i, j), max(i, j)) for n, (i, a) in enumerate(lines) for j, b in lines[:n] if i != j and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)}
+    found = {r["doc_id"] for r in substring_dedup.repeats(spark.read.parquet(f"{sf}/documents.parquet")).where("kind = 'line'").collect()}
+    held = [i for pair in near for i in pair]
+    assert sum(i in found for i in held) >= 0.99 * len(held)
