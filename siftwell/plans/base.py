@@ -38,16 +38,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Result rows: a page's URL with a document's first line as title and its text as snippet."""
+    """Result rows, one a document: its first line as title, its text as snippet and the URL of a page, dealt in turn."""
     p, d = table(spark, sf, "pages"), table(spark, sf, "documents")
-    return p.join(d, p["page_id"] == d["doc_id"]).select(
-        F.col("page_id").alias("pos"), F.col("url").alias("link"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("text").alias("snippet"), F.col("lang").alias("run"),
+    return d.join(p, d["doc_id"] % p.count() == p["page_id"]).select(
+        F.col("doc_id").alias("pos"), F.col("url").alias("link"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("text").alias("snippet"), F.col("lang").alias("run"),
         F.when(F.col("source") == "src1", "ai_overview").when(F.col("source") == "src2", "local_pack").otherwise("web").alias("source"), "html",
     )
 
 
-HITS = """hits as (select p.page_id as pos, p.url as link, split_part(d.text, chr(10), 1) as title, d.text as snippet, d.lang as run,
-  case d.source when 'src1' then 'ai_overview' when 'src2' then 'local_pack' else 'web' end as source, p.html from pages p join documents d on p.page_id = d.doc_id)"""
+HITS = """hits as (select d.doc_id as pos, p.url as link, split_part(d.text, chr(10), 1) as title, d.text as snippet, d.lang as run,
+  case d.source when 'src1' then 'ai_overview' when 'src2' then 'local_pack' else 'web' end as source, p.html from documents d join pages p on p.page_id = d.doc_id % (select count(*) from pages))"""
 
 
 def sql_domain(c: str) -> str:
