@@ -45,3 +45,19 @@ def test_event_counts_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("live").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_harvest_qualifies_and_does_not_demote(spark, tmp_path):
+    m, folder = Market(keywords=["translation", "language", "interpreter"]), tmp_path / "hits"
+    page = "<title>A</title>" + "translation and interpreter services in every language, since long ago. " * 3
+    pages = spark.createDataFrame([("https://a.com/1", page)], "url string, html string")
+    write(folder, "1.json", [("r", 0, "https://a.com/1", "A", "translation agency", "web"), ("r", 1, "https://d.com", "D", "x", "local_pack"), ("r", 2, "https://e.com", "E", "x", "web")], 1)
+
+    def run():
+        harvest.harvest(harvest.read_hits(spark, str(folder)), str(tmp_path / "state"), m, str(tmp_path / "cp"), pages).awaitTermination()
+        return {r["domain"]: (r["status"], r["score"]) for r in Snapshots(spark, str(tmp_path / "state")).read().collect()}
+
+    first = run()
+    assert first["d.com"] == ("qualified", 70) and first["a.com"][0] == "qualified" and first["e.com"] == ("unreachable", 0)
+    write(folder, "2.json", [("r", 0, "https://a.com/1", "Login", "x", "web"), ("r", 1, "https://f.com", "F", "x", "ai_overview")], 2)
+    assert run() == first | {"f.com": ("qualified", 70)}
