@@ -70,7 +70,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 _SENT = "to long, kind int, ids binary, keys binary, hashes binary"
 _SENT_ARROW = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("hashes", pa.binary())])
-_LINE, _SEED, _BAND, _RUN = 0, 1, 2, 3
+_LINE, _SEED, _BAND, _RUN, _OTHER = 0, 1, 2, 3, 4
 
 
 def _first_only(hashes: np.ndarray, order_by: np.ndarray) -> np.ndarray:
@@ -94,21 +94,23 @@ def _send(n_blocks: int):
 
 def _send_piece(piece: pa.RecordBatch, n_blocks: int) -> Iterator[pa.RecordBatch]:
     ids, tags = (piece.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
-    line_doc, line_no, line_key, line_band = [], [], [], []
+    line_doc, line_no, line_key = [], [], []
     run_doc, run_at, run_hash = [], [], []
     known: dict[int, np.ndarray] = {}
+    read: dict[int, int] = {}  # set of each line by the line's own hash
     for s in word_slices(piece.column(1)):
         grams = shingle_hashes(s.hashes)
         first, last, doc = lines(s)
         number = np.arange(len(first)) - np.searchsorted(first, s.word_from[:-1])[doc] if len(first) else first
         wide = np.flatnonzero(last - first >= MIN_WORDS)
-        for i in wide.tolist():
-            g = np.unique(grams[first[i] : last[i] - SHINGLE_WORDS + 1])
-            key = set_key(g)
-            if key not in known:
-                known[key] = bands(signature(g))
+        for i, h in zip(wide.tolist(), _span_hash(s.hashes, first[wide], last[wide]).tolist(), strict=True):
+            key = read.get(h)
+            if key is None:
+                g = np.unique(grams[first[i] : last[i] - SHINGLE_WORDS + 1])
+                key = read[h] = set_key(g)
+                if key not in known:
+                    known[key] = bands(signature(g))
             line_key.append(key)
-            line_band.append(known[key])
         line_doc.append(s.first + doc[wide])
         line_no.append(number[wide])
         _, pick = run_starts(s)
@@ -118,8 +120,13 @@ def _send_piece(piece: pa.RecordBatch, n_blocks: int) -> Iterator[pa.RecordBatch
         run_doc.append(s.first + owner)
         run_at.append(pick - s.word_from[owner])
     if line_key:
-        row, no, key = np.repeat(np.concatenate(line_doc), BANDS), np.concatenate(line_no), np.array(line_key, np.int64)
-        yield from _deal(_LINE, ids[row], tags[row], np.repeat(no, BANDS), np.repeat(key, BANDS), np.concatenate(line_band), n_blocks)
+        row, no, key = np.concatenate(line_doc), np.concatenate(line_no), np.array(line_key, np.int64)
+        band = np.array([known[k] for k in line_key])
+        # equal sets share all bands: the first band brings their copies together, the others need each set once
+        yield from _deal(_LINE, ids[row], tags[row], no, key, band[:, 0], n_blocks)
+        _, one = np.unique(key, return_index=True)
+        row, no, key, band = np.repeat(row[one], BANDS - 1), np.repeat(no[one], BANDS - 1), np.repeat(key[one], BANDS - 1), band[one, 1:].ravel()
+        yield from _deal(_OTHER, ids[row], tags[row], no, key, band, n_blocks)
     if run_hash:
         row, at, h = np.concatenate(run_doc), np.concatenate(run_at), np.concatenate(run_hash)
         yield from _deal(_SEED, ids[row], tags[row], at, None, h, n_blocks)
@@ -151,6 +158,14 @@ def _hash_of(hashes: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
         return mix64((sums[start + n] - sums[start]) * down[start])
 
 
+def _span_hash(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start to its end."""
+    up, down = _power_tables(len(hashes) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(hashes * up[: len(hashes)], dtype=U64)])
+        return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+
+
 def _send_runs(n_blocks: int):
     """All runs of the wanted seeds; runs of one seed go to one block."""
 
@@ -240,16 +255,16 @@ _FOUND_ARROW = pa.schema([(c, pa.int64() if k == "long" else pa.int32()) for c,
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One hash block: link every holder of a hash and set to the first one; of seeds, the places if several documents hold one.
-    For lines, also the sets of each band that different sets hold: doc and no give a place of the set, other_key the band."""
+    """One hash block: link every holder of a set in the first band to the first one; of seeds, the places if several documents
+    hold one.  Also the sets of each band that different sets hold: doc and no give a place of the set, other_key the band."""
     out = []
-    for kind in (_LINE, _SEED):
+    for kind in (_LINE, _OTHER, _SEED):
         t = table.filter(pa.array(table.column("kind").to_numpy() == kind))
         if not t.num_rows:
             continue
         ids = np.frombuffer(b"".join(t.column("ids").to_pylist()), _ID)
         h = np.frombuffer(b"".join(t.column("hashes").to_pylist()), U64)
-        key = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64) if kind == _LINE else np.zeros(len(h), np.int64)
+        key = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64) if kind != _SEED else np.zeros(len(h), np.int64)
         code, docs, tags = _coded(ids)
         order = np.lexsort((ids["no"], code, key, h))
         h, key, code, no = h[order], key[order], code[order], ids["no"][order]
@@ -259,7 +274,7 @@ def _meet(table: pa.Table) -> pa.Table:
         new = bucket.copy()  # first place of each set of a bucket
         new[1:] |= key[1:] != key[:-1]
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        if kind == _LINE:
+        if kind != _SEED:
             at = np.cumsum(bucket) - 1
             i = np.flatnonzero(new & (np.bincount(at, new)[at] > 1))
             out.append([np.full(len(i), _BAND), *place(i), *place(i), key[i], h[i].astype(np.int64)])
@@ -268,6 +283,8 @@ def _meet(table: pa.Table) -> pa.Table:
             i = np.flatnonzero(np.bincount(at, code != code[lead])[at] > 0)
             out.append([np.full(len(i), kind), *place(i), *[np.zeros(len(i), np.int64)] * 5])
             continue
+        if kind == _OTHER:
+            continue
         a, b = np.flatnonzero(~new), lead[~new]
         out.append([np.full(len(a), kind), *place(a), *place(b), key[a], key[b]])
     cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 9
