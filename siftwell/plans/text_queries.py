@@ -268,7 +268,7 @@ def _(spark, sf):
 @query("e09_people_cards", f"with {PARTS}, r as (select *, row_number() over (partition by domain order by person) as rn from parts) select domain, {_FULL} as name, 'Owner ' || p_type as title from r where rn <= 15")
 def _(spark, sf):
     frags = F.array(F.lit("Connect"), F.concat(F.initcap("first_name"), F.lit(" Holdings.")), F.lit("LinkedIn Member"), F.concat(F.initcap("p_name"), F.lit(" (he)")), F.lit("1st"), F.concat(F.lit("• Owner "), "p_type"))
-    return extract.card_fragments(parts(spark, sf).select("domain", F.col("person").alias("pos"), F.concat(F.lit("u/"), "person").alias("url"), frags.alias("fragments")))
+    return extract.card_fragments(parts(spark, sf).select("domain", F.col("person").alias("pos"), F.concat(F.lit("u/"), "person").alias("url"), frags.alias("fragments"))).select("domain", "name", "title")
 
 
 _HOST = "regexp_extract(text, '@([A-Za-z0-9.-]+[.][A-Za-z]{2,})', 1)"
