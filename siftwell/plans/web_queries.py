@@ -391,6 +391,7 @@ def _(spark, sf):
     return out.select("domain", "status", "score", "tier")
 
 
+_OWN_HITS = HITS.replace("hits as", "hits1 as") + ", hits0 as (select * replace (link || '?p=' || pos as link) from hits1)"
 _LISTED_HOST = "'https://' || lower(regexp_replace(split_part(h.title, ' ', n.n + 1), '[^A-Za-z]', '', 'g')) || '-x.example.biz/x'"
 _MINED = f"""hp as (select *, {sql_domain('link')} as domain, run || '-' || (pos // 20) as page from hits0), dir as (select * from hp h where {_DIR}),
 pan as (select h.pos as dir, (1000 + n.n)::bigint as pos, split_part(h.title, ' ', n.n + 1) as name, {_LISTED_HOST} as link, '' as snippet from dir h, (select unnest([0, 1, 2]) as n) n where length(split_part(h.title, ' ', n.n + 1)) between 2 and 100),
@@ -398,25 +399,30 @@ pn as (select dir, arg_min(name, pos) as name, min(pos) as pos, arg_min(link, po
 org as (select d.pos as dir, p.link, p.title, p.pos from dir d join hp p on d.page = p.page), {sql_merged('pn', 'org', 'dir', 'directory')}"""
 
 
-def directory_pages(spark, sf):
+def own_hits(spark, sf):
+    """Hits with a URL of their own."""
+    h = hits(spark, sf).withColumn("page", F.concat("run", F.lit("-"), F.floor(F.col("pos") / 20)))
+    return h.withColumn("link", F.concat("link", F.lit("?p="), "pos"))
+
+
+def directory_pages(h):
     """Pages at the hits' links that list three companies each, named after words of the hit's title."""
-    h = hits(spark, sf)
     word = lambda n: F.coalesce(F.get(F.split("title", " "), F.lit(n)), F.lit(""))
     one = lambda n: F.concat(F.lit('<a href="https://'), F.lower(F.regexp_replace(word(n), "[^A-Za-z]", "")), F.lit('-x.example.biz/x">'), word(n), F.lit("</a>"))
     return h.select(F.col("link").alias("url"), F.concat(one(0), one(1), one(2)).alias("html"))
 
 
-@query("o01_mined_directories", f"with {HITS.replace('hits as', 'hits0 as')}, {_MINED} select m.domain, m.link, m.title, m.source, d.page, d.pos from merged m join dir d on d.pos = m.dir")
+@query("o01_mined_directories", f"with {_OWN_HITS}, {_MINED} select m.domain, m.link, m.title, m.source, d.page, d.pos from merged m join dir d on d.pos = m.dir")
 def _(spark, sf):
-    h = hits(spark, sf).drop("html").withColumn("page", F.concat("run", F.lit("-"), F.floor(F.col("pos") / 20)))
-    out = qualify.mine_directories(h, directory_pages(spark, sf), MARKET, ["page"])
+    h = own_hits(spark, sf)
+    out = qualify.mine_directories(h.drop("html"), directory_pages(h), MARKET, ["page"])
     return out.select(web.domain_of(F.col("link")).alias("domain"), "link", "title", "source", "page", "pos")
 
 
 _ANCHOR = " || ".join(f"""'<a href="https://' || lower(regexp_replace(split_part(title, ' ', {n}), '[^A-Za-z]', '', 'g')) || '-x.example.biz/x">' || split_part(title, ' ', {n}) || '</a>'""" for n in (1, 2, 3))
 
 
-@query("o01_qualify_run", f"""with {HITS.replace('hits as', 'hits0 as')}, {_MINED}, hits as (select pos, link, title, snippet, source from hits0 union all select d.pos, m.link, m.title, m.snippet, m.source from merged m join dir d on d.pos = m.dir),
+@query("o01_qualify_run", f"""with {_OWN_HITS}, {_MINED}, hits as (select pos, link, title, snippet, source from hits0 union all select d.pos, m.link, m.title, m.snippet, m.source from merged m join dir d on d.pos = m.dir),
 h as (select *, {sql_domain('link')} as domain from hits), {_KNOWN}, s as (select h.*, k.domain is not null as dup from h left join known k using (domain)), pg as (select link as url, case when {_DIR} then {_ANCHOR} else html end as html from hp),
 t as (select *, {_PRIO} as priority, case {_HYGIENE} end as hyg, case {_HYGIENE} when {sql_any('title', dims.JUNK_TITLES)} then 'junk_title' when {sql_any(_BOTH, dims.PURE_JUNK)} or {_STATE} then 'serp_junk' end as loose from s),
 k as (select *, row_number() over (partition by domain order by priority, pos, link) as rn from t where (case when priority in (0, 1, 3) then hyg else loose end) is null), o as (select * from k where rn = 1),
@@ -425,8 +431,8 @@ p as (select domain, arg_min(html, url) as html from (select *, {sql_domain('url
 select domain, 'qualified' as status, 70 as score, 'strong' as tier from o where priority in (0, 1, 3) union all select domain, 'discovered', 0, 'weak' from known union all
 select domain, status, case when status in ('qualified', 'rejected') then score else 0 end, case when status in ('qualified', 'rejected') then tier else 'weak' end from r""")
 def _(spark, sf):
-    h = hits(spark, sf).withColumn("page", F.concat("run", F.lit("-"), F.floor(F.col("pos") / 20)))
-    lists = directory_pages(spark, sf).withColumnRenamed("html", "list")
+    h = own_hits(spark, sf)
+    lists = directory_pages(h).withColumnRenamed("html", "list")
     is_list = gates.is_directory(web.domain_of(F.col("link")), F.col("title"), MARKET.directories)
     read = h.join(lists.distinct(), h["link"] == lists["url"]).select("url", F.when(is_list, F.col("list")).otherwise(F.col("html")).alias("html"))
     known = table(spark, sf, "pages").where(F.contains("url", F.lit("#"))).select(web.domain_of(F.col("url")).alias("domain")).distinct()
