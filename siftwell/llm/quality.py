@@ -23,7 +23,8 @@ reads every document whole, in one pass without a shuffle.  Features come from t
 
 Null and empty texts have the features of an empty text and get a score too.  Rows whose label or id is null teach
 nothing as positives; an id labelled twice counts with its lower label; an id with several texts teaches its smallest
-one; without positives the prior is PRIOR_DEFAULT and every score that value.  Repeated rows are scored each; an empty
+one; with fewer than LEAST_ROWS positives or unlabelled rows nothing is fitted: the prior is PRIOR_DEFAULT and every
+score that value.  Repeated rows are scored each; an empty
 table gives no rows.
 """
 
@@ -41,6 +42,7 @@ from siftwell.llm.runtime import hash_sample
 from siftwell.llm.textkit import U64, Slice, mix64, shingle_hashes, word_slices
 
 FIT_ROWS = 8_000
+LEAST_ROWS = 20
 PRIOR_DEFAULT = 0.8
 THRESHOLD = 0.3
 HOLD_OUT = 5
@@ -172,8 +174,6 @@ def _fit_flag(p: np.ndarray, u: np.ndarray, steps: int = 200) -> tuple[np.ndarra
 
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     """Share of the unlabelled rows that are spread as the positives are: the least ratio, over cuts that at least half of the positives lie above, of what lies above."""
-    if len(p) < 20 or len(u) < 20:
-        return PRIOR_DEFAULT
     sp, su = [], []
     for half in (0, 1):
         w, b = _fit_flag(p[half::2], u[half::2])
@@ -252,9 +252,9 @@ def _fit_rows(rows: pa.Table) -> pa.Table:
 
 
 def _learn(pos: np.ndarray, unl: np.ndarray) -> Model:
-    if not len(pos):
+    if min(len(pos), len(unl)) < LEAST_ROWS:
         return _plain_model()
-    mean, scale, p, u = _standardised(pos, unl if len(unl) else pos)
+    mean, scale, p, u = _standardised(pos, unl)
     prior = estimate_prior(p, u)
     w, b = fit_nnpu(p, u, prior)
     slope, shift = _calibrate(p @ w.astype(np.float32) + b, u @ w.astype(np.float32) + b, prior)
