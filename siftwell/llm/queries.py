@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import edit_counts, fingerprints, html_text, mixing, ngram_join, packing, ppm, quality, substring_dedup, topk
+from siftwell.llm import edit_counts, fingerprints, html_text, mixing, ngram_join, packing, ppm, prefix_bpe, quality, substring_dedup, token_alignment, topk, whitening
 from siftwell.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,8 +62,20 @@ def op9_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_after_edits(edit_counts.three_edits(_table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_exact_topk, op3_packing, op4_html_extraction, op5_ppm_scoring, op6_ngram_jaccard_join, op7_quality_classifier, op8_source_mix, op9_edit_token_counts, op10_substring_dedup, fingerprint_near_duplicates)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_exact_topk, op3_packing, op4_html_extraction, op5_ppm_scoring, op6_ngram_jaccard_join, op7_quality_classifier, op8_source_mix, op9_edit_token_counts, op10_substring_dedup, op11_prefix_bpe, op12_embedding_whitening, op13_token_alignment, fingerprint_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
