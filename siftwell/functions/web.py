@@ -6,8 +6,9 @@ All are built-in expressions over whole columns; lists are parameters.  NULL and
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,19 +20,83 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: lists up to this length are sought value by value in one lower-cased text, longer ones by one pattern in one pass
+FEW = 24
+
+
+def alternation(values: list[str]) -> str:
+    """A pattern of literal values by their shared beginnings; at a place it takes the longest."""
+    trie: dict = {}
+    for v in values:
+        node = trie
+        for ch in v:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [re.escape(ch) + pattern(below) for ch, below in node.items() if ch]
+        if not ways:
+            return ""
+        one = ways[0] if len(ways) == 1 and "" not in node else "(?:" + "|".join(ways) + ")"
+        return one + "?" if "" in node else one
+
+    return pattern(trie)
+
+
+def _with_beginnings(found: Column, values: list[str], ends: Callable[[str, str], bool]) -> Column:
+    """found and the other values that begin one of them: where the longest value stands, so do they."""
+    inner = {v: [w for w in values if w != v and v.startswith(w) and ends(v, w)] for v in values}
+    table = {v: w for v, w in inner.items() if w}
+    if not table:
+        return found
+    pairs = F.create_map(*[x for v, w in table.items() for x in (F.lit(v), lit_array([v, *w]))])
+    return F.flatten(F.transform(found, lambda v: F.coalesce(F.try_element_at(pairs, v), F.array(v))))
+
+
+def any_in(low: Column, values: list[str]) -> Column:
+    """Some value is a substring of a lower-cased text."""
+    if not values:
+        return F.lit(False)
+    if len(values) > FEW:
+        return F.rlike(low, F.lit(alternation(values)))
+    one = [F.contains(low, F.lit(v)) for v in values]
+    return F.greatest(*one) if len(one) > 1 else one[0]  # all are taken, so that Spark lower-cases once
+
+
+def hits_in(low: Column, values: list[str]) -> Column:
+    """The values that are substrings of a lower-cased text, in list order; overlapping ones each count."""
+    if len(values) <= FEW:
+        return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(v)), F.lit(v)) for v in values])) if values else lit_array([])
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({alternation(values)}))"), F.lit(1)))
+    return F.array_intersect(lit_array(values), _with_beginnings(found, values, lambda v, w: True))
+
+
+def tokens_in(low: Column, needles: list[str]) -> Column:
+    """The needles that a lower-cased text holds, in list order: phrases as substrings, single words only where no letter
+    or digit touches them.  All words are sought in one pass."""
+    words, phrases = [n for n in needles if " " not in n], [n for n in needles if " " in n]
+    found = hits_in(low, phrases)
+    if words:
+        held = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9])(?=({alternation(words)})(?![a-z0-9]))"), F.lit(1)))
+        held = _with_beginnings(held, words, lambda v, w: not re.match("[a-z0-9]", v[len(w)]))
+        found = F.concat(held, found) if phrases else held
+    return F.array_intersect(lit_array(needles), found) if needles else lit_array([])
+
+
+def any_token_in(low: Column, needles: list[str]) -> Column:
+    words, phrases = [n for n in needles if " " not in n], [n for n in needles if " " in n]
+    parts = ([rf"(?<![a-z0-9])(?:{alternation(words)})(?![a-z0-9])"] if words else []) + ([alternation(phrases)] if phrases else [])
+    return F.rlike(low, F.lit("|".join(parts))) if parts else F.lit(False)
+
+
 def contains_any(c: Column, values: list[str]) -> Column:
     """Some value is a substring of c, lower-cased."""
-    low = F.lower(text(c))
-    out = F.lit(False)
-    for v in values:
-        out = out | F.contains(low, F.lit(v))
-    return out
+    return any_in(F.lower(text(c)), values)
 
 
 def hits(c: Column, values: list[str]) -> Column:
     """The values that are substrings of c, lower-cased, in list order; overlapping ones each count."""
-    low = F.lower(text(c))
-    return F.filter(lit_array(values), lambda k: F.contains(low, k))
+    return hits_in(F.lower(text(c)), values)
 
 
 def domain_of(url: Column) -> Column:
@@ -92,28 +157,50 @@ def without(html: Column, drop: list[str]) -> Column:
 NOT_SHOWN = ["script", "style", "noscript"]
 
 
-def html_to_text(html: Column, drop: list[str] = NOT_SHOWN, limit: int | None = 12_000, least: int = 80) -> Column:
-    """Visible text of a page: listed elements and tags go, white space runs become one space, the title and
-    the description (its attributes in either order) come first, joined by a space; NULL under `least` characters.
-    The limit is the feature's own."""
-    x = without(text(html), drop)
+#: the description's attribute and its value, in either order
+_NAMED, _VALUED = r"name=[\"']description[\"']", r"content=[\"']([^\"']+)"
+
+
+def _shown_text(x: Column, limit: int | None) -> Column:
+    """Title, description and visible text of markup without the listed elements, joined by a space."""
     body = F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", " "), r"\s+", " "))
     body = F.substring(body, 1, limit) if limit else body
-    named, valued = r"name=[\"']description[\"']", r"content=[\"']([^\"']+)"
     found = lambda pattern: F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
-    title = F.when(F.rlike(x, F.lit(r"(?is)<title[^>]*>.*?</title>")), F.trim(F.regexp_replace(F.regexp_extract(x, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")))
-    about = F.trim(F.coalesce(found(rf"(?i)<meta[^>]+{named}[^>]+{valued}"), found(rf"(?i)<meta[^>]+{valued}[\"'][^>]+{named}")))
-    whole = F.array_join(F.array_compact(F.array(title, about, body)), " ")
+    title = F.get(F.transform(F.slice(F.regexp_extract_all(x, F.lit(r"(?is)<title[^>]*>(.*?)</title>"), F.lit(1)), 1, 1), lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), F.lit(0))
+    about = F.trim(F.coalesce(found(rf"(?i)<meta[^>]+{_NAMED}[^>]+{_VALUED}"), found(rf"(?i)<meta[^>]+{_VALUED}[\"'][^>]+{_NAMED}")))
+    return F.concat_ws(" ", title, about, body)
+
+
+def html_to_text(html: Column, drop: list[str] = NOT_SHOWN, limit: int | None = 12_000, least: int = 80) -> Column:
+    """Visible text of a page: listed elements and tags go, white space runs become one space, the title and
+    the description (its attributes in either order) come first, joined by a space; NULL under `least` characters.
+    The limit is the feature's own.  Over a table, with_page takes the markup apart once instead of once a use."""
+    whole = _shown_text(without(text(html), drop), limit)
     return F.when(F.length(whole) >= least, whole)
 
 
-def links_of(html: Column, limit: int = 300, drop: list[str] = NOT_SHOWN) -> Column:
-    """href values outside the dropped elements: absolute ones and those from the root, in order."""
-    found = F.regexp_extract_all(without(text(html), drop), F.lit(r"href=[\"']([^\"'#\s]+)[\"']"), F.lit(1))
+def _links(shown: Column, limit: int) -> Column:
+    found = F.regexp_extract_all(shown, F.lit(r"href=[\"']([^\"'#\s]+)[\"']"), F.lit(1))
     keep = F.filter(found, lambda u: F.startswith(u, F.lit("http")) | (F.startswith(u, F.lit("/")) & ~F.startswith(u, F.lit("//"))))
     return F.slice(keep, 1, limit)
 
 
+def links_of(html: Column, limit: int = 300, drop: list[str] = NOT_SHOWN) -> Column:
+    """href values outside the dropped elements: absolute ones and those from the root, in order."""
+    return _links(without(text(html), drop), limit)
+
+
+def with_page(df: DataFrame, html: str, body: str | None = "body", links: str | None = "links", drop: list[str] = NOT_SHOWN, limit: int | None = 12_000, least: int = 80, most_links: int = 300) -> DataFrame:
+    """df with the page's text (see html_to_text) and links (see links_of).  Each step is a projection of its own that later ones
+    use more than once, so Spark keeps it apart: the markup is cleaned once."""
+    out = df.withColumn("_shown", without(text(F.col(html)), drop))
+    if body:
+        out = out.withColumn("_whole", _shown_text(F.col("_shown"), limit)).withColumn(body, F.when(F.length("_whole") >= least, F.col("_whole"))).drop("_whole")
+    if links:
+        out = out.withColumn(links, _links(F.col("_shown"), most_links))
+    return out.drop("_shown")
+
+
 def any_link_has(links: Column, hints: list[str]) -> Column:
     def one(u: Column) -> Column:
         out = F.lit(False)

@@ -10,24 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell import dims
-from siftwell.functions.contacts import email_candidate, first_name, is_confirmed, is_generic, last_name, norm_name, token_named, worded
+from siftwell.functions.contacts import email_candidate, first_name, is_confirmed, is_generic, last_name, token_named, worded
 from siftwell.functions.web import text
 from siftwell.operators import state
 from siftwell.operators.dedupe import first_wins
 from siftwell.operators.extract import search_address, site_addresses
+from siftwell.operators.resume import SlicedRun
+from siftwell.operators.substrings import fragments
+
+
+def name_index(site: DataFrame, names: DataFrame) -> DataFrame:
+    """domain, name, first: for each name (domain, name) that a local part at its domain holds, the first such address by priority and
+    pos.  An inverted index: local parts are short, so all their fragments are laid out once and met by name."""
+    local = F.lower(F.substring_index("email", "@", 1))
+    pieces = site.select("domain", F.struct("priority", "pos", "email").alias("_at"), F.explode(fragments(local)).alias("name"))
+    return pieces.join(names.select("domain", "name").distinct(), ["domain", "name"]).groupBy("domain", "name").agg(F.min("_at").alias("first"))
 
 
 def from_site(people: DataFrame, site: DataFrame) -> DataFrame:
-    """person, email, label: a person's site address whose local part holds the first or last name (first in page order),
-    else the only one; none where several fit nobody.  Role addresses count for nothing.
-    people: person, domain, first_name, last_name.  Names are normalised before the join and each domain brings its
-    addresses in one row, so the join keeps one row a person."""
-    local = F.substring_index("email", "@", 1)
-    own = site.where(~is_generic(F.col("email"))).groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("priority", "pos", "email", local.alias("local")))).alias("_all"))
-    p = people.select("person", "domain", norm_name(F.col("first_name")).alias("_f"), norm_name(F.col("last_name")).alias("_l")).join(own, "domain")
-    named = F.get(F.filter("_all", lambda a: ((F.col("_f") != "") & F.contains(a["local"], F.col("_f"))) | ((F.col("_l") != "") & F.contains(a["local"], F.col("_l")))), F.lit(0))["email"]
-    p = p.withColumn("_named", named).withColumn("_only", F.when(F.size("_all") == 1, F.get("_all", F.lit(0))["email"]))
-    p = p.where("_named is not null or _only is not null")
+    """person, email, label: a person's site address whose local part holds the first or last name in lower case (first in page order),
+    else the only one; none where several fit nobody.  Role addresses count for nothing.  people: person, domain, first_name, last_name.
+    Names meet an index of their domain's addresses, so a domain with very many of both costs their sum and not their product."""
+    own = site.where(~is_generic(F.col("email"))).select("domain", "priority", "pos", "email")
+    names = F.array_distinct(F.filter(F.array(F.lower(text(F.col("first_name"))), F.lower(text(F.col("last_name")))), lambda n: n != ""))
+    each = people.select("person", "domain", F.explode(names).alias("name"))
+    named = each.join(name_index(own, each), ["domain", "name"]).groupBy("person").agg(F.min("first")["email"].alias("_named"))
+    only = own.groupBy("domain").agg(F.count("*").alias("_n"), F.min("email").alias("_only")).where("_n = 1").drop("_n")
+    p = people.select("person", "domain").join(named, "person", "left").join(only, "domain", "left").where("_named is not null or _only is not null")
     return p.select("person", F.coalesce("_named", "_only").alias("email"), F.when(F.col("_named").isNotNull(), "Site ✓").otherwise("Site").alias("label"))
 
 
@@ -60,15 +69,16 @@ def example_patterns(spark) -> DataFrame:
 
 
 def first_layer(layers: list[tuple[str, DataFrame]]) -> DataFrame:
-    """person, email, layer, verified of the first layer with an address."""
+    """person, email, layer, verified, label of the first layer with an address."""
     parts = []
     for rank, (name, df) in enumerate(layers):
         verified = F.col("verified") if "verified" in df.columns else F.lit(True)
-        parts.append(df.select("person", F.struct(F.lit(rank).alias("rank"), "email", F.lit(name).alias("layer"), verified.alias("verified")).alias("e")))
+        label = F.col("label") if "label" in df.columns else F.lit("")
+        parts.append(df.select("person", F.struct(F.lit(rank).alias("rank"), "email", F.lit(name).alias("layer"), verified.alias("verified"), label.alias("label")).alias("e")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("person").agg(F.min("e").alias("e")).select("person", "e.email", "e.layer", "e.verified")
+    return out.groupBy("person").agg(F.min("e").alias("e")).select("person", "e.email", "e.layer", "e.verified", "e.label")
 
 
 def leads(people: DataFrame, layers: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -77,19 +87,45 @@ def leads(people: DataFrame, layers: list[tuple[str, DataFrame]]) -> DataFrame:
     return people.join(found.where(is_confirmed(F.col("email"), F.col("layer"), F.col("verified")) & ~is_generic(F.col("email"))), "person")
 
 
-def mail_run(people: DataFrame, pages: DataFrame, paths: DataFrame, pattern_pages: DataFrame, verdicts: DataFrame, hits: DataFrame, table: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(leads to append, people with their stamp) of a run over people.
+_LEAD = ["email", "email_source", "full_name", "first_name", "last_name", "title", "company", "domain", "country", "linkedin_url", "source_url"]
 
-    people: person, domain, full_name, first_name, last_name, email_searched_at.  pages, paths: see site_addresses.
-    pattern_pages: domain, body.  verdicts: email, verdict.  hits: person, pos, domain, snippet, title, link.
-    table: email and more; an address that it holds is not appended again.
-    """
+
+def find_leads(people: DataFrame, pages: DataFrame, paths: DataFrame, pattern_pages: DataFrame, verdicts: DataFrame, hits: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """person, layer and a lead's columns for people with a confirmed address; inputs as for mail_run."""
     full = (F.col("full_name"), F.col("first_name"), F.col("last_name"))
-    p = people.withColumns({"_f": first_name(*full), "_l": last_name(*full)}).withColumnsRenamed({"first_name": "_stored_f", "last_name": "_stored_l"}).withColumnsRenamed({"_f": "first_name", "_l": "last_name"})
-    site = from_site(p, site_addresses(pages, paths))
+    p = people.withColumns({"_f": first_name(*full), "_l": last_name(*full)}).withColumns({"first_name": F.col("_f"), "last_name": F.col("_l")}).drop("_f", "_l")
+    mine = pages.join(p.select("domain").distinct(), "domain", "left_semi")
+    linked = None if documents is None else documents.join(p.select("domain").distinct(), "domain", "left_semi")
+    site = from_site(p, site_addresses(mine, paths, documents=linked))
     pattern = from_pattern(p, page_patterns(pattern_pages.withColumn("_own", F.col("domain")), "domain", "body", "_own"), verdicts)
     searched = search_address(hits.join(p.where((F.col("first_name") != "") & (F.col("last_name") != "")).select("person"), "person", "left_semi")).withColumn("label", F.lit("Search ✓"))
-    labels = site.select("person", "email", "label").unionByName(pattern.select("person", "email", "label")).unionByName(searched)
     found = leads(p, [("L1-Site", site), ("L2-EFmt", pattern), ("L4-Search", searched)])
-    rows = found.select("person", "domain", "full_name", "first_name", "last_name", "email", "layer").join(labels.dropDuplicates(["person", "email", "label"]).groupBy("person", "email").agg(F.min("label").alias("email_source")), ["person", "email"])
+    given = lambda c: text(F.col(c)) if c in people.columns else F.lit("")
+    named = F.coalesce(F.nullif(text(F.col("full_name")), F.lit("")), F.concat("first_name", F.lit(" "), "last_name"))
+    return found.select(
+        "person", "layer", "email", F.col("label").alias("email_source"), named.alias("full_name"), "first_name", "last_name", given("title").alias("title"), given("company_name").alias("company"), text(F.col("domain")).alias("domain"),
+        F.lit("").alias("country"), given("linkedin_url").alias("linkedin_url"), F.lit("").alias("source_url"),
+    )
+
+
+def mail_run(people: DataFrame, pages: DataFrame, paths: DataFrame, pattern_pages: DataFrame, verdicts: DataFrame, hits: DataFrame, table: DataFrame, now: Column, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(leads to append, people with their stamp) of a run over people.
+
+    people: person, domain, full_name, first_name, last_name, email_searched_at and, where known, title, company_name, linkedin_url.
+    pages, paths, documents: see site_addresses.  pattern_pages: domain, body.  verdicts: email, verdict.  hits: person, pos, domain,
+    snippet, title, link.  table: email and more; an address that it holds is not appended again.
+    """
+    rows = find_leads(people, pages, paths, pattern_pages, verdicts, hits, documents)
     return state.insert_ignore(table, rows, ["email"], ["person"]), state.stamp(people, people, "person", "email_searched_at", now)
+
+
+def mail_run_in_slices(run: SlicedRun, people: DataFrame, pages: DataFrame, paths: DataFrame, pattern_pages: DataFrame, verdicts: DataFrame, hits: DataFrame, table: DataFrame, now: Column, documents: DataFrame | None = None, at_most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """mail_run by slices of the people without a stamp, each committed with its people's stamps: a run that dies starts again at
+    the slice where it stopped.  Of the slices committed so far: (leads to append, people with their stamp)."""
+
+    def work(part: DataFrame) -> dict[str, DataFrame]:
+        who = part.select("person").distinct()
+        return {"leads": find_leads(part, pages, paths, pattern_pages, verdicts, hits.join(who, "person", "left_semi"), documents)}
+
+    run.run(people.where(F.col("email_searched_at").isNull()), "person", work, at_most)
+    return state.insert_ignore(table, run.read("leads"), ["email"], ["person"]), state.stamp(people, run.read("done"), "person", "email_searched_at", now)

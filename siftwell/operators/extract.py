@@ -194,26 +194,45 @@ def addresses(rows: DataFrame, key: str, body: str, host: str | None = None) ->
     return rows.select(key, F.posexplode(F.array_distinct(F.transform(F.concat(plain, spoken), lambda e: F.lower(e)))).alias("pos", "email"))
 
 
-def site_addresses(pages: DataFrame, paths: DataFrame, home: str = "/") -> DataFrame:
-    """domain, priority, pos, email: addresses at the domain from its contact pages, up to the first page that has one
-    of a person; the homepage only where those have none; free and institutional hosts go.  pages: domain, path, text."""
+def _contact_addresses(pages: DataFrame, paths: DataFrame) -> DataFrame:
+    """domain, priority, pos, email of the pages on the paths; free and institutional hosts go."""
     p = pages.join(paths, "path").withColumn("_page", F.concat_ws("|", "domain", "path"))
-    found = addresses(p, "_page", "text", "domain").join(p.select("_page", "domain", "path", "priority"), "_page")
-    found = found.where(~is_personal(F.col("email")) & ~is_institutional(F.col("email")))
-    w = Window.partitionBy("domain")
-    stop = F.min(F.when((F.col("path") != home) & ~is_generic(F.col("email")), F.col("priority"))).over(w)
-    other = F.max((F.col("path") != home).cast("int")).over(w)
-    kept = found.withColumn("_stop", stop).withColumn("_other", other).where(((F.col("path") == home) & (F.col("_other") == 0)) | ((F.col("path") != home) & (F.col("_stop").isNull() | (F.col("priority") <= F.col("_stop")))))
-    return first_wins(kept.select("domain", "priority", "pos", "email"), ["domain", "email"], ["priority", "pos"])
+    found = addresses(p, "_page", "text", "domain").join(p.select("_page", "domain", "priority"), "_page").drop("_page")
+    return found.where(~is_personal(F.col("email")) & ~is_institutional(F.col("email")))
+
+
+def site_addresses(pages: DataFrame, paths: DataFrame, home: str = "/", documents: DataFrame | None = None) -> DataFrame:
+    """domain, priority, pos, email: addresses at the domain from its contact pages, up to the first page that has one
+    of a person; the homepage only where those have none; linked documents (see document_addresses) only where the homepage has
+    none either, behind all pages.  pages: domain, path, text; documents: domain, doc, page, text.
+
+    Each layer reads what earlier ones have left open: anti-joins on the domains that have addresses stand in front of it.
+    """
+    found = materialize(_contact_addresses(pages.where(F.col("path") != home), paths), "contact-addresses")
+    stop = found.where(~is_generic(F.col("email"))).groupBy("domain").agg(F.min("priority").alias("_stop"))
+    out = found.join(stop, "domain", "left").where(F.col("_stop").isNull() | (F.col("priority") <= F.col("_stop"))).drop("_stop")
+    done = found.select("domain").distinct()
+    at_home = _contact_addresses(pages.where(F.col("path") == home).join(done, "domain", "left_anti"), paths)
+    if documents is not None:
+        at_home = materialize(at_home, "home-addresses")
+        done = done.union(at_home.select("domain")).distinct()
+        linked = _linked_addresses(documents.join(done, "domain", "left_anti"), "domain", 3, 5)
+        at_home = at_home.unionByName(linked.select("domain", (F.lit(1_000_000) + F.col("doc")).cast("int").alias("priority"), (F.col("page") * 1_000_000 + F.col("pos")).cast("int").alias("pos"), "email"))
+    both = out.select("domain", "priority", "pos", "email").unionByName(at_home.select("domain", "priority", "pos", "email"))
+    return first_wins(both, ["domain", "email"], ["priority", "pos"])
+
+
+def _linked_addresses(pages: DataFrame, site: str, most_docs: int, most_pages: int) -> DataFrame:
+    p = pages.where((F.col("doc") < most_docs) & (F.col("page") < most_pages)).withColumn("_page", F.concat_ws("|", site, "doc", "page"))
+    found = addresses(p, "_page", "text", "domain").join(p.select("_page", site, "doc", "page").distinct(), "_page").drop("_page")
+    first = found.groupBy(site).agg(F.min("doc").alias("_first"))
+    return found.join(first, site).where("doc = _first").drop("_first")
 
 
 def document_addresses(pages: DataFrame, site: str = "domain", most_docs: int = 3, most_pages: int = 5) -> DataFrame:
     """site, email, doc: addresses at the domain in the first documents that its site links, each one's first pages read,
     of the first document that has any.  pages: site, domain, doc (from 0, in link order), page (from 0), text."""
-    p = pages.where((F.col("doc") < most_docs) & (F.col("page") < most_pages)).withColumn("_page", F.concat_ws("|", site, "doc", "page"))
-    found = addresses(p, "_page", "text", "domain").join(p.select("_page", site, "doc").distinct(), "_page")
-    first = F.min("doc").over(Window.partitionBy(site))
-    return found.withColumn("_first", first).where("doc = _first").select(site, "email", "doc").distinct()
+    return _linked_addresses(pages, site, most_docs, most_pages).select(site, "email", "doc").distinct()
 
 
 def search_address(hits: DataFrame, first_hits: int = 5) -> DataFrame:

@@ -43,7 +43,9 @@ def people_run(
     A company without a type is classified by its homepage (homepages: domain, body).  Sources in order: profile hits,
     profile cards (only where the company has a profile and the hits found fewer than five), the company's own pages; see
     profile_people, card_fragments and page_people for their inputs.  companies: domain, linkedin_url, company_type,
-    people_searched_at.  table: domain, full_name and more; who is in it already is not appended again.
+    people_searched_at and, where known, company_name.  table: domain, full_name and more; who is in it already is not appended
+    again.  Appended rows hold domain, company_name, first_name (the first word), last_name (the rest), full_name, title,
+    linkedin_url, people_source and found_at.
     """
     kinds = classify_companies(companies.where(text(F.col("company_type")) == "").select("domain").join(homepages, "domain", "left"), verdicts).select("domain", F.col("company_type").alias("_kind"))
     own = lambda c: c.select("domain")
@@ -53,6 +55,10 @@ def people_run(
     site = extract.page_people(pages.join(own(companies), "domain", "left_semi"), paths, titles=titles)
     shape = lambda df, url: lambda c: df.select("domain", F.col("name").alias("full_name"), "title", F.col(url).alias("linkedin_url"), F.col("pos").alias("seq"))
     found = find_people(companies, [("xray", shape(xray, "link")), ("LI page", shape(page, "url")), ("Website", shape(site, "linkedin_url"))], roles, most)
-    rows = state.insert_ignore(table, found.select("domain", "full_name", "title", "linkedin_url", "people_source", "source_rank", "seq"), ["domain", "full_name"], ["source_rank", "seq"]).drop("source_rank", "seq")
+    words = F.split(F.trim("full_name"), r"\s+")
+    named = {"first_name": F.get(words, F.lit(0)), "last_name": F.array_join(F.slice(words, 2, 1000), " "), "found_at": now}
+    company = companies.select("domain", (text(F.col("company_name")) if "company_name" in companies.columns else F.lit("")).alias("company_name"))
+    full = found.join(company, "domain").withColumns(named).select("domain", "company_name", "first_name", "last_name", "full_name", "title", "linkedin_url", "people_source", "found_at", "source_rank", "seq")
+    rows = state.insert_ignore(table, full, ["domain", "full_name"], ["source_rank", "seq"]).drop("source_rank", "seq")
     typed = companies.join(kinds, "domain", "left").withColumn("company_type", F.coalesce(F.nullif(text(F.col("company_type")), F.lit("")), "_kind")).drop("_kind")
     return rows, state.stamp(typed, companies, "domain", "people_searched_at", now)

@@ -11,6 +11,8 @@ from siftwell import dims
 from siftwell.functions import gates, web
 from siftwell.operators import extract
 from siftwell.operators.dedupe import first_n, first_wins
+from siftwell.operators.known import without_known
+from siftwell.operators.substrings import holding
 from siftwell.scratch import materialize
 
 
@@ -35,26 +37,38 @@ class Market:
         return web.is_blocked(url, social=dims.SOCIAL_HOSTS, junk_subdomains=dims.JUNK_SUBDOMAINS, junk_names=dims.JUNK_NAME_FRAGMENTS, blocked=self.blocked)
 
 
+def _gated(pages: DataFrame, m: Market, url: str, html: str) -> DataFrame:
+    p = web.with_page(pages.withColumn("domain", web.domain_of(F.col(url))), html, limit=m.text_limit)
+    p = gates.with_location_gate(p, "geo", F.col("domain"), "body", m.country, m.tld_country, m.geo)
+    p = p.withColumns({"_found": web.hits(F.col("body"), m.keywords), "_parked": gates.is_parked(F.col("body"))})
+    p = p.withColumn("_industry", gates.industry_evidence_ok(F.col("_found"), m.strong_terms))
+    return p.withColumn("_reason", gates.page_reason(F.col("body"), F.col("_parked"), F.col("_industry"), F.col("geo")))
+
+
+def page_gate(pages: DataFrame, m: Market, url: str = "url", html: str = "html") -> DataFrame:
+    """pages with status and reason by the parked, industry and location gates alone."""
+    p = _gated(pages, m, url, html)
+    return p.select(*pages.columns, gates.page_status(F.col("body"), F.col("_parked"), F.col("_reason").isNull()).alias("status"), F.col("_reason").alias("reason"))
+
+
 def qualify_pages(pages: DataFrame, m: Market, url: str = "url", html: str = "html", title: str | None = None) -> DataFrame:
-    """pages with domain, status, event_status, reason, score, tier, reasons, linkedin_url and company_name.
+    """pages with domain, status, event_status, event_reason, reason, score, tier, reasons, linkedin_url and company_name.
 
-    One narrow stage: text and links of the markup, industry gate, location gate, score.  A page that fails the
-    industry or location gate is stored as rejected and shown as unverified.
+    One narrow stage of a few projections: text and links of the markup, industry gate, location gate, score.  A page that fails
+    the industry or location gate, or passes both with a weak score, is stored as rejected and shown as unverified.
     """
-    p = pages.withColumn("domain", web.domain_of(F.col(url))).withColumn("body", web.html_to_text(F.col(html), limit=m.text_limit)).withColumn("links", web.links_of(F.col(html)))
-    found = web.hits(F.col("body"), m.keywords)
-    p = p.withColumn("industry_ok", gates.industry_evidence_ok(found, m.strong_terms)).withColumn("geo", gates.location_gate(F.col("domain"), F.col("body"), m.country, m.tld_country, m.geo))
-    p = p.withColumn("linkedin_url", web.profile_url(F.col("links"), F.col("body")))
-    p = p.withColumn("s", gates.score_page(F.col("body"), F.col("links"), F.col("linkedin_url"), m.keywords, m.strong_terms))
-    status = gates.page_status(F.col("body"), F.col("industry_ok"), F.col("geo.ok"))
-    reason = gates.page_reason(F.col("body"), F.col("industry_ok"), F.col("geo"))
+    p = _gated(pages, m, url, html).withColumn("linkedin_url", web.profile_url(F.col("links"), F.col("body")))
+    p = gates.with_score(p, "s", "body", "links", F.col("linkedin_url"), m.keywords, m.strong_terms, found="_found")
+    p = p.withColumn("_status", gates.page_status(F.col("body"), F.col("_parked"), F.col("_reason").isNull() & (F.col("s.tier") != "weak")))
+    reason = F.col("_reason")
+    status, scored = F.col("_status"), F.col("_status").isin("qualified", "rejected")
     page_title = F.col(title) if title else web.text(F.regexp_extract(web.text(F.col(html)), r"(?is)<title[^>]*>(.*?)</title>", 1))
-    tags = F.when(status == "qualified", F.array(F.lit("pages:1"), F.lit("shallow_scrape_qualified"), F.lit("industry_evidence_ok"), F.concat(F.lit("geo:"), F.array_join("geo.evidence", ","))))
-    tags = tags.when(status == "rejected", F.array(F.lit("pages:1"), F.lit("shallow_scrape"), reason)).otherwise(F.array(reason))
-    reasons = F.when(status.isin("qualified", "rejected"), F.array_union(F.col("s.reasons"), tags)).otherwise(tags)
+    passed = [F.lit("shallow_scrape_qualified"), F.lit("industry_evidence_ok"), *([] if gates.gate_off(m.country) else [F.concat(F.lit("geo:"), F.array_join("geo.evidence", ","))])]
+    more = F.when(status == "qualified", F.array(*passed)).when(F.startswith(reason, F.lit("geo_fail")), F.array(reason)).otherwise(F.array().cast("array<string>"))
+    reasons = F.when(scored, F.concat(F.col("s.reasons"), F.array(F.lit("pages:1"), F.lit("shallow_scrape")), more)).otherwise(F.array(reason))
     return p.select(
-        *pages.columns, "domain", status.alias("status"), F.when(status == "rejected", "unverified").otherwise(status).alias("event_status"), reason.alias("reason"),
-        F.when(status.isin("qualified", "rejected"), F.col("s.score")).otherwise(0).alias("score"), F.when(status.isin("qualified", "rejected"), F.col("s.tier")).otherwise("weak").alias("tier"),
+        *pages.columns, "domain", status.alias("status"), F.when(status == "rejected", "unverified").otherwise(status).alias("event_status"), gates.event_reason(status, reason).alias("event_reason"), reason.alias("reason"),
+        F.when(scored, F.col("s.score")).otherwise(0).alias("score"), F.when(scored, F.col("s.tier")).otherwise("weak").alias("tier"),
         reasons.alias("reasons"), "linkedin_url", web.company_name(F.col("linkedin_url"), F.col("body"), page_title, dims.SEO_WORDS).alias("company_name"),
     )
 
@@ -79,32 +93,66 @@ def verified_rows(hits: DataFrame) -> DataFrame:
     return hits.select("domain", F.lit("qualified").alias("status"), F.lit(70).alias("score"), F.lit("strong").alias("tier"), F.array(tag).alias("reasons"))
 
 
-def qualify_hits(hits: DataFrame, pages: DataFrame, known: DataFrame, m: Market, order: list[str]) -> DataFrame:
-    """domain, status, score, tier, reasons for new hits: each domain once, vouched ones first, others by their page.
+def decide_hits(hits: DataFrame, known: DataFrame, m: Market, page_order: list[str], order: list[str]) -> DataFrame:
+    """domain, decision, priority, source, reason of each domain that known (domain) does not hold and that a hit decides on.
 
-    Screens stand before the page join, so pages are read for what is left only.
+    Result pages come one after another (page_order); on a page, panels, directories' companies and hits that their own summary
+    vouches for come before normal hits, and a domain that one of them names is not looked at among the page's normal hits.  The
+    first hit that decides counts, and decides for good: 'vouched' (hygiene passed), 'page' (its page is to be read), 'failed' (junk
+    or a foreign TLD) or 'blocked'.  Hits on directories themselves decide nothing.  Two aggregates, first by page and
+    domain, then by domain; both combine before they shuffle.
     """
-    s = screen_hits(hits, known, m).where("keep")
-    once = first_wins(s.select("domain", "priority", "source", *[c for c in order if c not in ("domain", "priority", "source")]), ["domain"], ["priority", *order])
-    vouched = verified_rows(once.where("priority in (0, 1, 3)").withColumn("source", F.when(F.col("priority") == 3, "serp_summary").otherwise(F.col("source"))))
-    rest = once.where("priority not in (0, 1, 3)").select("domain")
-    page = first_wins(pages.withColumn("domain", web.domain_of(F.col("url"))).select("domain", "url", "html"), ["domain"], ["url"]).join(rest, "domain", "right")
+    h = without_known(hits.withColumn("domain", web.domain_of(F.col("link"))).where("domain <> ''"), "domain", known)
+    s = screen_hits(h.drop("domain"), known.limit(0), m)
+    vouched = F.col("priority").isin(0, 1, 3)
+    junk = (F.col("reason") == "foreign_cctld") | (~vouched & F.col("reason").isin("serp_junk", "junk_title"))
+    decision = F.when(F.col("priority") != 2, F.when(F.col("reason").isNull(), F.when(vouched, "vouched").otherwise("page")).when(F.col("reason") == "blocked", "blocked").when(junk, "failed"))
+    s = s.withColumn("decision", decision)
+    place = list(dict.fromkeys(page_order))
+    one = F.struct("decision", "priority", "source", "reason")
+    on_page = s.groupBy(*place, "domain").agg(F.min("priority").alias("_least"), F.min_by(one, F.when(F.col("decision").isNotNull(), F.struct("priority", *order))).alias("_d"))
+    on_page = on_page.where("_d is not null and (_d.priority < 9 or _least = 9)")
+    return on_page.groupBy("domain").agg(F.min_by("_d", F.struct(*place)).alias("_d")).select("domain", "_d.*")
+
+
+def qualify_decided(decided: DataFrame, pages: DataFrame | None, m: Market) -> DataFrame:
+    """domain, status, score, tier, reasons of decided domains: vouched ones at once, 'page' ones by their first page of pages (url,
+    html) or, without pages, as discovered; failed and blocked ones with their reason."""
+    v = verified_rows(decided.where("decision = 'vouched'").withColumn("source", F.when(F.col("priority") == 3, "serp_summary").otherwise(F.col("source"))))
+    out = decided.where("decision in ('failed', 'blocked')").select("domain", F.col("decision").alias("status"), F.lit(0).alias("score"), F.lit("weak").alias("tier"), F.array("reason").alias("reasons"))
+    rest = decided.where("decision = 'page'").select("domain")
+    if pages is None:
+        return v.unionByName(out).unionByName(rest.select("domain", F.lit("discovered").alias("status"), F.lit(0).alias("score"), F.lit("weak").alias("tier"), F.array().cast("array<string>").alias("reasons")))
+    page = first_wins(pages.withColumn("domain", web.domain_of(F.col("url"))).select("domain", "url", "html").join(rest, "domain", "left_semi"), ["domain"], ["url"]).join(rest, "domain", "right")
     read = qualify_pages(page.select(F.col("domain").alias("url"), "html"), m).select("domain", "status", "score", "tier", "reasons")
-    return vouched.unionByName(read)
+    return v.unionByName(out).unionByName(read)
+
+
+def qualify_hits(hits: DataFrame, pages: DataFrame, known: DataFrame, m: Market, page_order: list[str], order: list[str]) -> DataFrame:
+    """domain, status, score, tier, reasons for the hits' new domains, each once (see decide_hits); pages are read only for
+    those that need them."""
+    return qualify_decided(materialize(decide_hits(hits, known, m, page_order, order), "decided"), pages, m)
 
 
 def resolve_names(names: DataFrame, results: DataFrame, page: list[str], m: Market) -> DataFrame:
     """Best result URL for company names of one result page: the host's first label holds the name's slug, lies in it or
     holds a word of four letters (rank 0), or the title holds the name or its first two such words (rank 1); then the
-    shorter host, then rank 0's later result or rank 1's earlier one.  Blocked hosts do not count.  Both sides meet on the
-    page key, which has to stay small (one page of results); names: page + name; results: page + link, title, pos."""
+    shorter host, then rank 0's later result or rank 1's earlier one.  Blocked hosts do not count.  names: page + name; results:
+    page + link, title, pos.  Names and results meet where they share a run of characters (see substrings), so a page with very
+    many of both makes no product of them."""
     words = F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: F.length(w) >= 4)
-    n = names.withColumn("_slug", web.company_slug(F.col("name"))).withColumn("_words", words).withColumn("_low", F.trim(F.lower("name")))
-    r = results.where(~m.blocks(F.col("link"))).withColumn("_host", web.domain_of(F.col("link"))).withColumn("_label", web.company_slug(F.substring_index("_host", ".", 1))).withColumn("_title", F.lower(web.text(F.col("title"))))
-    host = ((F.col("_slug") != "") & (F.contains(F.col("_slug"), F.col("_label")) | F.contains(F.col("_label"), F.col("_slug")))) | F.exists("_words", lambda w: F.contains(F.col("_label"), w))
-    title = (F.col("_title") != "") & (F.contains(F.col("_title"), F.col("_low")) | ((F.size("_words") > 0) & F.forall(F.slice("_words", 1, 2), lambda w: F.contains(F.col("_title"), w))))
-    j = n.join(r, page).withColumn("_rank", F.when(host, 0).when(title, 1)).where("_rank is not null and _low <> ''")
-    best = j.groupBy(*page, "name").agg(F.min_by("link", F.struct("_rank", F.length("_host"), F.when(F.col("_rank") == 0, -F.col("pos")).otherwise(F.col("pos")), "link")).alias("link"))
+    n = names.select(*page, "name").distinct().where(F.trim("name") != "").withColumns({"_slug": web.company_slug(F.col("name")), "_words": words, "_low": F.trim(F.lower("name"))})
+    r = results.where(~m.blocks(F.col("link"))).withColumn("_host", web.domain_of(F.col("link")))
+    r = r.select(*page, "link", "pos", F.length("_host").alias("_size"), web.company_slug(F.substring_index("_host", ".", 1)).alias("_label"), F.lower(web.text(F.col("title"))).alias("_title"))
+    slugs = n.where("_slug <> ''")
+    in_label = n.select(*page, "name", F.explode(F.array_distinct(F.concat(F.filter(F.array("_slug"), lambda s: s != ""), "_words"))).alias("_part"))
+    in_title = n.select(*page, "name", F.explode(F.concat(F.array(F.struct(F.col("_low").alias("part"), F.array().cast("array<string>").alias("more"))), F.transform(F.slice("_words", 1, 1), lambda w: F.struct(w.alias("part"), F.slice("_words", 2, 1).alias("more"))))).alias("_w"))
+    in_title = in_title.select(*page, "name", F.col("_w.part").alias("_part"), F.col("_w.more").alias("_more"))
+    by_host = holding(r, in_label, page, "_label", "_part").select(*page, "name", "link", "pos", "_size")
+    in_slug = holding(slugs.select(*page, "name", "_slug"), r, page, "_slug", "_label").select(*page, "name", "link", "pos", "_size")
+    titled = holding(r.where("_title <> ''"), in_title, page, "_title", "_part").where(F.forall("_more", lambda w: F.contains("_title", w))).select(*page, "name", "link", "pos", "_size")
+    j = by_host.unionByName(in_slug).withColumn("_rank", F.lit(0)).unionByName(titled.withColumn("_rank", F.lit(1)))
+    best = j.groupBy(*page, "name").agg(F.min_by("link", F.struct("_rank", "_size", F.when(F.col("_rank") == 0, -F.col("pos")).otherwise(F.col("pos")), "link")).alias("link"))
     return names.join(best, [*page, "name"], "left")
 
 
@@ -158,14 +206,17 @@ def mine_directories(hits: DataFrame, pages: DataFrame, m: Market, page: list[st
     return found.join(d.select("_dir", *page, "pos"), "_dir").select(*page, "pos", "link", "title", "snippet", "source")
 
 
-def qualify_run(hits: DataFrame, pages: DataFrame, table: DataFrame, m: Market, page: list[str]) -> DataFrame:
-    """The table of domains (domain, status, score, tier) after a run over hits: directories are mined, each new domain is
-    qualified once, and the batch is written without demotions.  hits: page + pos, link, title, snippet, source."""
+def qualify_run(hits: DataFrame, pages: DataFrame, table: DataFrame, blocked: DataFrame, m: Market, page: list[str], page_order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(table of domains: domain, status, score, tier; blocked hosts: domain) after a run over hits: directories are mined, each new
+    domain is decided on once, the batch is written without demotions, and blocked hosts are noted so that later runs pass
+    them by.  hits: page + pos, link, title, snippet, source and page_order."""
     from siftwell.operators import state
 
-    mined = materialize(mine_directories(hits, pages, m, page), "mined")
-    every = hits.select(*page, "pos", "link", "title", "snippet", "source").unionByName(mined)
-    found = qualify_hits(every, pages, table.select("domain"), m, ["pos", *page, "link"])
+    mined = mine_directories(hits, pages, m, page).join(hits.select(*page, *page_order).distinct(), page)
+    mined = materialize(mined.select(*page, *[c for c in page_order if c not in page], "pos", "link", "title", "snippet", "source"), "mined")
+    every = hits.select(*mined.columns).unionByName(mined)
+    found = materialize(qualify_hits(every, pages, table.select("domain").union(blocked.select("domain")), m, page_order, ["pos", "link"]), "found")
     provided = F.array(*map(F.lit, ("status", "score", "tier")))
-    updates = found.select(F.lit(0).alias("seq"), "domain", "status", "score", "tier", provided.alias("provided"))
-    return state.upsert(table, state.without_demotions(table, updates, "domain"), "domain", ["status", "score", "tier"])
+    updates = found.where("status <> 'blocked'").select(F.lit(0).alias("seq"), "domain", "status", "score", "tier", provided.alias("provided"))
+    after = state.upsert(table, state.without_demotions(table, updates, "domain"), "domain", ["status", "score", "tier"])
+    return after, blocked.select("domain").union(found.where("status = 'blocked'").select("domain")).distinct()

@@ -12,6 +12,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftwell.scratch import put_line, read_line
+
 
 def fold_updates(updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row per key: the last provided value of each column, and which were provided.  Blank keys go."""
@@ -98,10 +100,8 @@ class Snapshots:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
     def pointer(self) -> dict:
-        fs, path = self._fs()
-        if not fs.exists(path(f"{self.folder}/current")):
-            return {"version": -1, "batch": -1}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/current").collect()))  # one short line
+        line = read_line(self.spark, f"{self.folder}/current")
+        return json.loads(line) if line else {"version": -1, "batch": -1}
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/v={self.pointer()['version']}")
@@ -114,18 +114,7 @@ class Snapshots:
         version = at["version"] + 1
         w = df.write.mode("overwrite")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.folder}/v={version}")
-        fs, path = self._fs()
-        line = json.dumps({"version": version, "batch": at["batch"] if batch is None else batch})
-        # in full beside the pointer, then moved over it: a crash leaves the old pointer or the new one
-        new, current = path(f"{self.folder}/current.{version}"), path(f"{self.folder}/current")
-        out = fs.create(new, True)
-        out.write(bytearray(line.encode()))
-        out.close()
-        overwrite = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        files = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = overwrite
-        files.rename(new, current, options)
+        put_line(self.spark, f"{self.folder}/current", json.dumps({"version": version, "batch": at["batch"] if batch is None else batch}))
         return True
 
     def forget(self, keep: int) -> None:

@@ -7,12 +7,14 @@ country tables are parameters fitted to the invented vocabulary.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.operators.qualify import Market
+from siftwell.scratch import scratch_dir
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -37,6 +39,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A folder of the shared scratch space for state that a query keeps between batches; it goes when the application ends."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     """Result rows, one a document: its first line as title, its text as snippet and the URL of a page, dealt in turn."""
     p, d = table(spark, sf, "pages"), table(spark, sf, "documents")

@@ -8,8 +8,10 @@ from siftwell import dims
 from siftwell.functions import contacts, gates, web
 from siftwell.operators import emails, extract, people, qualify, runs, terms
 from siftwell.operators.dedupe import first_n, first_wins
-from siftwell.plans.base import HITS, MARKET, hits, query, sql_absolute, sql_any, sql_blocked, sql_domain, sql_list, sql_merged, sql_resolved, table
+from siftwell.operators.resume import SlicedRun
+from siftwell.plans.base import HITS, MARKET, hits, query, scratch_folder, sql_absolute, sql_any, sql_blocked, sql_domain, sql_list, sql_merged, sql_resolved, table
 from siftwell.sources import hits as sources
+from siftwell.streaming import stops
 
 # people named after parts, at hosts named after brands
 PARTS = """parts as (select p_partkey as person, lower(replace(p_brand, '#', '')) || '.example.com' as domain, string_split(p_name, ' ')[1] as first_name, string_split(p_name, ' ')[2] as last_name, p_name, p_type, p_size from part)"""
@@ -296,25 +298,32 @@ def _(spark, sf):
     return extract.document_addresses(p, "site").select("site", "email", "doc")
 
 
-_SITE = f"""{PARTS}, mails as (select domain, ['/contact', '/about', '/'][case when domain like '%1.example.com' then 3 else p_size % 2 + 1 end] as path, person as pos, case when p_size % 7 = 0 then 'info' else first_name || p_size end || '@' || domain as email, p_size from parts),
-paths as (select * from (values ('/contact', 1), ('/about', 2), ('/', 99)) t(path, priority)), m as (select * from mails join paths using (path)),
-st as (select *, min(case when not starts_with(email, 'info@') and path <> '/' then priority end) over (partition by domain) as stop from m),
-site as (select domain, email, min(priority) as priority from st where stop is null or priority <= stop group by 1, 2)"""
+_SITE = f"""{PARTS}, mails as (select domain, case when domain like '%2.example.com' then 'doc' else ['/contact', '/about', '/'][case when domain like '%1.example.com' then 3 else p_size % 2 + 1 end] end as path, person as pos, case when p_size % 7 = 0 then 'info' else first_name || p_size end || '@' || domain as email, p_size from parts),
+paths as (select * from (values ('/contact', 1), ('/about', 2), ('/', 99)) t(path, priority)), dm as (select *, p_size % 5 as doc, min(p_size % 5) over (partition by domain) as first_doc from mails where path = 'doc'),
+m as (select mails.*, priority from mails join paths using (path) union all select domain, path, pos, email, p_size, 1000000 + doc from dm where doc = first_doc and doc < 3),
+st as (select *, min(case when not starts_with(email, 'info@') and path not in ('/', 'doc') then priority end) over (partition by domain) as stop from m),
+site as (select domain, email, min(priority)::int as priority from st where stop is null or priority <= stop group by 1, 2)"""
 
 
 def site_pages(spark, sf):
-    path = F.element_at(F.array(F.lit("/contact"), F.lit("/about"), F.lit("/")), F.when(F.endswith("domain", F.lit("1.example.com")), 3).otherwise(F.col("p_size") % 2 + 1).cast("int"))
+    """Pages, paths and linked documents: sites that end in 2 show addresses in their documents only, those in 1 on their homepage."""
+    in_docs, at_home = F.endswith("domain", F.lit("2.example.com")), F.endswith("domain", F.lit("1.example.com"))
+    path = F.element_at(F.array(F.lit("/contact"), F.lit("/about"), F.lit("/")), F.when(at_home, 3).otherwise(F.col("p_size") % 2 + 1).cast("int"))
     email = F.concat(F.when(F.col("p_size") % 7 == 0, "info").otherwise(F.concat("first_name", "p_size")), F.lit("@"), "domain")
-    pages = parts(spark, sf).withColumn("path", path).groupBy("domain", "path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("person", email.alias("e")))), lambda x: x["e"]), " , ").alias("text"))
-    return pages, spark.createDataFrame([("/contact", 1), ("/about", 2), ("/", 99)], "path string, priority int")
+    shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("person", email.alias("e")))), lambda x: x["e"]), " , ")
+    pages = parts(spark, sf).withColumn("path", path).groupBy("domain", "path").agg(F.when(in_docs, "see our papers").otherwise(shown).alias("text"))
+    docs = parts(spark, sf).withColumn("doc", F.col("p_size") % 5).groupBy("domain", "doc").agg(shown.alias("text")).withColumn("page", F.lit(0))
+    return pages, spark.createDataFrame([("/contact", 1), ("/about", 2), ("/", 99)], "path string, priority int"), docs
 
 
 def site(spark, sf):
-    return extract.site_addresses(*site_pages(spark, sf))
+    pages, paths, docs = site_pages(spark, sf)
+    return extract.site_addresses(pages, paths, documents=docs)
 
 
 @query("e11_site_addresses", f"with {_SITE} select domain, email, priority from site")
 def _(spark, sf):
+    """Addresses of sites from contact pages, else the homepage, else linked documents."""
     return site(spark, sf).select("domain", "email", "priority")
 
 
@@ -424,7 +433,7 @@ def _layers(spark, sf):
 
 @query("n02_first_email_layer", f"{_LAYERS} select person, email, layer, verified from f where rn = 1")
 def _(spark, sf):
-    return emails.first_layer(_layers(spark, sf)[1])
+    return emails.first_layer(_layers(spark, sf)[1]).select("person", "email", "layer", "verified")
 
 
 @query("o03_find_emails", f"{_LAYERS} select f.person, domain, email, layer from f join parts using (person) where rn = 1 and (layer <> 'L2-EFmt' or verified) and not {_GENERIC}")
@@ -433,24 +442,42 @@ def _(spark, sf):
     return emails.leads(who, layers).select("person", "domain", "email", "layer")
 
 
-def mail_run(spark, sf):
+def mail_inputs(spark, sf):
     p = parts(spark, sf)
-    who = p.select("person", "domain", F.col("p_name").alias("full_name"), F.when(F.col("p_size") % 2 == 0, F.col("first_name")).otherwise("").alias("first_name"), F.when(F.col("p_size") % 2 == 0, F.col("last_name")).otherwise("").alias("last_name"), F.lit(None).cast("string").alias("email_searched_at"))
+    who = p.select(
+        "person", "domain", F.col("p_name").alias("full_name"), F.when(F.col("p_size") % 2 == 0, F.col("first_name")).otherwise("").alias("first_name"), F.when(F.col("p_size") % 2 == 0, F.col("last_name")).otherwise("").alias("last_name"),
+        F.col("p_type").alias("title"), F.concat(F.lit("Co "), "domain").alias("company_name"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("u/"), "person")).alias("linkedin_url"), F.lit(None).cast("string").alias("email_searched_at"),
+    )
     about = patterns(spark, sf).select("domain", F.concat(F.lit("Format "), F.element_at(F.map_from_arrays(F.array(*map(F.lit, dims.EMAIL_PATTERNS)), F.array(*map(F.lit, dims.EMAIL_TOKENS))), F.col("pattern"))).alias("body"))
     hits = p.where("p_size % 2 = 0").select("person", F.lit(0).alias("pos"), "domain", F.concat(F.lit("mail"), "person", F.lit("@"), "domain").alias("snippet"), F.lit("").alias("title"), F.lit("").alias("link"))
     known = p.where("person % 9 = 0").select(F.concat(F.lit("mail"), "person", F.lit("@"), "domain").alias("email"))
-    pages, paths = site_pages(spark, sf)
-    return emails.mail_run(who, pages, paths, about, verdicts(spark, sf), hits, known, F.lit("now"))
+    pages, paths, docs = site_pages(spark, sf)
+    return who, pages, paths, about, verdicts(spark, sf), hits, known, F.lit("now"), docs
+
+
+_LEADS = f"""{_LAYERS}, a as (select f.person, domain, email, layer, case layer when 'L1-Site' then case when {_FIRST} or contains(string_split(email, '@')[1], last_name) then 'Site ✓' else 'Site' end when 'L2-EFmt' then 'EFmt ✓' else 'Search ✓' end as email_source, p_name as full_name, first_name, last_name, p_type as title, 'Co ' || domain as company, case when p_size % 3 = 0 then 'u/' || person else '' end as linkedin_url,
+row_number() over (partition by email order by f.person) as first from f join parts using (person) where rn = 1 and (layer <> 'L2-EFmt' or verified) and not {_GENERIC})
+select person, domain, email, layer, email_source, full_name, first_name, last_name, title, company, linkedin_url from a where first = 1 and email not in (select 'mail' || person || '@' || domain from parts where person % 9 = 0)"""
+_LEAD_COLUMNS = ["person", "domain", "email", "layer", "email_source", "full_name", "first_name", "last_name", "title", "company", "linkedin_url"]
+
+
+@query("o03_mail_run", _LEADS)
+def _(spark, sf):
+    return emails.mail_run(*mail_inputs(spark, sf))[0].select(*_LEAD_COLUMNS)
 
 
-@query("o03_mail_run", f"{_LAYERS}, a as (select f.person, domain, email, layer, case layer when 'L1-Site' then case when {_FIRST} or contains(string_split(email, '@')[1], last_name) then 'Site ✓' else 'Site' end when 'L2-EFmt' then 'EFmt ✓' else 'Search ✓' end as email_source, row_number() over (partition by email order by f.person) as first from f join parts using (person) where rn = 1 and (layer <> 'L2-EFmt' or verified) and not {_GENERIC}) select person, domain, email, layer, email_source from a where first = 1 and email not in (select 'mail' || person || '@' || domain from parts where person % 9 = 0)")
+@query("k07_resumed_mail_run", _LEADS)
 def _(spark, sf):
-    return mail_run(spark, sf)[0].select("person", "domain", "email", "layer", "email_source")
+    """The mail run in three slices, of which the first start does one; the second start does the rest."""
+    run = lambda: SlicedRun(spark, folder, 3)
+    folder = scratch_folder(spark, "mail-run")
+    emails.mail_run_in_slices(run(), *mail_inputs(spark, sf), at_most=1)
+    return emails.mail_run_in_slices(run(), *mail_inputs(spark, sf))[0].select(*_LEAD_COLUMNS)
 
 
 @query("o03_people_after_run", "select p_partkey as person, 'now' as email_searched_at from part")
 def _(spark, sf):
-    return mail_run(spark, sf)[1].select("person", "email_searched_at")
+    return emails.mail_run(*mail_inputs(spark, sf))[1].select("person", "email_searched_at")
 
 
 @query("o02_find_people", f"with {PARTS}, k as (select domain, arg_min(person, (person % 2, person)) as person, arg_min(p_type, (person % 2, person)) as p_type from parts group by domain, lower(p_name)), r as (select domain, person, row_number() over (partition by domain order by person % 2, person) as rn from k where {sql_any('p_type', ['standard', 'promo'])}) select domain, person, case person % 2 when 0 then 'xray' else 'Website' end as people_source from r where rn <= 10")
@@ -474,7 +501,7 @@ e as (select *, row_number() over (partition by domain, name order by rank, pos)
 def people_run(spark, sf):
     p = parts(spark, sf).where("p_size % 3 >= 0")
     domain, size = F.col("domain"), F.col("p_size")
-    companies = p.select("domain").distinct().select("domain", F.when(F.endswith(domain, F.lit("2.example.com")), "").otherwise("x").alias("linkedin_url"), F.when(F.endswith(domain, F.lit("3.example.com")), "lsp").otherwise("").alias("company_type"), F.lit(None).cast("string").alias("people_searched_at"))
+    companies = p.select("domain").distinct().select("domain", F.when(F.endswith(domain, F.lit("2.example.com")), "").otherwise("x").alias("linkedin_url"), F.when(F.endswith(domain, F.lit("3.example.com")), "lsp").otherwise("").alias("company_type"), F.lit(None).cast("string").alias("people_searched_at"), F.concat(F.lit("Co "), domain).alias("company_name"))
     homes = companies.select("domain", F.when(F.endswith(domain, F.lit("1.example.com")), "We translate; a translation agency.").otherwise("").alias("body"))
     hits = p.where("p_size % 3 = 0").select("domain", F.lit(0).alias("engine_rank"), F.lit(0).alias("candidate_rank"), F.col("person").alias("pos"), F.concat(F.lit("https://www.linkedin.com/in/"), "person").alias("link"), F.concat("p_name", F.lit(" - "), "p_type", F.lit(" | Profile")).alias("title"), F.lit("").alias("snippet"))
     cards = p.where("p_size % 3 = 1").select("domain", F.col("person").alias("pos"), F.concat(F.lit("u/"), "person").alias("url"), F.array(F.initcap("p_name"), F.col("p_type")).alias("fragments"))
@@ -487,7 +514,7 @@ def people_run(spark, sf):
     return people.people_run(companies, homes, verdicts, hits, cards, pages, spark.createDataFrame([("/team", 1)], "path string, priority int"), table_now, F.lit("now"), ["promo", "standard"], everyone)
 
 
-@query("o02_people_run", f"{_RUN} select domain, name as full_name, title, url as linkedin_url, people_source from e where once = 1")
+@query("o02_people_run", f"{_RUN} select domain, 'Co ' || domain as company_name, string_split(name, ' ')[1] as first_name, array_to_string(string_split(name, ' ')[2:], ' ') as last_name, name as full_name, title, url as linkedin_url, people_source, 'now' as found_at from e where once = 1")
 def _(spark, sf):
     return people_run(spark, sf)[0]
 
@@ -581,6 +608,18 @@ def _(spark, sf):
     return runs.stop_rows(e, targets)
 
 
+@query("k05_live_stops", f"{_STOP} select run_id, seq, coalesce(reason, 'search_exhausted') as reason, total_kept, total_checked from f where rn = 1")
+def _(spark, sf):
+    """The stop decision on the events as a stream: the same ends as on the whole history.  A last event of a run of its own, far
+    ahead in time, lets the watermark pass all others."""
+    e = run_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = scratch_folder(spark, "events")
+    e.write.parquet(folder)
+    targets = e.select("run_id").distinct().select("run_id", F.when(F.col("run_id") % 3 == 0, 60).otherwise(8).alias("target"), F.lit(45).alias("budget"))
+    ahead = e.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).select(F.lit(-1).cast(e.schema["run_id"].dataType).alias("run_id"), F.lit(0).cast(e.schema["seq"].dataType).alias("seq"), "ts", *[F.lit(False).alias(c) for c in ("kept", "checked", "term_end")], F.lit(None).cast("string").alias("signal"))
+    return stops.ends_of(spark, folder, e.schema, ahead, targets.unionByName(spark.createDataFrame([(-1, 1, 1)], "run_id int, target int, budget int")), idle_s=60 * 86_400)
+
+
 @query("k04_windowed_yield", "with b as (select user_id as run_id, event_type as kind, time_bucket(interval '15 minutes', ts) as start from events) select run_id, kind, start, count(*) as n from b group by 1, 2, 3")
 def _(spark, sf):
     e = table(spark, sf, "events").groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("kind"), F.window(F.col("ts").cast("timestamp"), "15 minutes").alias("w")).agg(F.count("*").alias("n"))
@@ -592,17 +631,6 @@ def _(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("k01_k02_k03_harvest_batch", f"with {HITS}, h as (select pos, source, {sql_domain('link')} as domain from hits), k as (select distinct {sql_domain('url')} as domain from pages where url like '%#%') select domain, 'discovered' as status from h where not {sql_blocked('domain')} and domain not in (select domain from k) group by 1")
-def _(spark, sf):
-    from dataclasses import replace
-
-    from siftwell.streaming.harvest import new_domains
-
-    h = hits(spark, sf).withColumn("ts", F.lit(0))
-    known = table(spark, sf, "pages").where(F.contains("url", F.lit("#"))).select(web.domain_of(F.col("url")).alias("domain"))
-    return new_domains(h, known, replace(MARKET, country="")).select("domain", "status")
-
-
 @query("k09_per_domain_memo", f"with {PARTS}, m as (select domain, max(p_size) as best from parts group by 1) select person, best from parts join m using (domain)")
 def _(spark, sf):
     p = parts(spark, sf)

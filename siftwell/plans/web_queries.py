@@ -8,8 +8,9 @@ from siftwell import dims
 from siftwell.functions import gates, web
 from siftwell.operators import qualify, suffixes
 from siftwell.operators.dedupe import first_n, first_wins
+from siftwell.operators.known import without_known
 from siftwell.plans.base import (
-    GEO, HITS, JUNK, KEYWORDS, LISTS, MARKET, STRONG, TLDS, hits, query, sql_absolute, sql_any, sql_any_token, sql_below, sql_blocked, sql_body, sql_country, sql_domain, sql_foreign, sql_hits, sql_links, sql_list, sql_merged, sql_tld, sql_token, sql_within, table,
+    GEO, HITS, JUNK, KEYWORDS, LISTS, MARKET, STRONG, TLDS, hits, query, sql_absolute, sql_any, sql_any_token, sql_below, sql_blocked, sql_body, sql_country, sql_domain, sql_foreign, sql_hits, sql_links, sql_list, sql_merged, sql_tld, sql_token, sql_within, scratch_folder, table,
 )
 
 H = "domain"
@@ -18,8 +19,7 @@ WITH_HITS = f"with {HITS}, h as (select *, {sql_domain('link')} as domain from h
 
 
 def pages(spark, sf):
-    p = table(spark, sf, "pages")
-    return p.withColumn("domain", web.domain_of(F.col("url"))).withColumn("body", web.html_to_text(F.col("html"), limit=None)).withColumn("links", web.links_of(F.col("html")))
+    return web.with_page(table(spark, sf, "pages").withColumn("domain", web.domain_of(F.col("url"))), "html", limit=None)
 
 
 def with_domain(spark, sf):
@@ -96,7 +96,7 @@ def _(spark, sf):
 
 @query("b12_html_to_text", f"select page_id, {sql_body('html')} as body from pages")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", web.html_to_text(F.col("html"), limit=None).alias("body"))
+    return web.with_page(table(spark, sf, "pages"), "html", links=None, limit=None).select("page_id", "body")
 
 
 @query("b13_extract_links", f"select page_id, array_to_string({sql_links('html')}, ' ') as links from pages")
@@ -257,13 +257,13 @@ def sql_gated(rows: str) -> str:
 
 @query("c08_location_gate", f"with p as (select doc_id, 'host.example' as domain, text as body from documents), {sql_gated('p')} select doc_id, g[1] = 'ok' as ok, array_to_string(g[2:], ',') as evidence from gate")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", gates.location_gate(F.lit("host.example"), F.col("text"), "Alpha", TLDS, GEO).alias("g"))
+    d = gates.with_location_gate(table(spark, sf, "documents").select("doc_id", "text"), "g", F.lit("host.example"), "text", "Alpha", TLDS, GEO)
     return d.select("doc_id", "g.ok", F.array_join("g.evidence", ",").alias("evidence"))
 
 
 @query("c08_location_gate_pages", f"{WITH_PAGES}, {sql_gated('p')} select page_id, g[1] = 'ok' as ok, array_to_string(g[2:], ',') as evidence from gate")
 def _(spark, sf):
-    d = pages(spark, sf).select("page_id", gates.location_gate(F.col("domain"), F.col("body"), "Alpha", TLDS, GEO).alias("g"))
+    d = gates.with_location_gate(pages(spark, sf), "g", F.col("domain"), "body", "Alpha", TLDS, GEO)
     return d.select("page_id", "g.ok", F.array_join("g.evidence", ",").alias("evidence"))
 
 
@@ -304,35 +304,50 @@ def _(spark, sf):
 _BEVID = _EVID.replace(_BOTH, "coalesce(body, '')")
 _GATED = f"{WITH_PAGES}, {sql_gated('p')}, g as (select *, {_BEVID} as ind, {sql_hits('body', KEYWORDS)} as found from gate)"
 _PARKED = f"(length(trim(coalesce(body, ''))) < 100 or {sql_any('body', dims.PARKING_SIGNALS)})"
-_STATUS = f"case when body is null then 'unreachable' when {_PARKED} then 'failed' when not ind or g[1] <> 'ok' then 'rejected' else 'qualified' end"
+_GATE_STATUS = f"case when body is null then 'unreachable' when {_PARKED} then 'failed' when not ind or g[1] <> 'ok' then 'rejected' else 'qualified' end"
 _REASON = f"case when body is null then 'timeout_or_empty' when {_PARKED} then 'parked_or_empty' when not ind then 'industry_fail' when g[1] <> 'ok' then 'geo_fail:' || array_to_string(g[2:], ',') end"
 
 
-@query("c16_page_gate", f"{_GATED} select page_id, {_STATUS} as status, {_REASON} as reason from g")
+@query("c16_page_gate", f"{_GATED} select page_id, {_GATE_STATUS} as status, {_REASON} as reason from g")
 def _(spark, sf):
-    return qualify.qualify_pages(table(spark, sf, "pages"), MARKET).select("page_id", "status", "reason")
+    return qualify.page_gate(table(spark, sf, "pages"), MARKET).select("page_id", "status", "reason")
 
 
 _CONTACT, _ABOUT = (f"(len(list_filter(links, lambda u: {sql_any('u', x)})) > 0)" for x in (dims.CONTACT_HINTS, dims.ABOUT_HINTS))
 _RAW = f"least(50, 7 * len(found)) + case when {_CONTACT} then 20 else 0 end + case when {_ABOUT} then 10 else 0 end"
 _SCORE = f"(case when len(found) = 0 then 0 when ind then {_RAW} else least(29, {_RAW}) end)"
 _TIER = f"case when len(found) > 0 and ind then (case when {_SCORE} >= 60 then 'strong' when {_SCORE} >= 30 then 'possible' else 'weak' end) else 'weak' end"
+_STATUS = f"case when body is null then 'unreachable' when {_PARKED} then 'failed' when not ind or g[1] <> 'ok' or {_TIER} = 'weak' then 'rejected' else 'qualified' end"
+_SCORE_REASONS = f"list_filter([case when len(found) > 0 then len(found) || ' industry keywords' end, case when len(found) > 0 and {_CONTACT} then 'has contact page' end, case when len(found) > 0 and {_ABOUT} then 'has about/team page' end, case when len(found) > 0 and not ind then 'insufficient industry evidence' end, case when len(found) = 0 and body is not null then 'missing industry keywords' end], lambda x: x is not null)"
 
 
-@query("d01_score_company", f"{_GATED} select page_id, {_SCORE}::int as score, {_TIER} as tier, array_to_string(list_filter([case when len(found) > 0 then len(found) || ' industry keywords' end, case when len(found) > 0 and {_CONTACT} then 'has contact page' end, case when len(found) > 0 and {_ABOUT} then 'has about/team page' end, case when len(found) > 0 and not ind then 'insufficient industry evidence' end, case when len(found) = 0 and body is not null then 'missing industry keywords' end], lambda x: x is not null), ';') as reasons from g")
+@query("d01_score_company", f"{_GATED} select page_id, {_SCORE}::int as score, {_TIER} as tier, array_to_string({_SCORE_REASONS}, ';') as reasons from g")
 def _(spark, sf):
-    s = gates.score_page(F.col("body"), F.col("links"), F.lit(""), KEYWORDS, STRONG)
-    return pages(spark, sf).withColumn("s", s).select("page_id", "s.score", "s.tier", F.array_join("s.reasons", ";").alias("reasons"))
+    return gates.with_score(pages(spark, sf), "s", "body", "links", F.lit(""), KEYWORDS, STRONG).select("page_id", "s.score", "s.tier", F.array_join("s.reasons", ";").alias("reasons"))
 
 
-@query("d02_qualify_page", f"{_GATED}, s as (select page_id, domain, {_STATUS} as status, {_REASON} as reason, {_SCORE}::int as score, {_TIER} as tier from g) select page_id, domain, status, case when status = 'rejected' then 'unverified' else status end as event_status, reason, case when status in ('qualified', 'rejected') then score else 0 end as score, case when status in ('qualified', 'rejected') then tier else 'weak' end as tier from s")
+_EVENT_REASON = "case when status = 'failed' then reason when status = 'rejected' and starts_with(reason, 'geo_fail') then 'location_mismatch' when status = 'rejected' then 'industry_mismatch' end"
+_TAGS = "case when status in ('qualified', 'rejected') then list_concat(why, ['pages:1', 'shallow_scrape'], case when status = 'qualified' then ['shallow_scrape_qualified', 'industry_evidence_ok', 'geo:' || array_to_string(g[2:], ',')] when starts_with(reason, 'geo_fail') then [reason] else [] end) else [reason] end"
+
+
+@query("d02_qualify_page", f"""{_GATED}, s as (select page_id, domain, g, {_STATUS} as status, {_REASON} as reason, {_SCORE}::int as score, {_TIER} as tier, {_SCORE_REASONS} as why from g)
+select page_id, domain, status, case when status = 'rejected' then 'unverified' else status end as event_status, {_EVENT_REASON} as event_reason, reason, array_to_string({_TAGS}, ';') as reasons,
+  case when status in ('qualified', 'rejected') then score else 0 end as score, case when status in ('qualified', 'rejected') then tier else 'weak' end as tier from s""")
 def _(spark, sf):
-    return qualify.qualify_pages(table(spark, sf, "pages"), MARKET).select("page_id", "domain", "status", "event_status", "reason", "score", "tier")
+    q = qualify.qualify_pages(table(spark, sf, "pages"), MARKET)
+    return q.select("page_id", "domain", "status", "event_status", "event_reason", "reason", F.array_join("reasons", ";").alias("reasons"), "score", "tier")
+
+
+@query("d02_statuses", f"{_GATED}, s as (select {_STATUS} as status, {_REASON} as reason, {_TIER} as tier from g) select status, case when status in ('qualified', 'rejected') then tier else 'weak' end as tier, {_EVENT_REASON} as event_reason, count(*) as pages from s group by 1, 2, 3")
+def _(spark, sf):
+    """How many pages end in each status, the weak ones that pass both gates among the rejected."""
+    p = qualify.qualify_pages(table(spark, sf, "pages"), MARKET)
+    return p.groupBy("status", "tier", "event_reason").agg(F.count("*").alias("pages"))
 
 
 @query("d03_classify_company", f"with p as (select page_id::varchar as domain, {sql_body('html')} as body from pages), v as (select doc_id::varchar as domain, case quality when 1 then 'lsp' else 'client' end as kind from labels) select p.domain, case when len({sql_hits('body', STRONG)}) >= 2 then 'lsp' when trim(coalesce(body, '')) = '' then 'client' else coalesce(kind, 'client') end as company_type, case when len({sql_hits('body', STRONG)}) >= 2 then 'keywords' when trim(coalesce(body, '')) = '' then 'default (no homepage text)' else 'external' end as method, len({sql_hits('body', STRONG)})::int as hits from p left join v using (domain)")
 def _(spark, sf):
-    p = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("domain"), web.html_to_text(F.col("html"), limit=None).alias("body"))
+    p = web.with_page(table(spark, sf, "pages"), "html", links=None, limit=None).select(F.col("page_id").cast("string").alias("domain"), "body")
     v = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("domain"), F.when(F.col("quality") == 1, "lsp").otherwise("client").alias("company_type"))
     return qualify.classify_companies(p, v, keywords=STRONG)
 
@@ -376,21 +391,66 @@ def flagship(spark, sf):
     return qualify.qualify_pages(first, MARKET).select("domain", "page_id", "status", "score", "reason")
 
 
-@query("o01_qualify_hits", f"""{_S}, t as (select *, {_PRIO} as priority, case {_HYGIENE} end as hyg, case {_HYGIENE} when {sql_any('title', dims.JUNK_TITLES)} then 'junk_title' when {sql_any(_BOTH, dims.PURE_JUNK)} or {_STATE} then 'serp_junk' end as loose from s),
-k as (select *, row_number() over (partition by domain order by priority, pos) as rn from t where (case when priority in (0, 1, 3) then hyg else loose end) is null),
-o as (select * from k where rn = 1),
-p as (select domain, arg_min(html, url) as html from (select *, {sql_domain('url')} as domain from pages) group by 1),
-q as (select o.domain, {sql_body('p.html')} as body, {sql_links('p.html')} as links from o left join p using (domain) where priority not in (0, 1, 3)),
-{sql_gated('q')}, g as (select *, {_BEVID} as ind, {sql_hits('body', KEYWORDS)} as found from gate),
-r as (select domain, {_STATUS} as status, {_SCORE}::int as score, {_TIER} as tier from g)
-select domain, 'qualified' as status, 70 as score, 'strong' as tier from o where priority in (0, 1, 3) union all
-select domain, status, case when status in ('qualified', 'rejected') then score else 0 end, case when status in ('qualified', 'rejected') then tier else 'weak' end from r""")
+def sql_decided(place: str) -> str:
+    """CTEs from h (domain, link, title, snippet, source, pos and what place names) and known (domain) to rows (domain, status, score,
+    tier): what the first deciding hit says of each new domain; p (domain, html) has the pages."""
+    return f"""s as (select h.*, false as dup from h where domain <> '' and domain not in (select domain from known)),
+t as (select *, {_PRIO} as priority, case {_HYGIENE} end as hyg, case {_HYGIENE} when {sql_any('title', dims.JUNK_TITLES)} then 'junk_title' when {sql_any(_BOTH, dims.PURE_JUNK)} or {_STATE} then 'serp_junk' end as loose from s),
+tr as (select *, case when priority in (0, 1, 3) then hyg else loose end as reason from t),
+td as (select *, case when priority = 2 then null when reason is null then (case when priority = 9 then 'page' else 'vouched' end) when reason = 'blocked' then 'blocked' when reason = 'foreign_cctld' or (priority = 9 and reason in ('serp_junk', 'junk_title')) then 'failed' end as dec from tr),
+pg as (select domain, {place} as place, min(priority) as least, arg_min({{'dec': dec, 'priority': priority}}, (priority, pos, link)) filter (where dec is not null) as d from td group by 1, 2),
+o as (select domain, arg_min(d, place) as d from pg where d is not null and (d.priority < 9 or least = 9) group by 1),
+q as (select o.domain, {sql_body('p.html')} as body, {sql_links('p.html')} as links from o left join p using (domain) where o.d.dec = 'page'),
+{sql_gated('q')}, g as (select *, {_BEVID} as ind, {sql_hits('body', KEYWORDS)} as found from gate), r as (select domain, {_STATUS} as status, {_SCORE}::int as score, {_TIER} as tier from g),
+rows as (select domain, 'qualified' as status, 70 as score, 'strong' as tier from o where d.dec = 'vouched' union all select domain, d.dec, 0, 'weak' from o where d.dec in ('failed', 'blocked') union all
+select domain, status, case when status in ('qualified', 'rejected') then score else 0 end, case when status in ('qualified', 'rejected') then tier else 'weak' end from r)"""
+
+
+_PAGES_BY_DOMAIN = f"p as (select domain, arg_min(html, url) as html from (select *, {sql_domain('url')} as domain from pages) group by 1)"
+
+
+def known_domains(spark, sf):
+    return table(spark, sf, "pages").where(F.contains("url", F.lit("#"))).select(web.domain_of(F.col("url")).alias("domain"))
+
+
+def paged_hits(spark, sf):
+    """Hits dealt over result pages of 20."""
+    return hits(spark, sf).withColumn("page_no", F.floor(F.col("pos") / 20))
+
+
+@query("o01_qualify_hits", f"{WITH_HITS}, {_KNOWN}, {_PAGES_BY_DOMAIN}, {sql_decided('pos // 20')} select * from rows")
 def _(spark, sf):
-    known = table(spark, sf, "pages").where(F.contains("url", F.lit("#"))).select(web.domain_of(F.col("url")).alias("domain"))
-    out = qualify.qualify_hits(hits(spark, sf).drop("html"), table(spark, sf, "pages").select("url", "html"), known, MARKET, ["pos"])
+    out = qualify.qualify_hits(paged_hits(spark, sf).drop("html"), table(spark, sf, "pages").select("url", "html"), known_domains(spark, sf), MARKET, ["page_no"], ["pos", "link"])
     return out.select("domain", "status", "score", "tier")
 
 
+@query("k03_page_decisions", f"{WITH_HITS}, {_KNOWN}, {_PAGES_BY_DOMAIN}, {sql_decided('pos // 20')} select domain, d.dec as decision, d.priority::int as priority from o")
+def _(spark, sf):
+    """What decides on each new domain: the first result page that has a deciding hit, and its best hit there."""
+    d = qualify.decide_hits(paged_hits(spark, sf).drop("html"), known_domains(spark, sf), MARKET, ["page_no"], ["pos", "link"])
+    return d.select("domain", "decision", "priority")
+
+
+@query("k01_k02_k03_harvest_batches", f"{WITH_HITS}, {_KNOWN}, {_PAGES_BY_DOMAIN}, {sql_decided('(pos // 20 % 2, pos // 20)')} select * from rows union all select domain, 'discovered', 0, 'weak' from known")
+def _(spark, sf):
+    """The table of domains after the known ones and two batches of hits, by buckets: qualified, rejected, failed and blocked."""
+    from siftwell.streaming import harvest
+
+    state = harvest.domains_table(spark, scratch_folder(spark, "domains"), buckets=16)
+    known = known_domains(spark, sf).distinct().select("domain", F.lit("discovered").alias("status"), F.lit(0).alias("score"), F.lit("weak").alias("tier"), F.lit(None).cast("string").alias("reason"))
+    state.merge(0, known, harvest.with_rows)
+    h, read = paged_hits(spark, sf).drop("html"), table(spark, sf, "pages").select("url", "html")
+    for number, batch in ((1, h.where("page_no % 2 = 0")), (2, h), (2, h)):  # a batch that comes again changes nothing
+        harvest.apply_batch(batch, number, state, MARKET, read, ["page_no"], ["pos", "link"])
+    return state.read().select("domain", "status", "score", "tier")
+
+
+@query("f04_new_hits", f"{WITH_HITS}, {_KNOWN} select pos, domain from h where domain not in (select domain from known)")
+def _(spark, sf):
+    """Hits on hosts that are not known, behind the Bloom filter."""
+    return without_known(with_domain(spark, sf).select("pos", "domain"), "domain", known_domains(spark, sf))
+
+
 _OWN_HITS = HITS.replace("hits as", "hits1 as") + ", hits0 as (select * replace (link || '?p=' || pos as link) from hits1)"
 _LISTED_HOST = "'https://' || lower(regexp_replace(split_part(h.title, ' ', n.n + 1), '[^A-Za-z]', '', 'g')) || '-x.example.biz/x'"
 _MINED = f"""hp as (select *, {sql_domain('link')} as domain, run || '-' || (pos // 20) as page from hits0), dir as (select * from hp h where {_DIR}),
@@ -422,22 +482,19 @@ def _(spark, sf):
 _ANCHOR = " || ".join(f"""'<a href="https://' || lower(regexp_replace(split_part(title, ' ', {n}), '[^A-Za-z]', '', 'g')) || '-x.example.biz/x">' || split_part(title, ' ', {n}) || '</a>'""" for n in (1, 2, 3))
 
 
-@query("o01_qualify_run", f"""with {_OWN_HITS}, {_MINED}, hits as (select pos, link, title, snippet, source from hits0 union all select d.pos, m.link, m.title, m.snippet, m.source from merged m join dir d on d.pos = m.dir),
-h as (select *, {sql_domain('link')} as domain from hits), {_KNOWN}, s as (select h.*, k.domain is not null as dup from h left join known k using (domain)), pg as (select link as url, case when {_DIR} then {_ANCHOR} else html end as html from hp),
-t as (select *, {_PRIO} as priority, case {_HYGIENE} end as hyg, case {_HYGIENE} when {sql_any('title', dims.JUNK_TITLES)} then 'junk_title' when {sql_any(_BOTH, dims.PURE_JUNK)} or {_STATE} then 'serp_junk' end as loose from s),
-k as (select *, row_number() over (partition by domain order by priority, pos, link) as rn from t where (case when priority in (0, 1, 3) then hyg else loose end) is null), o as (select * from k where rn = 1),
-p as (select domain, arg_min(html, url) as html from (select *, {sql_domain('url')} as domain from pg) group by 1), q as (select o.domain, {sql_body('p.html')} as body, {sql_links('p.html')} as links from o left join p using (domain) where priority not in (0, 1, 3)),
-{sql_gated('q')}, g as (select *, {_BEVID} as ind, {sql_hits('body', KEYWORDS)} as found from gate), r as (select domain, {_STATUS} as status, {_SCORE}::int as score, {_TIER} as tier from g)
-select domain, 'qualified' as status, 70 as score, 'strong' as tier from o where priority in (0, 1, 3) union all select domain, 'discovered', 0, 'weak' from known union all
-select domain, status, case when status in ('qualified', 'rejected') then score else 0 end, case when status in ('qualified', 'rejected') then tier else 'weak' end from r""")
+@query("o01_qualify_run", f"""with {_OWN_HITS}, {_MINED}, hits as (select pos, link, title, snippet, source, page, pos // 20 as page_no from hp union all select d.pos, m.link, m.title, m.snippet, m.source, d.page, d.pos // 20 from merged m join dir d on d.pos = m.dir),
+h as (select *, {sql_domain('link')} as domain from hits), {_KNOWN}, pg0 as (select link as url, case when {_DIR} then {_ANCHOR} else html end as html from hp),
+p as (select domain, arg_min(html, url) as html from (select *, {sql_domain('url')} as domain from pg0) group by 1), {sql_decided('(page_no, page)')}
+select * from rows union all select domain, 'discovered', 0, 'weak' from known""")
 def _(spark, sf):
-    h = own_hits(spark, sf)
+    """The table of domains and the blocked hosts after a run."""
+    h = own_hits(spark, sf).withColumn("page_no", F.floor(F.col("pos") / 20))
     lists = directory_pages(h).withColumnRenamed("html", "list")
     is_list = gates.is_directory(web.domain_of(F.col("link")), F.col("title"), MARKET.directories)
     read = h.join(lists.distinct(), h["link"] == lists["url"]).select("url", F.when(is_list, F.col("list")).otherwise(F.col("html")).alias("html"))
-    known = table(spark, sf, "pages").where(F.contains("url", F.lit("#"))).select(web.domain_of(F.col("url")).alias("domain")).distinct()
-    state_now = known.select("domain", F.lit("discovered").alias("status"), F.lit(0).alias("score"), F.lit("weak").alias("tier"))
-    return qualify.qualify_run(h.drop("html"), read, state_now, MARKET, ["page"])
+    state_now = known_domains(spark, sf).distinct().select("domain", F.lit("discovered").alias("status"), F.lit(0).alias("score"), F.lit("weak").alias("tier"))
+    after, blocked = qualify.qualify_run(h.drop("html"), read, state_now, state_now.limit(0).select("domain"), MARKET, ["page"], ["page_no", "page"])
+    return after.unionByName(blocked.select("domain", F.lit("blocked").alias("status"), F.lit(0).alias("score"), F.lit("weak").alias("tier")))
 
 
 @query("c17_qualify_verified", f"{WITH_HITS} select pos, domain, 'qualified' as status, 70 as score, 'strong' as tier, case source when 'local_pack' then 'local_pack_verified' else 'ai_overview_verified' end as reasons from h")

@@ -30,3 +30,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
+
+
+def put_line(spark: SparkSession, path: str, line: str) -> None:
+    """Write a one-line file in full beside its place, then move it there: a crash leaves the old line or the new one."""
+    jvm = spark._jvm
+    new, place = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(new, True)
+    out.write(bytearray(line.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, place, options)
+
+
+def read_line(spark: SparkSession, path: str) -> str | None:
+    """The line of such a file; None where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return "".join(r.value for r in spark.read.text(path).collect())

@@ -5,7 +5,6 @@ import json
 from pyspark.sql import functions as F
 
 from siftwell.operators.qualify import Market
-from siftwell.operators.state import Snapshots
 from siftwell.streaming import harvest
 
 ROWS = [
@@ -25,16 +24,18 @@ def test_stream_equals_batch_and_reruns_change_nothing(spark, tmp_path):
     write(folder, "1.json", ROWS[:3], 1)
 
     def run():
-        harvest.harvest(harvest.read_hits(spark, str(folder)), str(tmp_path / "state"), m, str(tmp_path / "cp")).awaitTermination()
-        return sorted((r["domain"], r["status"], r["reason"]) for r in Snapshots(spark, str(tmp_path / "state")).read().collect())
+        harvest.harvest(harvest.read_hits(spark, str(folder)), str(tmp_path / "state"), m, str(tmp_path / "cp"), buckets=8).awaitTermination()
+        return sorted((r["domain"], r["status"], r["reason"]) for r in harvest.domains_table(spark, str(tmp_path / "state"), 8).read().collect())
 
-    assert run() == [("a.com", "discovered", None), ("b.com", "failed", "junk_title")]
+    # the panel's hit on a.com comes before the page's normal ones
+    assert run() == [("a.com", "qualified", "ai_overview_verified"), ("b.com", "failed", "junk_title")]
     write(folder, "2.json", ROWS, 2)
     got = run()
+    assert ("linkedin.com", "blocked", "blocked") in got and ("c.org", "discovered", None) in got
     assert run() == got
     hits = spark.read.schema(harvest.HITS).json(str(folder))
-    none = spark.createDataFrame([], "domain string")
-    assert got == sorted((r["domain"], r["status"], r["reason"]) for r in harvest.new_domains(hits, none, m).collect())
+    none = spark.createDataFrame([], harvest.STATE)
+    assert got == sorted((r["domain"], r["status"], r["reason"]) for r in harvest.new_rows(hits, None, none, m).collect())
 
 
 def test_event_counts_stream(spark, sf, tmp_path):
@@ -54,8 +55,8 @@ def test_harvest_qualifies_and_does_not_demote(spark, tmp_path):
     write(folder, "1.json", [("r", 0, "https://a.com/1", "A", "translation agency", "web"), ("r", 1, "https://d.com", "D", "x", "local_pack"), ("r", 2, "https://e.com", "E", "x", "web")], 1)
 
     def run():
-        harvest.harvest(harvest.read_hits(spark, str(folder)), str(tmp_path / "state"), m, str(tmp_path / "cp"), pages).awaitTermination()
-        return {r["domain"]: (r["status"], r["score"]) for r in Snapshots(spark, str(tmp_path / "state")).read().collect()}
+        harvest.harvest(harvest.read_hits(spark, str(folder)), str(tmp_path / "state"), m, str(tmp_path / "cp"), pages, buckets=8).awaitTermination()
+        return {r["domain"]: (r["status"], r["score"]) for r in harvest.domains_table(spark, str(tmp_path / "state"), 8).read().collect()}
 
     first = run()
     assert first["d.com"] == ("qualified", 70) and first["a.com"][0] == "qualified" and first["e.com"] == ("unreachable", 0)
