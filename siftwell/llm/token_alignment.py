@@ -56,14 +56,28 @@ class Tokenizers:
             self.a_size[i] = len(token)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
         self.b_size = np.array(list(map(len, self.b_bytes)), np.int64)
-        self.names = [str(i) for i in range(max(len(self.a_size), len(self.b_size)))]
+        # each id written with what follows it: ',' within a side, '|' after a group's last id of a, ';' after that of b
+        names = [str(i).encode() for i in range(max(len(self.a_size), len(self.b_size)))]
+        self.width = len(names)
+        self.written = [n + sep for sep in (b",", b"|", b";") for n in names]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Both id lists of each text; empty ones where a text has no tokens by the rules above."""
         for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
-            data = (" " + text).encode()
-            a = self.a.encode_ordinary(" " + text) if text and b"".join(map(self.b_bytes.__getitem__, b)) == data else []
-            yield (a, b) if a and self.a.decode_bytes(a) == data else ([], [])
+            same = text and b"".join(map(self.b_bytes.__getitem__, b)) == (" " + text).encode()
+            a = np.array(self.a.encode_ordinary(" " + text) if same else [], np.int64)
+            # a's tokens are the text's bytes cut: they differ only if some are missing
+            yield (a, np.array(b, np.int64)) if len(a) and self.a_size[a].sum() == len(text.encode()) + 1 else (a[:0], a[:0])
+
+    def spelled(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> bytes:
+        """a1,a2|b1;a3|b2,b3"""
+        group_a, group_b = np.searchsorted(cut_a, np.arange(len(a)), "right"), np.searchsorted(cut_b, np.arange(len(b)), "right")
+        written = np.empty(len(a) + len(b), np.int64)
+        sep_a, sep_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        sep_a[cut_a - 1], sep_b[cut_b - 1] = 1, 2
+        written[np.arange(len(a)) + np.append(0, cut_b)[group_a]] = a + self.width * sep_a
+        written[np.arange(len(b)) + cut_a[group_b]] = b + self.width * sep_b
+        return b"".join(map(self.written.__getitem__, written.tolist()))[:-1]
 
 
 @lru_cache(maxsize=1)
@@ -71,29 +85,28 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return Tokenizers(a_path, b_path)
 
 
-def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Places behind each group's last token in either list, by the ends that both dictionaries hold."""
     place_a, place_b = dict(zip(ends_a, range(1, len(ends_a) + 1), strict=True)), dict(zip(ends_b, range(1, len(ends_b) + 1), strict=True))
     common = sorted(place_a.keys() & place_b.keys())
-    return list(map(place_a.__getitem__, common)), list(map(place_b.__getitem__, common))
-
-
-def spelled(a: list[str], b: list[str], cut_a: list[int], cut_b: list[int]) -> str:
-    """'a1,a2|b1;a3|b2,b3'"""
-    out, i, j = [], 0, 0
-    for x, y in zip(cut_a, cut_b, strict=True):
-        out.append(f"{a[i]}|{b[j]}" if x - i == 1 == y - j else f"{','.join(a[i:x])}|{','.join(b[j:y])}")
-        i, j = x, y
-    return ";".join(out)
+    return np.array(list(map(place_a.__getitem__, common)), np.int64), np.array(list(map(place_b.__getitem__, common)), np.int64)
 
 
 def links(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
     """Every link as a * 2**32 + b.  Slices are expanded together: a stretch between two neighbouring ends lies in one token of
     each list, and two tokens overlap in one stretch."""
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    ends = ends[np.append(ends[1:] != ends[:-1], True)]
     return (a[np.searchsorted(ends_a, ends)] << 32) | b[np.searchsorted(ends_b, ends)]
 
 
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values, ascending, and how often each stands there."""
+    v = np.sort(values)
+    at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    return v[at], np.diff(at, append=len(v))
+
+
 class _Slice:
     def __init__(self):
         self.figures: list[tuple] = []
@@ -101,21 +114,19 @@ class _Slice:
         self.pairs: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
 
-    def add(self, t: Tokenizers, doc: int | None, a: list[int], b: list[int]) -> None:
-        if not a:
+    def add(self, t: Tokenizers, doc: int | None, a: np.ndarray, b: np.ndarray) -> None:
+        if not len(a):
             self.figures.append((doc, 0, 0, 0, 0))
             self.digests.append("")
             self.pairs.append(np.zeros(0, np.int64))
             self.times.append(np.zeros(0, np.int64))
             return
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-        ends_a, ends_b = np.cumsum(t.a_size[ids_a]), np.cumsum(t.b_size[ids_b])
+        ends_a, ends_b = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
         cut_a, cut_b = cuts(ends_a.tolist(), ends_b.tolist())
-        text = spelled(list(map(t.names.__getitem__, a)), list(map(t.names.__getitem__, b)), cut_a, cut_b)
-        every = links(ids_a, ids_b, ends_a, ends_b)
-        pairs, times = np.unique(every, return_counts=True)
+        every = links(a, b, ends_a, ends_b)
+        pairs, times = counted(every)
         self.figures.append((doc, len(a), len(b), len(cut_a), len(every)))
-        self.digests.append(hashlib.sha256(text.encode()).hexdigest())
+        self.digests.append(hashlib.sha256(t.spelled(a, b, cut_a, cut_b)).hexdigest())
         self.pairs.append(pairs)
         self.times.append(times)
 
