@@ -7,9 +7,9 @@ each edge.  The graph is a tree, so one sum-product pass up and one down give ex
 content with probability above one half is kept.
 
 Weights are fitted by exact likelihood on labelled pages (the attribute y gives a subtree's label): the small ones in
-LABELLED, MADE pages of made-up words by made_page(), with landmarks or neutral names alike, and up to TRAIN_PAGES pages
-of the table of at most TRAIN_CHARS characters (those of smallest id hash; documented bounds) whose own landmarks label
-them.  Extraction reads every page whole, in one pass without a shuffle.
+LABELLED, MADE pages of made-up words by made_page(), with telling, made-up or no names, and up to TRAIN_PAGES pages
+of the table of at most TRAIN_CHARS characters (those of smallest id hash; documented bounds) whose own article or main
+element labels what is certain about them; labels that it leaves open are summed over.  Extraction reads every page whole, in one pass without a shuffle.
 
 Null pages are empty, as are pages without content: the text is the empty string.  Broken markup is read
 as browsers do in the main: unclosed paragraphs and list items end with the next one, stray end tags are
@@ -35,7 +35,7 @@ from siftwell.llm.runtime import hash_sample
 
 TRAIN_PAGES = 60
 TRAIN_CHARS = 200_000
-MADE = 60
+MADE = 180
 # a tag ends at the first '>' outside quotes; where quotes do not close before the next tag, at the first '>'
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+|[^>]*+)>", re.S | re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea")}
@@ -63,7 +63,7 @@ _WORDS = [  # kinds of class, id and role words
     re.compile(r"(?<![a-z])(?:share|social|follow|newsletter|subscri\w*|sign-?up|log-?in|search|form|contact|donate)(?![a-z])"),
     re.compile(r"(?<![a-z])(?:article\w*|content|main|post|entry|story|body|text|prose)(?![a-z])"),
 ]
-N_FEATURES = 1 + len(_GROUPS) + 1 + len(_WORDS) + 26
+N_FEATURES = 1 + len(_GROUPS) + 1 + len(_WORDS) + 39
 _OFF = frozenset("nav header footer aside form button select dialog head".split())
 _ON = frozenset(["article", "main"])
 
@@ -82,6 +82,8 @@ class Node:
     paragraphs: int = 0  #: p elements of some length below
     controls: int = 0  #: form controls below
     links: int = 0  #: links below
+    prose: int = 0  #: characters of own texts with a sentence in them, outside links, with descendants
+    titled: bool = False  #: a first-level heading below
     children: list[int] = field(default_factory=list)
 
 
@@ -166,6 +168,8 @@ def node_features(nodes: list[Node]) -> np.ndarray:
             n.linked = n.total
             n.links += 1
         n.controls += n.tag in _CONTROLS
+        n.prose = 0 if n.tag == "a" else n.prose + (n.own if n.own > 40 and n.marks else 0)
+        n.titled = n.titled or n.tag == "h1"
         n.paragraphs += n.tag == "p" and n.total > 60
         if i:
             p = nodes[n.parent]
@@ -175,8 +179,13 @@ def node_features(nodes: list[Node]) -> np.ndarray:
             p.paragraphs += n.paragraphs
             p.controls += n.controls
             p.links += n.links
+            p.prose += n.prose
+            p.titled = p.titled or n.titled
     whole = max(nodes[0].total, 1)
-    alike = _alike(nodes)
+    alike, record = _alike(nodes), _records(nodes)
+    leads = _leads(nodes, record)
+    all_prose = max(nodes[0].prose, 1)
+    told = 0  # prose before the element
     x = np.zeros((len(nodes), N_FEATURES))
     x[:, 0] = 1
     words = 1 + len(_GROUPS) + 1
@@ -224,6 +233,22 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         x[i, base + 23] = inside and off
         x[i, base + 24] = inside and off and (n.linked > 0.4 * total or n.controls > 0)
         x[i, base + 25] = inside and off and total > 60 and n.linked < 0.1 * total and n.sentences > 1
+        part = n.prose / all_prose
+        k = base + 26
+        x[i, k] = part
+        x[i, k + 1] = part > 0.6
+        x[i, k + 2] = n.prose / nodes[n.parent].prose if i and nodes[n.parent].prose else 0
+        x[i, k + 3] = record[i]
+        x[i, k + 4] = record[i] and told > 0.5 * all_prose
+        x[i, k + 5] = n.tag == "header" and n.titled and i > 0 and nodes[n.parent].prose > 0 and nodes[n.parent].tag not in ("body", "html", "#page")
+        x[i, k + 6] = n.own > 80 and n.marks > 1
+        x[i, k + 7] = whole < 300
+        x[i, k + 8] = share > 0.95
+        x[i, k + 9] = n.prose > 0 and n.linked < 0.2 * total and share > 0.4
+        x[i, k + 10] = told == 0 and n.prose == 0
+        x[i, k + 11] = told >= 0.999 * all_prose and n.prose == 0
+        x[i, k + 12] = leads[i]
+        told += n.own if n.tag != "a" and n.own > 40 and n.marks else 0
         seen += n.own
     return x
 
@@ -247,6 +272,42 @@ def _alike(nodes: list[Node]) -> list[bool]:
     return out
 
 
+def _records(nodes: list[Node]) -> list[bool]:
+    """Elements that a neighbour is like in tag and children, a short first child (a name, a date) among several; and all in them."""
+    out = [False] * len(nodes)
+    for p in nodes:
+        if len(p.children) > 1:
+            shapes: dict[tuple, list[int]] = {}
+            for c in p.children:
+                kids = nodes[c].children
+                if len(kids) > 1 and nodes[kids[0]].total < 40 and nodes[kids[0]].tag not in ("h1", "h2") and nodes[c].prose:
+                    shapes.setdefault((nodes[c].tag, nodes[kids[0]].tag, nodes[kids[1]].tag), []).append(c)
+            for found in shapes.values():
+                if len(found) > 1:
+                    for c in found:
+                        out[c] = True
+    for i in range(1, len(nodes)):
+        out[i] = out[i] or out[nodes[i].parent]
+    return out
+
+
+def _leads(nodes: list[Node], record: list[bool]) -> list[bool]:
+    """Headings whose next neighbour with text, other headings apart, has a text of its own in it that is no record."""
+    out = [False] * len(nodes)
+    for p in nodes:
+        follows = False
+        for c in reversed(p.children):
+            n = nodes[c]
+            if n.tag in _HEADINGS:
+                out[c] = follows
+            elif n.total:
+                follows = not record[c] and n.linked < 0.5 * n.total and n.tag not in _OFF
+    return out
+
+
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 def marginals(unary: np.ndarray, nodes: list[Node], pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(content) of every node, and the expected label pairs (parent, child) summed over edges: sum-product up and down."""
     (t00, t01), (t10, t11) = np.exp(pair).tolist()
@@ -310,28 +371,34 @@ def _inherit(nodes: list[Node]) -> np.ndarray:
 
 
 def landmark_labels(nodes: list[Node]) -> np.ndarray | None:
-    """Labels of a page with one article or main element; None for others."""
-    marks = [i for i, n in enumerate(nodes) if n.tag in ("article", "main") and not any(w.search(n.names) for w in _WORDS[:7])]
-    tops = [i for i in marks if nodes[i].tag == "article"] or marks
+    """Labels of a page with one article, or else one main element: 1 for its prose and headings, 0 for what stands outside or in an
+    element for menus and forms or is called an advert, -1 (unknown, summed over in the fit) for the rest of it.  Other names do not count.  None
+    for other pages.  nodes have their features taken."""
+    tops = [i for i, n in enumerate(nodes) if n.tag == "article"] or [i for i, n in enumerate(nodes) if n.tag == "main"]
     if len(tops) != 1:
         return None
-    y = np.zeros(len(nodes), int)
+    top, y = tops[0], np.zeros(len(nodes), int)
+    inside, off = [False] * len(nodes), [False] * len(nodes)
     for i, n in enumerate(nodes):
-        off = n.tag in _OFF or any(w.search(n.names) for w in _WORDS[:7])
-        y[i] = i == tops[0] or (i > 0 and y[n.parent] == 1 and not off)
+        inside[i] = i == top or (i > 0 and inside[n.parent])
+        off[i] = n.tag in _OFF or (i > 0 and off[n.parent] and n.parent != top)
+        if inside[i]:
+            sure = n.tag in ("p", "h1", "h2", "h3", "blockquote", "li") and n.total > 0 and n.linked < 0.3 * n.total
+            y[i] = 0 if n.tag in ("nav", "form", "button", "select") or _WORDS[0].search(n.names) else 1 if i == top or (sure and not off[i]) else -1
     return y
 
 
+#: telling names of made pages; half of the elements have a made-up name or none instead
 _NAME_POOLS = {
     "content": ["content", "article-body", "post-content", "story", "entry", "main-text"],
-    "neutral": ["wrap", "col-8", "x1", "c-2", "block", "inner", "row", "grid-b", "u-box", "page", "left", "z9", ""],
-    "part": ["message", "more-details", "lead", "notice-board", "section", "part-2", "related-work", "intro", "note", "popular-view", "chapter", ""],
-    "remarks": ["comments", "user-remarks", "responses", "thread", "opinions", "voices", "reader-letters", "feedback", "discussion", "x7", ""],
-    "menu": ["menu", "nav", "topbar", "links", "bar", "m1", ""],
-    "side": ["sidebar", "widget", "related", "right", "col-4", "extras", ""],
-    "foot": ["footer", "bottom", "legal", "imprint", "end", ""],
-    "ad": ["ad", "advert", "promo", "sponsored", "box", "banner", "teaser", ""],
-    "notice": ["cookie", "consent", "notice", "alert", "bar-2", "overlay", ""],
+    "neutral": ["wrap", "col-8", "x1", "c-2", "block", "inner", "row", "grid-b", "page", "left", ""],
+    "part": ["lead", "notice-board", "section", "related-work", "intro", "note", "popular-view", "chapter", ""],
+    "remarks": ["comments", "responses", "thread", "discussion", ""],
+    "menu": ["menu", "nav", "topbar", "links", ""],
+    "side": ["sidebar", "widget", "related", "right", "extras", ""],
+    "foot": ["footer", "bottom", "legal", ""],
+    "ad": ["ad", "advert", "promo", "sponsored", "banner", ""],
+    "notice": ["cookie", "consent", "notice", "overlay", ""],
 }
 
 
@@ -345,6 +412,22 @@ def made_page(seed: int) -> str:
     sentence = lambda: words(r.randint(3, 16)).capitalize() + r.choice([".", ".", ".", ", " + words(4) + ".", "!", "?"])
     prose = lambda n: " ".join(sentence() for _ in range(n))
     bare = r.random() < 0.35  # no telling names on this page
+    broken = r.random() < 0.2  # paragraphs are parted by line breaks
+    coined = lambda: r.choice(["", f' class="{word()}-{word()}"', f' class="{word()}{r.randint(1, 30)}"', f' id="{word()}"'])
+    if seed % 3 == 1:  # little or plain markup
+        prose_of = lambda n: r.choice(["<p>{}</p>", "<p>{}</p>", "{}<br><br>"]).format(prose(r.randint(1, 3))) * 1 + "".join(f"<p>{prose(r.randint(1, 3))}</p>" for _ in range(n - 1))
+        lines = lambda n: "<br><br>".join(prose(r.randint(1, 4)) for _ in range(n))
+        menu = r.choice(["", f'<div{coined()}><a href="/">{words(1)}</a> <a href="/b">{words(2)}</a> <a href="/c">{words(1)}</a></div>', f"<nav><ul>{''.join(f'<li><a href=/{word()}>{word()}</a></li>' for _ in range(r.randint(2, 7)))}</ul></nav>"])
+        end = r.choice(["", f"<div{coined()}>{words(2).capitalize()} {r.randint(1990, 2030)}</div>", f"<p{coined()}>&copy; {words(3)}</p>", f"<footer>&copy; {word()}.example.net &middot; {prose(r.randint(1, 2))}</footer>", f'<div{coined()}><a href="/i">{words(1).capitalize()}</a></div>'])
+        main = r.choice([
+            lambda: f"<div{coined()} y=1>{prose_of(r.randint(1, 3))}</div>", lambda: f"<article{coined()} y=1><p>{words(r.randint(1, 4)).capitalize()}.</p></article>", lambda: f"<article{coined()} y=1>{r.choice(['', f'<h1>{sentence()}</h1>', f'<h1>{words(4).capitalize()}</h1>'])}<p>{r.choice(['', '<b>'])}{r.choice([words(2) + '.', sentence(), sentence()])}{r.choice(['', '<br>'])}</article>", lambda: f"<div{coined()} y=1>{lines(r.randint(1, 4))}</div>",
+            lambda: f"<article{coined()} y=1><header><h1>{words(r.randint(1, 6)).capitalize()}</h1></header>{prose_of(r.randint(1, 4))}</article>", lambda: f"<div{coined()} y=1><h1>{words(3).capitalize()}</h1>{lines(r.randint(2, 5))}</div>",
+            lambda: f"<main{coined()} y=1><div><header><h1>{words(4).capitalize()}</h1><p>{words(4).capitalize()}</p></header><div{coined()}>{prose_of(r.randint(1, 3))}</div></div></main>",
+        ])()
+        if r.random() < 0.15:  # text in the page's body itself
+            return f"<body y=1>{menu.replace('>', ' y=0>', 1)}{r.choice(['', f'<h1>{words(3).capitalize()}</h1>'])}{r.choice([lines(r.randint(1, 4)), prose_of(r.randint(1, 3))])}{end.replace('>', ' y=0>', 1)}</body>"
+        between = r.choice(["", "", f'<div class="{r.choice(["ad", word()])}">{prose(r.randint(1, 2))}</div>'])
+        return f"<body>{menu}{between}{main}{end}</body>"
     if seed % 6 == 5:  # a few paragraphs in a plain element, and next to nothing else
         text = "".join(f"<p>{prose(r.randint(1, 4))}</p>" for _ in range(r.randint(1, 4)))
         menu = r.choice([f'<div class=menu><a href="/">{words(1)}</a></div>', f'<div><a href="/">{words(1)}</a> <a href="/b">{words(2)}</a></div>', ""])
@@ -352,6 +435,8 @@ def made_page(seed: int) -> str:
 
     def tag(name: str, pool: str, inner: str, y: int | None = None, key: str = "class") -> str:
         c = r.choice(_NAME_POOLS["neutral"] if bare or r.random() < 0.2 else _NAME_POOLS[pool])
+        if r.random() < 0.4:
+            c = r.choice(["", f"{word()}-{word()}", f"{word()}{r.randint(1, 30)}"])
         return f"<{name}" + (f' {key}="{c}"' if c else "") + (f" y={y}" if y is not None else "") + f">{inner}</{name}>"
 
     links = lambda n: "".join(r.choice(["<li>{}</li>", "{} ", "{} | "]).format(f'<a href="/{word()}">{words(r.randint(1, 3)).capitalize()}</a>') for _ in range(n))
@@ -364,7 +449,9 @@ def made_page(seed: int) -> str:
     teasers = lambda: tag(html_tag("div", "aside"), "side", f"<h3>{words(2).capitalize()}</h3><ul>" + "".join(f'<li><a href="/{word()}">{words(r.randint(3, 9)).capitalize()}</a></li>' for _ in range(r.randint(2, 6))) + "</ul>", 0)
 
     def body() -> str:
-        out = [f"<h1>{words(r.randint(2, 7)).capitalize()}</h1>"] if r.random() < 0.8 else []
+        out = [r.choice(["<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>"]).format(words(r.choice([1, 1, 2, 3, 4, 5, 6, 7])).capitalize())] if r.random() < 0.8 else []
+        if broken:
+            return "".join(out) + r.choice(["<br><br>", "<br>"]).join(prose(r.randint(1, 4)) for _ in range(r.randint(2, 7)))
         for _ in range(r.randint(1, 8)):
             k = r.random()
             if k < 0.14:
@@ -382,13 +469,14 @@ def made_page(seed: int) -> str:
             elif k < 0.88:
                 out.append(tag(r.choice(["div", "section"]), "part", f"<p>{prose(r.randint(1, 4))}</p>" * r.randint(1, 2)))
             else:
-                out.append(r.choice([advert, share, form, teasers, advert])())
+                named = lambda: f'<div class="{r.choice(["ad", "advert", "promo", "sponsored", "banner"])}" y=0>{r.choice([words(2) + "!", words(3), prose(1)])}</div>'
+                out.append(r.choice([advert, share, form, teasers, advert, named, named])())
         return "".join(out)
 
     def remarks() -> str:
-        kind, name = r.choice(["div", "li", "article"]), "" if bare else r.choice(["comment", "reply", "item", "x"])
+        kind, name = r.choice(["div", "li", "article"]), "" if bare else r.choice(["comment", "reply", "item", "x", word(), f"{word()}-{word()}"])
         one = lambda: f'<{kind} class="{name}">' + r.choice(["<b>{}</b>", '<a href="/u">{}</a>', "<span>{}</span>"]).format(words(1).capitalize()) + f"<p>{prose(r.randint(1, 3))}</p>" + r.choice(["", f"<a href=#r>{words(1)}</a>"]) + f"</{kind}>"
-        return tag("section" if r.random() < 0.6 else "div", "remarks", (f"<h2>{words(1).capitalize()}</h2>" if r.random() < 0.7 else "") + "".join(one() for _ in range(r.randint(1 if not bare else 3, 7))), 0, r.choice(["class", "id"]))
+        return tag("section" if r.random() < 0.6 else "div", "remarks", (f"<h2>{words(1).capitalize()}</h2>" if r.random() < 0.7 else "") + "".join(one() for _ in range(r.randint(1 if not bare else 2, 7))), 0, r.choice(["class", "id"]))
 
     content = tag(html_tag("div", r.choice(["article", "article", "main", "section"])), "content", body(), 1)
     side = tag(html_tag("div", "aside"), "side", r.choice([teasers, lambda: f"<h3>{words(2)}</h3><p>{prose(1)}</p>", share])())
@@ -401,7 +489,7 @@ def made_page(seed: int) -> str:
     return f"<html><head><title>{words(4)}</title></head><body>{''.join(rows)}</body></html>"
 
 
-def fit(pages: list[str], steps: int = 150, rate: float = 0.1, decay: float = 0.0005, made: int = MADE) -> Model:
+def fit(pages: list[str], steps: int = 220, rate: float = 0.1, decay: float = 0.0005, made: int = MADE) -> Model:
     """Gradient ascent on the likelihood of the labelled pages; pages: further pages with landmarks."""
     train = []
     for page, weight in [*((p, 2.0) for p in LABELLED), *((made_page(i), 1.0) for i in range(made))]:
@@ -409,9 +497,10 @@ def fit(pages: list[str], steps: int = 150, rate: float = 0.1, decay: float = 0.
         train.append((node_features(nodes), nodes, _inherit(nodes), weight))
     for page in pages:
         nodes, _ = parse(page)
-        y = landmark_labels(nodes)
+        x, y = node_features(nodes), landmark_labels(nodes)
         if y is not None:
-            train.append((node_features(nodes), nodes, y, 0.3))
+            train.append((x, nodes, y, 1.0))
+    train = [(x, nodes, y, w / math.sqrt(len(nodes))) for x, nodes, y, w in train]  # small pages count too
     total = sum(w * len(nodes) for _, nodes, _, w in train)
     w, pair = np.zeros(N_FEATURES), np.zeros((2, 2))
     m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
@@ -419,9 +508,12 @@ def fit(pages: list[str], steps: int = 150, rate: float = 0.1, decay: float = 0.
         gw, gp = -decay * w, -decay * pair
         for x, nodes, y, weight in train:
             prob, pairs = marginals(x @ w, nodes, pair)
-            gw = gw + weight * (x.T @ (y - prob)) / total
-            parents = np.array([n.parent for n in nodes[1:]], int)
-            seen = np.bincount(2 * y[parents] + y[1:], minlength=4).reshape(2, 2) if len(parents) else np.zeros((2, 2))
+            if (y < 0).any():  # what the known labels make of the unknown ones
+                want, seen = marginals(np.where(y < 0, x @ w, 30.0 * (2 * y - 1)), nodes, pair)
+            else:
+                parents = np.array([n.parent for n in nodes[1:]], int)
+                want, seen = y, np.bincount(2 * y[parents] + y[1:], minlength=4).reshape(2, 2) if len(parents) else np.zeros((2, 2))
+            gw = gw + weight * (x.T @ (want - prob)) / total
             gp = gp + weight * (seen - pairs) / total
         g = np.append(gw, gp.ravel())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
@@ -458,4 +550,8 @@ LABELLED = [
     f'<body><article y=1><header y=0><a href="/">Section</a></header><h1>Bridge</h1><p>{_P}<p>{_Q}<p>Done.<footer y=0>Filed under roads, towns.</footer></article><article class="comment"><p>{_P}</p></article><div role="contentinfo">Terms, privacy and more.</div></body>',
     f'<body><div class="banner"><p>{_Q}</p></div><main><div class="breadcrumbs"><a href="/">Home</a> / Here</div><div class="entry-content" y=1><p>{_P}</p><p>Yes.</p><p>{_Q}</p></div><div class="share"><a href="#">Share</a></div></main><aside><p>{_P}</p></aside></body>',
     f'<body><div class="alert"><p>Notice: this site will be down on Sunday, from two to four.</p></div><section class="article" y=1><h1>Bridge</h1><h2>What comes</h2><p>{_Q}</p><p><b>{_P}</b></p><ol><li>{_P}</li></ol></section><section class="sponsored"><p>{_P}</p></section><footer><nav><a href="/">Top</a></nav></footer></body>',
+    "<article y=1><p>Closed on Monday.</p></article>",
+    '<body><article y=1><p>No boats today.</p></article></body>',
+    f'<body><nav><ul><li><a href="/a">Towns</a></li><li><a href="/b">Roads</a></li></ul></nav><div class="ad">Buy now.</div><article y=1><h1>Bridge</h1><p>Bridge plan.</p><p><b>Bridge plan.<br><p>Bridge plan.</p><p>{_Q}</p></article><footer>&copy; town.example.net &middot; {_P}</footer></body>',
+    f'<body><nav><ul><li><a href="/a">Towns</a></li><li><a href="/b">Roads</a></li></ul></nav><div class="ad">Buy now, and save. Ask us.</div><article y=1><h1>So</h1><p>So.</p><p>{_P} {_Q}</p><p>{_Q} {_P}</p></article><footer>&copy; town.example.net</footer></body>',
 ]

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import time
 import zlib
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from siftwell.llm import edit_counts, html_text, ppm, quality, tokens
+from tests.llm import other_pages
 from tests.llm.cases import LOWER, TEXTS, base_text, docs, empty, words
 
 
@@ -213,25 +215,36 @@ def test_html_on_made_pages_that_it_was_not_fitted_to(page_model):
 
 
 def test_html_on_pages_with_landmarks(spark, page_model):
-    """Against the article element of each page, its notices and the like left out."""
+    """Against the article element of each page, all of it, as its markup says."""
     both = kept = want = 0
     for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null").orderBy("page_id").limit(200).collect():
-        nodes, texts = html_text.parse(r["html"])
-        y = html_text.landmark_labels(nodes)
-        if y is None:
+        m = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)
+        if not m or "class=" in m[1]:
             continue
-        true = collections.Counter(w for node, _, t in texts if y[node] for w in t.split())
+        true = collections.Counter(" ".join(t for _, _, t in html_text.parse(m[1])[1]).split())
         got = collections.Counter(page_model.extract(r["html"]).split())
         both, kept, want = both + (true & got).total(), kept + got.total(), want + true.total()
-    assert both / kept > 0.9 and both / want > 0.9
+    assert want > 1000 and both / kept > 0.98 and both / want > 0.98
 
 
-def test_html_with_neutral_and_misleading_names(page_model):
-    p = "The council met on Tuesday evening, and it talked about the bridge for two hours. Nobody knew what it would cost in the end, but all agreed that it was needed."
-    remark = '<div class="item"><b>{}</b><p>I like it, and so does my friend.</p></div>'
-    assert page_model.extract(f"<body><div class=menu><a href=/>Home</a></div><div class='x1'><p>{p}</p><p>{p}</p></div><div>Imprint</div></body>") == f"{p} {p}"
-    page = f"<article><h1>T</h1><p class=message>{p}</p><section class=more-details><p>{p}</p></section></article><div class=user-remarks>{remark.format('Ann')}{remark.format('Bob')}{remark.format('Cy')}</div>"
-    assert page_model.extract(page) == f"T {p} {p}"
+@pytest.mark.parametrize("pages", [other_pages.PAGES, other_pages.LATER])
+def test_html_on_pages_by_another_hand(page_model, pages):
+    """Word precision and recall where no name tells anything; LATER was written when the model was settled."""
+    both = kept = want = 0
+    for page, true in pages:
+        a, b = collections.Counter(page_model.extract(page).split()), collections.Counter(true.split())
+        both, kept, want = both + (a & b).total(), kept + a.total(), want + b.total()
+    assert both / kept > 0.95 and both / want > 0.95
+
+
+def test_labels_that_a_page_leaves_open_are_summed_over():
+    """The clamped marginals of a page whose labels are all known are those labels."""
+    nodes, _ = html_text.parse("<article><h1>T</h1><p>Some text, and more of it in a line.</p><div>x</div></article>")
+    x = html_text.node_features(nodes)
+    y = html_text.landmark_labels(nodes)
+    assert [(n.tag, v) for n, v in zip(nodes, y.tolist(), strict=True)] == [("#page", 0), ("article", 1), ("h1", 1), ("p", 1), ("div", -1)]
+    prob, pairs = html_text.marginals(np.where(y < 0, np.zeros(len(x)), 30.0 * (2 * y - 1)), nodes, np.zeros((2, 2)))
+    assert np.abs(prob[:4] - y[:4]).max() < 1e-9 and abs(prob[4] - 0.5) < 1e-9 and abs(pairs.sum() - 4) < 1e-9
 
 
 @pytest.mark.parametrize("page", ["<a href=\"x" * 100_000, "<p class='a" + "<b \"'" * 200_000, "<script>" * 125_000, "<!-- " * 200_000, "<p>" + "'\"" * 500_000 + "</p>", "<" * 1_000_000])
