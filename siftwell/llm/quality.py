@@ -23,9 +23,9 @@ reads every document whole, in one pass without a shuffle.  Features come from t
 
 Null and empty texts have the features of an empty text and get a score too.  Rows whose label or id is null teach
 nothing as positives; an id labelled twice counts with its lower label; an id with several texts teaches its smallest
-one; with fewer than LEAST_ROWS positives or unlabelled rows nothing is fitted: the prior is PRIOR_DEFAULT and every
-score that value.  Repeated rows are scored each; an empty
-table gives no rows.
+one.  The fit is held towards PRIOR_DEFAULT as if by TRUST more rows of no information: with n positives and unlabelled rows
+each (the smaller number), a score's log odds are n / (n + TRUST) of the model's and the rest the default's, so a model of very few
+rows says little and one of thousands is as it was fitted.  Repeated rows are scored each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from siftwell.llm.runtime import hash_sample
 from siftwell.llm.textkit import U64, Slice, mix64, shingle_hashes, word_slices
 
 FIT_ROWS = 8_000
-LEAST_ROWS = 20
+TRUST = 10
 PRIOR_DEFAULT = 0.8
 THRESHOLD = 0.3
 HOLD_OUT = 5
@@ -166,7 +166,7 @@ def _fit_flag(p: np.ndarray, u: np.ndarray, steps: int = 200) -> tuple[np.ndarra
     """Logistic regression of positive against unlabelled, both sides of equal weight."""
 
     def gradient(w, b):
-        dp, du = -(1 - _sigmoid(p @ w.astype(np.float32) + b)) / (2 * len(p)), _sigmoid(u @ w.astype(np.float32) + b) / (2 * len(u))
+        dp, du = -(1 - _sigmoid(p @ w.astype(np.float32) + b)) / (2 * max(len(p), 1)), _sigmoid(u @ w.astype(np.float32) + b) / (2 * max(len(u), 1))
         return dp.astype(np.float32) @ p + du.astype(np.float32) @ u, dp.sum() + du.sum()
 
     return _descend(gradient, p.shape[1], steps, 0.05, 3e-3)
@@ -252,13 +252,15 @@ def _fit_rows(rows: pa.Table) -> pa.Table:
 
 
 def _learn(pos: np.ndarray, unl: np.ndarray) -> Model:
-    if min(len(pos), len(unl)) < LEAST_ROWS:
+    n = min(len(pos), len(unl))
+    if not n:
         return _plain_model()
     mean, scale, p, u = _standardised(pos, unl)
     prior = estimate_prior(p, u)
     w, b = fit_nnpu(p, u, prior)
     slope, shift = _calibrate(p @ w.astype(np.float32) + b, u @ w.astype(np.float32) + b, prior)
-    return Model(mean, scale, w, b, slope, shift, prior)
+    held = n / (n + TRUST)
+    return Model(mean, scale, w, b, held * slope, held * shift + (1 - held) * float(np.log(PRIOR_DEFAULT / (1 - PRIOR_DEFAULT))), prior)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
