@@ -39,7 +39,7 @@ SEED_WORDS = 14
 ROUNDS = 3
 CROWD = 512
 GROUP_ROWS = 8192
-PARA_BITS = 24  # a paragraph's number within its document
+CHUNK_WORDS = 1 << 17
 SEND_DOCS = 4000
 _A, _B = seeded(BANDS * ROWS, 101) | U64(1), seeded(BANDS * ROWS, 102)
 
@@ -53,34 +53,42 @@ def lines(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, last, np.searchsorted(s.word_from, first, "right") - 1
 
 
-def signature(grams: np.ndarray) -> np.ndarray:
-    """Minima of BANDS * ROWS universal hashes over shingles."""
+def keys_and_bands(grams: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the shingle set (see set_key) and bands of each paragraph, words first .. last - 1 of which grams holds the shingles
+    that begin there.  A signature is the minima of BANDS * ROWS universal hashes over a set; ROWS of them make a band."""
+    size = last - first - SHINGLE_WORDS + 1
+    cut = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), CHUNK_WORDS), "left")
+    cut = np.unique(np.append(cut, len(size)))
+    parts = [_keys_and_bands(grams, first[a:b], size[a:b]) for a, b in zip([0, *cut[cut > 0][:-1]], cut[cut > 0], strict=True)]
+    return np.concatenate([k for k, _ in parts]), np.concatenate([b for _, b in parts])
+
+
+def _keys_and_bands(grams: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    owner = np.repeat(np.arange(len(first)), size)
+    g = grams[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(owner))]
+    g = g[np.lexsort((g, owner))]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+    g, owner = g[new], owner[new]
+    starts = np.searchsorted(owner, np.arange(len(first)))
+    out = np.empty((len(first), BANDS, ROWS), U64)
     with np.errstate(over="ignore"):
-        return ((grams[None, :] * _A[:, None] + _B[:, None]) >> U64(32)).min(axis=1)
-
-
-def bands(sig: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        rows = sig.reshape(BANDS, ROWS)
-        out = np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
+        x = mix64(g + U64(0x632BE59BD9B4E019))
+        key = np.add.reduceat(x, starts) * U64(0xFF51AFD7ED558CCD) + np.bitwise_xor.reduceat(x, starts)
+        for k in range(BANDS * ROWS):
+            np.multiply(g, _A[k], out=x)
+            x += _B[k]
+            x >>= U64(32)
+            out[:, k // ROWS, k % ROWS] = np.minimum.reduceat(x, starts)
+        band = np.tile(np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15), (len(first), 1))
         for j in range(ROWS):
-            out = mix64(out + rows[:, j])
-        return out
+            band = mix64(band + out[:, :, j])
+    return key.view(np.int64), band
 
 
 _SENT = "to long, kind int, ids binary, keys binary, hashes binary"
 _SENT_ARROW = pa.schema([("to", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("hashes", pa.binary())])
-_LINE, _SEED, _BAND, _RUN, _OTHER = 0, 1, 2, 3, 4
-
-
-def _first_only(hashes: np.ndarray, order_by: np.ndarray) -> np.ndarray:
-    """Index of each value's first holder, in the order of order_by."""
-    order = np.lexsort((order_by, hashes))
-    h = hashes[order]
-    new = np.empty(len(h), bool)
-    new[:1] = True
-    np.not_equal(h[1:], h[:-1], out=new[1:])
-    return order[new], order, np.cumsum(new) - 1
+_LINE, _SEED, _BAND, _RUN, _OTHER, _COPY, _HELD = 0, 1, 2, 3, 4, 5, 6
 
 
 def _send(n_blocks: int):
@@ -93,43 +101,62 @@ def _send(n_blocks: int):
 
 
 def _send_piece(piece: pa.RecordBatch, n_blocks: int) -> Iterator[pa.RecordBatch]:
+    """Messages of a piece.  What many of its documents hold goes to the hash block once: a set's first place stands for all of the
+    piece, and so does the first place of a seed that several of its documents hold.  Their other places travel with the piece, to a
+    block of its own, and meet nothing there."""
     ids, tags = (piece.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
-    line_doc, line_no, line_key = [], [], []
+    line_doc, line_no, line_key, line_band = [], [], [], []
     run_doc, run_at, run_hash = [], [], []
-    known: dict[int, np.ndarray] = {}
-    read: dict[int, int] = {}  # set of each line by the line's own hash
+    read: dict[int, int] = {}  # line_key's place of each line by the line's own hash
+    n_known = 0
     for s in word_slices(piece.column(1)):
         grams = shingle_hashes(s.hashes)
         first, last, doc = lines(s)
         number = np.arange(len(first)) - np.searchsorted(first, s.word_from[:-1])[doc] if len(first) else first
         wide = np.flatnonzero(last - first >= MIN_WORDS)
-        for i, h in zip(wide.tolist(), _span_hash(s.hashes, first[wide], last[wide]).tolist(), strict=True):
-            key = read.get(h)
-            if key is None:
-                g = np.unique(grams[first[i] : last[i] - SHINGLE_WORDS + 1])
-                key = read[h] = set_key(g)
-                if key not in known:
-                    known[key] = bands(signature(g))
+        spans, at = np.unique(_span_hash(s.hashes, first[wide], last[wide]), return_index=True)
+        fresh = np.array([h not in read for h in spans.tolist()], bool)
+        if fresh.any():
+            some = wide[at[fresh]]
+            key, band = keys_and_bands(grams, first[some], last[some])
             line_key.append(key)
+            line_band.append(band)
+            read.update(zip(spans[fresh].tolist(), range(n_known, n_known + len(some)), strict=True))
+            n_known += len(some)
         line_doc.append(s.first + doc[wide])
-        line_no.append(number[wide])
+        line_no.append(np.column_stack([number[wide], [read[h] for h in _span_hash(s.hashes, first[wide], last[wide]).tolist()]]).astype(np.int64).reshape(-1, 2))
         _, pick = run_starts(s)
         pick = np.unique(pick)
         run_hash.append(_hash_of(s.hashes, pick, SEED_WORDS))
         owner = np.searchsorted(s.word_from, pick, "right") - 1
         run_doc.append(s.first + owner)
         run_at.append(pick - s.word_from[owner])
+    home = 0
+    if run_hash and len(run_hash[0]):
+        home = int(run_hash[0][0] % U64(n_blocks))
     if line_key:
-        row, no, key = np.concatenate(line_doc), np.concatenate(line_no), np.array(line_key, np.int64)
-        band = np.array([known[k] for k in line_key])
-        # equal sets share all bands: the first band brings their copies together, the others need each set once
-        yield from _deal(_LINE, ids[row], tags[row], no, key, band[:, 0], n_blocks)
-        _, one = np.unique(key, return_index=True)
-        row, no, key, band = np.repeat(row[one], BANDS - 1), np.repeat(no[one], BANDS - 1), np.repeat(key[one], BANDS - 1), band[one, 1:].ravel()
-        yield from _deal(_OTHER, ids[row], tags[row], no, key, band, n_blocks)
+        row, (no, at) = np.concatenate(line_doc), np.concatenate(line_no).T
+        key, band = np.concatenate(line_key)[at], np.concatenate(line_band)
+        _, one, lead = np.unique(key, return_index=True, return_inverse=True)
+        # equal sets share all bands: the first band brings the pieces' places together, the others need each set once
+        yield from _deal(_LINE, ids[row[one]], tags[row[one]], no[one], key[one], band[at[one], 0], n_blocks)
+        more = np.repeat(one, BANDS - 1)
+        yield from _deal(_OTHER, ids[row[more]], tags[row[more]], no[more], key[more], band[at[one], 1:].ravel(), n_blocks)
+        rest = np.ones(len(key), bool)
+        rest[one] = False
+        if rest.any():
+            by = one[lead[rest]]
+            yield _message(home, _COPY, _ids_bytes(ids[row[rest]], tags[row[rest]], no[rest]), key[rest].tobytes(), _ids_bytes(ids[row[by]], tags[row[by]], no[by]))
     if run_hash:
         row, at, h = np.concatenate(run_doc), np.concatenate(run_at), np.concatenate(run_hash)
-        yield from _deal(_SEED, ids[row], tags[row], at, None, h, n_blocks)
+        code = _coded(np.frombuffer(_ids_bytes(ids[row], tags[row], at), _ID))[0]
+        _, one, lead = np.unique(h, return_index=True, return_inverse=True)
+        several = (np.bincount(lead, code != code[one[lead]], len(one)) > 0)[lead]
+        sent = ~several
+        sent[one] = True
+        yield from _deal(_SEED, ids[row[sent]], tags[row[sent]], at[sent], None, h[sent], n_blocks)
+        if several.any():
+            yield _message(home, _HELD, _ids_bytes(ids[row[several]], tags[row[several]], at[several]), b"", b"")
 
 
 def run_starts(s: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -231,6 +258,10 @@ def _meet_runs(table: pa.Table) -> pa.Table:
     return pa.table(cols, names=["doc", "tag", "no", "n_words", "lead", "kept"])
 
 
+def _message(to: int, kind: int, ids: bytes, keys: bytes, hashes: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((to, kind, ids, keys, hashes), _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
+
+
 def _deal(kind: int, doc: np.ndarray, tag: np.ndarray, no: np.ndarray, key: np.ndarray | None, h: np.ndarray, n_blocks: int, by: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     to = ((h if by is None else by) >> U64(40)) % U64(n_blocks)
     order = np.argsort(to, kind="stable")
@@ -256,8 +287,18 @@ _FOUND_ARROW = pa.schema([(c, pa.int64() if k == "long" else pa.int32()) for c,
 
 def _meet(table: pa.Table) -> pa.Table:
     """One hash block: link every holder of a set in the first band to the first one; of seeds, the places if several documents
-    hold one.  Also the sets of each band that different sets hold: doc and no give a place of the set, other_key the band."""
+    hold one.  Also the sets of each band that different sets hold: doc and no give a place of the set, other_key the band.
+    What pieces found among their own documents passes through."""
     out = []
+    for kind in (_COPY, _HELD):
+        t = table.filter(pa.array(table.column("kind").to_numpy() == kind))
+        ids = np.frombuffer(b"".join(t.column("ids").to_pylist()), _ID)
+        own = [ids["doc"], ids["tag"].view(np.int32), ids["no"]] if len(ids) else []
+        if len(ids) and kind == _COPY:
+            lead, key = np.frombuffer(b"".join(t.column("hashes").to_pylist()), _ID), np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64)
+            out.append([np.full(len(ids), _LINE), *own, lead["doc"], lead["tag"].view(np.int32), lead["no"], key, key])
+        elif len(ids):
+            out.append([np.full(len(ids), _SEED), *own, *[np.zeros(len(ids), np.int64)] * 5])
     for kind in (_LINE, _OTHER, _SEED):
         t = table.filter(pa.array(table.column("kind").to_numpy() == kind))
         if not t.num_rows:
