@@ -5,6 +5,7 @@ All are built-in expressions over whole columns; lists are parameters.  NULL and
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -21,11 +22,12 @@ def text(c: Column) -> Column:
 
 
 #: lists up to this length are sought value by value in one lower-cased text, longer ones by one pattern in one pass
-FEW = 24
+FEW = 16
 
 
 def alternation(values: list[str]) -> str:
-    """A pattern of literal values by their shared beginnings; at a place it takes the longest."""
+    """A pattern of literal values by their shared beginnings; at a place it takes the longest.  Where many characters may come
+    next, they stand in groups behind a look at the group's characters, as the ways of a pattern are tried one after another."""
     trie: dict = {}
     for v in values:
         node = trie
@@ -37,6 +39,10 @@ def alternation(values: list[str]) -> str:
         ways = [re.escape(ch) + pattern(below) for ch, below in node.items() if ch]
         if not ways:
             return ""
+        if len(ways) > 6:
+            size = math.isqrt(len(ways)) + 1
+            first = [re.escape(ch) for ch in node if ch]
+            ways = [f"(?=[{''.join(first[i : i + size])}])(?:{'|'.join(ways[i : i + size])})" for i in range(0, len(ways), size)]
         one = ways[0] if len(ways) == 1 and "" not in node else "(?:" + "|".join(ways) + ")"
         return one + "?" if "" in node else one
 

@@ -218,9 +218,9 @@ def test_mining_a_directory(spark):
     got = qualify.mine_directories(hits, pages, MARKET, ["page"])
     assert {web: s for web, s in column(got, "link", "source")} == dict.fromkeys(["https://www.bayantech.com/", "https://future-trans.com/about", "https://saudisoft.com/"], "directory")
     known = spark.createDataFrame([("saudisoft.com", "rejected", 5, "weak")], "domain string, status string, score int, tier string")
-    rows = hits.withColumn("source", F.lit("web")).union(spark.createDataFrame([("p", 2, "https://clutch.co/x", "Clutch", "", "web"), ("q", 0, "https://old.com", "", "", "web")], "page string, pos long, link string, title string, snippet string, source string"))
+    rows = hits.withColumn("source", F.lit("web")).union(spark.createDataFrame([("p", 2, "https://linkedin.com/in/x", "L", "", "web"), ("q", 0, "https://old.com", "", "", "web")], "page string, pos long, link string, title string, snippet string, source string"))
     run, blocked = qualify.qualify_run(rows, pages, known, spark.createDataFrame([("old.com",)], "domain string"), MARKET, ["page"], ["page"])
-    assert sorted(r["domain"] for r in blocked.collect()) == ["clutch.co", "old.com"]
+    assert sorted(r["domain"] for r in blocked.collect()) == ["linkedin.com", "old.com"]
     assert {r["domain"]: r["status"] for r in run.collect()} == {"bayantech.com": "qualified", "future-trans.com": "qualified", "saudisoft.com": "rejected"}
 
 
