@@ -42,7 +42,7 @@ from siftwell.llm.runtime import hash_sample
 from siftwell.llm.textkit import U64, Slice, mix64, shingle_hashes, word_slices
 
 FIT_ROWS = 8_000
-TRUST = 10
+TRUST = 100
 PRIOR_DEFAULT = 0.8
 THRESHOLD = 0.3
 HOLD_OUT = 5
@@ -114,11 +114,13 @@ class Model:
     slope: float
     shift: float
     prior: float
+    held: float = 1.0  #: share of the model in a score's log odds; the rest is the default prior's
 
     def score(self, x: np.ndarray) -> np.ndarray:
         g = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weight + self.bias
         z = self.slope * g + self.shift
-        return _sigmoid(np.where(np.abs(z) > 10, np.sign(z) * (10 + 20 * np.tanh((np.abs(z) - 10) / 20)), z))  # far scores keep their order
+        z = np.where(np.abs(z) > 10, np.sign(z) * (10 + 20 * np.tanh((np.abs(z) - 10) / 20)), z)  # far scores keep their order
+        return _sigmoid(self.held * z + (1 - self.held) * np.log(PRIOR_DEFAULT / (1 - PRIOR_DEFAULT)))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -210,7 +212,7 @@ def _fold(col: str) -> F.Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % HOLD_OUT
 
 
-_MODEL = "mean binary, scale binary, weight binary, bias double, slope double, shift double, prior double"
+_MODEL = "mean binary, scale binary, weight binary, bias double, slope double, shift double, prior double, held double"
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -234,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     found = one.groupBy(F.lit(0).alias("all")).applyInArrow(_fit_rows, _MODEL).first()
     if found is None:
         return _plain_model()
-    return Model(*(np.frombuffer(found[c], np.float64) for c in ("mean", "scale", "weight")), found["bias"], found["slope"], found["shift"], found["prior"])
+    return Model(*(np.frombuffer(found[c], np.float64) for c in ("mean", "scale", "weight")), found["bias"], found["slope"], found["shift"], found["prior"], found["held"])
 
 
 def _plain_model() -> Model:
@@ -247,7 +249,7 @@ def _fit_rows(rows: pa.Table) -> pa.Table:
     y = rows.column("y").to_numpy()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(len(y), -1)
     m = _learn(x[y == 1], x[y == 0])
-    kinds = ((m.mean.tobytes(), pa.binary()), (m.scale.tobytes(), pa.binary()), (m.weight.tobytes(), pa.binary()), (m.bias, pa.float64()), (m.slope, pa.float64()), (m.shift, pa.float64()), (m.prior, pa.float64()))
+    kinds = ((m.mean.tobytes(), pa.binary()), (m.scale.tobytes(), pa.binary()), (m.weight.tobytes(), pa.binary()), (m.bias, pa.float64()), (m.slope, pa.float64()), (m.shift, pa.float64()), (m.prior, pa.float64()), (m.held, pa.float64()))
     return pa.Table.from_arrays([pa.array([v], k) for v, k in kinds], [c.split()[0] for c in _MODEL.split(", ")])
 
 
@@ -259,8 +261,7 @@ def _learn(pos: np.ndarray, unl: np.ndarray) -> Model:
     prior = estimate_prior(p, u)
     w, b = fit_nnpu(p, u, prior)
     slope, shift = _calibrate(p @ w.astype(np.float32) + b, u @ w.astype(np.float32) + b, prior)
-    held = n / (n + TRUST)
-    return Model(mean, scale, w, b, held * slope, held * shift + (1 - held) * float(np.log(PRIOR_DEFAULT / (1 - PRIOR_DEFAULT))), prior)
+    return Model(mean, scale, w, b, slope, shift, prior, n / (n + TRUST))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
