@@ -531,7 +531,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     d = _prepared(docs)
     found = d.mapInArrow(_send(block_count(docs)), _SENT).groupBy("to").applyInArrow(_meet, _FOUND)
-    found = materialize(found.distinct(), "repeats")
+    found = materialize(found, "repeats")  # rows that stand twice do no harm below
     linked = found.where(f"kind = {_LINE}")
     sets = found.where(f"kind = {_BAND}").select("doc", "tag", "no", "key", F.col("other_key").alias("bucket"))
     wanted = sets.groupBy("key").agg(F.min(F.struct("doc", "tag", "no")).alias("at")).select("at.*", "key")
@@ -546,7 +546,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.col("doc").alias("doc_id"), "tag", F.lit("line").alias("kind"), "no", F.lit(0).alias("n_words"), F.col("lead.doc").alias("component_id"),
         (F.struct("doc", "tag", "no") == F.col("lead")).alias("kept"),
     )
-    seeds = found.where(f"kind = {_SEED}").groupBy("doc", "tag").agg(F.collect_list("no").alias("seeds"))
+    seeds = found.where(f"kind = {_SEED}").groupBy("doc", "tag").agg(F.collect_set("no").alias("seeds"))
     held = d.join(seeds, (d["_id"] == seeds["doc"]) & (d["_tag"] == seeds["tag"])).select("_id", "text", "seeds", "_tag")
     runs = held.mapInArrow(_send_runs(block_count(docs)), _SENT).groupBy("to").applyInArrow(_meet_runs, _RUNS)
     out = out.union(runs.select("doc", "tag", F.lit("run"), "no", "n_words", "lead", "kept"))
