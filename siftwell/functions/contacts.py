@@ -111,7 +111,11 @@ def title_passes(c: Column, roles: list[str] = dims.KEPT_ROLES) -> Column:
 
 def email_candidate(first: Column, last: Column, domain: Column, pattern: Column) -> Column:
     """Address by a named pattern over normalised names; NULL where a needed part is empty."""
-    f, l = norm_name(first), norm_name(last)  # noqa: E741
+    return candidate_of(norm_name(first), norm_name(last), domain, pattern)
+
+
+def candidate_of(f: Column, l: Column, domain: Column, pattern: Column) -> Column:  # noqa: E741
+    """email_candidate of names that norm_name has seen; over a table, keep those in columns of their own."""
     fi, li = F.substring(f, 1, 1), F.substring(l, 1, 1)
     s = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
     local = {

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell import dims
-from siftwell.functions.contacts import email_candidate, first_name, is_confirmed, is_generic, last_name, token_named, worded
+from siftwell.functions.contacts import candidate_of, email_candidate, first_name, is_confirmed, is_generic, last_name, norm_name, token_named, worded
 from siftwell.functions.web import text
 from siftwell.operators import state
 from siftwell.operators.dedupe import first_wins
@@ -42,7 +42,8 @@ def from_site(people: DataFrame, site: DataFrame) -> DataFrame:
 
 def from_pattern(people: DataFrame, patterns: DataFrame, verdicts: DataFrame) -> DataFrame:
     """person, email, label, verified: address by the domain's pattern, with its verdict; bad and role addresses go."""
-    c = people.join(patterns, "domain").withColumn("email", email_candidate(F.col("first_name"), F.col("last_name"), F.col("domain"), F.col("pattern"))).where("email is not null")
+    p = people.select("person", "domain", norm_name(F.col("first_name")).alias("_f"), norm_name(F.col("last_name")).alias("_l"))
+    c = p.join(patterns, "domain").withColumn("email", candidate_of(F.col("_f"), F.col("_l"), F.col("domain"), F.col("pattern"))).where("email is not null")
     c = c.where(~is_generic(F.col("email"))).join(verdicts, "email", "left").where(F.coalesce("verdict", F.lit("")) != "bad")
     label = F.when(F.col("verdict") == "good", "EFmt ✓").when(F.col("verdict") == "risky", "EFmt ~").otherwise("EFmt ?")
     return c.select("person", "email", label.alias("label"), F.coalesce(F.col("verdict") == "good", F.lit(False)).alias("verified"))

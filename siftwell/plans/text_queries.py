@@ -409,7 +409,8 @@ def patterns(spark, sf):
 
 
 def verdicts(spark, sf):
-    c = _people(spark, sf).join(patterns(spark, sf), "domain").select(contacts.email_candidate(F.col("first_name"), F.col("last_name"), F.col("domain"), F.col("pattern")).alias("email")).distinct()
+    c = _people(spark, sf).join(patterns(spark, sf), "domain").withColumns({"_f": contacts.norm_name(F.col("first_name")), "_l": contacts.norm_name(F.col("last_name"))})
+    c = c.select(contacts.candidate_of(F.col("_f"), F.col("_l"), F.col("domain"), F.col("pattern")).alias("email")).distinct()
     n = F.length("email") % 4
     return c.withColumn("verdict", F.when(n == 0, "good").when(n == 1, "bad").when(n == 2, "risky"))
 
