@@ -20,7 +20,7 @@ Exchanges carry packed blocks per hash block (see ngram_join), not one row per p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,9 @@ CROWD = 512
 GROUP_ROWS = 8192
 CHUNK_WORDS = 1 << 17
 SEND_DOCS = 4000
+OWNER_BITS = 10
+PAIRS = 1 << OWNER_BITS
+PAIRS_WORDS = 1 << 20
 _A, _B = seeded(BANDS * ROWS, 101) | U64(1), seeded(BANDS * ROWS, 102)
 
 
@@ -63,13 +66,27 @@ def keys_and_bands(grams: np.ndarray, first: np.ndarray, last: np.ndarray) -> tu
     return np.concatenate([k for k, _ in parts]), np.concatenate([b for _, b in parts])
 
 
+def _again(g: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where an owner's value stands that the owner has at another place too, but for one place of each."""
+    with np.errstate(over="ignore"):
+        x = mix64(g + owner.astype(U64) * U64(0x9E3779B97F4A7C15))
+    s = np.sort(x)
+    twice = s[1:][s[1:] == s[:-1]]
+    if not len(twice):
+        return np.zeros(0, np.int64)
+    maybe = np.zeros(1 << 18, bool)
+    maybe[twice & U64(len(maybe) - 1)] = True
+    i = np.flatnonzero(maybe[x & U64(len(maybe) - 1)])
+    i = i[np.lexsort((g[i], owner[i]))]
+    return i[1:][(g[i[1:]] == g[i[:-1]]) & (owner[i[1:]] == owner[i[:-1]])]
+
+
 def _keys_and_bands(grams: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(first)), size)
     g = grams[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(owner))]
-    g = g[np.lexsort((g, owner))]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
-    g, owner = g[new], owner[new]
+    again = _again(g, owner)
+    if len(again):
+        g, owner = np.delete(g, again), np.delete(owner, again)
     starts = np.searchsorted(owner, np.arange(len(first)))
     out = np.empty((len(first), BANDS, ROWS), U64)
     with np.errstate(over="ignore"):
@@ -114,7 +131,7 @@ def _send_piece(piece: pa.RecordBatch, n_blocks: int) -> Iterator[pa.RecordBatch
         first, last, doc = lines(s)
         number = np.arange(len(first)) - np.searchsorted(first, s.word_from[:-1])[doc] if len(first) else first
         wide = np.flatnonzero(last - first >= MIN_WORDS)
-        spans, at = np.unique(_span_hash(s.hashes, first[wide], last[wide]), return_index=True)
+        spans, at, same = np.unique(_span_hash(s.hashes, first[wide], last[wide]), return_index=True, return_inverse=True)
         fresh = np.array([h not in read for h in spans.tolist()], bool)
         if fresh.any():
             some = wide[at[fresh]]
@@ -124,9 +141,9 @@ def _send_piece(piece: pa.RecordBatch, n_blocks: int) -> Iterator[pa.RecordBatch
             read.update(zip(spans[fresh].tolist(), range(n_known, n_known + len(some)), strict=True))
             n_known += len(some)
         line_doc.append(s.first + doc[wide])
-        line_no.append(np.column_stack([number[wide], [read[h] for h in _span_hash(s.hashes, first[wide], last[wide]).tolist()]]).astype(np.int64).reshape(-1, 2))
+        line_no.append(np.column_stack([number[wide], np.array([read[h] for h in spans.tolist()], np.int64)[same]]))
         _, pick = run_starts(s)
-        pick = np.unique(pick)
+        pick = pick[np.append(True, pick[1:] != pick[:-1])] if len(pick) else pick  # seeds of later runs are never earlier
         run_hash.append(_hash_of(s.hashes, pick, SEED_WORDS))
         owner = np.searchsorted(s.word_from, pick, "right") - 1
         run_doc.append(s.first + owner)
@@ -233,10 +250,22 @@ def _coded(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, doc[new], tag[new].view(np.int32) if len(tag) else tag.astype(np.int32)
 
 
+def _several(h: np.ndarray) -> np.ndarray:
+    """Where the values stand that occur more than once."""
+    order = np.argsort(h)
+    s = h[order]
+    same = np.zeros(len(h) + 1, bool)
+    np.equal(s[1:], s[:-1], out=same[1:-1]) if len(h) else None
+    return np.sort(order[same[1:] | same[:-1]])
+
+
 def _meet_runs(table: pa.Table) -> pa.Table:
-    """One block of runs: those that several documents hold, consecutive ones in one row; the first holder keeps its own."""
+    """One block of runs: those that several documents hold, consecutive ones in one row; the first holder keeps its own.
+    Of the documents that hold runs of a row first, lead is the smallest."""
     ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), _ID)
     h = np.frombuffer(b"".join(table.column("hashes").to_pylist()), U64)
+    several = _several(h)
+    ids, h = ids[several], h[several]
     code, docs, tags = _coded(ids)
     order = np.lexsort((ids["no"], code, h))
     h, doc, no = h[order], code[order], ids["no"][order].astype(np.int64)
@@ -248,13 +277,14 @@ def _meet_runs(table: pa.Table) -> pa.Table:
     other = doc != lead
     take = np.bincount(at, other, len(first))[at] > 0
     doc, no, lead, kept = doc[take], no[take], lead[take], ~other[take]
-    order = np.lexsort((no, kept, lead, doc))
+    order = np.lexsort((no, kept, doc))
     doc, no, lead, kept = doc[order], no[order], lead[order], kept[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (lead[1:] != lead[:-1]) | (kept[1:] != kept[:-1]) | (no[1:] > no[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (kept[1:] != kept[:-1]) | (no[1:] > no[:-1] + RUN_WORDS)
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(doc)) - 1
-    cols = [pa.array(docs[doc[a]]), pa.array(tags[doc[a]]), pa.array(no[a].astype(np.int32)), pa.array((no[b] - no[a] + RUN_WORDS).astype(np.int32)), pa.array(docs[lead[a]]), pa.array(kept[a])]
+    least = np.minimum.reduceat(lead, a) if len(a) else lead
+    cols = [pa.array(docs[doc[a]]), pa.array(tags[doc[a]]), pa.array(no[a].astype(np.int32)), pa.array((no[b] - no[a] + RUN_WORDS).astype(np.int32)), pa.array(docs[least]), pa.array(kept[a])]
     return pa.table(cols, names=["doc", "tag", "no", "n_words", "lead", "kept"])
 
 
@@ -262,10 +292,16 @@ def _message(to: int, kind: int, ids: bytes, keys: bytes, hashes: bytes) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((to, kind, ids, keys, hashes), _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
 
 
+def _dealt(h: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their hash blocks, and where each block's begin, with the end appended."""
+    to = (h >> U64(40)) % U64(n_blocks)
+    if n_blocks <= 1 << 16:
+        to = to.astype(np.uint16)  # sorted by radix
+    return np.argsort(to, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(to.astype(np.int64), minlength=n_blocks))])
+
+
 def _deal(kind: int, doc: np.ndarray, tag: np.ndarray, no: np.ndarray, key: np.ndarray | None, h: np.ndarray, n_blocks: int, by: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    to = ((h if by is None else by) >> U64(40)) % U64(n_blocks)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(n_blocks + 1, dtype=U64))
+    order, cuts = _dealt(h if by is None else by, n_blocks)
     out = []
     for p in np.flatnonzero(np.diff(cuts)).tolist():
         i = order[cuts[p] : cuts[p + 1]]
@@ -306,6 +342,8 @@ def _meet(table: pa.Table) -> pa.Table:
         ids = np.frombuffer(b"".join(t.column("ids").to_pylist()), _ID)
         h = np.frombuffer(b"".join(t.column("hashes").to_pylist()), U64)
         key = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64) if kind != _SEED else np.zeros(len(h), np.int64)
+        several = _several(h)
+        ids, h, key = ids[several], h[several], key[several]
         code, docs, tags = _coded(ids)
         order = np.lexsort((ids["no"], code, key, h))
         h, key, code, no = h[order], key[order], code[order], ids["no"][order]
@@ -373,15 +411,45 @@ def _paragraphs_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in batches:
-        keep = []
-        for a, b in zip(t.column("wa"), t.column("wb"), strict=True):
-            a, b = (x.values.to_numpy().view(U64) for x in (a, b))
-            x, y = np.unique(shingle_hashes(a)), np.unique(shingle_hashes(b))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            same = 100 * both >= PERCENT * (len(x) + len(y) - both)
-            longest = max(len(a), len(b))
-            keep.append(same or word_edit_distance(a, b, longest * (100 - PERCENT) // 400) <= longest * (100 - PERCENT) // 400)
-        yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        wa, wb, at, keep = t.column("wa"), t.column("wb"), 0, [np.zeros(0, bool)]
+        n_words = np.cumsum(wa.value_lengths().to_numpy() + wb.value_lengths().to_numpy(), dtype=np.int64)
+        while at < t.num_rows:
+            fits = int(np.searchsorted(n_words, (n_words[at - 1] if at else 0) + PAIRS_WORDS, "right")) - at
+            n = min(max(fits, 1), PAIRS)
+            keep.append(_near(wa.slice(at, n), wb.slice(at, n)))
+            at += n
+        yield t.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
+
+
+def _near(wa: pa.ListArray, wb: pa.ListArray) -> np.ndarray:
+    """Which pairs of word lists, PAIRS at most, are near by Jaccard (see _row_sets) or by edit distance."""
+    (x, a, la), (y, b, lb) = _row_sets(wa), _row_sets(wb)
+    n, both = len(la), np.sort(np.concatenate([x, y]))
+    both, x, y = (np.bincount(c >> U64(64 - OWNER_BITS), minlength=n) for c in (both[1:][both[1:] == both[:-1]], x, y))
+    keep = 100 * both >= PERCENT * (x + y - both)
+    # an edit takes SHINGLE_WORDS shingles from either set at most
+    longest = np.maximum(la, lb)
+    most = longest * (100 - PERCENT) // 400
+    may = np.flatnonzero(~keep & (np.abs(la - lb) <= most) & (np.maximum(x, y) - both <= SHINGLE_WORDS * most))
+    may = may[np.argsort(longest[may], kind="stable")]
+    while len(may):
+        k = may[: max(1, int(np.searchsorted(np.arange(1, len(may) + 1) * longest[may], CHUNK_WORDS, "right")))]
+        may = may[len(k) :]
+        keep[k] = edit_distances([(a(i), b(i)) for i in k.tolist()], int(most[k].max())) <= most[k]
+    return keep
+
+
+def _row_sets(lists: pa.ListArray) -> tuple[np.ndarray, Callable[[int], np.ndarray], np.ndarray]:
+    """Shingle sets of all rows as one sorted array (the row, then 64 - OWNER_BITS bits of a shingle's hash), the words of a row
+    and the rows' numbers of words."""
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
+    n_words = np.diff(offsets)
+    size = np.maximum(n_words - SHINGLE_WORDS + 1, 0)
+    owner = np.repeat(np.arange(len(size)), size)
+    grams = shingle_hashes(flat[offsets[0] : offsets[-1]])
+    g = grams[np.repeat(offsets[:-1] - offsets[0] - (np.cumsum(size) - size), size) + np.arange(len(owner))]
+    g = np.sort((owner.astype(U64) << U64(64 - OWNER_BITS)) | (g >> U64(OWNER_BITS)))
+    return g[np.append(True, g[1:] != g[:-1])] if len(g) else g, lambda i: flat[offsets[i] : offsets[i + 1]], n_words
 
 
 def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], most: int) -> np.ndarray:
@@ -557,40 +625,35 @@ _SPAN = "doc_id long, start long, length long, n_words long, component_id long,
 _SPAN_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("n_words", pa.int64()), ("component_id", pa.int64()), ("kept", pa.bool_())])
 
 
-def _word_spans(s: Slice, d: int, marks: list[dict], line_first, line_last, base) -> list[tuple[int, int, int, bool]]:
-    """(first word, end word, component, kept) of the passages of document d; overlapping ones are one, removal first."""
-    w0 = int(s.word_from[d])
-    cover = []
-    for m in marks:
-        if m["kind"] == "line":
-            i = base[d] + m["no"]
-            cover.append((int(line_first[i]), int(line_last[i]), m["component_id"], m["kept"]))
-        else:
-            cover.append((w0 + m["no"], w0 + m["no"] + m["n_words"], m["component_id"], m["kept"]))
-    out: list[list] = []
-    for kept in (False, True):
-        for a, b, c, k in sorted(x for x in cover if x[3] == kept):
-            if out and out[-1][3] == k and a <= out[-1][1]:
-                out[-1][1], out[-1][2] = max(out[-1][1], b), min(out[-1][2], c)
-            else:
-                out.append([a, b, c, k])
-    return [tuple(x) for x in out]
-
-
-def _spans(texts: pa.Array, marks: list[list[dict]]) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, int, int, bool]]]]:
-    """(row, its bytes, [(first byte, end byte, words, component, kept)]) for each row."""
+def _spans(texts: pa.Array, marks: pa.ListArray) -> Iterator[tuple[Slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice of the texts its passages: document (in the slice), first word, end word, component and kept.
+    Places that overlap or touch and are kept alike are one passage."""
+    row = np.repeat(np.arange(len(marks)), marks.value_lengths().fill_null(0).to_numpy())
+    columns = [c.to_numpy(zero_copy_only=False) for c in marks.flatten().flatten()]
     for s in word_slices(texts, want_hashes=False):
+        i, j = np.searchsorted(row, [s.first, s.first + s.n_docs])
+        doc = row[i:j] - s.first
+        no, n_words, component, kept = (c[i:j] for c in columns)
         first, last, _ = lines(s)
-        base = np.searchsorted(first, s.word_from[:-1])
-        for d in range(s.n_docs):
-            lo = int(s.doc_start[d])
-            found = [(int(s.start[a]) - lo, int(s.end[b - 1]) - lo, b - a, c, k) for a, b, c, k in _word_spans(s, d, marks[s.first + d] or [], first, last, base)]
-            yield s.first + d, s.raw[lo : int(s.doc_start[d + 1])], found
+        a = s.word_from[doc] + no
+        b = a + n_words
+        line = np.flatnonzero(n_words == 0)
+        at = np.searchsorted(first, s.word_from[doc[line]]) + no[line]
+        a[line], b[line] = first[at], last[at]
+        order = np.lexsort((a, doc, kept))
+        doc, a, b, component, kept = (c[order] for c in (doc, a, b, component, kept))
+        # words of later documents have higher numbers, so one running maximum serves all; kept ones come after the others
+        shift = kept * (s.word_from[-1] + 1)
+        new = np.ones(len(a), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (kept[1:] != kept[:-1]) | ((a + shift)[1:] > np.maximum.accumulate(b + shift)[:-1])
+        new = np.flatnonzero(new)
+        if len(new):
+            yield s, doc[new], a[new], np.maximum.reduceat(b, new), np.minimum.reduceat(component, new), kept[new]
 
 
 def _marked(docs: DataFrame, id_col: str, marks: DataFrame, how: str) -> DataFrame:
     """docs with its columns and __marks; each row gets the marks of its own id and text."""
-    m = marks.groupBy(F.col("doc_id").alias("__mark_id"), F.col("tag").alias("__mark_tag")).agg(F.sort_array(F.collect_list(F.struct("kind", "no", "n_words", "component_id", "kept"))).alias("__marks"))
+    m = marks.groupBy(F.col("doc_id").alias("__mark_id"), F.col("tag").alias("__mark_tag")).agg(F.collect_list(F.struct("no", "n_words", "component_id", "kept")).alias("__marks"))
     tagged = docs.withColumn("__tag", _tag())
     return tagged.join(m, (tagged[id_col] == m["__mark_id"]) & (tagged["__tag"] == m["__mark_tag"]), how).drop("__mark_id", "__mark_tag", "__tag")
 
@@ -601,11 +664,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = b.column(0).to_pylist(), []
-            for row, raw, found in _spans(b.column(1), b.column(2).to_pylist()):
-                solid = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                out += [(ids[row], int(solid[x]), int(solid[y] - solid[x]), n, c, k) for x, y, n, c, k in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_SPAN_ARROW)], schema=_SPAN_ARROW)
+            ids, out = b.column(0).to_numpy(), [[np.zeros(0, np.int64)] * len(_SPAN_ARROW)]
+            for s, doc, first, last, component, kept in _spans(b.column(1), b.column(2)):
+                solid = np.concatenate([[0], np.cumsum((s.raw & 0xC0) != 0x80)])
+                at = solid[s.start[first]]
+                out.append([ids[s.first + doc], at - solid[s.doc_start[doc]], solid[s.end[last - 1]] - at, last - first, component, kept])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(zip(*out, strict=True), _SPAN_ARROW, strict=True)], schema=_SPAN_ARROW)
 
     return rows.mapInArrow(run, _SPAN)
 
@@ -620,16 +684,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks, cut = b.column(len(keep)).to_pylist(), np.zeros(b.num_rows, bool)
+            marks, cut = b.column(len(keep)), np.zeros(b.num_rows, bool)
             cols = [b.column(i) for i in range(len(keep))]
-            if any(marks):
+            if marks.null_count < len(marks):
                 texts = b.column(at).to_pylist()
-                for row, raw, found in _spans(b.column(at), marks):
-                    if found:
-                        mask = np.ones(len(raw), bool)
-                        for x, y, *_ in found:
-                            mask[x:y] = False
-                        texts[row], cut[row] = raw[mask].tobytes().decode("utf-8").strip(), True
+                for s, doc, first, last, *_ in _spans(b.column(at), marks):
+                    mask = np.zeros(len(s.raw) + 1, np.int32)
+                    np.add.at(mask, s.start[first], 1)
+                    np.add.at(mask, s.end[last - 1], -1)
+                    mask = np.cumsum(mask[:-1]) == 0
+                    for d in np.unique(doc).tolist():
+                        x, y = s.doc_start[d : d + 2].tolist()
+                        texts[s.first + d], cut[s.first + d] = s.raw[x:y][mask[x:y]].tobytes().decode("utf-8").strip(), True
                 cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(cut)], [*keep, "__cut"])
 

@@ -242,3 +242,90 @@ def test_recall_of_repeated_lines(spark, sf):
     found = {r["doc_id"] for r in substring_dedup.repeats(spark.read.parquet(f"{sf}/documents.parquet")).where("kind = 'line'").collect()}
     held = [i for pair in near for i in pair]
     assert sum(i in found for i in held) >= 0.99 * len(held)
+
+
+def test_pairs_of_lines_are_checked_many_at_once(monkeypatch):
+    """As pair by pair, but with two calls for the shingles of all pairs."""
+    rng, pairs, calls = np.random.default_rng(11), [], []
+    for _ in range(400):
+        a = rng.integers(1, 40 if rng.random() < 0.3 else 1 << 40, rng.integers(25, 70)).astype(np.int64)
+        b = a.tolist()
+        for _ in range(rng.integers(0, 5)):
+            at = int(rng.integers(0, len(b)))
+            b[at : at + int(rng.integers(0, 3))] = rng.integers(1, 1 << 40, rng.integers(0, 3)).tolist()
+        pairs.append((a.tolist(), b))
+    pairs.append((list(range(1, 3001)), [*range(1, 1500), 9, *range(1501, 3001)]))
+
+    def plain(a, b):
+        x, y = (set(textkit.shingle_hashes(np.array(w, np.uint64)).tolist()) for w in (a, b))
+        most = max(len(a), len(b)) // 20
+        return 100 * len(x & y) >= 80 * len(x | y) or substring_dedup.word_edit_distance(np.array(a), np.array(b), most) <= most
+
+    want = [n for n, (a, b) in enumerate(pairs) if plain(a, b)]
+    lists = [pa.array([p[c] for p in pairs], pa.list_(pa.int64())) for c in (0, 1)]
+    n = pa.array(range(len(pairs)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([n, n, *lists], ["a", "b", "wa", "wb"])
+    count = lambda *a, **k: calls.append(1) or textkit.shingle_hashes(*a, **k)
+    monkeypatch.setattr(substring_dedup, "shingle_hashes", count)
+    got = [x for t in substring_dedup._check(iter([batch.slice(0, 150), batch.slice(150), batch.slice(0, 0)])) for x in t.column("a").to_pylist()]
+    assert got == want and 50 < len(want) < 380 and len(calls) <= 4
+    monkeypatch.setattr(substring_dedup, "PAIRS_WORDS", 500)
+    assert [x for t in substring_dedup._check(iter([batch])) for x in t.column("a").to_pylist()] == want
+
+
+def test_runs_that_overlap_are_one_row():
+    """Whatever documents hold them first: two runs of document 3 that other documents hold, one starting in the other."""
+    places = [(1, 5, 10), (2, 0, 20), (3, 7, 10), (3, 8, 20), (3, 50, 20), (4, 0, 30)]
+    ids = np.array([(d, 0, no) for d, no, _ in places], substring_dedup._ID)
+    t = pa.table({"ids": [ids.tobytes()], "hashes": [np.array([h for *_, h in places], np.uint64).tobytes()]})
+    got = sorted(map(tuple, (r.values() for r in substring_dedup._meet_runs(t).to_pylist())))
+    assert got == [(1, 0, 5, 24, 1, True), (2, 0, 0, 24, 2, True), (3, 0, 7, 25, 1, False), (3, 0, 50, 24, 2, False)]
+
+
+def test_keys_of_lines_with_repeated_shingles():
+    rng = np.random.default_rng(5)
+    words = [rng.integers(1, k, n).astype(np.uint64) for k in (2, 3, 1 << 50) for n in (25, 60, 400)]
+    last = np.cumsum([len(w) for w in words])
+    key, band = substring_dedup.keys_and_bands(textkit.shingle_hashes(np.concatenate(words)), np.append(0, last[:-1]), last)
+    assert key.tolist() == [textkit.set_key(np.unique(textkit.shingle_hashes(w))) for w in words]
+    alone = [substring_dedup.keys_and_bands(textkit.shingle_hashes(w), np.array([0]), np.array([len(w)]))[1][0].tolist() for w in words]
+    assert band.tolist() == alone
+
+
+def test_places_that_overlap_or_touch_are_one_passage():
+    """Against a plain loop over each document's places; a batch that is cut, with a row without places."""
+    rng = np.random.default_rng(3)
+    texts = ["\n".join(" ".join(f"w{i}é" for i in range(rng.integers(1, 9))) for _ in range(rng.integers(1, 7))) for _ in range(60)]
+    texts[5:7] = ["", None]
+    marks, want = [], []
+    for n, t in enumerate(texts):
+        rows = [x.split() for x in (t or "").split("\n")]
+        at = np.cumsum([0, *map(len, rows)]).tolist()
+        places = []
+        for _ in range(rng.integers(0, 5) if at[-1] else 0):
+            no, n_words = int(rng.integers(0, at[-1])), int(rng.integers(1, 6))
+            if rng.random() < 0.3:
+                no, n_words = int(rng.integers(0, len(rows))), 0
+            else:
+                n_words = min(n_words, at[-1] - no)
+            places.append({"no": no, "n_words": n_words, "component_id": int(rng.integers(0, 9)), "kept": bool(rng.random() < 0.5)})
+        marks.append(places or None)
+        for kept in (False, True):
+            spans = []
+            for p in places:
+                if p["kept"] == kept:
+                    spans.append((at[p["no"]], at[p["no"] + 1], p["component_id"]) if p["n_words"] == 0 else (p["no"], p["no"] + p["n_words"], p["component_id"]))
+            done = []
+            for a, b, c in sorted(spans):
+                if done and a <= done[-1][1]:
+                    done[-1] = (done[-1][0], max(b, done[-1][1]), min(c, done[-1][2]))
+                else:
+                    done.append((a, b, c))
+            want += [(n, *x, kept) for x in done]
+    kind = pa.list_(pa.struct([("no", pa.int32()), ("n_words", pa.int32()), ("component_id", pa.int64()), ("kept", pa.bool_())]))
+    texts, marks = pa.array(["x", *texts])[1:], pa.array([[{"no": 0, "n_words": 0, "component_id": 1, "kept": True}], *marks], kind)[1:]
+    got = []
+    for s, doc, a, b, c, k in substring_dedup._spans(texts, marks):
+        lo = s.word_from[doc]
+        got += list(zip((s.first + doc).tolist(), (a - lo).tolist(), (b - lo).tolist(), c.tolist(), k.tolist()))
+    assert sorted(got) == sorted(want) and len(want) > 50
