@@ -475,7 +475,7 @@ def directory_pages(h):
 @query("o01_mined_directories", f"with {_OWN_HITS}, {_MINED} select m.domain, m.link, m.title, m.source, d.page, d.pos from merged m join dir d on d.pos = m.dir")
 def _(spark, sf):
     h = own_hits(spark, sf)
-    out = qualify.mine_directories(h.drop("html"), directory_pages(h), MARKET, ["page"])
+    out = qualify.mine_directories(h.drop("html"), directory_pages(h), MARKET, ["page"], listed=None)  # as in the SQL: documents as snippets are prose
     return out.select(web.domain_of(F.col("link")).alias("domain"), "link", "title", "source", "page", "pos")
 
 
@@ -493,7 +493,7 @@ def _(spark, sf):
     is_list = gates.is_directory(web.domain_of(F.col("link")), F.col("title"), MARKET.directories)
     read = h.join(lists.distinct(), h["link"] == lists["url"]).select("url", F.when(is_list, F.col("list")).otherwise(F.col("html")).alias("html"))
     state_now = known_domains(spark, sf).distinct().select("domain", F.lit("discovered").alias("status"), F.lit(0).alias("score"), F.lit("weak").alias("tier"))
-    after, blocked = qualify.qualify_run(h.drop("html"), read, state_now, state_now.limit(0).select("domain"), MARKET, ["page"], ["page_no", "page"])
+    after, blocked = qualify.qualify_run(h.drop("html"), read, state_now, state_now.limit(0).select("domain"), MARKET, ["page"], ["page_no", "page"], listed=None)
     return after.unionByName(blocked.select("domain", F.lit("blocked").alias("status"), F.lit(0).alias("score"), F.lit("weak").alias("tier")))
 
 
