@@ -17,6 +17,7 @@ from siftwell.operators.dedupe import first_wins
 from siftwell.operators.extract import search_address, site_addresses
 from siftwell.operators.resume import SlicedRun
 from siftwell.operators.substrings import fragments
+from siftwell.scratch import materialize
 
 
 def name_index(site: DataFrame, names: DataFrame) -> DataFrame:
@@ -91,14 +92,19 @@ def leads(people: DataFrame, layers: list[tuple[str, DataFrame]]) -> DataFrame:
 _LEAD = ["email", "email_source", "full_name", "first_name", "last_name", "title", "company", "domain", "country", "linkedin_url", "source_url"]
 
 
-def find_leads(people: DataFrame, pages: DataFrame, paths: DataFrame, pattern_pages: DataFrame, verdicts: DataFrame, hits: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-    """person, layer and a lead's columns for people with a confirmed address; inputs as for mail_run."""
+def domain_evidence(people: DataFrame, pages: DataFrame, paths: DataFrame, pattern_pages: DataFrame, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(addresses of the sites, patterns by domain) of people's domains: see site_addresses and page_patterns."""
+    mine = people.select("domain").distinct()
+    linked = None if documents is None else documents.join(mine, "domain", "left_semi")
+    return site_addresses(pages.join(mine, "domain", "left_semi"), paths, documents=linked), page_patterns(pattern_pages.withColumn("_own", F.col("domain")), "domain", "body", "_own")
+
+
+def find_leads(people: DataFrame, evidence: tuple[DataFrame, DataFrame], verdicts: DataFrame, hits: DataFrame) -> DataFrame:
+    """person, layer and a lead's columns for people with a confirmed address; evidence: see domain_evidence, else as for mail_run."""
     full = (F.col("full_name"), F.col("first_name"), F.col("last_name"))
     p = people.withColumns({"_f": first_name(*full), "_l": last_name(*full)}).withColumns({"first_name": F.col("_f"), "last_name": F.col("_l")}).drop("_f", "_l")
-    mine = pages.join(p.select("domain").distinct(), "domain", "left_semi")
-    linked = None if documents is None else documents.join(p.select("domain").distinct(), "domain", "left_semi")
-    site = from_site(p, site_addresses(mine, paths, documents=linked))
-    pattern = from_pattern(p, page_patterns(pattern_pages.withColumn("_own", F.col("domain")), "domain", "body", "_own"), verdicts)
+    addresses, patterns = evidence
+    site, pattern = from_site(p, addresses), from_pattern(p, patterns, verdicts)
     searched = search_address(hits.join(p.where((F.col("first_name") != "") & (F.col("last_name") != "")).select("person"), "person", "left_semi")).withColumn("label", F.lit("Search ✓"))
     found = leads(p, [("L1-Site", site), ("L2-EFmt", pattern), ("L4-Search", searched)])
     given = lambda c: text(F.col(c)) if c in people.columns else F.lit("")
@@ -116,17 +122,22 @@ def mail_run(people: DataFrame, pages: DataFrame, paths: DataFrame, pattern_page
     pages, paths, documents: see site_addresses.  pattern_pages: domain, body.  verdicts: email, verdict.  hits: person, pos, domain,
     snippet, title, link.  table: email and more; an address that it holds is not appended again.
     """
-    rows = find_leads(people, pages, paths, pattern_pages, verdicts, hits, documents)
+    rows = find_leads(people, domain_evidence(people, pages, paths, pattern_pages, documents), verdicts, hits)
     return state.insert_ignore(table, rows, ["email"], ["person"]), state.stamp(people, people, "person", "email_searched_at", now)
 
 
 def mail_run_in_slices(run: SlicedRun, people: DataFrame, pages: DataFrame, paths: DataFrame, pattern_pages: DataFrame, verdicts: DataFrame, hits: DataFrame, table: DataFrame, now: Column, documents: DataFrame | None = None, at_most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """mail_run by slices of the people without a stamp, each committed with its people's stamps: a run that dies starts again at
-    the slice where it stopped.  Of the slices committed so far: (leads to append, people with their stamp)."""
-
-    def work(part: DataFrame) -> dict[str, DataFrame]:
-        who = part.select("person").distinct()
-        return {"leads": find_leads(part, pages, paths, pattern_pages, verdicts, hits.join(who, "person", "left_semi"), documents)}
-
-    run.run(people.where(F.col("email_searched_at").isNull()), "person", work, at_most)
+    the slice where it stopped.  Evidence is at the grain of a domain and the same for all slices, so a start takes it once.
+    Of the slices committed so far: (leads to append, people with their stamp)."""
+    todo = people.where(F.col("email_searched_at").isNull())
+    if len(run.committed()) < run.slices:
+        addresses, patterns = domain_evidence(todo, pages, paths, pattern_pages, documents)
+        evidence, checked = (materialize(addresses, "site-addresses"), materialize(patterns, "page-patterns")), materialize(verdicts, "verdicts")
+
+        def work(part: DataFrame) -> dict[str, DataFrame]:
+            who = part.select("person").distinct()
+            return {"leads": find_leads(part, evidence, checked, hits.join(who, "person", "left_semi"))}
+
+        run.run(todo, "person", work, at_most)
     return state.insert_ignore(table, run.read("leads"), ["email"], ["person"]), state.stamp(people, run.read("done"), "person", "email_searched_at", now)
