@@ -183,27 +183,23 @@ def pair_counts(parts: DataFrame) -> DataFrame:
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, slice_bytes: int = SLICE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its tokens, groups and links, how many links are the best of their a id, and the sum of the links' counts."""
     a_default, b_default = default_paths()
-    parts = materialize(slices(docs, a_path or a_default, b_path or b_default, slice_bytes, id_col, text_col), "aligned")
+    parts = materialize(slices(docs, a_path or a_default, b_path or b_default, slice_bytes, id_col, text_col), "aligned", rows_a_group=1)
     asked = parts.select("slice", F.posexplode("pairs").alias("at", "pair"))
     value = F.shiftleft("n", 1) + F.col("best").cast("long")
-    answers = asked.join(pair_counts(parts).select("pair", value.alias("value")), "pair").groupBy("slice").agg(F.collect_list(F.struct("at", "value")).alias("found"))
-    whole = parts.drop("pairs", "holders").join(answers, "slice", "left").drop("slice")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].values for name in batch.schema.names}
-                found = row["found"]
-                value = np.zeros(len(found) if found is not None else 0, np.int64)
-                if len(value):
-                    value[found.field("at").to_numpy()] = found.field("value").to_numpy()
-                sizes, steps, times = (row[c].to_numpy(zero_copy_only=False) for c in ("n_pairs", "steps", "times"))
-                best, total, at = [], [], 0
-                for size in sizes.tolist():
-                    v, t = value[np.cumsum(steps[at : at + size])], times[at : at + size].astype(np.int64)
-                    best.append(int(((v & 1) * t).sum()))
-                    total.append(int(((v >> 1) * t).sum()))
-                    at += size
-                yield pa.RecordBatch.from_arrays([*[row[c] for c in FIGURES], pa.array(best, pa.int64()), pa.array(total, pa.int64()), row["groups_sha256"]], [f.split()[0] for f in OUT.split(", ")])
-
-    return whole.mapInArrow(run, OUT)
+    answers = asked.join(pair_counts(parts).select("pair", value.alias("value")), "pair").select(F.col("slice").alias("of"), "at", "value")
+
+    def run(slice_row: pa.Table, found: pa.Table) -> pa.Table:
+        row = {name: slice_row.column(name).chunk(0)[0].values for name in slice_row.column_names if name != "slice"}
+        value = np.zeros(found.num_rows, np.int64)
+        value[found.column("at").to_numpy()] = found.column("value").to_numpy()
+        sizes, steps, times = (row[c].to_numpy(zero_copy_only=False) for c in ("n_pairs", "steps", "times"))
+        best, total, at = [], [], 0
+        for size in sizes.tolist():
+            v, t = value[np.cumsum(steps[at : at + size])], times[at : at + size].astype(np.int64)
+            best.append(int(((v & 1) * t).sum()))
+            total.append(int(((v >> 1) * t).sum()))
+            at += size
+        return pa.Table.from_arrays([*[row[c] for c in FIGURES], pa.array(best, pa.int64()), pa.array(total, pa.int64()), row["groups_sha256"]], [f.split()[0] for f in OUT.split(", ")])
+
+    # one slice at a time: gathered lists would hold as many slices at once as a task or a batch has
+    return parts.drop("pairs", "holders").groupBy("slice").cogroup(answers.groupBy("of")).applyInArrow(run, OUT)
