@@ -74,8 +74,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     """doc_id and class_id (smallest doc_id reachable by links) of documents that have a near duplicate.  Rows that share
     an id and hold different texts are documents of their own: such an id comes back once per class that it lies in.
 
-    Bands of signatures are joined on their value (see link_in_rounds); a pair's Jaccard similarity is taken
-    exactly on the shingle sets of its texts.
+    Equal texts are one node from the start, so copies cost neither bands nor pairs.  Bands of signatures are joined on their value
+    (see link_in_rounds); a pair's Jaccard similarity is taken exactly on the shingle sets of its texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +99,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
             yield b.select(["a", "b"]).filter(pa.array([100 * x >= percent * (n - x) for x, n in both], pa.bool_()))
 
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    slim = slim.select(F.xxhash64("doc", "text").alias("node"), "doc", "text").dropDuplicates(["node"])
-    held = materialize(slim.select("node", "text").mapInArrow(run, "node long, bucket long"), "bands")
-    text = lambda x: slim.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    slim = slim.select(F.xxhash64("text").alias("node"), "doc", "text")
+    texts = materialize(slim.select("node", "text").dropDuplicates(["node"]), "texts")
+    copies = slim.select("node", "doc").distinct()
+    held = materialize(texts.mapInArrow(run, "node long, bucket long"), "bands")
+    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
     verify = lambda pairs: pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
-    linked = link_in_rounds(held, verify).join(slim.select("node", "doc"), "node")
-    least = linked.groupBy("component").agg(F.min("doc").alias("class_id"))
-    return linked.join(least, "component").select(F.col("doc").alias("doc_id"), "class_id").distinct()
+    near = link_in_rounds(held, verify).withColumnRenamed("component", "near")
+    # copies of a text are one node; a text without near ones is a class if several documents hold it, unless it has no words
+    worded = held.select("node").distinct().join(near, "node", "left").select("node", F.coalesce("near", "node").alias("component"))
+    every = materialize(copies.join(worded, "node"), "classes")
+    least = every.groupBy("component").agg(F.min("doc").alias("class_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return every.join(least, "component").select(F.col("doc").alias("doc_id"), "class_id").distinct()
 
 
 def _splits(ids: DataFrame, n: int) -> list[int]:
